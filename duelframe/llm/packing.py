@@ -113,10 +113,10 @@ def configurations(counts: dict[int, int], capacity: int, eta: float = 8.0, shar
     return out
 
 
-def pack(cut: DataFrame, id_col: str = "doc_id", limit: int = 4096, width: int = 8) -> DataFrame:
+def pack(cut: DataFrame, id_col: str = "doc_id", limit: int = 4096, width: int = 4) -> DataFrame:
     """The pieces with sequence_id and offset; a sequence holds at most limit tokens, without gaps.
 
-    cut has (id, piece, length, ...), 1 <= length <= limit. A class is the lengths of `width` tokens that
+    cut has (id, piece, length, ...), 1 <= length <= limit. A class is the lengths of `width` neighbouring token counts that
     round up to the same multiple. Which piece gets which place follows from its rank in its class, by id
     and piece; ties (repeated rows) get different places. An empty table gives an empty result.
     """
