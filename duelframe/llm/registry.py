@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from .hnsw import OP9_SQL, op9_embedding_near_dedup
+from .jaccard import OP8_SQL, op8_ngram_jaccard_join
+from .kneser_ney import op1_quality_classifier
 from .packing import op6_best_fit_packing
 from .sentence_spans import OP5_SQL, op5_substring_dedup
+from .tiling import op2_decontamination
 from .token_counts import op4_token_counts
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_token_counts, op5_substring_dedup, op6_best_fit_packing)}
+    return {f.__name__: f for f in (
+        op1_quality_classifier, op2_decontamination, op4_token_counts, op5_substring_dedup, op6_best_fit_packing, op8_ngram_jaccard_join, op9_embedding_near_dedup,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_substring_dedup": OP5_SQL}
+    return {"op5_substring_dedup": OP5_SQL, "op8_ngram_jaccard_join": OP8_SQL, "op9_embedding_near_dedup": OP9_SQL}
