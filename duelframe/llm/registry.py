@@ -5,6 +5,7 @@ from __future__ import annotations
 from .hnsw import OP9_SQL, op9_embedding_near_dedup
 from .jaccard import OP8_SQL, op8_ngram_jaccard_join
 from .kneser_ney import op1_quality_classifier
+from .mixing import op10_lm_scoring
 from .packing import op6_best_fit_packing
 from .sentence_spans import OP5_SQL, op5_substring_dedup
 from .tiling import op2_decontamination
@@ -13,7 +14,7 @@ from .token_counts import op4_token_counts
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        op1_quality_classifier, op2_decontamination, op4_token_counts, op5_substring_dedup, op6_best_fit_packing, op8_ngram_jaccard_join, op9_embedding_near_dedup,
+        op1_quality_classifier, op2_decontamination, op4_token_counts, op5_substring_dedup, op6_best_fit_packing, op8_ngram_jaccard_join, op9_embedding_near_dedup, op10_lm_scoring,
     )}
 
 
