@@ -10,11 +10,12 @@ from .packing import op6_best_fit_packing
 from .sentence_spans import OP5_SQL, op5_substring_dedup
 from .tiling import op2_decontamination
 from .token_counts import op4_token_counts
+from .training_order import op7_training_order
 
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        op1_quality_classifier, op2_decontamination, op4_token_counts, op5_substring_dedup, op6_best_fit_packing, op8_ngram_jaccard_join, op9_embedding_near_dedup, op10_lm_scoring,
+        op1_quality_classifier, op2_decontamination, op4_token_counts, op5_substring_dedup, op6_best_fit_packing, op7_training_order, op8_ngram_jaccard_join, op9_embedding_near_dedup, op10_lm_scoring,
     )}
 
 
