@@ -8,6 +8,7 @@ from .kneser_ney import op1_quality_classifier
 from .mixing import op10_lm_scoring
 from .packing import op6_best_fit_packing
 from .sentence_spans import OP5_SQL, op5_substring_dedup
+from .substring_dedup import op3_suffix_array_dedup
 from .tiling import op2_decontamination
 from .token_counts import op4_token_counts
 from .training_order import op7_training_order
@@ -15,7 +16,7 @@ from .training_order import op7_training_order
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        op1_quality_classifier, op2_decontamination, op4_token_counts, op5_substring_dedup, op6_best_fit_packing, op7_training_order, op8_ngram_jaccard_join, op9_embedding_near_dedup, op10_lm_scoring,
+        op1_quality_classifier, op2_decontamination, op3_suffix_array_dedup, op4_token_counts, op5_substring_dedup, op6_best_fit_packing, op7_training_order, op8_ngram_jaccard_join, op9_embedding_near_dedup, op10_lm_scoring,
     )}
 
 
