@@ -172,38 +172,87 @@ def ordinals(df: DataFrame, name: str = "ordinal") -> DataFrame:
 
 
 class ChunkEncoder:
-    """Token ids of whole texts, chunk by chunk.
+    """Token ids of whole texts, chunk by chunk, for a vocabulary whose words end in "</w>".
 
     A chunk is what stands between blanks, tabs and line ends. The vocabulary's pre-tokenizer drops white
     space and no pre-token crosses it, so a text's ids are its chunks' ids in order; each different chunk
     is encoded once by the library and remembered in a table of bounded size. Texts of any length work,
-    as a chunk border is always a safe place to cut.
+    as a chunk border is always a safe place to cut. Texts of Latin-1 characters are lower-cased before the
+    look-up (the vocabulary ignores case), unless they may hold a special token. Of such texts, new words
+    are encoded many at a time, joined by blanks, and told apart by the ids that end a word; a word with
+    marks behind it is two pre-tokens.
     """
 
-    def __init__(self, path: str, limit: int = 300_000, dtype: str = "<u4"):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, limit: int = 800_000, dtype: str = "<u4"):
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.limit, self.dtype, self.known = Tokenizer.from_file(path), limit, dtype, {"": b""}
+        self.tokenizer, self.limit, self.dtype = Tokenizer.from_file(path), limit, dtype
+        # for lower-case words of letters between blanks, neither normalising nor the split pattern does anything
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.known: dict[str, bytes] = {"": b""}
         self.width = np.dtype(dtype).itemsize
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+
+    def _words(self, words: list[str]) -> None:
+        """Adds words of letters alone."""
+        for i in range(0, len(words), 4000):
+            block = words[i : i + 4000]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(block)], add_special_tokens=False)[0].ids, np.int64)
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * self.width
+            if len(stops) != len(block):
+                raise ValueError("the vocabulary doesn't mark word ends")
+            data, start = ids.astype(self.dtype).tobytes(), 0
+            for w, stop in zip(block, stops.tolist(), strict=True):
+                self.known[w] = data[start:stop]
+                start = stop
+
+    def _chunks(self, chunks: list[str]) -> None:
+        """Adds chunks of any kind."""
+        for i in range(0, len(chunks), 10_000):
+            block = chunks[i : i + 10_000]
+            for w, e in zip(block, self.tokenizer.encode_batch_fast(block, add_special_tokens=False), strict=True):
+                self.known[w] = np.array(e.ids, self.dtype).tobytes()
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian integers."""
         if len(self.known) > self.limit:
             self.known = {"": b""}
-        known, out = self.known, []
-        parts = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        missing: set[str] = set()
-        for p in parts:
-            missing.update(p)
-        missing.difference_update(known)
-        todo = list(missing)
-        for i in range(0, len(todo), 20_000):
-            block = todo[i : i + 20_000]
-            for w, e in zip(block, self.tokenizer.encode_batch_fast(block, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, self.dtype).tobytes()
-        for p in parts:
-            out.append(b"".join(map(known.__getitem__, p)))
-        return out
+        known, parts = self.known, []
+        plain: set[str] = set()
+        other: set[str] = set()
+        for t in texts:
+            t = (t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ")
+            latin = "<|" not in t
+            if latin:
+                try:
+                    t.encode("latin-1")
+                    t = t.lower()
+                except UnicodeEncodeError:
+                    latin = False
+            parts.append(t.split(" "))
+            (plain if latin else other).update(parts[-1])
+        plain.difference_update(known)
+        words, marked = set(), []
+        for c in plain:
+            if c.isalpha():
+                words.add(c)
+            elif (w := c.rstrip(".,;:!?")).isalpha():
+                marked.append((c, w, c[len(w) :]))
+                words.add(w)
+                other.add(c[len(w) :])
+            else:
+                other.add(c)
+        words.difference_update(known)
+        self._words(list(words))
+        other.difference_update(known)
+        self._chunks(list(other))
+        for c, w, m in marked:
+            known[c] = known[w] + known[m]
+        return [b"".join(map(known.__getitem__, p)) for p in parts]
 
 
 _ENCODERS: dict = {}
