@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .plans import base, relational
+
+__all__ = ["base", "oracle_sql", "queries", "relational"]
+
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(base.SQL)
