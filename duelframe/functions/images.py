@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, MapType, StringType
 
 LEAST_SIDE = 128
 MEASURES = ("width", "height", "aspect", "contrast", "sharpness", "noise", "colorfulness", "artifacts", "edges", "texture")
@@ -65,7 +66,7 @@ def pattern_entropy(g: np.ndarray) -> float:
     return float(-(p * np.log2(p)).sum() / np.log2(10))
 
 
-@F.pandas_udf("map<string,double>")
+@F.pandas_udf(MapType(StringType(), DoubleType()))
 def measure(pixels: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
     """measures() of raw RGB bytes; null for null pixels or images that are too small."""
 

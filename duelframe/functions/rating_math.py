@@ -8,11 +8,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..config import RATING
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_cdf(x: pd.Series) -> pd.Series:
     """The standard normal distribution function, to double precision; null stays null."""
     return x.map(lambda v: None if v is None or np.isnan(v) else 0.5 * (1.0 + erf(v / sqrt(2.0)))).astype("float64")

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 # Words that carry no meaning alone, and the marks trimmed from terms.
 STOPWORDS = ("a", "an", "the", "in", "is", "at", "to", "by", "of")
@@ -118,7 +119,7 @@ def heaviest(terms: list) -> tuple[list, list]:
 def extract(text: str | None, connectors: tuple[str, ...] = ("and", "or"), splitters: tuple[str, ...] = (",", "but", "not")) -> dict[str, list]:
     """terms, raw, filtered_out, stripped and duplicates of a prompt; all empty for null or empty text."""
     if not text:
-        return {k: [] for k in ("terms", "raw", "filtered_out", "stripped", "duplicates")}
+        return {k: [] for k in _PARTS}
     raw = [(t, float(w), i) for i, (t, w) in enumerate(weighted(text, 1.0, Splitter(splitters)))]
     cleaned = [(clean(t), w, i) for t, w, i in raw]
     kept, dropped = split_stopwords([t for t in cleaned if t[0]], set(connectors) | set(splitters))
@@ -126,10 +127,11 @@ def extract(text: str | None, connectors: tuple[str, ...] = ("and", "or"), split
     return {"terms": terms, "raw": raw, "filtered_out": dropped, "stripped": [t for t in cleaned if not t[0]], "duplicates": duplicates}
 
 
-_ITEM = "array<struct<term:string,weight:double,idx:int>>"
+TERM = StructType().add("term", StringType()).add("weight", DoubleType()).add("idx", IntegerType())
+_PARTS = ("terms", "raw", "filtered_out", "stripped", "duplicates")
 
 
-@F.pandas_udf(f"terms {_ITEM}, raw {_ITEM}, filtered_out {_ITEM}, stripped {_ITEM}, duplicates {_ITEM}")
+@F.pandas_udf(StructType([StructField(p, ArrayType(TERM)) for p in _PARTS]))
 def extract_terms(text: pd.Series) -> pd.DataFrame:
     """extract() on a column; prompts that repeat are parsed once a batch."""
     known: dict = {}
@@ -139,7 +141,7 @@ def extract_terms(text: pd.Series) -> pd.DataFrame:
             known[t] = {k: [{"term": a, "weight": b, "idx": c} for a, b, c in v] for k, v in extract(t).items()}
         return known[t]
 
-    return pd.DataFrame([one(t) for t in text], columns=["terms", "raw", "filtered_out", "stripped", "duplicates"])
+    return pd.DataFrame([one(t) for t in text], columns=list(_PARTS))
 
 
 def explode_terms(prompts: DataFrame, id_col: str, prompt_col: str) -> DataFrame:
@@ -172,7 +174,7 @@ def label_weight(c: Column) -> tuple[Column, Column]:
     return name, F.when(F.size(parts) > 1, F.element_at(parts, -1).try_cast("double")).otherwise(1.0)
 
 
-@F.udtf(returnType="term string, weight double, idx int")
+@F.udtf(returnType=TERM)
 class TermTable:
     """TABLE(terms(prompt)) in SQL."""
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import base, relational
+from .plans import analytics, base, models, network, relational
 
-__all__ = ["base", "oracle_sql", "queries", "relational"]
+__all__ = ["analytics", "base", "models", "network", "oracle_sql", "queries", "relational"]
 
 
 def queries() -> dict:
