@@ -15,6 +15,8 @@ worker remembers windows it has scored.
 from __future__ import annotations
 
 import heapq
+import pickle
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -142,6 +144,22 @@ def _bucket(z: np.ndarray) -> np.ndarray:
     return np.minimum(((z + LIMIT) * (STEPS / (2 * LIMIT))).astype(np.int64), STEPS - 1)
 
 
+def _share(sc, model: Model):
+    """A broadcast of the model, compressed: most of a small corpus's tables is 0."""
+    return sc.broadcast(zlib.compress(pickle.dumps(model, 5), 1))
+
+
+_MODELS: dict = {}
+
+
+def _received(shared) -> Model:
+    """The model of a broadcast, unpacked once in each worker."""
+    if _MODELS.get("of") is not shared.value:
+        _MODELS.clear()
+        _MODELS.update(of=shared.value, model=pickle.loads(zlib.decompress(shared.value)))
+    return _MODELS["model"]
+
+
 def _crc_is_held_out(id_col: str):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(5)) == 1
 
@@ -217,10 +235,10 @@ def fit(texts: DataFrame) -> Model:
         zeros[s], ones[s] = np.frombuffer(row[1], np.uint16).reshape(2, -1)
     model = Model(code, zeros, ones)
 
-    shared = sc.broadcast(model)
+    shared = _share(sc, model)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = _received(shared)
         weights = m.weights.copy()
         seen = np.zeros(GATES)
         for b in batches:
@@ -246,10 +264,11 @@ def fit(texts: DataFrame) -> Model:
         mass += np.frombuffer(s)
     model.weights = np.where(mass[:, None] > 0, total / np.maximum(mass, 1)[:, None], model.weights)
 
-    mixed = sc.broadcast(model)
+    shared.destroy()
+    mixed = _share(sc, model)
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = mixed.value
+        m = _received(mixed)
         sums = np.zeros((2, GATES * STEPS))
         for b in batches:
             w, n = b.column(0).to_numpy().astype(np.uint64), b.column(1).to_numpy().astype(np.float64)
@@ -263,6 +282,7 @@ def fit(texts: DataFrame) -> Model:
     sums = np.zeros((2, GATES * STEPS))
     for (a,) in grams.mapInArrow(refine, "sums binary").toLocalIterator():
         sums += np.frombuffer(a).reshape(sums.shape)
+    mixed.destroy()
     middle = 1 / (1 + np.exp(-(np.tile(np.arange(STEPS) + 0.5, GATES) * (2 * LIMIT / STEPS) - LIMIT)))
     p = (sums[1] + 8 * middle) / (sums[0] + 8)
     model.map = np.log(p / (1 - p)).reshape(GATES, STEPS)
@@ -310,7 +330,7 @@ _SCORERS: dict = {}
 
 def _scorer(shared) -> Scorer:
     """One scorer for each worker and model."""
-    model = shared.value
+    model = _received(shared)
     if _SCORERS.get("of") is not model:
         _SCORERS.clear()
         _SCORERS.update(of=model, scorer=Scorer(model))
@@ -359,7 +379,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sc = spark.sparkContext
     held = _crc_is_held_out(id_col)
     training = docs.where(~held).select(text_col)
-    model = sc.broadcast(fit(training))
+    model = _share(sc, fit(training))
     words = scratch(count_words(training), "words")
     total, different = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = sc.broadcast({bytes(r[0]): r[1] for r in words.orderBy(F.desc("c"), "token").limit(frequent).collect()})
