@@ -41,8 +41,7 @@ def m01_multiclass(t: Tables):
 def m05_rank(t: Tables):
     rows = _rows(t)
     v = rows.select(F.col("id").cast("string").alias("id"), "vector")
-    n = F.col("id") + 1
-    c = rows.select(F.col("id").cast("long").alias("id"), F.col("id").cast("string").alias("filename_a"), (n % 200).cast("string").alias("filename_b"), "score")
+    c = rows.select(F.col("id").cast("long").alias("id"), F.col("id").cast("string").alias("filename_a"), (F.col("id") + 1).cast("string").alias("filename_b"), "score")
     c = c.withColumn("winner", F.when(F.col("score") > 0.5, F.col("filename_a")).otherwise(F.col("filename_b"))).withColumn("weight", F.lit(1.0))
     d = training.differences(c, v).withColumnRenamed("features", "vector")
     return training.predict(training.fit(d, "rank", label="label"), rows.select("id", "vector"), "rank").select("id", "prediction")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rating_math
@@ -114,20 +115,20 @@ def j11_g15_graph_data(t: Tables):
     return graph.graph_data(graph.universe(e), t.images, _labels(t), graph.heights(c))
 
 
-_NEAR = _EDGES + ", hop(a, b, d) AS (SELECT winner, winner, 0 FROM edges WHERE winner < 'img_00000200' UNION SELECT h.a, e.loser, h.d + 1 FROM hop h JOIN edges e ON e.winner = h.b WHERE h.d < 5)"
+_NEAR = _EDGES + ", hop(a, b, d) AS (SELECT winner, winner, 0 FROM edges UNION SELECT h.a, e.loser, h.d + 1 FROM hop h JOIN edges e ON e.winner = h.b WHERE h.d < 5)"
 
 
 @query(f"WITH {_NEAR} SELECT a AS start, b AS node, CAST(min(d) AS INT) AS depth FROM hop WHERE d > 0 GROUP BY ALL", "dag", recursive=True)
 def g10_reachable(t: Tables):
     e = _edges(t)
-    return graph.reachable(e, e.where("winner < 'img_00000200'").select(F.col("winner").alias("node")).distinct())
+    return graph.reachable(e, e.select(F.col("winner").alias("node")).distinct())
 
 
-@query(f"""WITH {_NEAR}, p AS (SELECT x.winner AS a, y.loser AS b FROM edges x JOIN edges y ON x.loser = y.winner WHERE x.winner < 'img_00000100' UNION SELECT winner, 'img_00000000' FROM edges WHERE winner < 'img_00000100')
+@query(f"""WITH {_NEAR}, p AS (SELECT x.winner AS a, y.loser AS b FROM edges x JOIN edges y ON x.loser = y.winner UNION SELECT winner, 'img_00000000' FROM edges)
 SELECT DISTINCT p.a, p.b, p.a = p.b OR EXISTS (SELECT 1 FROM hop WHERE hop.a = p.a AND hop.b = p.b AND d > 0) OR EXISTS (SELECT 1 FROM hop WHERE hop.a = p.b AND hop.b = p.a AND d > 0) AS same_path FROM p""", "dag", recursive=True)
 def g10_same_path(t: Tables):
-    e = _edges(t).where("winner < 'img_99999999'")
-    x = e.select(F.col("winner").alias("a"), F.col("loser").alias("m")).where("a < 'img_00000100'")
+    e = _edges(t)
+    x = e.select(F.col("winner").alias("a"), F.col("loser").alias("m"))
     p = x.join(e.select(F.col("winner").alias("m"), F.col("loser").alias("b")), "m").select("a", "b")
     p = p.union(x.select("a", F.lit("img_00000000").alias("b"))).distinct()
     return graph.same_path(p, e, _labels(t))
@@ -140,9 +141,10 @@ def g11_links_of(t: Tables):
 
 @query(f"WITH {_REACH} SELECT * FROM labels", "dag", recursive=True)
 def g12_incremental_components(t: Tables):
+    """The links of one of the two neighbours first, then all as new ones."""
     e = _edges(t)
-    old = e.where("winner < 'img_00001000'")
-    return graph.merge_edges(graph.components(graph.universe(old), old), e.where("winner >= 'img_00001000'"))
+    old = e.groupBy("winner").agg(F.min("loser").alias("loser"))
+    return graph.merge_edges(graph.components(graph.universe(old), old), e)
 
 
 @query(f"WITH {_REACH}, p AS (SELECT winner AS a, 'img_00000500' AS b FROM edges UNION SELECT 'nobody', 'img_00000500') SELECT p.a, p.b, x.component = y.component AS same FROM p LEFT JOIN labels x ON x.node = p.a LEFT JOIN labels y ON y.node = p.b", "dag", recursive=True)
@@ -151,18 +153,18 @@ def g20_same_component(t: Tables):
     return graph.same_component(p, _labels(t))
 
 
-@query(f"WITH {_EDGES} SELECT winner, loser FROM edges WHERE winner < 'img_00001500' AND loser < 'img_00001500'", "dag")
+@query(f"WITH {_EDGES} SELECT winner, loser FROM edges WHERE winner IN (SELECT filename FROM images WHERE score BETWEEN 0.1 AND 0.9) AND loser IN (SELECT filename FROM images WHERE score BETWEEN 0.1 AND 0.9)", "dag", "images")
 def j12_surviving_edges(t: Tables):
     e = _edges(t)
-    return graph.surviving_edges(e, graph.universe(e).where("node < 'img_00001500'"))
+    return graph.surviving_edges(e, t.images.where("score between 0.1 and 0.9").select(F.col("filename").alias("node")))
 
 
 @query()
 def g13_collapsible_pairs(t: Tables):
     e, labels = _edges(t), _labels(t)
     ends = graph.extremes(graph.universe(e), e)
-    tops = ends.where("is_top").join(labels, "node").select("node", "component").where("node < 'img_00000300'")
-    p = tops.select(F.col("node").alias("a"), "component").join(tops.select(F.col("node").alias("b"), "component"), "component").where("a < b").select("a", "b")
+    tops = ends.where("is_top").join(labels, "node")
+    p = tops.select(F.col("node").alias("a"), F.lead("node").over(W.partitionBy("component").orderBy("node")).alias("b")).where("b is not null")
     return graph.collapsible_pairs(p, ends, labels, e)
 
 

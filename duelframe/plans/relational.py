@@ -33,10 +33,10 @@ def s02_image_lookup(t: Tables):
 
 
 @query("""SELECT * FROM images UNION ALL
-SELECT concat('img_9', substr(filename, 6)) AS filename, score, rating_mu, rating_sigma, comparison_count, last_compared_at, ranking_generation, prompt_tags FROM images WHERE score < 0.05""", "images")
+SELECT concat('img_9', substr(filename, 6)) AS filename, score, rating_mu, rating_sigma, comparison_count, last_compared_at, ranking_generation, prompt_tags FROM images""", "images")
 def s03_insert_or_ignore(t: Tables):
-    new = t.images.where("score < 0.05").withColumn("filename", F.expr("concat('img_9', substr(filename, 6))"))
-    return tables.insert_images(t.images, t.images.limit(50).unionByName(new))
+    new = t.images.withColumn("filename", F.expr("concat('img_9', substr(filename, 6))"))
+    return tables.insert_images(t.images, t.images.unionByName(new))
 
 
 @query("""SELECT filename, CASE WHEN hit THEN 1 - score ELSE score END AS score, CASE WHEN hit THEN rating_mu + 1 ELSE rating_mu END AS rating_mu,
@@ -76,25 +76,25 @@ def s09_comparison_scan(t: Tables):
 
 
 @query("""SELECT * FROM comparisons UNION ALL
-SELECT id + 1000000000, filename_a, filename_b, winner, timestamp, weight, transitive_depth FROM comparisons WHERE id % 7 = 0""", "comparisons")
+SELECT id + 1000000000, filename_a, filename_b, winner, timestamp, weight, transitive_depth FROM comparisons""", "comparisons")
 def s10_append(t: Tables):
-    new = t.comparisons.where("id % 7 = 0").withColumns({"id": F.col("id") + 1000000000, "filename_a": F.col("filename_b"), "filename_b": F.col("filename_a")})
-    bad = t.comparisons.where("id % 11 = 0").withColumn("winner", F.lit("nobody"))
+    new = t.comparisons.withColumns({"id": F.col("id") + 1000000000, "filename_a": F.col("filename_b"), "filename_b": F.col("filename_a")})
+    bad = t.comparisons.withColumn("winner", F.lit("nobody"))
     return tables.append_comparisons(t.comparisons, new.unionByName(bad))
 
 
 @query("""SELECT * FROM comparisons UNION ALL SELECT id + 1000000000, filename_a, filename_b, winner, timestamp, CAST(0.25 AS DOUBLE), transitive_depth FROM (
-  SELECT min(id) AS id, filename_a, filename_b, winner, timestamp, transitive_depth FROM comparisons WHERE id % 5 = 0 GROUP BY ALL)""", "comparisons")
+  SELECT min(id) AS id, filename_a, filename_b, winner, timestamp, transitive_depth FROM comparisons GROUP BY ALL)""", "comparisons")
 def s11_historical_append(t: Tables):
-    same = t.comparisons.where("id % 3 = 0").withColumn("id", F.col("id") + 2000000000)
-    new = t.comparisons.where("id % 5 = 0").groupBy("filename_a", "filename_b", "winner", "timestamp", "transitive_depth").agg(F.min("id").alias("id"))
+    same = t.comparisons.withColumn("id", F.col("id") + 2000000000)
+    new = t.comparisons.groupBy("filename_a", "filename_b", "winner", "timestamp", "transitive_depth").agg(F.min("id").alias("id"))
     new = new.withColumns({"id": F.col("id") + 1000000000, "weight": F.lit(0.25)}).select(*same.columns)
     return tables.append_history(t.comparisons, same.unionByName(new))
 
 
-@query("""SELECT DISTINCT filename_a, filename_b FROM comparisons WHERE filename_a < 'img_00000500'""", "comparisons")
+@query("""SELECT DISTINCT filename_a, filename_b FROM comparisons""", "comparisons")
 def s12_pair_exists(t: Tables):
-    some = t.comparisons.where("filename_a < 'img_00000500'").select(F.col("filename_b").alias("filename_a"), F.col("filename_a").alias("filename_b")).distinct()
+    some = t.comparisons.select(F.col("filename_b").alias("filename_a"), F.col("filename_a").alias("filename_b")).distinct()
     none = some.select(F.lit("nobody").alias("filename_a"), "filename_b")
     return tables.existing_pairs(some.union(none), t.comparisons)
 
@@ -174,9 +174,9 @@ def u02_only_losers(t: Tables):
     return tables.only_losers(t.dag)
 
 
-@query("SELECT * FROM comparisons WHERE id % 2 = 1", "comparisons")
+@query("SELECT * FROM comparisons WHERE weight = 1", "comparisons")
 def u03_keep_ids(t: Tables):
-    return tables.keep_ids(t.comparisons, t.comparisons.where("id % 2 = 1"))
+    return tables.keep_ids(t.comparisons, t.comparisons.where("weight = 1").select("id"))
 
 
 @query("SELECT filename_a AS filename FROM comparisons UNION SELECT filename_b FROM comparisons", "comparisons")
@@ -191,9 +191,9 @@ def u09_link_set(t: Tables):
 
 @query("""SELECT s.filename, s.other, s.comparison_id, coalesce(i.score, 0.5) AS opponent_score, s.won, s.weight FROM (
   SELECT filename_a AS filename, filename_b AS other, id AS comparison_id, winner = filename_a AS won, weight FROM comparisons
-  UNION ALL SELECT filename_b, filename_a, id, winner = filename_b, weight FROM comparisons) s LEFT JOIN (SELECT filename, score FROM images WHERE score < 0.8) i ON i.filename = s.other""", "images")
+  UNION ALL SELECT filename_b, filename_a, id, winner = filename_b, weight FROM comparisons) s LEFT JOIN images i ON i.filename = s.other""", "images")
 def j02_history_rows(t: Tables):
-    return history.rows(t.comparisons, t.images.where("score < 0.8")).select("filename", "other", "comparison_id", "opponent_score", "won", "weight")
+    return history.rows(t.comparisons, t.images).select("filename", "other", "comparison_id", "opponent_score", "won", "weight")
 
 
 @query("""SELECT s.comparison_id, s.other, coalesce(i.score, 0.5) AS opponent_score, s.won FROM (
@@ -213,11 +213,11 @@ def w02_history_arrays(t: Tables):
 
 @query("""SELECT filename, comparison_id, source FROM (
   SELECT *, row_number() OVER (PARTITION BY filename, comparison_id ORDER BY o) AS n FROM (
-    SELECT filename_a AS filename, id AS comparison_id, 'keeper' AS source, 0 AS o FROM comparisons WHERE id % 3 = 0
-    UNION ALL SELECT filename_a, id, 'copy', 1 FROM comparisons WHERE id % 2 = 0)) WHERE n = 1""", "comparisons")
+    SELECT filename_a AS filename, id AS comparison_id, 'keeper' AS source, 0 AS o FROM comparisons WHERE weight < 1
+    UNION ALL SELECT filename_a, id, 'copy', 1 FROM comparisons)) WHERE n = 1""", "comparisons")
 def u07_history_merge(t: Tables):
-    h = t.comparisons.select(F.col("filename_a").alias("filename"), F.col("id").alias("comparison_id"), "timestamp")
-    out = history.merge(h.where("comparison_id % 3 = 0").withColumn("source", F.lit("keeper")), h.where("comparison_id % 2 = 0").withColumn("source", F.lit("copy")))
+    h = t.comparisons.select(F.col("filename_a").alias("filename"), F.col("id").alias("comparison_id"), "timestamp", "weight")
+    out = history.merge(h.where("weight < 1").drop("weight").withColumn("source", F.lit("keeper")), h.drop("weight").withColumn("source", F.lit("copy")))
     return out.select("filename", "comparison_id", "source")
 
 
@@ -228,7 +228,7 @@ def a03_wins_losses(t: Tables):
     return history.wins_losses(t.comparisons)
 
 
-_CLEAN = """WITH known AS (SELECT filename FROM images WHERE score < 0.95), flags AS (
+_CLEAN = """WITH known AS (SELECT filename FROM images WHERE comparison_count >= 40), flags AS (
   SELECT *, filename_a IN (SELECT filename FROM known) AND filename_b IN (SELECT filename FROM known) AS ok, filename_a = filename_b AS own FROM comparisons
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY filename_a, filename_b, ok AND NOT own, winner ORDER BY timestamp DESC NULLS LAST, id DESC) AS w,
@@ -239,14 +239,14 @@ _CLEAN = """WITH known AS (SELECT filename FROM images WHERE score < 0.95), flag
 
 @query(_CLEAN + "SELECT id, filename_a, filename_b, winner FROM fates WHERE fate = 'kept'", "images")
 def c01_w01_clean(t: Tables):
-    return cleaning.clean(t.comparisons, t.images.where("score < 0.95")).select("id", "filename_a", "filename_b", "winner")
+    return cleaning.clean(t.comparisons, t.images.where("comparison_count >= 40")).select("id", "filename_a", "filename_b", "winner")
 
 
 @query(_CLEAN + """SELECT count(*) FILTER (WHERE fate = 'missing') AS missing_nodes_removed, count(*) FILTER (WHERE fate = 'self') AS self_links_removed,
 count(*) FILTER (WHERE fate = 'duplicate') AS same_direction_duplicates_removed, count(*) FILTER (WHERE fate = 'contradiction') AS contradictions_removed,
 count(*) FILTER (WHERE fate = 'kept') AS kept FROM fates""", "images")
 def a32_cleaning_counters(t: Tables):
-    return cleaning.counters(t.comparisons, t.images.where("score < 0.95"))
+    return cleaning.counters(t.comparisons, t.images.where("comparison_count >= 40"))
 
 
 @query("SELECT id, filename_a, filename_b, winner, timestamp, weight FROM comparisons WHERE filename_a IN (SELECT filename FROM images WHERE score < 0.9) AND filename_b IN (SELECT filename FROM images WHERE score < 0.9)", "images")
@@ -256,14 +256,14 @@ def j01_known_ends(t: Tables):
     return a.join(ok.withColumnRenamed("filename", "filename_b"), "filename_b", "left_semi").select("id", "filename_a", "filename_b", "winner", "timestamp", "weight")
 
 
-_FILES = """WITH files AS (SELECT concat('/data/', CASE WHEN p_partkey % 3 = 0 THEN 'raw/' ELSE '' END, 'f', CAST(p_partkey AS VARCHAR), '.png') AS path FROM part WHERE p_partkey % 5 <> 0
-UNION ALL SELECT concat('/data/', CASE WHEN p_partkey % 3 = 0 THEN 'raw/' ELSE '' END, 'f', CAST(p_partkey AS VARCHAR), '.json') FROM part WHERE p_partkey % 7 <> 0)"""
+_FILES = """WITH files AS (SELECT concat('/data/', CASE WHEN p_size > 30 THEN 'raw/' ELSE '' END, 'f', CAST(p_partkey AS VARCHAR), '.png') AS path FROM part WHERE p_retailprice > 950
+UNION ALL SELECT concat('/data/', CASE WHEN p_size > 30 THEN 'raw/' ELSE '' END, 'f', CAST(p_partkey AS VARCHAR), '.json') FROM part WHERE p_size < 45)"""
 
 
 def _files(t: Tables):
-    path = F.concat(F.lit("/data/"), F.when(F.col("p_partkey") % 3 == 0, "raw/").otherwise(""), F.lit("f"), F.col("p_partkey").cast("string"))
-    png = t.part.where("p_partkey % 5 <> 0").select(F.concat(path, F.lit(".png")).alias("path"))
-    return png.union(t.part.where("p_partkey % 7 <> 0").select(F.concat(path, F.lit(".json"))))
+    path = F.concat(F.lit("/data/"), F.when(F.col("p_size") > 30, "raw/").otherwise(""), F.lit("f"), F.col("p_partkey").cast("string"))
+    png = t.part.where("p_retailprice > 950").select(F.concat(path, F.lit(".png")).alias("path"))
+    return png.union(t.part.where("p_size < 45").select(F.concat(path, F.lit(".json"))))
 
 
 @query(_FILES + """, p AS (SELECT regexp_replace(path, '\\.[^.]*$', '') AS k, regexp_replace(path, '/[^/]*$', '') AS dir, max(CASE WHEN path LIKE '%.png' THEN path END) AS image, max(CASE WHEN path LIKE '%.json' THEN path END) AS sidecar FROM files GROUP BY ALL)
@@ -289,9 +289,9 @@ def e05_j17_duplicate_plan(t: Tables):
     return etl.duplicate_plan(f).select("path", "action", "keeper")
 
 
-@query("SELECT filename, score, comparison_count FROM images WHERE NOT (comparison_count % 2 = 0 AND score < 0.7)", "images")
+@query("SELECT filename, score, comparison_count FROM images WHERE NOT (comparison_count >= 40 AND score < 0.7)", "images")
 def s36_sync_plan(t: Tables):
-    old = t.images.where("comparison_count % 2 = 0").withColumn("score", F.when(F.col("score") < 0.7, F.col("score")))
+    old = t.images.where("comparison_count >= 40").withColumn("score", F.when(F.col("score") < 0.7, F.col("score")))
     return etl.sync_plan(t.images, old).select("filename", "score", "comparison_count")
 
 

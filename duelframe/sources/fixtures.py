@@ -22,10 +22,17 @@ SELECT l_orderkey * 100 + rn AS id, {_NAME.format("least(a, b)")} AS filename_a,
        CAST(0 AS INT) AS transitive_depth
 FROM ({_PAIRS}) s WHERE b IS NOT NULL
 """
+#: Each order against the next two of its customer; the dearer one wins, so there is no cycle.
 DAG = f"""
-SELECT w * 100000000 + l AS id, {_NAME.format("w")} AS filename_a, {_NAME.format("l")} AS filename_b, {_NAME.format("w")} AS winner,
+SELECT DISTINCT w * 100000000 + l AS id, {_NAME.format("w")} AS filename_a, {_NAME.format("l")} AS filename_b, {_NAME.format("w")} AS winner,
        CAST(1.0 AS DOUBLE) AS weight
-FROM (SELECT DISTINCT least(a, b) AS w, greatest(a, b) AS l FROM ({_PAIRS}) s WHERE b IS NOT NULL AND a <> b AND l_orderkey % 16 = 0) e
+FROM (
+  SELECT CASE WHEN p > q THEN k ELSE m END AS w, CASE WHEN p > q THEN m ELSE k END AS l FROM (
+    SELECT o_orderkey AS k, o_totalprice AS p, lead(o_orderkey) OVER v AS m, lead(o_totalprice) OVER v AS q FROM orders WINDOW v AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)
+    UNION ALL
+    SELECT o_orderkey, o_totalprice, lead(o_orderkey, 2) OVER v, lead(o_totalprice, 2) OVER v FROM orders WINDOW v AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)
+  ) near WHERE m IS NOT NULL AND p <> q
+) e
 """
 IMAGES = f"""
 SELECT {_NAME.format("p_partkey")} AS filename, CAST(p_partkey % 1000 AS DOUBLE) / 1000 AS score,
@@ -49,7 +56,7 @@ SELECT o_orderkey AS id, CAST(o_orderkey % 997 AS DOUBLE) / 997 AS score, o_orde
 #: Three slots of vectors by id, of which not every id has all.
 SLOTS = """
 SELECT 'size' AS vector_name, p_partkey AS id, CAST(p_size AS DOUBLE) AS v FROM part
-UNION ALL SELECT 'price', p_partkey, p_retailprice FROM part WHERE p_partkey % 7 <> 0
+UNION ALL SELECT 'price', p_partkey, p_retailprice FROM part WHERE p_size > 5
 UNION ALL SELECT 'mean_quantity', l_partkey, avg(l_quantity) FROM lineitem GROUP BY l_partkey
 """
 VIEWS = {"comparisons": COMPARISONS, "dag": DAG, "images": IMAGES, "prompts": PROMPTS, "records": RECORDS, "slots": SLOTS}

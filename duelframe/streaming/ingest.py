@@ -14,8 +14,12 @@ from ..functions.rating_math import update
 
 
 def file_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 100) -> DataFrame:
-    """New files of a folder, so many per micro-batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    """New files of a folder, so many per micro-batch; a path that is one file is that file of its folder."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
+        return reader.option("pathGlobFilter", place.getName()).parquet(place.getParent().toString())
+    return reader.parquet(path)
 
 
 def new_names(stream: DataFrame, key: str = "filename", time: str | None = None, late: str = "1 hour") -> DataFrame:
@@ -70,7 +74,7 @@ def live_ratings(stream: DataFrame, pool: str = "pool") -> DataFrame:
 
 def windowed_counts(stream: DataFrame, time: str = "ts", length: str = "1 hour", late: str = "10 minutes", key: str = "event_type") -> DataFrame:
     """(start, key, n) by tumbling window; an addition of this engine, with late rows dropped."""
-    w = stream.withWatermark(time, late).groupBy(F.window(time, length).alias("w"), key).agg(F.count("*").alias("n"))
+    w = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, length).alias("w"), key).agg(F.count("*").alias("n"))
     return w.select(F.col("w.start").alias("start"), key, "n")
 
 
