@@ -57,9 +57,10 @@ def _kinds(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (text == 0) | (text < after), nxt - np.arange(n) + 1
 
 
-def _pass(text: np.ndarray, run: np.ndarray, mask: np.ndarray, seeds: dict, upward: bool, limit: int, chars: np.ndarray) -> dict:
+def _pass(text: np.ndarray, run: np.ndarray, mask: np.ndarray, seeds: dict, upward: bool, limit: int, chars: np.ndarray, carry: bool) -> dict:
     """One induction. mask: the kind induced; seeds: char -> (suffixes, common prefix with the one before), in the pass's order.
 
+    Without carry the common prefixes are left at 0.
     Returns char -> (suffixes, common prefix with the one before) of the induced suffixes, in the pass's order.
     In each character's bucket the induced suffixes come first, then the seeds.
     """
@@ -92,10 +93,10 @@ def _pass(text: np.ndarray, run: np.ndarray, mask: np.ndarray, seeds: dict, upwa
         last = -1
         while batch is not None:
             suffixes, after = batch
-            edge = np.append(after if last < 0 else np.append(last, after), [])[:].astype(np.int64)
+            edge = after if last < 0 else np.append(last, after)
             v = np.zeros(len(suffixes), np.int64)
-            if len(edge) > 1:
-                inner = 1 + np.minimum.reduceat(lcps[: rank + 1], edge[:-1] + 1) if edge[-1] >= rank else 1 + np.minimum.reduceat(lcps[: int(edge[-1]) + 1], edge[:-1] + 1)
+            if carry and len(edge) > 1:
+                inner = 1 + np.minimum.reduceat(lcps[: int(edge[-1]) + 1], edge[:-1] + 1)
                 v[len(v) - len(inner) :] = inner
             last = int(after[-1])
             ranks = np.arange(rank, rank + len(suffixes))
@@ -117,7 +118,7 @@ def _pass(text: np.ndarray, run: np.ndarray, mask: np.ndarray, seeds: dict, upwa
     return out
 
 
-def _induce(text: np.ndarray, small: np.ndarray, run: np.ndarray, lms: np.ndarray, lcp: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+def _induce(text: np.ndarray, small: np.ndarray, run: np.ndarray, lms: np.ndarray, lcp: np.ndarray, limit: int, carry: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(suffixes in order, common prefix with the one before) from LMS suffixes in order."""
     chars = np.unique(text)
 
@@ -126,13 +127,13 @@ def _induce(text: np.ndarray, small: np.ndarray, run: np.ndarray, lms: np.ndarra
         edges = np.flatnonzero(np.append(True, c[1:] != c[:-1])) if len(s) else []
         return {int(c[a]): (s[a:b], v[a:b]) for a, b in zip(edges, np.append(edges[1:], len(s)).astype(int), strict=True)} if len(s) else {}
 
-    large = _pass(text, run, ~small, by_char(lms, lcp), True, limit, chars)
+    large = _pass(text, run, ~small, by_char(lms, lcp), True, limit, chars, carry)
 
     def flipped(s: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return s[::-1], np.append(0, v[1:][::-1])
 
     down = {c: flipped(*x) for c, x in large.items()}
-    s_part = _pass(text, run, small, down, False, limit, chars)
+    s_part = _pass(text, run, small, down, False, limit, chars, carry)
     ends = np.flatnonzero(text == 0)
     order, values = [ends], [np.zeros(len(ends), np.int64)]
     for c in chars[chars > 0].tolist():
@@ -149,17 +150,29 @@ def _induce(text: np.ndarray, small: np.ndarray, run: np.ndarray, lms: np.ndarra
 
 
 def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of the suffixes a and b, pair by pair; terminators equal nothing."""
+    """Of the suffixes a and b, pair by pair, several characters at a time; terminators equal nothing."""
+    n = len(text)
+    stop = np.where(text == 0, np.arange(n), n)
+    left = np.minimum.accumulate(stop[::-1])[::-1] - np.arange(n)  # to the terminator
+    most = np.minimum(left[a], left[b])
+    bits = max(1, int(text.max()).bit_length())
+    width = max(1, 62 // bits)
+    packed = np.zeros(n, np.int64)
+    for k in range(min(width, n)):
+        packed[: n - k] |= text[k:] << (bits * k)
     out = np.zeros(len(a), np.int64)
-    live = np.arange(len(a))
-    n, k = len(text), 0
+    live = np.flatnonzero(most >= width)
+    while len(live):
+        at = out[live]
+        live = live[packed[a[live] + at] == packed[b[live] + at]]
+        out[live] += width
+        live = live[out[live] + width <= most[live]]
+    live = np.flatnonzero(out < most)
     while len(live):
-        x, y = a[live] + k, b[live] + k
-        ok = (x < n) & (y < n)
-        ok[ok] = (text[x[ok]] == text[y[ok]]) & (text[x[ok]] != 0)
-        live = live[ok]
+        at = out[live]
+        live = live[text[a[live] + at] == text[b[live] + at]]
         out[live] += 1
-        k += 1
+        live = live[out[live] < most[live]]
     return out
 
 
@@ -174,7 +187,7 @@ def suffix_array(text: np.ndarray, limit: int = 256 << 20) -> tuple[np.ndarray,
     is_lms |= text == 0
     lms = np.flatnonzero(is_lms)
     first = lms[np.argsort(text[lms], kind="stable")]
-    rough, _ = _induce(text, small, run, first, np.zeros(len(first), np.int64), limit)
+    rough, _ = _induce(text, small, run, first, np.zeros(len(first), np.int64), limit, False)
     rough = rough[is_lms[rough]]  # by the piece up to the next LMS suffix
     where = np.full(len(text), -1)
     where[lms] = np.arange(len(lms))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, mix64, read, scratch, text_bytes
 from .induced import suffix_array
 
-_K, _CHUNK = 16, 1 << 22
+_K, _CHUNK = 40, 1 << 17  # the bytes of an anchor; the bytes scanned at a time, which should fit the processor's cache
 _RNG = np.random.Generator(np.random.PCG64(100))
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -43,25 +43,27 @@ def short_hashes(x: np.ndarray) -> np.ndarray:
     h = x.astype(np.uint64)
     for shift in (1, 2, 4):
         h = h[:-shift] | (h[shift:] << np.uint64(8 * shift))
-    return mix64(h[:-8] * np.uint64(0xC2B2AE3D27D4EB4F) + mix64(h[8:]))
+    n = len(x) - _K + 1
+    out = np.zeros(n, np.uint64)
+    for at in range(0, _K, 8):
+        out = mix64(out + h[at : at + n] * np.uint64(0xC2B2AE3D27D4EB4F))
+    return out
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each w neighbours."""
-    n = len(x)
-    full = -(-n // w) * w
-    y = np.full(full, np.iinfo(np.uint64).max)
-    y[:n] = x
-    y = y.reshape(-1, w)
-    left = np.minimum.accumulate(y, axis=1).ravel()
-    right = np.minimum.accumulate(y[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(right[: n - w + 1], left[w - 1 : n])
+    out, done = x, 1
+    while done * 2 <= w:
+        out = np.minimum(out[:-done], out[done:])
+        done *= 2
+    n = len(x) - w + 1
+    return np.minimum(out[:n], out[w - done : w - done + n])
 
 
 def anchors(x: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
     """(short hash, span hash, anchor, first start, last start) of the windows that begin at the valid starts of x."""
     h = short_hashes(x)
-    mask = np.uint64((1 << 23) - 1)
+    mask = np.uint64((1 << 19) - 1)
     key = (h & ~mask) | np.arange(len(h), dtype=np.uint64)
     at = (_sliding_min(key, size - _K + 1) & mask).astype(np.int64)
     at = np.where(starts[: len(at)], at, -1)
@@ -102,21 +104,29 @@ def _chunks(texts: list[bytes], size: int) -> Iterator[tuple[np.ndarray, np.ndar
         yield made()
 
 
-def find_repeats(docs: DataFrame, id_col: str, text_col: str, size: int = 100, shard_bytes: int = 2_000_000, hot: int = 2_000) -> DataFrame:
+def find_repeats(docs: DataFrame, id_col: str, text_col: str, size: int = 100, shard_bytes: int = 500_000, hot: int = 2_000) -> DataFrame:
     """(id, start, end): byte ranges of windows that occur earlier, for each row with an id; ranges may overlap."""
     base = docs.where(F.col(id_col).isNotNull() & (F.octet_length(text_col) >= size)).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
+    def batch(parts: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=["kh", "sh", "id", "lo", "at", "n"])
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy()
-            for x, ok, begin, origin in _chunks(text_bytes(b.column(1)), size):
-                kh, sh, at, lo, hi = anchors(x, ok, size)
-                text = np.searchsorted(begin, lo, side="right") - 1
-                place = origin[text, 1] - begin[text]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(kh.view(np.int64)), pa.array(sh.view(np.int64)), pa.array(ids[origin[text, 0]]), pa.array(lo + place), pa.array((at - lo).astype(np.int16)), pa.array((hi - lo).astype(np.int16))],
-                    names=["kh", "sh", "id", "lo", "at", "n"],
-                )
+            for start in range(0, b.num_rows, 1000):
+                rows = b.slice(start, 1000)
+                ids = rows.column(0).to_numpy()
+                held: list[tuple] = []
+                for x, ok, begin, origin in _chunks(text_bytes(rows.column(1)), size):
+                    kh, sh, at, lo, hi = anchors(x, ok, size)
+                    text = np.searchsorted(begin, lo, side="right") - 1
+                    place = origin[text, 1] - begin[text]
+                    held.append((kh.view(np.int64), sh.view(np.int64), ids[origin[text, 0]], lo + place, (at - lo).astype(np.int16), (hi - lo).astype(np.int16)))
+                    if len(held) == 64:
+                        yield batch(held)
+                        held = []
+                if held:
+                    yield batch(held)
 
     found = base.mapInArrow(scan, "kh long, sh long, id long, lo long, at short, n short")
     shared = found.groupBy("kh").agg(F.count("*").alias("m")).where("m > 1").select("kh")
