@@ -73,9 +73,8 @@ def clean_sidecar(entry: Column) -> Column:
 def unwrap(entry: Column) -> Column:
     """The inner object of {timestamp: {...}}: a JSON object of fewer than five keys without a score, whose first value is an object."""
     keys = F.json_object_keys(entry)
-    inner = F.get_json_object(entry, "$.*")
     first = F.get(F.map_values(F.from_json(entry, "map<string,string>")), F.lit(0))
-    wrapped = (F.size(keys) < 5) & ~F.array_contains(keys, "score") & F.startswith(F.coalesce(first, inner, F.lit("")), F.lit("{"))
+    wrapped = (F.size(keys) < 5) & ~F.array_contains(keys, "score") & F.startswith(F.coalesce(first, F.lit("")), F.lit("{"))
     return F.when(F.coalesce(wrapped, F.lit(False)), first).otherwise(entry)
 
 
@@ -86,12 +85,6 @@ def has_fields(entry: Column, fields: list[str]) -> Column:
     return F.size(F.array_except(F.array(*[F.lit(f) for f in fields]), F.concat(keys, inner))) == 0
 
 
-def prompt_of(entry: Column, depth: int = 3) -> Column:
-    """The first positive_prompt at the top or below it, to a depth."""
-    paths = ["$" + ".*" * d + ".positive_prompt" for d in range(depth)]
-    return F.coalesce(*[F.get_json_object(entry, p) for p in paths])
-
-
 def sync_plan(images: DataFrame, sidecars: DataFrame) -> DataFrame:
     """Images whose sidecar (filename, score, comparison_count) is missing or differs; unchanged ones are skipped."""
     s = sidecars.select("filename", F.col("score").alias("_s"), F.col("comparison_count").alias("_c"), F.lit(True).alias("_k"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import analytics, base, models, network, relational
+from .plans import analytics, base, models, more, network, relational
 
-__all__ = ["analytics", "base", "models", "network", "oracle_sql", "queries", "relational"]
+__all__ = ["analytics", "base", "models", "more", "network", "oracle_sql", "queries", "relational"]
 
 
 def queries() -> dict:

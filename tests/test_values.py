@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from duelframe.functions import images, terms
+from duelframe.functions import images, records, terms
 from duelframe.operators import calibration, etl, gallery, pairing, training, vectors
 from duelframe.sources import files
 
@@ -137,7 +137,7 @@ def test_sidecars(spark, tmp_path):
     pairs = etl.paired(files.list_files(spark, str(tmp_path / "tree"))).collect()
     assert {(r.stem, r.image is not None, r.sidecar is not None) for r in pairs} == {("a", False, True), ("b", True, True)}
     df = spark.createDataFrame([(v,) for v in got.values()], "e string")
-    assert {r[0] for r in df.select(etl.prompt_of(F.col("e"))).collect()} == {None, "sky"}
+    assert {r[0] for r in df.select(records.prompt_of("e")).collect()} == {None, "sky"}
     assert sorted(r[0] for r in df.select(etl.has_fields(F.col("e"), ["score", "x"])).collect()) == [False, True]
 
 
@@ -148,3 +148,14 @@ def test_jsonl(spark, tmp_path):
     p.write_text('{"a": 1}\nnot json\n')
     with pytest.raises(Exception, match="(?i)malformed|invalid|parse"):
         files.read_jsonl(spark, str(p), "a int").collect()
+
+
+def test_records(spark):
+    record = {"lora": "My Lora:0.5", "lora_weight": 0.333, "(Steps:2)": 1.5, "clip_skip": 2, "tags": ["a", 0.5, ["(B:2)", 0.25]], "none": None, "empty": ""}
+    assert records.record_parameters(record) == ["lora:my lora_0.33", "steps:3.0", "clip_skip:-2.0", "tags:a", "tags:0.5", "tags:b_0.5"]
+    assert records.unfolded({"a": '{"b": "[1, 2]"}', "c": "x"}) == {"a": {"b": [1, 2]}, "c": "x"}
+    df = spark.createDataFrame([('{"lora": ["x", ""]}',), ("no json",), (None,), ("[1]",)], "e string")
+    got = df.select(records.lora_map("e").alias("m"), records.parameter_strings("e").alias("p"), records.unfold_json("e").alias("u")).collect()
+    assert [r.m for r in got] == [{"x": 1.0}, None, None, None] and [r.p for r in got] == [[], [], None, []] and got[1].u is None
+    v = spark.createDataFrame([("red fox",), ("",), (None,)], "t string").select(records.hashed_embedding(F.col("t"), 16).alias("v")).collect()
+    assert sum(x * x for x in v[0].v) == pytest.approx(1) and v[1].v == v[2].v == [0.0] * 16
