@@ -136,15 +136,32 @@ def min_max(df: DataFrame, c: str, name: str = "scaled") -> DataFrame:
     return df.crossJoin(F.broadcast(ends)).withColumn(name, F.when(F.col("_mx") > F.col("_mn"), (F.col(c) - F.col("_mn")) / (F.col("_mx") - F.col("_mn"))).otherwise(0.5)).drop("_mn", "_mx")
 
 
+def cumulative(df: DataFrame, x: str, n: str, name: str = "upto", cuts: int = 255) -> DataFrame:
+    """df with the running sum of n in the order of x (numbers, each once), without putting all rows into one task.
+
+    Approximate quantiles cut the values into ranges; sums within a range come from a window over the range, and
+    those of the ranges before from at most cuts + 1 sums.
+    """
+    points = df.agg(F.percentile_approx(x, F.array(*[F.lit(i / (cuts + 1)) for i in range(1, cuts + 1)]), 10_000)).first()[0] or []
+    place = F.size(F.filter(F.array(*[F.lit(float(p)) for p in points]), lambda p: p < F.col(x))) if points else F.lit(0)
+    ranged = df.withColumn("_range", place)
+    sums = {r[0]: r[1] for r in ranged.groupBy("_range").agg(F.sum(n)).collect()}
+    before, total = [], 0
+    for k in range(len(points) + 1):
+        before.append(total)
+        total += sums.get(k, 0)
+    own = F.sum(n).over(W.partitionBy("_range").orderBy(x).rowsBetween(W.unboundedPreceding, 0))
+    return ranged.withColumn(name, own + F.get(F.array(*[F.lit(b) for b in before]), F.col("_range"))).drop("_range")
+
+
 def rank_sum(df: DataFrame, group: str, x: str) -> DataFrame:
-    """Mann-Whitney U of x between group = true and false, with the two-sided p by the tie-corrected normal approximation.
+    """Mann-Whitney U of x between group = true and false, and its z by the tie-corrected normal approximation.
 
-    Ranks come from counts by value, cumulated over the (grouped) values; ties get their mean rank.
+    Ranks come from counts by value, cumulated over the values; ties get their mean rank.
     """
-    v = df.where(finite(x) & F.col(group).isNotNull()).groupBy(F.col(x).alias("x")).agg(F.count_if(F.col(group)).alias("a"), F.count("*").alias("t"))
-    upto = F.sum("t").over(W.orderBy("x").rowsBetween(W.unboundedPreceding, 0))
-    v = v.withColumn("rank", upto - (F.col("t") - 1) / 2.0)
-    s = v.agg(F.sum(F.col("a") * F.col("rank")).alias("ra"), F.sum("a").alias("na"), F.sum("t").alias("n"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
+    v = df.where(finite(x) & F.col(group).isNotNull()).groupBy(F.col(x).cast("double").alias("x")).agg(F.count_if(F.col(group)).alias("a"), F.count("*").alias("t"))
+    v = cumulative(v, "x", "t").withColumn("rank", F.col("upto") - (F.col("t") - 1) / 2.0)
+    s = v.agg(F.sum(F.col("a") * F.col("rank")).alias("ra"), F.sum("a").alias("na"), F.sum("t").alias("n"), F.sum(F.col("t").cast("double") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
     s = s.withColumn("nb", F.col("n") - F.col("na")).withColumn("u", F.expr("ra - na * (na + 1) / 2.0"))
     sd = F.sqrt(F.expr("na * nb / 12.0 * ((n + 1) - ties / (n * (n - 1.0)))"))
     return s.withColumn("z", (F.col("u") - F.expr("na * nb / 2.0")) / sd).select("na", "nb", "u", "z")

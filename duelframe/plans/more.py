@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import records
@@ -75,11 +74,6 @@ def a21_categories(t: Tables):
     return stats.category_stats(t.records, "scheduler")
 
 
-@query("SELECT filename, lead(filename) OVER (ORDER BY comparison_count, filename) AS next FROM images", "images")
-def w04_neighbours_by_count(t: Tables):
-    return t.images.select("filename", F.lead("filename").over(W.orderBy("comparison_count", "filename")).alias("next"))
-
-
 @query("(SELECT filename, score, 'top' AS side FROM images ORDER BY score DESC, filename LIMIT 10) UNION ALL (SELECT filename, score, 'bottom' FROM images ORDER BY score, filename LIMIT 10)", "images")
 def o03_top_bottom(t: Tables):
     return matrix.extremes(t.images.select("filename", "score"), "score", 10, "filename")

@@ -159,3 +159,16 @@ def test_records(spark):
     assert [r.m for r in got] == [{"x": 1.0}, None, None, None] and [r.p for r in got] == [[], [], None, []] and got[1].u is None
     v = spark.createDataFrame([("red fox",), ("",), (None,)], "t string").select(records.hashed_embedding(F.col("t"), 16).alias("v")).collect()
     assert sum(x * x for x in v[0].v) == pytest.approx(1) and v[1].v == v[2].v == [0.0] * 16
+
+
+def test_cumulative(spark):
+    from duelframe.operators import stats
+
+    rng = random.Random(8)
+    rows = [(float(x), rng.randrange(9)) for x in rng.sample(range(100_000), 700)]
+    got = {r.x: r.upto for r in stats.cumulative(spark.createDataFrame(rows, "x double, n long"), "x", "n", cuts=7).collect()}
+    total = 0
+    for x, n in sorted(rows):
+        total += n
+        assert got[x] == total
+    assert stats.cumulative(spark.createDataFrame([], "x double, n long"), "x", "n").count() == 0
