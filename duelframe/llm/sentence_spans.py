@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, read
+from .common import arrow_map, read, scratch, unused
 
 #: A sentence with what follows it up to the next one; the matches of a text are the whole text.
 SENTENCE = r"[^.!?\n]*[.!?\n]+[ \n]*|[^.!?\n]+"
@@ -74,11 +74,13 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col).mapInArrow(hashed, f"h1 long, h2 long, _id {kind}, i int, j int, again boolean")
     once = found.where("not again").select("h1", "h2", "_id", "i", "j")
     shared = once.groupBy("h1", "h2").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last").drop("_last")
+    shared = scratch(shared, "shared-spans")  # so that adaptive execution can split the join's hot keys
     later = once.join(shared, ["h1", "h2"]).where("_id > _first").select("_id", "i", "j")
     gone = later.union(found.where("again").select("_id", "i", "j")).distinct()
-    gone = gone.groupBy("_id").agg(F.collect_list(F.struct("i", "j")).alias("_gone"))
+    key, runs = unused(docs, "_id"), unused(docs, "_gone")
+    gone = gone.groupBy(F.col("_id").alias(key)).agg(F.collect_list(F.struct("i", "j")).alias(runs))
     rest = [c for c in docs.columns if c != text_col]
-    joined = docs.join(gone, docs[id_col] == gone["_id"], "left").drop("_id")
+    joined = docs.join(gone, docs[id_col] == gone[key], "left").drop(key)
 
     def cut(b: pa.RecordBatch) -> pa.RecordBatch:
         texts, lists = b.column(len(rest)).cast(pa.binary()).to_pylist(), b.column(len(rest) + 1).to_pylist()
@@ -101,7 +103,7 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return pa.RecordBatch.from_arrays([*b.columns[: len(rest)], texts, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=[*rest, text_col, "n_sentences", "n_removed"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in [*rest, text_col]) + ", n_sentences long, n_removed long"
-    return arrow_map(joined.select(*rest, text_col, "_gone"), cut, schema).select(*docs.columns, "n_sentences", "n_removed")
+    return arrow_map(joined.select(*[f"`{c}`" for c in rest], text_col, runs), cut, schema).select(*[f"`{c}`" for c in docs.columns], "n_sentences", "n_removed")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
