@@ -130,14 +130,15 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str, size: int = 100, s
 
     found = base.mapInArrow(scan, "kh long, sh long, id long, lo long, at short, n short")
     shared = found.groupBy("kh").agg(F.count("*").alias("m")).where("m > 1").select("kh")
-    rows = scratch(found.join(shared, "kh"), "anchors")
+    # written first: a join of two plain exchanges is one whose hot keys adaptive execution can split
+    rows = scratch(found.join(scratch(shared, "shared-anchors"), "kh"), "anchors")
     first = rows.groupBy("kh", "sh").agg(F.min(F.struct("id", "lo", "at", "n")).alias("f"))
     first = scratch(first.select("kh", "sh", "f.*"), "first-spans")
     copies = rows.join(first.select("kh", "sh", F.col("id").alias("_i"), F.col("lo").alias("_l")), ["kh", "sh"])
     copies = copies.where("id > _i or (id = _i and lo > _l)").select("id", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + size).alias("end"))
 
     many = first.groupBy("kh").agg(F.count("*").alias("m")).where("m > 1")
-    spans = first.join(many, "kh").withColumn("salts", F.ceil(F.col("m") / F.lit(hot)).cast("int"))
+    spans = first.join(scratch(many, "many-spans"), "kh").withColumn("salts", F.ceil(F.col("m") / F.lit(hot)).cast("int"))
     amount = spans.agg(F.sum(F.col("n") + size + 1)).first()[0] or 0
     shards = int(amount // shard_bytes) + 1
     salt = F.when(F.col("salts") > 1, F.pmod(F.xxhash64("id", "lo"), F.col("salts"))).otherwise(0)
