@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,7 +137,7 @@ class Model:
 
 
 #: The online learning rate, and what is added to each count.
-RATE, PRIOR = 0.02, 0.1
+RATE, PRIOR = 0.05, 0.1
 GATES, LIMIT, STEPS = ORDERS * 4, 11.0, 44
 
 
@@ -179,7 +180,7 @@ def gather_windows(texts: DataFrame) -> DataFrame:
                 for w in windows(text):
                     held.append(w)
                     size += len(w)
-                    if size > 16_000_000:
+                    if size > 5_000_000:
                         yield flush()
                         held, size = [], 0
         if held:
@@ -239,8 +240,7 @@ def fit(texts: DataFrame) -> Model:
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _received(shared)
-        weights = m.weights.copy()
-        seen = np.zeros(GATES)
+        weights, total, seen, steps = m.weights.copy(), np.zeros((GATES, ORDERS)), np.zeros(GATES), 0
         for b in batches:
             w, n = b.column(0).to_numpy().astype(np.uint64), b.column(1).to_numpy().astype(np.float64)
             shuffled = np.argsort(mix64(w))
@@ -252,11 +252,14 @@ def fit(texts: DataFrame) -> Model:
                     z = np.clip((st * weights[gate]).sum(axis=1), -LIMIT, LIMIT)
                     error = (bit - 1 / (1 + np.exp(-z))) * n[own]
                     mass = np.bincount(gate, n[own], minlength=GATES)
+                    rate = RATE / (1 + steps / 200)
                     for k in range(ORDERS):
                         step = np.bincount(gate, error * st[:, k], minlength=GATES)
-                        weights[:, k] += RATE * step / np.maximum(mass, 1)
+                        weights[:, k] += rate * step / np.maximum(mass, 1)
                     seen += mass
-        yield pa.RecordBatch.from_arrays([pa.array([(weights * seen[:, None]).tobytes()]), pa.array([seen.tobytes()])], names=["weights", "seen"])
+                    total += weights * mass[:, None]  # the mean of the path is steadier than its end
+                    steps += 1
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()]), pa.array([seen.tobytes()])], names=["weights", "seen"])
 
     total, mass = np.zeros((GATES, ORDERS)), np.zeros(GATES)
     for a, s in grams.mapInArrow(learn, "weights binary, seen binary").toLocalIterator():
@@ -310,7 +313,7 @@ class Scorer:
             miss = miss[~hit]
         if len(miss):
             u, first, inverse = np.unique(w[miss], return_index=True, return_inverse=True)
-            value = np.concatenate([self.model.logp(u[k : k + 200_000]) for k in range(0, len(u), 200_000)])
+            value = np.concatenate([self.model.logp(u[k : k + 50_000]) for k in range(0, len(u), 50_000)])
             out[miss] = value[inverse]
             salt = np.uint64(0x9E3779B97F4A7C15)
             one = ((u * salt) ^ (u >> np.uint64(23))) * np.uint64(0xD6E8FEB86659FD93) >> self.bits
@@ -342,7 +345,7 @@ def _tokens(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def count_words(texts: DataFrame, most: int = 1_000_000) -> DataFrame:
+def count_words(texts: DataFrame, most: int = 400_000) -> DataFrame:
     """(token, c) of a one-column table of texts; the end of a text is the empty token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,21 +385,25 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     model = _share(sc, fit(training))
     words = scratch(count_words(training), "words")
     total, different = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = sc.broadcast({bytes(r[0]): r[1] for r in words.orderBy(F.desc("c"), "token").limit(frequent).collect()})
+    least, held_rows = 1 << 62, 0  # the smallest count that at most `frequent` tokens reach
+    for c, n in sorted(words.where(f"c > {int(total) // max(1, frequent) // 1000}").groupBy("c").count().collect(), reverse=True):
+        held_rows += n
+        if held_rows > frequent:
+            break
+        least = c
+    top = sc.broadcast({bytes(r[0]): float(np.log10(r[1] + 0.5)) for r in words.where(F.col("c") >= least).toLocalIterator()})
     bottom = np.log10(total + 0.5 * (different + 1))
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["rid", "id", "n_bytes", "n_tokens", "known", "base", "score", "token", "tf"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, logs = _scorer(model), {t: float(np.log10(c + 0.5)) for t, c in top.value.items()}
+        scorer, logs = _scorer(model), top.value
         for b in batches:
-            for start in range(0, b.num_rows, 400):
-                part = b.slice(start, 400)
+            for part in _slices(b, 2):
                 rid = part.column(0).to_pylist()
                 texts = text_bytes(part.column(2))
-                parts = [w for t in texts for w in windows(t)]
                 edges = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-                p = np.concatenate([scorer(x) for x in _groups(parts)])
+                p = np.concatenate([scorer(x) for x in _groups(w for t in texts for w in windows(t))])
                 score = np.add.reduceat(p, edges[:-1])
                 base, known, number, row, token, tf = [], [], [], [], [], []
                 for k, text in enumerate(texts):
@@ -445,7 +452,19 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def _groups(parts: list[np.ndarray], most: int = 4_000_000) -> Iterator[np.ndarray]:
+def _slices(b: pa.RecordBatch, column: int, rows: int = 400, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """b in slices of at most `rows` rows and about `most` bytes of text."""
+    sizes = np.array(pc.fill_null(pc.binary_length(b.column(column)), 0), np.int64)
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    at = 0
+    while at < b.num_rows:
+        stop = int(np.searchsorted(upto, upto[at] + most, side="right")) - 1
+        stop = min(max(stop, at + 1), at + rows, b.num_rows)
+        yield b.slice(at, stop - at)
+        at = stop
+
+
+def _groups(parts: Iterator[np.ndarray], most: int = 1_000_000) -> Iterator[np.ndarray]:
     held, size = [], 0
     for p in parts:
         held.append(p)
