@@ -161,7 +161,7 @@ def _blocks(df: DataFrame, size: str, block: int, node: str) -> DataFrame:
     return df.withColumns({"i": F.least(own, o), "j": F.greatest(own, o), "side": (own > o).cast("int")}).drop("_k", "_own", "_o")
 
 
-def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, block: int = 512) -> DataFrame:
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, block: int = 512, verify_block: int = 512) -> DataFrame:
     """(id, class_id, n_links, group_id) for every row.
 
     class_id: the smallest id whose text has the same shingle set; n_links: the other classes whose shingle
@@ -204,6 +204,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     rows = reps.mapInArrow(spread, "band int, key long, id long")
     sizes = rows.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1")
+    sizes = scratch(sizes, "bucket-sizes")  # so that adaptive execution can split the join's hot keys
     active = _blocks(rows.join(sizes, ["band", "key"]), "m", block, "id").join(reps, "id").select("band", "key", "i", "j", "side", "id", "sig")
     unit = ["band", "key", "i", "j"]
     active = active.repartition(*unit).sortWithinPartitions(*unit)
@@ -223,7 +224,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups = scratch(connected_components(candidates.select("a", "root"), "a", "root"), "groups")
     sized = scratch(groups.join(groups.groupBy("component").agg(F.count("*").alias("m")), "component"), "sized")
 
-    texts = _blocks(base.join(sized, base["id"] == sized["node"]).drop("node"), "m", block, "id")
+    texts = _blocks(base.join(sized, base["id"] == sized["node"]).drop("node"), "m", verify_block, "id")
     order = ["component", "i", "j"]
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +252,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     schema = "component long, i int, j int, id long, kind int, data binary"
     sets = texts.select(*order, "id", "text").mapInArrow(shingled, schema).dropDuplicates([*order, "id"])
-    n = F.ceil(F.col("m") / F.lit(block)).cast("int")
+    n = F.ceil(F.col("m") / F.lit(verify_block)).cast("int")
 
     def own(x):
         return F.when(F.col("_k") > 1, F.pmod(F.xxhash64(x), F.col("_k"))).otherwise(0).cast("int")
