@@ -10,7 +10,7 @@ import pytest
 from conftest import same_as_sql
 
 from duelframe.llm import hnsw, jaccard, kneser_ney, mixing, registry
-from duelframe.llm.common import connected_components, forest, vocabulary
+from duelframe.llm.common import connected_components, forest, scratch, sweep, vocabulary
 
 
 def test_kneser_ney_is_a_distribution(spark, sf):
@@ -177,3 +177,8 @@ def test_stages_take_odd_rows(spark, sf, odd_docs):
             out = stage(spark, df, sf)
             assert out.count() >= 0 and (k == 4 or out.columns == docs.columns)
     assert vocabulary("word_bpe_49k.json").endswith("word_bpe_49k.json")
+
+
+def test_sweep(spark):
+    kept = scratch(spark.range(3), "test")
+    assert kept.count() == 3 and sweep(spark) > 0 and sweep(spark) == 0
