@@ -7,7 +7,8 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 import pytest
-from conftest import same_as_sql
+
+from sql_twin import same_as_sql  # isort: skip
 
 from duelframe.llm import hnsw, jaccard, kneser_ney, mixing, registry
 from duelframe.llm.common import connected_components, forest, scratch, sweep, vocabulary

@@ -6,9 +6,10 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import same_as_sql  # noqa: I001
 from tokenizers import Tokenizer
 
+from sql_twin import same_as_sql  # isort: skip
+
 from duelframe.llm import induced, packing, sentence_spans, substring_dedup, tiling, token_counts, training_order
 from duelframe.llm.common import ChunkEncoder, vocabulary
 
