@@ -16,7 +16,13 @@ class Tables:
     """The fixture views and test tables of one folder, read when asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self.made = spark, sf_dir, {}
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """What make gives, made at most once for this query."""
+        if name not in self.made:
+            self.made[name] = make()
+        return self.made[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in ("comparisons", "dag", "images", "prompts", "records", "slots"):

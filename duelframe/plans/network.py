@@ -15,16 +15,16 @@ _REACH = _EDGES + ", reach(a, b) AS (SELECT node, node FROM nodes UNION SELECT r
 
 
 def _edges(t: Tables):
-    return graph.edges(t.dag)
+    return t.once("edges", lambda: graph._cut(graph.edges(t.dag)))
 
 
 def _labels(t: Tables):
     e = _edges(t)
-    return graph.components(graph.universe(e), e)
+    return t.once("labels", lambda: graph.components(graph.universe(e), e))
 
 
 def _chains(t: Tables):
-    return graph.chains(_labels(t), _edges(t))
+    return t.once("chains", lambda: graph._cut(graph.chains(_labels(t), _edges(t))))
 
 
 @query("SELECT DISTINCT winner, CASE WHEN winner = filename_a THEN filename_b ELSE filename_a END AS loser FROM comparisons WHERE filename_a <> filename_b", "comparisons")
