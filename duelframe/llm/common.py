@@ -32,10 +32,23 @@ def scratch(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """df written as Parquet to the shared folder and read back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_WRITTEN: list[str] = []
+
+
+def sweep(spark: SparkSession) -> int:
+    """Deletes the scratch tables that this process has written; for when no result that reads them is needed any more."""
+    n = 0
+    while _WRITTEN:
+        place = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True))
+    return n
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     shared_folder(df.sparkSession)
     return df.checkpoint()
@@ -244,7 +257,7 @@ class ChunkEncoder:
                     latin = False
             parts.append(t.split(" "))
             (plain if latin else other).update(parts[-1])
-        plain.difference_update(known)
+        plain = plain.difference(known)  # walks the small set, unlike difference_update
         words, marked = set(), []
         for c in plain:
             if c.isalpha():
@@ -255,10 +268,8 @@ class ChunkEncoder:
                 other.add(c[len(w) :])
             else:
                 other.add(c)
-        words.difference_update(known)
-        self._words(list(words))
-        other.difference_update(known)
-        self._chunks(list(other))
+        self._words(list(words.difference(known)))
+        self._chunks(list(other.difference(known)))
         for c, w, m in marked:
             known[c] = known[w] + known[m]
         return [b"".join(map(known.__getitem__, p)) for p in parts]
@@ -268,9 +279,11 @@ _ENCODERS: dict = {}
 
 
 def chunk_encoder(path: str, dtype: str = "<u4") -> ChunkEncoder:
-    """One encoder for each worker process."""
+    """One encoder for each worker process; what earlier tasks of the process have left unused goes back first."""
     import os
 
+    pa.default_memory_pool().release_unused()
+
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if (path, dtype) not in _ENCODERS:
         _ENCODERS[path, dtype] = ChunkEncoder(path, dtype=dtype)
