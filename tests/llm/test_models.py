@@ -1,12 +1,14 @@
 """Quality classifier, Jaccard join, embeddings, language-model scores and the pipeline."""
 
 import math
+import random
 import zlib
 from collections import Counter
 
 import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sql_twin import same_as_sql  # isort: skip
 
@@ -36,6 +38,22 @@ def test_classifier_keeps_clean_documents(spark):
     assert (rate[0, 0] or 0) / n[0, 0] < 0.35
 
 
+def test_classifier_rejects_a_few_insults_in_fluent_text(spark):
+    d = "/root/testdata/sf0.1"
+    out = kneser_ney.op1_quality_classifier(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
+    kept = {(r.quality, r.toxic): r.kept for r in out.groupBy("quality", "toxic").agg(F.avg(F.col("keep").cast("int")).alias("kept")).collect()}
+    assert kept[1, 0] > 0.97 and kept[1, 1] < 0.4 and kept[0, 0] < 0.11 and kept[0, 1] < 0.1
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice(["tion", "er", "an", "re", "in", "the", "on"]) for _ in range(rng.randint(1, 3))) for _ in range(150)]
+    rows = [(i, " ".join(rng.choices(words, k=300)), "en") for i in range(500)]
+    rows.append((500, rows[1][1] + " scumbag " + rows[2][1], "en"))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(500)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in kneser_ney.classify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels).collect()}
+    assert not got[500].keep and got[500].low <= got[500].perplexity < got[500].high and got[500].worst > got[500].worst_high
+    assert sum(got[i].keep for i in range(500)) > 480
+
+
 def test_classifier_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1, 0), (5, 1, 0), (9, 1, None), (None, 1, 0), (6, 0, 0)], "doc_id long, quality int, toxic int")
     got = kneser_ney.classify(odd_docs, labels).collect()
