@@ -54,6 +54,19 @@ def test_classifier_rejects_a_few_insults_in_fluent_text(spark):
     assert sum(got[i].keep for i in range(500)) > 480
 
 
+def test_classifier_takes_quantiles_of_any_number_of_texts(spark):
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choice("qxzjwvkp") for _ in range(n))
+    text = lambda: " ".join(rng.choices(["one", "two", "three", "four", "five"], k=rng.choice([20, 60, 300])))
+    rows = [(i, text(), rng.choice(["en", "de"])) for i in range(3000)] + [(i, noise(300), "en") for i in range(3000, 3002)]
+    rows += [(5000, noise(200), "xx"), (5001, noise(40), "en"), (5002, text(), "xx"), (5003, noise(30_000), "de")]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(3002)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in kneser_ney.classify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels).collect()}
+    assert not any(got[i].keep for i in (5000, 5001, 5003)) and got[5002].keep
+    few = {r.doc_id: r for r in kneser_ney.classify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels, least=10_000).collect()}
+    assert not any(few[i].keep for i in (5000, 5001, 5003)) and few[5002].keep and len({r.high for r in few.values()}) == 1
+
+
 def test_classifier_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1, 0), (5, 1, 0), (9, 1, None), (None, 1, 0), (6, 0, 0)], "doc_id long, quality int, toxic int")
     got = kneser_ney.classify(odd_docs, labels).collect()
