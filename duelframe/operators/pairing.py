@@ -117,11 +117,12 @@ def single_win_loss(cand: DataFrame, edges: DataFrame) -> DataFrame:
     return _none(cand)
 
 
-def chain_merge(cand: DataFrame, chain: DataFrame, edges: DataFrame, labels: DataFrame, recent: tuple[str, ...] = ()) -> DataFrame:
+def chain_merge(cand: DataFrame, chain: DataFrame, edges: DataFrame, labels: DataFrame, recent: tuple[str, ...] = (), block: int = 200) -> DataFrame:
     """Main nodes of a short and of a long chain with scores close together and no common path.
 
     Scores are put into buckets as wide as the allowed gap, and neighbouring buckets joined, so no chain meets
-    every other.
+    every other. Pairs are tested for a common path block by block, in order, until a block has one without; a block
+    has four times as many as the last, up to a million.
     """
     if chain.count() < RANKING.min_chains:
         return _none(cand)
@@ -134,8 +135,13 @@ def chain_merge(cand: DataFrame, chain: DataFrame, edges: DataFrame, labels: Dat
     later = (F.col("lb") > F.col("la")) | ((F.col("lb") == F.col("la")) & (F.col("cb") > F.col("ca")))
     p = left.join(right, "k").where(later & (F.abs(F.col("sa") - F.col("sb")) <= RANKING.chain_gap) & (F.col("a") != F.col("b")))
     order = [F.asc("la"), F.asc("ca"), F.desc("lb"), F.desc("cb"), F.asc("a"), F.asc("b")]
-    some = p.orderBy(*order).limit(200)
-    return _one(graph.same_path(some, edges, labels, chain).where("not same_path").orderBy(*order), "chain_merge")
+    done, size = 0, block
+    while True:
+        some = graph._cut(p.orderBy(*order).offset(done).limit(size))
+        found = graph._cut(_one(graph.same_path(some, edges, labels, chain).where("not same_path").orderBy(*order), "chain_merge"))
+        if found.count() or some.count() < size:
+            return found
+        done, size = done + size, min(size * 4, 1 << 20)
 
 
 def uncertainty(cand: DataFrame, links: DataFrame, total: int, edges: DataFrame, labels: DataFrame) -> DataFrame:

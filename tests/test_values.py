@@ -125,6 +125,19 @@ def test_next_pair_is_new(spark):
         assert len(r) == 1 and r[0].a != r[0].b and {r[0].a, r[0].b} != {"i000", "i001"}
 
 
+def test_chain_merge_goes_on_past_pairs_on_a_common_path(spark):
+    names = [f"b{k:03d}" for k in range(300)]
+    rows = [("x", 0.5, 25.0, 8.0, 5)] + [(n, 0.5, 25.0, 8.0, 1) for n in names]
+    i = spark.createDataFrame(rows, "filename string, score double, rating_mu double, rating_sigma double, comparison_count int")
+    chain = spark.createDataFrame([("x", "c", ["x"], 1, ["x"])] + [("x", f"c{n}", [n, "y"], 2, [n]) for n in names], "component string, chain_id string, nodes array<string>, length long, owners array<string>")
+    edges = spark.createDataFrame([("x", n) for n in names[1:]], "winner string, loser string")
+    labels = spark.createDataFrame([("x", "x")], "node string, component string")
+    cand = pairing.candidates(i)
+    assert [tuple(r) for r in pairing.chain_merge(cand, chain, edges, labels).collect()] == [("x", "b000", "chain_merge")]
+    more = edges.union(spark.createDataFrame([("x", "b000")], edges.schema))
+    assert pairing.chain_merge(cand, chain, more, labels).count() == 0
+
+
 def test_sidecars(spark, tmp_path):
     d = tmp_path / "tree" / "sub"
     d.mkdir(parents=True)
