@@ -30,7 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without sentence runs that occur earlier; texts of which nothing is left go, n_chars follows the text."""
-    cut = drop_repeated_spans(docs).where("n_removed = 0 or n_removed < n_sentences")
+    cut = drop_repeated_spans(docs, whole=True).where("n_removed = 0 or n_removed < n_sentences")
     chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", chars).select(*docs.columns)
 

@@ -23,22 +23,31 @@ def split(text: bytes) -> tuple[list[bytes], list[list[bytes]]]:
     return parts, [p.split() for p in parts]
 
 
-def spans(text: bytes, min_sentences: int, min_words: int) -> list[tuple[bytes, int, int]]:
-    """(key, first sentence, last sentence): from each sentence the shortest run with enough sentences and words."""
+def spans(text: bytes, min_sentences: int, min_words: int, whole: bool = False) -> list[tuple[bytes, int, int]]:
+    """(key, first sentence, last sentence): from each sentence the shortest run with enough sentences and words.
+
+    whole: also the shortest such run that ends in each sentence. Both together cover every repeated run with
+    enough of both: the last run from a sentence that ends in it starts where the shortest one up to its end does.
+    """
     _, words = split(text)
     n = len(words)
     keys = [b" ".join(w) for w in words]
     ends = np.concatenate([[0], np.cumsum([len(w) for w in words])])
     last = np.maximum(np.searchsorted(ends, ends[:-1] + min_words) - 1, np.arange(n) + min_sentences - 1)
-    return [(b"\n".join(keys[i : j + 1]), i, j) for i, j in enumerate(last.tolist()) if j < n]
+    runs = [(i, j) for i, j in enumerate(last.tolist()) if j < n]
+    if whole:
+        first = np.minimum(np.searchsorted(ends, ends[1:] - min_words, "right") - 1, np.arange(n) - min_sentences + 1)
+        runs = sorted({*runs, *((i, j) for j, i in enumerate(first.tolist()) if i >= 0)})
+    return [(b"\n".join(keys[i : j + 1]), i, j) for i, j in runs]
 
 
-def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = 2, min_words: int = 16) -> DataFrame:
+def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = 2, min_words: int = 16, whole: bool = False) -> DataFrame:
     """docs with sentences removed from text that lie in a span which occurs earlier, and two counts.
 
     Sliding spans: from every sentence, the run of consecutive sentences that first has min_sentences and
     min_words is hashed (128 bits); equal hashes are joined over the whole table; every sentence covered by
-    an occurrence other than the first (smallest id, then place) goes. Adds n_sentences and n_removed.
+    an occurrence other than the first (smallest id, then place) goes. A repeated run can end in sentences with too few
+    words for a run of their own; whole hashes the runs up to every sentence, too, so that these go as well. Adds n_sentences and n_removed.
     Null texts stay null, with 0 sentences; rows with a null id pass unchanged and are compared with nothing;
     rows of one id (repeated rows) are one place, so a repeated row stays while no smaller id has the span.
     Columns of the input called n_sentences or n_removed are replaced. Texts of any length are handled whole.
@@ -56,7 +65,7 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 row, hashes, first, last, again = [], [], [], [], []
                 for k, text in enumerate(part.column(1).cast(pa.binary()).to_pylist()):
                     seen = set()
-                    for key, i, j in spans(text, min_sentences, min_words):
+                    for key, i, j in spans(text, min_sentences, min_words, whole):
                         h = of(key)
                         row.append(k)
                         hashes.append(h)

@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
@@ -127,6 +128,36 @@ def test_sentence_spans(spark, sf, duck, odd_docs, no_docs):
     assert sentence_spans.drop_repeated_spans(no_docs).count() == 0
 
 
+def every_run(rows, min_sentences=2, min_words=16):
+    seen, out = {}, {}
+    for i, text in sorted(rows):
+        parts, words = sentence_spans.split(text)
+        gone = set()
+        for a in range(len(parts)):
+            for b in range(a + min_sentences - 1, len(parts)):
+                if sum(map(len, words[a : b + 1])) >= min_words:
+                    if seen.setdefault(tuple(tuple(w) for w in words[a : b + 1]), (i, a)) != (i, a):
+                        gone.update(range(a, b + 1))
+        out[i] = (len(parts), len(gone), b"".join(p for k, p in enumerate(parts) if k not in gone))
+    return out
+
+
+def test_sentence_spans_of_every_run(spark):
+    rng = random.Random(9)
+    pool = [" ".join(rng.choices("abcdef", k=rng.choice([0, 1, 2, 3, 9, 20]))) + ". " for _ in range(60)]
+    rows = [(0, "".join(pool[:20])), (1, "".join(pool[:20]))]
+    for i in range(2, 60):
+        a = rng.randrange(50)
+        rows.append((i, "".join(pool[a : a + rng.randrange(1, 10)] + rng.choices(pool, k=rng.randrange(8)))))
+    want = every_run([(i, t.encode()) for i, t in rows])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_sentences, r.n_removed, r.text.encode()) for r in sentence_spans.drop_repeated_spans(df, whole=True).collect()}
+    assert got == want and got[1][2] == b""
+    tail = [(1, "w " * 9 + "x. " + "y " * 9 + "z. Stub one. Stub two.", "en", "s", 1), (2, "w " * 9 + "x. " + "y " * 9 + "z. Stub one. Stub two. Another end.", "en", "s", 1)]
+    docs = spark.createDataFrame(tail, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id: r.text for r in corpus_pipeline.repeated_spans(spark, docs, "").collect()} == {1: tail[0][1], 2: "Another end."}
+
+
 def plain_bytes(rows, size):
     first, out = {}, {}
     for i, text in sorted(rows):
