@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +68,18 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def slices(b: pa.RecordBatch, column: int, rows: int = 400, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """b in slices of at most `rows` rows and, but for single longer texts, `most` bytes of text."""
+    sizes = np.array(pc.fill_null(pc.binary_length(b.column(column)), 0), np.int64)
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    at = 0
+    while at < b.num_rows:
+        stop = int(np.searchsorted(upto, upto[at] + most, side="right")) - 1
+        stop = min(max(stop, at + 1), at + rows, b.num_rows)
+        yield b.slice(at, stop - at)
+        at = stop
+
+
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 1000) -> DataFrame:
     """mapInArrow by batch, some rows at a time, so that what f makes of texts stays small."""
 

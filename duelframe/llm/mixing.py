@@ -22,11 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, read, scratch, text_bytes
+from .common import mix64, read, scratch, slices, text_bytes
 
 END, SYMBOL_BITS, ORDERS = 256, 9, 6
 #: Base-2 logarithms of the tables' sizes, for contexts of 0, 1, ... symbols.
@@ -399,7 +398,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, logs = _scorer(model), top.value
         for b in batches:
-            for part in _slices(b, 2):
+            for part in slices(b, 2):
                 rid = part.column(0).to_pylist()
                 texts = text_bytes(part.column(2))
                 edges = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
@@ -452,18 +451,6 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def _slices(b: pa.RecordBatch, column: int, rows: int = 400, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """b in slices of at most `rows` rows and about `most` bytes of text."""
-    sizes = np.array(pc.fill_null(pc.binary_length(b.column(column)), 0), np.int64)
-    upto = np.concatenate([[0], np.cumsum(sizes)])
-    at = 0
-    while at < b.num_rows:
-        stop = int(np.searchsorted(upto, upto[at] + most, side="right")) - 1
-        stop = min(max(stop, at + 1), at + rows, b.num_rows)
-        yield b.slice(at, stop - at)
-        at = stop
-
-
 def _groups(parts: Iterator[np.ndarray], most: int = 1_000_000) -> Iterator[np.ndarray]:
     held, size = [], 0
     for p in parts:
