@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -206,6 +207,30 @@ def ordinals(df: DataFrame, name: str = "ordinal") -> DataFrame:
     return out.withColumn(name, F.col("_start") + F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))).drop("_mid", "_p", "_start")
 
 
+def keyed(df: DataFrame, id_col: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """(df with ids as longs, what turns such columns of a result back into ids).
+
+    Whole numbers stay as they are. Other ids are numbered in their order, so that the smallest number is the smallest id.
+    """
+    kind = df.schema[id_col].dataType
+    if isinstance(kind, (ByteType, ShortType, IntegerType, LongType)):
+        return df.withColumn(id_col, F.col(id_col).cast("long")), lambda out, *columns: out.withColumns({c: F.col(c).cast("long" if c != id_col else kind) for c in columns})
+    ids = df.select(F.col(id_col).alias("_of")).where(F.col("_of").isNotNull()).distinct()
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    table = scratch(ordinals(ids.repartitionByRange(parts, "_of").sortWithinPartitions("_of"), "_number"), "ids")
+    names = df.columns
+    numbered = df.withColumnRenamed(id_col, "_given").join(table, F.col("_given") == F.col("_of"), "left").withColumn(id_col, F.col("_number")).select(*[f"`{c}`" for c in names])
+
+    def back(out: DataFrame, *columns: str) -> DataFrame:
+        for c in columns:
+            own = table.select(F.col("_of").alias("_id"), F.col("_number").alias("_k"))
+            others = out.columns
+            out = out.withColumnRenamed(c, "_number").join(own, F.col("_number") == F.col("_k"), "left").withColumn(c, F.col("_id")).select(*[f"`{x}`" for x in others])
+        return out
+
+    return numbered, back
+
+
 class ChunkEncoder:
     """Token ids of whole texts, chunk by chunk, for a vocabulary whose words end in "</w>".
 
