@@ -207,28 +207,33 @@ def ordinals(df: DataFrame, name: str = "ordinal") -> DataFrame:
     return out.withColumn(name, F.col("_start") + F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))).drop("_mid", "_p", "_start")
 
 
-def keyed(df: DataFrame, id_col: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
-    """(df with ids as longs, what turns such columns of a result back into ids).
+def numbered(df: DataFrame, id_col: str, text_col: str | None = None, name: str = "_row") -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """(df with a long that orders its rows by id, what turns columns of such longs back into ids).
 
-    Whole numbers stay as they are. Other ids are numbered in their order, so that the smallest number is the smallest id.
+    Whole-number ids are taken as they are. Ids of other types are numbered in their order; so are, if text_col is
+    given and ids occur more than once, the different texts of an id, by a hash. Repeated rows share their number; a null id has none.
     """
     kind = df.schema[id_col].dataType
-    if isinstance(kind, (ByteType, ShortType, IntegerType, LongType)):
-        return df.withColumn(id_col, F.col(id_col).cast("long")), lambda out, *columns: out.withColumns({c: F.col(c).cast("long" if c != id_col else kind) for c in columns})
-    ids = df.select(F.col(id_col).alias("_of")).where(F.col("_of").isNotNull()).distinct()
+    whole = isinstance(kind, (ByteType, ShortType, IntegerType, LongType))
+    if whole and (text_col is None or df.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty()):
+        return df.withColumn(name, F.col(id_col).cast("long")), lambda out, *columns: out.withColumns({c: F.col(c).cast(kind) for c in columns})
+    digest = F.xxhash64(text_col) if text_col else F.lit(0).cast("long")
+    keys = df.select(F.col(id_col).alias("_of"), digest.alias("_digest")).where(F.col("_of").isNotNull()).distinct()
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    table = scratch(ordinals(ids.repartitionByRange(parts, "_of").sortWithinPartitions("_of"), "_number"), "ids")
+    table = scratch(ordinals(keys.repartitionByRange(parts, "_of", "_digest").sortWithinPartitions("_of", "_digest"), "_number"), "ids")
     names = df.columns
-    numbered = df.withColumnRenamed(id_col, "_given").join(table, F.col("_given") == F.col("_of"), "left").withColumn(id_col, F.col("_number")).select(*[f"`{c}`" for c in names])
+    own, given = unused(df, "_given"), unused(df, "_given_digest")
+    out = df.withColumns({own: F.col(id_col), given: digest}).join(table, (F.col(own) == F.col("_of")) & (F.col(given) == F.col("_digest")), "left")
+    out = out.select(*[df[f"`{c}`"] for c in names], F.col("_number").alias(name))
 
     def back(out: DataFrame, *columns: str) -> DataFrame:
         for c in columns:
-            own = table.select(F.col("_of").alias("_id"), F.col("_number").alias("_k"))
             others = out.columns
-            out = out.withColumnRenamed(c, "_number").join(own, F.col("_number") == F.col("_k"), "left").withColumn(c, F.col("_id")).select(*[f"`{x}`" for x in others])
+            ids = table.select(F.col("_of").alias("_id_of"), F.col("_number").alias("_id_number"))
+            out = out.withColumnRenamed(c, "_its_number").join(ids, F.col("_its_number") == F.col("_id_number"), "left").withColumn(c, F.col("_id_of")).select(*[f"`{x}`" for x in others])
         return out
 
-    return numbered, back
+    return out, back
 
 
 class ChunkEncoder:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, forest, keyed, mix64, read, scratch
+from .common import connected_components, forest, mix64, numbered, read, scratch
 
 _NONE = np.float32(-np.inf)
 
@@ -339,13 +339,13 @@ def near_vectors(
     one vector (the least of them), and each of them gets its result. An empty table gives an empty result. Ids may have any type that has an order.
     A shard has at most shard_rows vectors and about shard_bytes. audit: gets (links and probes asked for, found) over all searches' audits.
     """
-    vectors, back = keyed(vectors.select(id_col, vector_col, label_col), id_col)
+    vectors, back = numbered(vectors.select(id_col, vector_col, label_col), id_col)
     v = F.col(vector_col)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     norm = F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x)
-    ok = F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~bad & (norm > 0)
+    ok = F.col("_row").isNotNull() & F.col(label_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~bad & (norm > 0)
     rows = vectors.where(F.coalesce(ok, F.lit(False)))
-    rows = rows.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), v.cast("array<double>").alias("v"))
+    rows = rows.select(F.col("_row").alias("id"), F.col(label_col).cast("string").alias("label"), v.cast("array<double>").alias("v"))
     rows = rows.groupBy("id").agg(F.min(F.struct("label", "v")).alias("r")).select("id", "r.*")
     key = ["label", "h1", "h2"]  # of a vector: two 64-bit hashes
     members = scratch(rows.withColumns({"h1": F.xxhash64("label", "v"), "h2": F.xxhash64("v")}), "vectors")
@@ -389,10 +389,10 @@ def near_vectors(
     reps = classes.join(degree, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     reps = reps.select(*key, (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "rep").alias("component")).where("n > 0")
     joined = members.select("id", *key).join(scratch(reps, "vector-results"), key).select("id", "n", "component")
-    out = vectors.select(F.col(id_col).alias("_v")).join(joined, F.col("_v") == F.col("id"), "left")
+    out = vectors.select(F.col(id_col).alias("_given"), F.col("_row").alias("_v")).join(joined, F.col("_v") == F.col("id"), "left")
     component = F.coalesce("component", "_v")
-    out = out.select(F.col("_v").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("_v"), F.lit(False)).alias("kept"))
-    return back(out, id_col, "component_id")
+    out = out.select(F.col("_given").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("_v"), F.lit(False)).alias("kept"))
+    return back(out, "component_id")
 
 
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

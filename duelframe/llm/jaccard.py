@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, connected_components, forest, mix64, read, scratch
+from .common import WordHash, connected_components, forest, mix64, numbered, read, scratch, unused
 
 HASHES, ROWS, STEP = 128, 4, 16
 _rng = np.random.Generator(np.random.PCG64(20_08))
@@ -167,12 +167,19 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     class_id: the smallest id whose text has the same shingle set; n_links: the other classes whose shingle
     sets have a Jaccard similarity of at least threshold with this one; group_id: the smallest id reachable
     by links. Texts without a word link with nothing, and each is its own class. Texts under k words have
-    one shingle. Rows with a null id have null class and group and no links. Ids name one text: repeated
-    rows get the same result (rows of one id with different texts are not told apart as link ends).
+    one shingle. Rows with a null id have null class and group and no links. Repeated rows get the same
+    result; different texts of one id are linked each for itself. Ids may have any type that has an order.
     """
-    spark = docs.sparkSession
+    rows, back = numbered(docs.select(id_col, text_col), id_col, text_col)
+    out = _row_links(rows, text_col, k, threshold, tolerance, block, verify_block)
+    out = out.select(F.col("id").alias(id_col), F.col("rep").alias("class_id"), "n_links", F.col("component").alias("group_id"))
+    return back(out, id_col, "class_id", "group_id")
+
+
+def _row_links(rows: DataFrame, text_col: str = "text", k: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, block: int = 512, verify_block: int = 512) -> DataFrame:
+    """(id, rep, n_links, component) for rows with a number _row."""
     least, bands = least_matches(threshold, tolerance), HASHES // ROWS
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    base = rows.select(F.col("_row").alias("id"), F.col(text_col).alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -202,10 +209,10 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     [pa.array(np.tile(np.arange(bands, dtype=np.int32), n)), pa.array(keys), pa.array(np.repeat(part.column(0).to_numpy(), bands))], names=["band", "key", "id"]
                 )
 
-    rows = reps.mapInArrow(spread, "band int, key long, id long")
-    sizes = rows.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1")
+    keys = reps.mapInArrow(spread, "band int, key long, id long")
+    sizes = keys.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1")
     sizes = scratch(sizes, "bucket-sizes")  # so that adaptive execution can split the join's hot keys
-    active = _blocks(rows.join(sizes, ["band", "key"]), "m", block, "id").join(reps, "id").select("band", "key", "i", "j", "side", "id", "sig")
+    active = _blocks(keys.join(sizes, ["band", "key"]), "m", block, "id").join(reps, "id").select("band", "key", "i", "j", "side", "id", "sig")
     unit = ["band", "key", "i", "j"]
     active = active.repartition(*unit).sortWithinPartitions(*unit)
 
@@ -294,9 +301,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     joined = connected_components(links.select("id", "root"), "id", "root").select(F.col("node").alias("rep"), "component")
     degree = links.groupBy(F.col("id").alias("rep")).agg(F.sum("n").alias("n"))
     out = member.join(degree.join(joined, "rep"), "rep", "left")
-    return out.select(
-        F.col("id").alias(id_col), F.coalesce("rep", "id").alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "rep", "id").alias("group_id")
-    )
+    return out.select("id", F.coalesce("rep", "id").alias("rep"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "rep", "id").alias("component"))
 
 
 def _adjacency(pairs: np.ndarray) -> pa.RecordBatch:
@@ -311,9 +316,13 @@ def _adjacency(pairs: np.ndarray) -> pa.RecordBatch:
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of their group; rows with a null id stay."""
-    keep = jaccard_links(docs, id_col, text_col).where(F.col(id_col) == F.col("group_id")).select(F.col(id_col).alias("_kept")).distinct()
-    return docs.where(F.col(id_col).isNotNull()).join(keep, docs[id_col] == keep["_kept"], "left_semi").union(docs.where(F.col(id_col).isNull()))
+    """The first row (by id, for different texts of one id by a hash) of each group, with its repetitions; rows with a null id stay."""
+    number = unused(docs, "_row")
+    rows, _ = numbered(docs, id_col, text_col, number)
+    found = _row_links(rows.select(F.col(number).alias("_row"), F.col(text_col).alias("_text")), "_text")
+    keep = found.where("id = component").select(F.col("id").alias("_kept")).distinct()
+    kept = rows.where(F.col(number).isNotNull()).join(keep, F.col(number) == F.col("_kept"), "left_semi")
+    return kept.union(rows.where(F.col(number).isNull())).drop(number)
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, read, scratch, unused
+from .common import arrow_map, numbered, read, scratch, slices, unused
 
 #: A sentence with what follows it up to the next one; the matches of a text are the whole text.
 SENTENCE = r"[^.!?\n]*[.!?\n]+[ \n]*|[^.!?\n]+"
@@ -23,49 +23,49 @@ def split(text: bytes) -> tuple[list[bytes], list[list[bytes]]]:
     return parts, [p.split() for p in parts]
 
 
-def spans(text: bytes, min_sentences: int, min_words: int, whole: bool = False) -> list[tuple[bytes, int, int]]:
-    """(key, first sentence, last sentence): from each sentence the shortest run with enough sentences and words.
+def spans(text: bytes, min_sentences: int, min_words: int, alone: int) -> list[tuple[bytes, int, int]]:
+    """(key, first sentence, last sentence): the shortest runs with enough sentences and words, from each sentence and up to
+    each, and the sentences of at least `alone` words.
 
-    whole: also the shortest such run that ends in each sentence. Both together cover every repeated run with
-    enough of both: the last run from a sentence that ends in it starts where the shortest one up to its end does.
+    They cover every longer run: the last sentence from which a run to its end has enough of both starts a run that ends there.
     """
     _, words = split(text)
     n = len(words)
     keys = [b" ".join(w) for w in words]
     ends = np.concatenate([[0], np.cumsum([len(w) for w in words])])
     last = np.maximum(np.searchsorted(ends, ends[:-1] + min_words) - 1, np.arange(n) + min_sentences - 1)
-    runs = [(i, j) for i, j in enumerate(last.tolist()) if j < n]
-    if whole:
-        first = np.minimum(np.searchsorted(ends, ends[1:] - min_words, "right") - 1, np.arange(n) - min_sentences + 1)
-        runs = sorted({*runs, *((i, j) for j, i in enumerate(first.tolist()) if i >= 0)})
-    return [(b"\n".join(keys[i : j + 1]), i, j) for i, j in runs]
+    first = np.minimum(np.searchsorted(ends, ends[1:] - min_words, "right") - 1, np.arange(n) - min_sentences + 1)
+    runs = {(i, j) for i, j in enumerate(last.tolist()) if j < n}
+    runs.update((i, j) for j, i in enumerate(first.tolist()) if i >= 0)
+    runs.update((i, i) for i, w in enumerate(words) if len(w) >= alone)
+    return [(b"\n".join(keys[i : j + 1]), i, j) for i, j in sorted(runs)]
 
 
-def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = 2, min_words: int = 16, whole: bool = False) -> DataFrame:
+def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = 2, min_words: int = 16, alone: int = 50) -> DataFrame:
     """docs with sentences removed from text that lie in a span which occurs earlier, and two counts.
 
-    Sliding spans: from every sentence, the run of consecutive sentences that first has min_sentences and
-    min_words is hashed (128 bits); equal hashes are joined over the whole table; every sentence covered by
-    an occurrence other than the first (smallest id, then place) goes. A repeated run can end in sentences with too few
-    words for a run of their own; whole hashes the runs up to every sentence, too, so that these go as well. Adds n_sentences and n_removed.
-    Null texts stay null, with 0 sentences; rows with a null id pass unchanged and are compared with nothing;
-    rows of one id (repeated rows) are one place, so a repeated row stays while no smaller id has the span.
+    Spans are runs of at least min_sentences consecutive sentences with at least min_words words, and single sentences of at least
+    `alone` words. The shortest from each sentence and up to each, which cover all others, are hashed (128 bits); equal hashes are
+    joined over the whole table; every sentence covered by an occurrence other than the first (smallest id, then place) goes.
+    Adds n_sentences and n_removed. Null texts stay null, with 0 sentences; rows with a null id pass unchanged and are compared
+    with nothing; repeated rows are one place, so a repeated row stays while no earlier one has the span; different texts of
+    one id are different places, ordered by a hash. Ids may have any type that has an order.
     Columns of the input called n_sentences or n_removed are replaced. Texts of any length are handled whole.
     """
     docs = docs.drop("n_sentences", "n_removed")
-    kind = docs.schema[id_col].dataType.simpleString()
+    number = unused(docs, "_row")
+    rows, _ = numbered(docs, id_col, text_col, number)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         of = xxhash.xxh3_128_digest
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
+            for part in slices(b, 1, 1000, 8 << 20):
                 row, hashes, first, last, again = [], [], [], [], []
                 for k, text in enumerate(part.column(1).cast(pa.binary()).to_pylist()):
                     seen = set()
-                    for key, i, j in spans(text, min_sentences, min_words, whole):
+                    for key, i, j in spans(text, min_sentences, min_words, alone):
                         h = of(key)
                         row.append(k)
                         hashes.append(h)
@@ -80,16 +80,16 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                         names=["h1", "h2", "_id", "i", "j", "again"],
                     )
 
-    found = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col).mapInArrow(hashed, f"h1 long, h2 long, _id {kind}, i int, j int, again boolean")
+    found = rows.where(F.col(number).isNotNull() & F.col(text_col).isNotNull()).select(number, text_col).mapInArrow(hashed, "h1 long, h2 long, _id long, i int, j int, again boolean")
     once = found.where("not again").select("h1", "h2", "_id", "i", "j")
     shared = once.groupBy("h1", "h2").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last").drop("_last")
     shared = scratch(shared, "shared-spans")  # so that adaptive execution can split the join's hot keys
     later = once.join(shared, ["h1", "h2"]).where("_id > _first").select("_id", "i", "j")
     gone = later.union(found.where("again").select("_id", "i", "j")).distinct()
     key, runs = unused(docs, "_id"), unused(docs, "_gone")
-    gone = gone.groupBy(F.col("_id").alias(key)).agg(F.collect_list(F.struct("i", "j")).alias(runs))
+    gone = gone.groupBy(F.col("_id").alias(key)).agg(F.collect_list(F.struct("i", "j")).alias(runs))  # at most two runs for each sentence of a text
     rest = [c for c in docs.columns if c != text_col]
-    joined = docs.join(gone, docs[id_col] == gone[key], "left").drop(key)
+    joined = rows.join(gone, rows[number] == gone[key], "left").drop(key)
 
     def cut(b: pa.RecordBatch) -> pa.RecordBatch:
         texts, lists = b.column(len(rest)).cast(pa.binary()).to_pylist(), b.column(len(rest) + 1).to_pylist()
@@ -131,8 +131,11 @@ WITH parts AS (
          CASE WHEN k = '' THEN 0 ELSE len(string_split(k, ' ')) END AS words
   FROM s
 ), runs AS (
-  SELECT a.doc_id, a.i, min(b.i) AS j FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i + 1 AND b.upto - a.upto + a.words >= 16
-  GROUP BY ALL
+  SELECT a.doc_id, a.i, min(b.i) AS j FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i + 1 AND b.upto - a.upto + a.words >= 16 GROUP BY ALL
+  UNION
+  SELECT a.doc_id, max(a.i) AS i, b.i AS j FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i + 1 AND b.upto - a.upto + a.words >= 16 GROUP BY a.doc_id, b.i
+  UNION
+  SELECT doc_id, i, i FROM c WHERE words >= 50
 ), lists AS (SELECT doc_id, list(k ORDER BY i) AS ks FROM s GROUP BY doc_id),
 keyed AS (SELECT doc_id, i, j, array_to_string(ks[i:j], chr(10)) AS key FROM runs JOIN lists USING (doc_id)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, i) AS n FROM keyed),

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, mix64, read, scratch, text_bytes
+from .common import arrow_map, mix64, numbered, read, scratch, text_bytes
 from .induced import suffix_array
 
 _K, _CHUNK = 40, 1 << 17  # the bytes of an anchor; the bytes scanned at a time, which should fit the processor's cache
@@ -105,8 +105,8 @@ def _chunks(texts: list[bytes], size: int) -> Iterator[tuple[np.ndarray, np.ndar
 
 
 def find_repeats(docs: DataFrame, id_col: str, text_col: str, size: int = 100, shard_bytes: int = 500_000, hot: int = 2_000) -> DataFrame:
-    """(id, start, end): byte ranges of windows that occur earlier, for each row with an id; ranges may overlap."""
-    base = docs.where(F.col(id_col).isNotNull() & (F.octet_length(text_col) >= size)).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    """(id, start, end): byte ranges of windows that occur earlier, for each row with an id, a long that differs between different texts; ranges may overlap."""
+    base = docs.where(F.col(id_col).isNotNull() & (F.octet_length(text_col) >= size)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def batch(parts: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=["kh", "sh", "id", "lo", "at", "n"])
@@ -145,7 +145,7 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str, size: int = 100, s
     spans = spans.withColumn("shard", F.pmod(F.xxhash64("kh", salt), F.lit(shards)).cast("int"))
     spans = spans.select("id", F.struct("lo", "n", "shard", (F.col("salts") > 1).alias("hot"), "at", "kh").alias("s"))
     lists = spans.groupBy("id").agg(F.collect_list("s").alias("spans"))
-    packed = squeeze(base, "id", "text")
+    packed = squeeze(base, ["id"], "text")
 
     def cut(b: pa.RecordBatch) -> pa.RecordBatch:
         unpack = expander()
@@ -202,17 +202,17 @@ def find_repeats(docs: DataFrame, id_col: str, text_col: str, size: int = 100, s
     return copies.union(sorted_.where("end >= 0").select("id", "start", "end")).union(beaten)
 
 
-def squeeze(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, compressed text): texts that go through a shuffle."""
+def squeeze(df: DataFrame, ids: list[str], text_col: str) -> DataFrame:
+    """(ids, compressed text): texts that go through a shuffle."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=1).compress
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array([pack(t) for t in text_bytes(b.column(1))], pa.binary())], names=[id_col, text_col])
+        return pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([pack(t) for t in text_bytes(b.column(len(ids)))], pa.binary())], names=[*ids, text_col])
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return arrow_map(df.select(id_col, text_col), run, f"`{id_col}` {kind}, `{text_col}` binary")
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in ids)
+    return arrow_map(df.select(*ids, text_col), run, f"{kinds}, `{text_col}` binary")
 
 
 def expander():
@@ -227,13 +227,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A byte goes if some string of `size` bytes that covers it also starts earlier: in a text with a smaller id, or
     at an earlier place of the same text. All is judged on the input. n_spans counts maximal removed runs;
     kept_sha256 is that of the bytes left. Null texts are empty; a null id takes no part and keeps its text;
-    rows of one id are at one place, so a repeated row loses nothing to its like; an empty table gives an
-    empty result.
+    repeated rows are at one place, so they lose nothing to their like; different texts of one id are at different
+    places, ordered by a hash; an empty table gives an empty result. Ids may have any type that has an order.
     """
-    gone = find_repeats(docs, id_col, text_col, size)
+    rows, _ = numbered(docs.select(id_col, text_col), id_col, text_col)
+    gone = find_repeats(rows, "_row", text_col, size)
     gone = gone.distinct().groupBy(F.col("id").alias("_gone_id")).agg(F.collect_list(F.struct("start", "end")).alias("gone"))
     kind = docs.schema[id_col].dataType.simpleString()
-    joined = squeeze(docs, id_col, text_col).join(gone, F.col(id_col) == F.col("_gone_id"), "left").select(id_col, text_col, "gone")
+    joined = squeeze(rows, [id_col, "_row"], text_col).join(gone, F.col("_row") == F.col("_gone_id"), "left").select(id_col, text_col, "gone")
 
     def cut(b: pa.RecordBatch) -> pa.RecordBatch:
         unpack = expander()
