@@ -1,16 +1,16 @@
 """Packing of tokenised documents into sequences (operator 6).
 
 The pieces' lengths are grouped into classes; a sequence's make-up is a multiset of classes that fits, a
-configuration. The linear program over all configurations (fewest sequences that cover every class's
-count) is solved by multiplicative weights: a class's price is multiplied up or down as it falls behind or
-runs ahead in being covered, and the best configuration at these prices comes from a knapsack dynamic
-program. Each step's share is rounded down to whole sequences and taken off the counts, so what is left
-is priced again and nothing is left over in the end. The driver holds only the histogram (at most
-`limit` lengths) and one row for each step and class; the pieces stay distributed.
+configuration. The linear program over all configurations (fewest sequences that hold every class's count) is
+solved by multiplicative weights: a class's price grows as it falls behind in being covered, and the best configurations
+at these prices come from a knapsack dynamic program. The solution is rounded to whole sequences, and what that leaves is
+put in by best fit. The driver holds only the histogram (at most `limit` lengths) and the configurations; the pieces
+stay distributed.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,62 +55,120 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-def knapsack(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> dict[int, int]:
-    """The most valuable multiset of classes within capacity: {class: times}. prices > 0, sizes ascending."""
-    best = np.zeros(capacity + 1)
-    choice = np.full(capacity + 1, -1)
+def knapsack(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each capacity up to the given one: the value of the best multiset of classes, and the class to take first (-1: none).
+
+    A capacity that a smaller one equals in value points to the class of that one.
+    """
+    best, first = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     fits = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
+        best[c], first[c] = best[c - 1], first[c - 1]
         if n := fits[c]:
             value = best[c - sizes[:n]] + prices[:n]
             k = value.argmax()
-            best[c], choice[c] = value[k], k
-        if best[c - 1] >= best[c]:
-            best[c], choice[c] = best[c - 1], -2
-    out: dict[int, int] = {}
-    c = capacity
-    while c > 0 and choice[c] != -1:
-        if choice[c] == -2:
-            c -= 1
-        else:
-            k = int(choice[c])
-            out[k] = out.get(k, 0) + 1
-            c -= int(sizes[k])
-    return out
-
-
-def configurations(counts: dict[int, int], capacity: int, eta: float = 8.0, share: float = 0.25, soft_steps: int = 1200) -> list[tuple[dict[int, int], int]]:
-    """[(configuration {size: times}, sequences)], which together hold exactly counts {size: pieces}."""
-    sizes = np.array(sorted(counts), dtype=np.int64)
-    demand = np.array([counts[s] for s in sizes], dtype=np.int64)
-    left = demand.copy()
-    out: list[tuple[dict[int, int], int]] = []
-    if len(sizes) and sizes[-1] == capacity:
-        out.append(({int(capacity): 1}, int(left[-1])))
-        left[-1] = 0
-    step = 0
-    while left.any():
-        live = np.flatnonzero(left)
-        behind = left[live] / demand[live]
-        prices = sizes[live] / capacity * np.exp(eta * (behind - behind.max()) / max(1, eta / 4))
-        found = knapsack(prices, sizes[live], capacity)
-        times = {int(live[k]): n for k, n in found.items()}
-        most = min(int(left[k]) // n for k, n in times.items())
-        if most == 0:
-            times = {k: min(n, int(left[k])) for k, n in times.items()}
-            room = capacity - sum(int(sizes[k]) * n for k, n in times.items())
-            for k in live[::-1]:
-                while sizes[k] <= room and left[k] > times.get(int(k), 0):
-                    times[int(k)] = times.get(int(k), 0) + 1
-                    room -= int(sizes[k])
-            most = 1
-        elif step < soft_steps:
-            most = max(1, int(most * share))
-        for k, n in times.items():
-            left[k] -= n * most
-        out.append(({int(sizes[k]): n for k, n in times.items()}, most))
-        step += 1
-    return out
+            if value[k] > best[c]:
+                best[c], first[c] = value[k], k
+    return best, first
+
+
+def linear_program(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 40, eta: float = 4.0) -> tuple[dict[tuple, float], float]:
+    """({configuration (class, ...): sequences}, a lower bound for the number of sequences): fractional, at most counts of each class.
+
+    Multiplicative weights: each round covers 1/rounds of every class. A class's price is its size times a weight that
+    grows exponentially with how far it is behind; one knapsack program over these prices gives, for every class, the best
+    configuration that holds it. No round uses more than two shares of a class. Prices scaled so that no configuration is worth more
+    than 1 are a solution of the dual program, whose value is the bound.
+    """
+    used, bound = np.zeros(len(sizes)), float((sizes * counts).sum()) / capacity
+    out: dict[tuple, float] = {}
+    for t in range(rounds):
+        prices = sizes / capacity * np.exp(np.clip(eta * (t / rounds - used / counts), -20, 20))
+        best, first = knapsack(prices, sizes, capacity)
+        bound = max(bound, float((prices * counts).sum() / best[capacity]))
+        most = np.minimum(counts - used, 2 * counts / rounds)  # that may be used this round
+        share = np.minimum(counts - used, counts / rounds)
+        now = np.zeros(len(sizes))
+        for i in range(len(sizes) - 1, -1, -1):
+            if (want := share[i] - now[i]) <= 1e-9:
+                continue
+            times, c = {i: 1}, capacity - int(sizes[i])
+            while (k := int(first[c])) >= 0:
+                times[k] = times.get(k, 0) + 1
+                c -= int(sizes[k])
+            amount = min(want, *((most[k] - now[k]) / n for k, n in times.items()))
+            if amount > 1e-9:
+                for k, n in times.items():
+                    now[k] += n * amount
+                key = tuple(sorted(times.items(), reverse=True))
+                out[key] = out.get(key, 0.0) + amount
+        used += now
+    return out, bound
+
+
+def best_fit(open_: list[tuple[int, dict[int, int], int]], counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """[({size: times}, sequences)]: pieces of the given sizes put, largest first, where they leave the least room.
+
+    open_: (room, {size: times}, sequences) that are there already. Equal sequences are handled at once.
+    """
+    rooms: list[int] = []
+    by: dict[int, list[tuple[dict[int, int], int]]] = {}
+
+    def put(room: int, times: dict[int, int], n: int) -> None:
+        if room not in by:
+            by[room] = []
+            insort(rooms, room)
+        by[room].append((times, n))
+
+    for room, times, n in open_:
+        put(room, times, n)
+    for s in sorted(counts, reverse=True):
+        left = counts[s]
+        while left:
+            at = bisect_left(rooms, s)
+            if at == len(rooms):
+                room, times, n = capacity, {}, left
+            else:
+                room = rooms[at]
+                times, n = by[room].pop()
+                if not by[room]:
+                    del by[room], rooms[at]
+            k = min(room // s, left)  # as many as fit: what is left is again the least room
+            m = min(n, left // k)
+            if m < n and times:
+                put(room, times, n - m)
+            put(room - k * s, times | {s: times.get(s, 0) + k}, m)
+            left -= k * m
+    return [x for group in by.values() for x in group]
+
+
+def configurations(counts: dict[int, int], capacity: int) -> tuple[list[tuple[dict[int, int], int]], float]:
+    """([(configuration {size: times}, sequences)], a lower bound for their number), which together hold exactly counts {size: pieces}.
+
+    The linear program's solution is rounded along its running sum, so that the configurations' numbers keep to it; what this leaves
+    is put in by best fit. Best fit alone takes its place where it needs fewer sequences. A size over capacity stands alone.
+    """
+    alone = [({s: 1}, n) for s, n in counts.items() if s >= capacity]
+    counts = {s: n for s, n in counts.items() if s < capacity}
+    over = float(sum(n for _, n in alone))
+    if not counts:
+        return alone, over
+    sizes = np.array(sorted(counts), np.int64)
+    left = np.array([counts[s] for s in sizes.tolist()], np.int64)
+    solution, bound = linear_program(sizes, left.astype(np.float64), capacity)
+    filled, total, given = [], 0.0, 0
+    for key, amount in sorted(solution.items(), reverse=True):
+        total += amount
+        n = min(int(total + 0.5) - given, *(int(left[k]) // m for k, m in key))
+        given = int(total + 0.5)
+        if n > 0:
+            for k, m in key:
+                left[k] -= m * n
+            times = {int(sizes[k]): m for k, m in key}
+            filled.append((capacity - sum(s * m for s, m in times.items()), times, n))
+    rounded = best_fit(filled, {int(s): int(n) for s, n in zip(sizes, left, strict=True) if n}, capacity)
+    plain = best_fit([], counts, capacity)
+    return alone + min(rounded, plain, key=lambda x: sum(n for _, n in x)), over + bound
 
 
 def pack(cut: DataFrame, id_col: str = "doc_id", limit: int = 4096, width: int = 4) -> DataFrame:
@@ -125,7 +183,7 @@ def pack(cut: DataFrame, id_col: str = "doc_id", limit: int = 4096, width: int =
     cut = scratch(cut, "pieces").withColumn("_class", size)
     counts = {int(r[0]): int(r[1]) for r in cut.groupBy("_class").count().collect()}
     rows, first, used = [], 0, dict.fromkeys(counts, 0)
-    for times, n in configurations(counts, limit // width):
+    for times, n in configurations(counts, limit // width)[0]:
         k = 0
         for s in sorted(times, reverse=True):
             rows.append((s, used[s], first, times[s], k))
