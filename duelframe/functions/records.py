@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Callable, Iterator
+from itertools import chain
 from typing import Any
 
 import pandas as pd
@@ -12,13 +15,19 @@ from pyspark.sql.types import ArrayType, DoubleType, MapType, StringType
 
 
 def unfolded(value: Any) -> Any:
-    """value with every string that is itself a JSON object or array replaced by what it holds, at any depth."""
+    """value with every string that is itself a JSON object or array replaced by what it holds, at any depth.
+
+    A string that only looks like one ("{red|blue}") stays as it is.
+    """
     if isinstance(value, dict):
         return {k: unfolded(v) for k, v in value.items()}
     if isinstance(value, list):
         return [unfolded(v) for v in value]
     if isinstance(value, str) and (t := value.strip()) and t[0] + t[-1] in ("{}", "[]"):
-        return unfolded(json.loads(value))
+        try:
+            return unfolded(json.loads(value))
+        except ValueError:
+            return value
     return value
 
 
@@ -63,48 +72,63 @@ def prompt_of(entry: pd.Series) -> pd.Series:
 
 
 def labelled(text: str) -> tuple[str, float]:
-    """("name", 1.2) of "(Name:1.2)"."""
-    name, *rest = text.replace("(", "").replace(")", "").strip().split(":")
-    return " ".join(name.split()).lower(), float(rest[-1]) if rest else 1.0
+    """("name", 1.2) of "(Name:1.2)"; the weight is 1 where what follows the last colon is no number."""
+    plain = re.sub(r"[()]", "", text)
+    name, number = " ".join(plain.partition(":")[0].lower().split()), plain.rpartition(":")[2].strip()
+    return name, float(number) if ":" in plain and _NUMBER.fullmatch(number) else 1.0
+
+
+_NUMBER = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?", re.IGNORECASE)
 
 
 def _number(x: Any) -> bool:
     return isinstance(x, (int, float))
 
 
-def _scaled(x: Any, factor: float) -> Any:
-    return round(x * factor, 2) if isinstance(x, float) else x
+def _loras(value: Any, record: dict[str, Any]) -> Iterator[str]:
+    """"lora:name_weight" for each name; a single name has the record's lora_weight."""
+    if isinstance(value, str):
+        value = {value: record.get("lora_weight", 0)}
+    for name, weight in value.items() if isinstance(value, dict) else ():
+        if name:
+            yield f"lora:{labelled(str(name))[0]}_{round(float(weight) if _number(weight) else 0, 2)}"
+
+
+def _downwards(key: str, value: Any) -> Iterator[str]:
+    return _values(key, -abs(float(value))) if _number(value) else iter(())
+
+
+def _values(key: str, value: Any) -> Iterator[str]:
+    """"name:value" for a value, or for each item of a list; an item [name, weight] has both."""
+    name, weight = labelled(key)
+    for item in value if isinstance(value, (list, tuple)) else [value]:
+        match item:
+            case float():
+                shown = str(round(item * weight, 2))
+            case str() | int():
+                shown = str(item)
+            case [head, *rest]:
+                own, factor = labelled(str(head))
+                tail = rest[0] if rest else ""
+                shown = f"{own}_{round(tail * weight * factor, 2) if _number(tail) else tail}"
+            case _:
+                continue
+        yield f"{name}:{shown}".strip()
+
+
+#: What a field gives; all others give their values.
+_FIELDS: dict[str, Callable[[str, Any], Iterator[str]]] = {"lora": lambda *_: iter(()), "lora_weight": lambda *_: iter(()), "clip_skip": _downwards}
 
 
 def record_parameters(record: dict[str, Any]) -> list[str]:
-    """"name:value" strings of a record's fields.
+    """"name:value" strings of a record's fields, loras first.
 
     Floats are multiplied by the weight in the field's name and rounded to two places; lists give one string
     for each item, items [name, weight] one with both; clip_skip counts downwards; a lora is its name and weight.
+    Nulls and empty strings give nothing.
     """
-    out: list[str] = []
-    lora = record.get("lora")
-    if isinstance(lora, str) and lora:
-        lora = {lora: record.get("lora_weight", 0)}
-    if isinstance(lora, dict):
-        out += [f"lora:{labelled(str(n))[0]}_{round(float(w) if _number(w) else 0, 2)}" for n, w in lora.items() if n]
-    for key, value in record.items():
-        low = key.lower()
-        if low in ("lora", "lora_weight") or value is None or value == "":
-            continue
-        if low == "clip_skip":
-            if not _number(value):
-                continue
-            value = -abs(float(value))
-        name, weight = labelled(key)
-        for item in value if isinstance(value, (list, tuple)) else [value]:
-            if isinstance(item, str) or _number(item):
-                out.append(f"{name}:{_scaled(item, weight)}".strip())
-            elif isinstance(item, (list, tuple)) and item:
-                own, factor = labelled(str(item[0]))
-                w = item[1] if len(item) > 1 else ""
-                out.append(f"{name}:{own}_{round(w * weight * factor, 2) if _number(w) else w}".strip())
-    return out
+    fields = ((k, v) for k, v in record.items() if v is not None and v != "")
+    return [*_loras(record.get("lora"), record), *chain.from_iterable(_FIELDS.get(k.lower(), _values)(k, v) for k, v in fields)]
 
 
 @F.pandas_udf(ArrayType(StringType()))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,116 +16,95 @@ STOPWORDS = ("a", "an", "the", "in", "is", "at", "to", "by", "of")
 TRIMMED = " \t\n\r\"'`,;:.!?#<>[]{}()"
 IMPLICIT_WEIGHT = 1.1
 
+# How a number is written, and what is replaced in a term, in this order.
 _NUMBER = r"\d+\.?\d*"
-_EXPLICIT = re.compile(rf"\(\s*(.*?)\s*:\s*({_NUMBER})\s*\)")
+_REPLACED = ((r"\\", ""), (r"\s+", " "), (r"\|", ""))
+_TRAILING_WEIGHT = rf":\s*{_NUMBER}$"
+#: Text in parentheses: named with a number behind a colon, or bare.
+_WRAPPED = re.compile(rf"\((?:\s*(?P<named>.*?)\s*:\s*(?P<number>{_NUMBER})\s*|(?s:(?P<bare>.*)))\)")
 
 
 def paren_weight(text: str) -> tuple[str, float]:
     """(content, weight) of "(x:1.5)", of "(x)", which weighs 1.1, or of plain text."""
-    text = text.strip()
-    if m := _EXPLICIT.fullmatch(text):
-        return m[1].strip(), float(m[2])
-    if text.startswith("(") and text.endswith(")"):
-        return text[1:-1].strip(), IMPLICIT_WEIGHT
-    return text, 1.0
-
-
-class Splitter:
-    """Cuts text at marks and words outside of parentheses, and around top-level parentheses."""
-
-    def __init__(self, splitters: tuple[str, ...]):
-        self.marks = {s for s in splitters if not s.isalnum()}
-        self.words = sorted((s for s in splitters if s.isalnum()), key=len, reverse=True)
-
-    def _word_end(self, text: str, i: int) -> int | None:
-        """Where a splitter word ends that begins at i or after the blanks from i."""
-        begin = i
-        while begin < len(text) and text[begin].isspace():
-            begin += 1
-        for w in self.words:
-            end = begin + len(w)
-            if text.startswith(w, begin) and (end == len(text) or not text[end].isalnum()):
-                return end
-        return None
-
-    def cut(self, text: str) -> list[str]:
-        out: list[str] = []
-        begin = depth = i = 0
-
-        def close(end: int, then: int) -> None:
-            nonlocal begin
-            out.append(text[begin:end].strip())
-            begin = then
-
-        while i < len(text):
-            c = text[i]
-            if c == "(":
-                if depth == 0:
-                    close(i, i)
-                depth += 1
-            elif c == ")":
-                depth = max(0, depth - 1)
-                if depth == 0:
-                    close(i + 1, i + 1)
-            elif depth == 0:
-                if c in self.marks:
-                    close(i, i + 1)
-                elif (c.isspace() or i == 0) and (end := self._word_end(text, i)) is not None:
-                    close(i, end)
-                    i = end - 1
-            i += 1
-        close(len(text), len(text))
-        return [t for t in out if t]
-
-
-def weighted(text: str, weight: float, splitter: Splitter) -> list[tuple[str, float]]:
-    """Terms with their weights, parentheses opened from the outside in."""
-    text = text.strip()
-    if not text:
-        return []
-    if text[0] == "(" and text[-1] == ")":
-        inner, w = paren_weight(text)
-        return weighted(inner, w if ":" in text else weight * w, splitter)
-    out: list[tuple[str, float]] = []
-    for part in splitter.cut(text):
-        out += weighted(part, weight, splitter) if part[0] == "(" and part[-1] == ")" else [(part, weight)]
-    return out
+    m = _WRAPPED.fullmatch(text.strip())
+    if m is None:
+        return text.strip(), 1.0
+    return (m["bare"].strip(), IMPLICIT_WEIGHT) if m["number"] is None else (m["named"].strip(), float(m["number"]))
+
+
+@lru_cache
+def _lexer(splitters: tuple[str, ...]) -> re.Pattern:
+    """Finds parentheses, marks, and splitter words that follow a blank or begin the text."""
+    marks = "|".join(re.escape(s) for s in splitters if not s.isalnum())
+    words = "|".join(re.escape(s) for s in splitters if s.isalnum())
+    cuts = [c for c in (marks, rf"(?:\A\s*|\s+)(?:{words})(?![^\W_])" if words else "") if c]
+    return re.compile("|".join([r"(?P<open>\()", r"(?P<close>\))", *([f"(?P<cut>{'|'.join(cuts)})"] if cuts else [])]))
+
+
+def segments(text: str, lexer: re.Pattern) -> Iterator[str]:
+    """text cut at marks and words outside of parentheses, and around its outermost parentheses."""
+    begin = depth = 0
+    for m in lexer.finditer(text):
+        if m.lastgroup == "open":
+            depth += 1
+            if depth > 1:
+                continue
+            end = after = m.start()
+        elif m.lastgroup == "close":
+            depth = max(depth - 1, 0)
+            end = after = m.end()
+        else:
+            end, after = m.span()
+        if depth == 0 or m.lastgroup == "open":
+            yield text[begin:end]
+            begin = after
+    yield text[begin:]
+
+
+def weighted(text: str, splitters: tuple[str, ...]) -> Iterator[tuple[str, float]]:
+    """Terms with their weights, from left to right.
+
+    A stack holds what is still to be read: a stretch with the weight around it, and whether it may be cut. Parentheses
+    with a number set the weight, others multiply it by 1.1 (or set it to 1.1 if there is a colon anywhere inside).
+    """
+    stack = [(text, 1.0, True)]
+    while stack:
+        part, weight, whole = stack.pop()
+        part = part.strip()
+        if len(part) > 1 and _WRAPPED.fullmatch(part):
+            content, own = paren_weight(part)
+            stack.append((content, own if ":" in part else own * weight, True))
+        elif whole:
+            stack += [(s, weight, False) for s in reversed(list(segments(part, _lexer(splitters))))]
+        elif part:
+            yield part, weight
 
 
 def clean(term: str) -> str:
-    term = re.sub(r"\s+", " ", term.strip().replace("\\", "")).replace("|", "").strip(TRIMMED)
-    return re.sub(rf":\s*{_NUMBER}$", "", term).lower()
-
-
-def split_stopwords(terms: list, protected: set[str]) -> tuple[list, list]:
-    """(kept, stopwords)."""
-    stop = set(STOPWORDS) - protected
-    return [t for t in terms if t[0] and t[0] not in stop], [t for t in terms if t[0] in stop]
-
-
-def heaviest(terms: list) -> tuple[list, list]:
-    """(each term once, at its first place, with its largest weight and that one's index; the others)."""
-    best: dict[str, tuple] = {}
-    rest = []
-    for t in terms:
-        old = best.setdefault(t[0], t)
-        if old is not t:
-            loser = t
-            if t[1] > old[1]:
-                best[t[0]], loser = t, old
-            rest.append(loser)
-    return list(best.values()), rest
+    for pattern, new in _REPLACED:
+        term = re.sub(pattern, new, term)
+    return re.sub(_TRAILING_WEIGHT, "", term.strip(TRIMMED)).lower()
 
 
 def extract(text: str | None, connectors: tuple[str, ...] = ("and", "or"), splitters: tuple[str, ...] = (",", "but", "not")) -> dict[str, list]:
-    """terms, raw, filtered_out, stripped and duplicates of a prompt; all empty for null or empty text."""
-    if not text:
-        return {k: [] for k in _PARTS}
-    raw = [(t, float(w), i) for i, (t, w) in enumerate(weighted(text, 1.0, Splitter(splitters)))]
-    cleaned = [(clean(t), w, i) for t, w, i in raw]
-    kept, dropped = split_stopwords([t for t in cleaned if t[0]], set(connectors) | set(splitters))
-    terms, duplicates = heaviest(kept)
-    return {"terms": terms, "raw": raw, "filtered_out": dropped, "stripped": [t for t in cleaned if not t[0]], "duplicates": duplicates}
+    """terms, raw, filtered_out, stripped and duplicates of a prompt, each (term, weight, place); all empty for null or empty text.
+
+    A term that occurs again keeps its first position in terms, with the largest weight and that one's place; the other goes to duplicates.
+    Stopwords that are connectors or splitters are terms.
+    """
+    out: dict[str, list] = {p: [] for p in _PARTS}
+    best: dict[str, tuple[str, float, int]] = {}
+    dropped = set(STOPWORDS).difference(connectors, splitters)
+    for place, (raw, weight) in enumerate(weighted(text or "", splitters)):
+        out["raw"].append((raw, weight, place))
+        entry = (clean(raw), weight, place)
+        if entry[0] in dropped or not entry[0]:
+            out["filtered_out" if entry[0] else "stripped"].append(entry)
+        elif (held := best.setdefault(entry[0], entry)) is not entry:
+            best[entry[0]], loser = (entry, held) if weight > held[1] else (held, entry)
+            out["duplicates"].append(loser)
+    out["terms"] = list(best.values())
+    return out
 
 
 TERM = StructType().add("term", StringType()).add("weight", DoubleType()).add("idx", IntegerType())
@@ -152,9 +132,9 @@ def explode_terms(prompts: DataFrame, id_col: str, prompt_col: str) -> DataFrame
 
 def clean_column(c: Column) -> Column:
     """clean() as built-in expressions."""
-    s = F.regexp_replace(F.regexp_replace(F.trim(c), r"\\", ""), r"\s+", " ")
-    s = F.btrim(F.regexp_replace(s, r"\|", ""), F.lit(TRIMMED))
-    return F.lower(F.regexp_replace(s, rf":\s*{_NUMBER}$", ""))
+    for pattern, new in _REPLACED:
+        c = F.regexp_replace(c, pattern, new)
+    return F.lower(F.regexp_replace(F.btrim(c, F.lit(TRIMMED)), _TRAILING_WEIGHT, ""))
 
 
 def weight_columns(c: Column) -> tuple[Column, Column]:
