@@ -104,6 +104,48 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_BLOCKS = 256  # of a Bloom filter; a key's places are all in one
+
+
+def _bloom_places(keys: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    h, width = mix64(keys), np.uint64(bits // _BLOCKS)
+    for k in range(4):
+        yield (h >> np.uint64(56)) * width + (mix64(h + np.uint64(k)) & (width - np.uint64(1)))
+
+
+def bloom_filter(keys: DataFrame, most: int = 1 << 27) -> np.ndarray:
+    """A Bloom filter of a one-column table of longs, as bytes: about 12 bits for each row, at most `most` (a power of two) in all.
+
+    Each block is made by a task of its own. It is for tasks that would send rows to a join: what it lets through is joined all the same.
+    """
+    column = keys.columns[0]
+    bits = min(most, max(1 << 16, 1 << int(12 * max(1, keys.count())).bit_length()))
+    width = bits // _BLOCKS // 8
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array((mix64(b.column(0).to_numpy().view(np.uint64)) >> np.uint64(56)).astype(np.int32)), b.column(0)], names=["block", "h"])
+
+    def block(key: tuple, group: pa.Table) -> pa.Table:
+        mine, first = np.zeros(width, np.uint8), np.uint64(key[0].as_py() * width * 8)
+        for at in _bloom_places(group.column("h").to_numpy().view(np.uint64), bits):
+            np.bitwise_or.at(mine, ((at - first) >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), ((at - first) & np.uint64(7)).astype(np.uint8)))
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([mine.tobytes()], pa.binary())})
+
+    out = np.zeros(bits // 8, np.uint8)
+    for r in keys.select(column).mapInArrow(number, "block int, h long").groupBy("block").applyInArrow(block, "block int, bits binary").collect():
+        out[r[0] * width : (r[0] + 1) * width] = np.frombuffer(r[1], np.uint8)
+    return out
+
+
+def bloom_has(bloom: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the filter may have the keys; never wrong about those that it has."""
+    out = np.ones(len(keys), bool)
+    for at in _bloom_places(keys, len(bloom) * 8):
+        out &= (bloom[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return out
+
+
 class WordHash:
     """64-bit hashes of words (bytes), remembered in a bounded table."""
 

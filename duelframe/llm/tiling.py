@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import string
 from collections.abc import Iterator
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, read, text_bytes
+from .common import bloom_filter, bloom_has, mix64, read, scratch, slices, text_bytes
 
 _BASE = 0x9E3779B97F4A7C15
 _MARKS = string.punctuation + "«»“”„’‘…–—¿¡"
@@ -32,7 +33,7 @@ def window_hashes(ids: np.ndarray, size: int) -> np.ndarray:
     n = len(ids)
     if n < size:
         return np.zeros(0, np.uint64)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(ids.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n)[:n])])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(ids.view(np.uint64) + np.uint64(1)) * _powers(_BASE, n)[:n])])
     return (sums[size:] - sums[:-size]) * _powers(_INVERSE, n)[: n - size + 1]
 
 
@@ -41,9 +42,9 @@ def tiles(p: np.ndarray, t: np.ndarray, least: int) -> list[tuple[int, int, int]
 
     Each pass hashes the unmarked windows of one search length, extends equal ones and marks the longest
     matches first, none overlapping in p or in t; the search length then falls until it is `least`.
-    Ids below 0 equal nothing.
+    Equal ids are equal words.
     """
-    free_p, free_t = p >= 0, t >= 0
+    free_p, free_t = np.ones(len(p), bool), np.ones(len(t), bool)
     out: list[tuple[int, int, int]] = []
     size = min(len(p), len(t), max(least, 16))
     while size >= least:
@@ -75,9 +76,11 @@ def tiles(p: np.ndarray, t: np.ndarray, least: int) -> list[tuple[int, int, int]
         if longest > 2 * size:
             size = longest
             continue
-        found.sort(key=lambda m: (-m[0], m[1], m[2]))
+        found = [(-n, i, j) for n, i, j in found]
+        heapq.heapify(found)
         while found:
-            n, i, j = found.pop(0)
+            n, i, j = heapq.heappop(found)
+            n = -n
             ok = free_p[i : i + n] & free_t[j : j + n]
             if ok.all():
                 free_p[i : i + n] = False
@@ -87,117 +90,98 @@ def tiles(p: np.ndarray, t: np.ndarray, least: int) -> list[tuple[int, int, int]
             edges = np.flatnonzero(np.diff(np.concatenate([[0], ok.astype(np.int8), [0]])))
             for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
                 if b - a >= size:  # what is left of it, among those of its length
-                    k = next((k for k, m in enumerate(found) if m[0] < b - a), len(found))
-                    found.insert(k, (b - a, i + a, j + a))
+                    heapq.heappush(found, (a - b, i + a, j + a))
         if size == least:
             break
         size = max(least, size // 2)
     return out
 
 
-class Benchmark:
-    """The items' words as ids, and the items by the hash of each of their seeds."""
-
-    def __init__(self, items: list[tuple[int, str]], seed: int):
-        self.seed, self.vocabulary, self.items = seed, {}, []
-        for item, text in items:
-            words = [w for c in (text or "").encode().split() if (w := normal(c))]
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words], np.int64)
-            if len(ids) >= seed:
-                self.items.append((item, ids))
-        hashes = [window_hashes(ids, seed) for _, ids in self.items]
-        flat = np.concatenate([_seed_hashes(ids, seed) for _, ids in self.items]) if hashes else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
-        order = np.argsort(flat, kind="stable")
-        self.seeds, self.owner = flat[order], owner[order]
-        self.known: dict[bytes, int] = {}
-
-    def ids(self, text: bytes) -> np.ndarray:
-        """-1 for a word that no item has; chunks without a letter or digit are left out."""
+class Words:
+    """64-bit hashes of a text's words; chunks without a letter or digit are left out."""
+
+    def __init__(self, limit: int = 400_000):
+        self.known, self.limit = {}, limit
+
+    def __call__(self, text: bytes) -> np.ndarray:
+        import xxhash
+
         known, chunks = self.known, text.split()
-        if len(known) > 400_000:
+        if len(known) > self.limit:
             known.clear()
         for c in set(chunks).difference(known):
             w = normal(c)
-            known[c] = self.vocabulary.get(w, -1) if w else -2
-        ids = np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
-        return ids[ids != -2]
-
-    def candidates(self, ids: np.ndarray) -> np.ndarray:
-        """The items that share a seed with the text."""
-        ok = ids >= 0
-        full = np.concatenate([[0], np.cumsum(ok)])
-        if len(ids) < self.seed:
-            return np.zeros(0, np.int64)
-        at = np.flatnonzero(full[self.seed :] - full[: -self.seed] == self.seed)
-        if not len(at) or not len(self.seeds):
-            return np.zeros(0, np.int64)
-        h = np.unique(_seed_hashes(ids, self.seed, at))
-        a, b = np.searchsorted(self.seeds, h, "left"), np.searchsorted(self.seeds, h, "right")
-        return np.unique(np.concatenate([self.owner[x:y] for x, y in zip(a, b, strict=True)])) if (b > a).any() else np.zeros(0, np.int64)
-
-
-def _seed_hashes(ids: np.ndarray, size: int, at: np.ndarray | None = None) -> np.ndarray:
-    at = np.arange(len(ids) - size + 1) if at is None else at
-    h = np.zeros(len(at), np.uint64)
-    for k in range(size):
-        h = h * np.uint64(_BASE) + mix64(ids[at + k].astype(np.uint64) + np.uint64(1))
-    return h
-
-
-def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 5, threshold: float = 0.5, block_bytes: int = 32 << 20
-) -> DataFrame:
+            known[c] = xxhash.xxh3_64_intdigest(w.encode()) | 1 if w else 0
+        ids = np.fromiter(map(known.__getitem__, chunks), np.uint64, len(chunks))
+        return ids[ids != 0].view(np.int64)
+
+
+def seeds(words: np.ndarray, size: int) -> np.ndarray:
+    """The different hashes of all runs of size words."""
+    n = len(words) - size + 1
+    h = np.zeros(max(n, 0), np.uint64)
+    for k in range(size if n > 0 else 0):
+        h = mix64(h * np.uint64(_BASE) + words[k : k + n].view(np.uint64))
+    return np.unique(h).view(np.int64)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 5, threshold: float = 0.5, filter_bits: int = 1 << 27) -> DataFrame:
     """(id, item_id, coverage, n_items, contaminated) for every document.
 
     coverage: the largest part of a test item's words that tiles of at least `seed` words cover, whatever
     their order; item_id: that item (the smallest on a tie; null if none shares a seed); n_items: the items
-    covered by at least threshold; contaminated: n_items > 0. Candidate items come from a join on the hashes
-    of seed-word windows, so only pairs that share a seed are tiled. The items are a query set: they are
-    given to the tasks in blocks of at most block_bytes of text, each block compared with all documents.
-    Items under seed words and null texts match nothing; null and empty documents are clean; repeated rows
-    get the same result; null ids are handled like others; an empty benchmark leaves all clean.
+    covered by at least threshold; contaminated: n_items > 0. Candidate pairs come from a join of both sides' runs
+    of seed words; a filter of at most filter_bits bits spares the join those runs that no item has. Only such pairs are tiled.
+    Items under seed words and null texts match nothing; null and empty documents are clean; repeated rows, and
+    rows of one id with different texts, are compared each; null ids are handled like others; an empty benchmark leaves all clean.
+    Rows of one item id are items of their own with that id. Ids may have any type.
     """
-    spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
-    items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = int(size // block_bytes) + 1
-    schema = f"`{id_col}` {kind}, item_id long, coverage double, n_items long"
-    found = None
-    for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        shared = spark.sparkContext.broadcast([(int(r[0]), r[1]) for r in part.orderBy("item_id").collect()])
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            bench = Benchmark(shared.value, seed)
-            for b in batches:
-                best, cover, number = [], [], []
-                for text in text_bytes(b.column(1)):
-                    ids = bench.ids(text)
-                    item, most, n = None, 0.0, 0
-                    for c in bench.candidates(ids):
-                        name, words = bench.items[c]
-                        part = sum(x[2] for x in tiles(words, ids, seed)) / len(words)
-                        if item is None or (part, -name) > (most, -item):
-                            item, most = name, part
-                        n += part >= threshold
-                    best.append(item)
-                    cover.append(most)
-                    number.append(n)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(best, pa.int64()), pa.array(cover, pa.float64()), pa.array(number, pa.int64())], names=[id_col, "item_id", "coverage", "n_items"])
-
-        if blocks == 1:
-            found = docs.select(id_col, text_col).mapInArrow(run, schema)
-        else:
-            tagged = docs.select(F.struct(F.col(id_col), F.monotonically_increasing_id().alias("_r")).alias(id_col), text_col)
-            one = tagged.mapInArrow(run, f"`{id_col}` struct<`{id_col}`:{kind},_r:bigint>, item_id long, coverage double, n_items long")
-            found = one if found is None else found.union(one)
-    if blocks > 1:
-        best = F.max(F.struct("coverage", (-F.col("item_id")).alias("m"))).alias("b")
-        found = found.groupBy(id_col).agg(best, F.sum("n_items").alias("n_items"))
-        found = found.select(F.col(f"{id_col}.{id_col}").alias(id_col), (-F.col("b.m")).alias("item_id"), "b.coverage", "n_items")
-    return found.withColumn("contaminated", F.col("n_items") > 0)
+    kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
+
+    def read_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for b in batches:
+            ids = [words(t) for t in text_bytes(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([seeds(x, seed) for x in ids], pa.list_(pa.int64()))], names=["item_id", "words", "seeds"])
+
+    items = benchmark.where("text is not null and item_id is not null").select("item_id", "text").mapInArrow(read_items, f"item_id {item_kind}, words binary, seeds array<long>")
+    items = scratch(items.where("size(seeds) > 0").withColumn("item", F.xxhash64("item_id", "words")).dropDuplicates(["item"]), "items")
+    item_seeds = scratch(items.select("item", F.explode("seeds").alias("h")), "item-seeds")
+    known = bloom_filter(item_seeds.select("h"), filter_bits)
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def read_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, some = Words(), shared.value
+        for b in batches:
+            for part in slices(b, 2, 1000, 8 << 20):
+                held, found = [], []
+                for text in text_bytes(part.column(2)):
+                    ids = words(text)
+                    h = seeds(ids, seed)
+                    h = h[bloom_has(some, h.view(np.uint64))]
+                    held.append(ids.tobytes() if len(h) else None)
+                    found.append(h)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(held, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["rid", "id", "words", "seeds"])
+
+    tagged = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    base = scratch(tagged.mapInArrow(read_docs, f"rid long, id {kind}, words binary, seeds array<long>"), "seeded")
+    asked = base.where("words is not null")
+    pairs = asked.select("rid", F.explode("seeds").alias("h")).join(item_seeds, "h").select("rid", "item").distinct()
+    pairs = pairs.join(asked.select("rid", "words"), "rid").join(items.select("item", "item_id", F.col("words").alias("own")), "item")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            share = []
+            for own, words in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                p, t = np.frombuffer(own, np.int64), np.frombuffer(words, np.int64)
+                share.append(sum(x[2] for x in tiles(p, t, seed)) / len(p))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(share, pa.float64())], names=["rid", "item_id", "share"])
+
+    tiled = pairs.select("rid", "item_id", "own", "words").mapInArrow(compare, f"rid long, item_id {item_kind}, share double")
+    most = tiled.groupBy("rid").agg(F.max("share").alias("coverage"), F.min_by("item_id", F.struct(-F.col("share"), "item_id")).alias("item_id"), F.sum((F.col("share") >= threshold).cast("long")).alias("n_items"))
+    out = base.select("rid", "id").join(scratch(most, "tiled"), "rid", "left")
+    n = F.coalesce("n_items", F.lit(0)).cast("long")
+    return out.select(F.col("id").alias(id_col), "item_id", F.coalesce("coverage", F.lit(0.0)).alias("coverage"), n.alias("n_items"), (n > 0).alias("contaminated"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
