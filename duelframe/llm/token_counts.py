@@ -10,16 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import arrow_map, read, text_bytes, vocabulary
 
-_LETTERS = "A-Za-z0-9À-ÖØ-öø-ɏ"
-_SAFE = re.compile(f"(?<=[{_LETTERS}]) (?=[{_LETTERS}])")
+#: Before white space that follows something else, and between a letter or digit and a mark (but for that in special tokens).
+_SAFE = re.compile(r"(?<=\S)(?=\s)|(?<=[^\W_])(?=[^\w\s|])")
 _TOKENIZERS: dict = {}
 
 
 def safe_pieces(text: str, size: int) -> list[str]:
-    """text cut into pieces of about size characters where the pre-tokenizer always splits.
+    """text cut into pieces of about size characters where the pre-tokenizer always splits, in any script.
 
-    Such a place is a blank between two letters or digits: the pre-token before it ends there, and the
-    blank begins the next one. A text without such a place stays whole.
+    Its pre-tokens are white space, or letters, digits or marks with at most one blank before them: none goes on over a place
+    where white space begins or where a mark follows a letter. A text without such a place stays whole.
     """
     if len(text) <= size:
         return [text]
@@ -58,7 +58,7 @@ def _lengths(path: str, texts: list[str], piece: int, batch_bytes: int) -> np.nd
         for p in safe_pieces(text, piece) if text else ():
             batch.append(p)
             owner.append(k)
-            held += len(p)
+            held += len(p) if p.isascii() else len(p.encode())
             if held >= batch_bytes:
                 flush()
     flush()
