@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 from sql_twin import same_as_sql  # isort: skip
 
-from duelframe.llm import induced, packing, sentence_spans, substring_dedup, tiling, token_counts, training_order
+from duelframe.llm import induced, jaccard, packing, sentence_spans, substring_dedup, tiling, token_counts, training_order
 from duelframe.llm.common import ChunkEncoder, vocabulary
 
 BYTES, WORDS = vocabulary("byte_bpe_50k.json"), vocabulary("word_bpe_49k.json")
@@ -25,6 +25,13 @@ def test_token_counts(spark, sf, odd_docs, no_docs):
         got = token_counts.count_tokens(df, BYTES, piece=500, batch_bytes=5000).collect()
         assert sorted(((r.doc_id, r.n_bytes, r.n_tokens) for r in got), key=repr) == want
         assert all(r.over_limit == (r.n_tokens > 1024) for r in got)
+    rng = random.Random(4)
+    parts = ["漢字", "。", "、", "привет", " ", "\n", "  ", "'s", "don't", "<|endoftext|>", "|", "_", "9", "²", "é", "e\u0301", "\u00a0", "\x1c", "x", "!?", "مرحبا", "\t", "😀"]
+    for _ in range(500):  # cut at every place that counts as safe
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(60)))
+        assert int(token_counts._lengths(BYTES, [text], 1, 100)[0]) == len(t.encode(text, add_special_tokens=False).ids)
+    assert len(token_counts.safe_pieces("привет мир. " * 20_000, 1000)) > 200 and len(token_counts.safe_pieces("漢字漢字。" * 20_000, 1000)) > 90
+    assert token_counts.safe_pieces("x" * 5000, 1000) == ["x" * 5000]
     assert token_counts.count_tokens(no_docs, BYTES).count() == 0
 
 
@@ -60,15 +67,36 @@ def test_packing(spark, sf, odd_docs, no_docs):
     assert packing.pack_documents(no_docs, WORDS).count() == 0
 
 
-def test_configurations_use_every_piece():
+def test_configurations_use_every_piece_and_keep_to_the_bound():
     rng = random.Random(1)
-    counts = {s: rng.randint(1, 50) for s in rng.sample(range(1, 129), 60)}
-    used = {}
-    for times, n in packing.configurations(counts, 128):
-        assert sum(s * k for s, k in times.items()) <= 128
-        for s, k in times.items():
-            used[s] = used.get(s, 0) + k * n
-    assert used == counts
+    cases = [{s: rng.randint(1, 50) for s in rng.sample(range(1, 129), 60)} for _ in range(5)]
+    cases += [{s: 50 for s in range(1, 129)}, {s: rng.randint(1, 5000) for s in range(30, 70)}, {128: 3, 200: 2}, {43: 1000, 42: 1000, 86: 300}, {}]
+    for counts in cases:
+        used = {}
+        found, bound = packing.configurations(counts, 128)
+        for times, n in found:
+            assert sum(s * k for s, k in times.items()) <= 128 or list(times) == [200]
+            for s, k in times.items():
+                used[s] = used.get(s, 0) + k * n
+        assert used == counts
+        plain = sum(n for _, n in packing.best_fit([], {s: n for s, n in counts.items() if s < 128}, 128)) + sum(n for s, n in counts.items() if s >= 128)
+        number = sum(n for _, n in found)
+        assert bound - 1e-6 <= number <= plain
+    # two of 43 and one of 42, and so on: known optimum
+    assert sum(n for _, n in packing.configurations({64: 1000, 32: 2000, 16: 4000}, 128)[0]) == 1500
+    fixed = packing.configurations({43: 2000, 42: 1000}, 128)
+    assert sum(n for _, n in fixed[0]) == 1000 and abs(fixed[1] - 1000) < 1
+
+
+def test_packing_takes_any_limit(spark):
+    rows = [(i, n) for i, n in enumerate([4095, 4094, 1, 2, 3, 4000, 95])]
+    cut = spark.createDataFrame(rows, "doc_id long, length long").selectExpr("*", "0 AS piece", "0L AS start")
+    for limit in (4095, 4097, 4096):
+        got = packing.pack(cut, limit=limit).collect()
+        by = {}
+        for r in got:
+            by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        assert len(got) == len(rows) and all(sum(n for _, n in v) <= limit for v in by.values())
 
 
 def test_permutation():
@@ -94,27 +122,25 @@ def test_training_order_round_trip(spark, odd_docs, no_docs, tmp_path):
     assert training_order.write_training_order(no_docs, str(tmp_path / "none"), vocabulary("byte_bpe_50k.tiktoken")) == 0
 
 
-def plain_spans(rows, min_sentences=2, min_words=16):
+def every_run(rows, min_sentences=2, min_words=16, alone=50):
     seen, out = {}, {}
     for i, text in sorted(rows):
         parts, words = sentence_spans.split(text)
         gone = set()
         for a in range(len(parts)):
-            for b in range(a + min_sentences - 1, len(parts)):
-                if sum(map(len, words[a : b + 1])) >= min_words:
-                    key = tuple(tuple(w) for w in words[a : b + 1])
-                    if key in seen and seen[key] != (i, a):
+            for b in range(a, len(parts)):
+                n = sum(map(len, words[a : b + 1]))
+                if n >= min_words and b - a + 1 >= min_sentences or a == b and n >= alone:
+                    if seen.setdefault(tuple(tuple(w) for w in words[a : b + 1]), (i, a)) != (i, a):
                         gone.update(range(a, b + 1))
-                    seen.setdefault(key, (i, a))
-                    break
         out[i] = (len(parts), len(gone), b"".join(p for k, p in enumerate(parts) if k not in gone))
     return out
 
 
 def test_sentence_spans(spark, sf, duck, odd_docs, no_docs):
     same_as_sql(duck, sentence_spans.op5_substring_dedup(spark, sf), sentence_spans.OP5_SQL)
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    want = plain_spans([(r.doc_id, r.text.encode()) for r in docs.collect()])
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) < 6000")
+    want = every_run([(r.doc_id, r.text.encode()) for r in docs.collect()])
     for r in sentence_spans.drop_repeated_spans(docs).collect():
         assert want[r.doc_id] == (r.n_sentences, r.n_removed, r.text.encode())
     out = sentence_spans.drop_repeated_spans(odd_docs)
@@ -128,18 +154,21 @@ def test_sentence_spans(spark, sf, duck, odd_docs, no_docs):
     assert sentence_spans.drop_repeated_spans(no_docs).count() == 0
 
 
-def every_run(rows, min_sentences=2, min_words=16):
-    seen, out = {}, {}
-    for i, text in sorted(rows):
-        parts, words = sentence_spans.split(text)
-        gone = set()
-        for a in range(len(parts)):
-            for b in range(a + min_sentences - 1, len(parts)):
-                if sum(map(len, words[a : b + 1])) >= min_words:
-                    if seen.setdefault(tuple(tuple(w) for w in words[a : b + 1]), (i, a)) != (i, a):
-                        gone.update(range(a, b + 1))
-        out[i] = (len(parts), len(gone), b"".join(p for k, p in enumerate(parts) if k not in gone))
-    return out
+def test_rows_of_one_id_with_different_texts(spark):
+    long = "".join(f"Sentence number {k} of a rather long text that is here for the test, word {k * 7}. " for k in range(30))
+    rows = [(1, "Something else entirely."), (2, long), (2, "short one."), (2, None), (3, long), (3, long), (3, "short two.")]
+    for df in (spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(f"id{i}", t) for i, t in rows], "doc_id string, text string")):
+        got = sorted(((str(r.doc_id)[-1], r.n_bytes, r.n_removed) for r in substring_dedup.remove_repeats(df).collect()))
+        repeated = [n for i, n, m in got if m == n and n]
+        assert len(got) == 7 and ("2", 10, 0) in got and ("2", len(long), 0) in got and repeated == [len(long)] * 2
+        got = sorted((str(r.doc_id)[-1], r.text) for r in sentence_spans.drop_repeated_spans(df).select("doc_id", "text").where("text is not null").collect())
+        assert got == sorted([("1", rows[0][1]), ("2", long), ("2", "short one."), ("3", ""), ("3", ""), ("3", "short two.")])
+        kept = sorted(str(r.doc_id)[-1] + (r.text or "")[:5] for r in jaccard.drop_near_duplicates(df).collect())
+        assert kept == ["1Somet", "2", "2Sente", "2short", "3short"]
+        links = {(str(r.doc_id)[-1], str(r.class_id)[-1], r.n_links) for r in jaccard.jaccard_links(df).collect()}
+        assert ("3", "2", 0) in links and ("1", "1", 0) in links
+        found = tiling.decontaminate(df, spark.createDataFrame([("t", long[:500])], "item_id string, text string")).where("contaminated").collect()
+        assert sorted(str(r.doc_id)[-1] for r in found) == ["2", "3", "3"]
 
 
 def test_sentence_spans_of_every_run(spark):
@@ -151,7 +180,7 @@ def test_sentence_spans_of_every_run(spark):
         rows.append((i, "".join(pool[a : a + rng.randrange(1, 10)] + rng.choices(pool, k=rng.randrange(8)))))
     want = every_run([(i, t.encode()) for i, t in rows])
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r.n_sentences, r.n_removed, r.text.encode()) for r in sentence_spans.drop_repeated_spans(df, whole=True).collect()}
+    got = {r.doc_id: (r.n_sentences, r.n_removed, r.text.encode()) for r in sentence_spans.drop_repeated_spans(df).collect()}
     assert got == want and got[1][2] == b""
     tail = [(1, "w " * 9 + "x. " + "y " * 9 + "z. Stub one. Stub two.", "en", "s", 1), (2, "w " * 9 + "x. " + "y " * 9 + "z. Stub one. Stub two. Another end.", "en", "s", 1)]
     docs = spark.createDataFrame(tail, "doc_id long, text string, lang string, source string, n_chars long")
@@ -245,15 +274,28 @@ def plain_tiles(p, t, least):
 
 def test_tiles_cover_like_plain_ones():
     rng = random.Random(3)
-    for _ in range(60):
+    for _ in range(200):
         p = np.array([rng.randrange(6) for _ in range(rng.randrange(4, 30))])
-        t = np.array([rng.randrange(-1, 6) for _ in range(rng.randrange(40))] + p.tolist()[len(p) // 2 :] + [7] + p.tolist()[: len(p) // 2])
+        t = np.array([rng.randrange(6) for _ in range(rng.randrange(40))] + p.tolist()[len(p) // 2 :] + [7] + p.tolist()[: len(p) // 2])
         found = tiling.tiles(p, t, 3)
         for i, j, n in found:
             assert n >= 3 and p[i : i + n].tolist() == t[j : j + n].tolist()
         used = [x for i, _, n in found for x in range(i, i + n)]
         assert len(used) == len(set(used))
-        assert abs(len(used) - plain_tiles(p.tolist(), t.tolist(), 3)) <= 3
+        assert len(used) == plain_tiles(p.tolist(), t.tolist(), 3)
+
+
+def plain_decontamination(docs, items, seed=5, threshold=0.5):
+    words = tiling.Words()
+    held = [(i, words((t or "").encode())) for i, t in items if i is not None]
+    out = []
+    for i, text in docs:
+        t = words((text or "").encode())
+        runs = {tuple(t[k : k + seed].tolist()) for k in range(len(t) - seed + 1)}
+        share = [(sum(x[2] for x in tiling.tiles(p, t, seed)) / len(p), j) for j, p in held if any(tuple(p[k : k + seed].tolist()) in runs for k in range(len(p) - seed + 1))]
+        best = max((s for s, _ in share), default=0.0)
+        out.append((i, min((j for s, j in share if s == best), default=None), best, sum(s >= threshold for s, _ in share)))
+    return sorted(out, key=repr)
 
 
 @pytest.fixture(scope="module")
@@ -270,9 +312,10 @@ def test_decontamination(spark, sf, bench, odd_docs, no_docs):
     assert not got[2].contaminated and round(got[2].coverage, 3) == 0.333
     assert got[3].contaminated and got[3].item_id == 2
     assert not got[4].contaminated and got[4].item_id is None
-    one = tiling.decontaminate(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet"))
-    many = tiling.decontaminate(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet"), block_bytes=1000)
-    assert sorted(map(tuple, one.collect()), key=repr) == sorted(map(tuple, many.select(*one.columns).collect()), key=repr)
-    assert one.where("contaminated").count() > 0
+    texts, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    want = plain_decontamination([(r.doc_id, r.text) for r in texts.collect()], [(r.item_id, r.text) for r in items.collect()])
+    for bits in (1 << 27, 1 << 11):  # a filter that lets nearly everything through changes nothing
+        got = [(r.doc_id, r.item_id, r.coverage, r.n_items) for r in tiling.decontaminate(texts, items, filter_bits=bits).collect()]
+        assert sorted(got, key=repr) == want and any(r[3] for r in got)
     assert tiling.decontaminate(odd_docs, bench).count() == 11 and tiling.decontaminate(no_docs, bench).count() == 0
     assert tiling.decontaminate(odd_docs, bench.where("false")).where("contaminated").count() == 0
