@@ -1,32 +1,26 @@
 """The win-loss digraph: components, strong components, extremes, chains and reachability.
 
 Edges are (winner, loser). Components, extremes and reachability are iterated joins over DataFrames, with
-lineage cut by checkpoints in the shared folder. Strong components and chains are found per weak component by a
+results written to the shared folder. Strong components and chains are found per weak component by a
 grouped function, after acyclic parts are trimmed; see `chains` for what that means for a giant component.
 """
 
 from __future__ import annotations
 
-import tempfile
 from collections import defaultdict
+from functools import reduce
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RANKING
+from ..scratch import scratch
+from .connected import connected_components
 from .tables import with_loser
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in the shared folder."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="duelframe-"))
-    return df.checkpoint()
-
-
 def edges(comparisons: DataFrame) -> DataFrame:
     """Different (winner, loser), without self-links."""
     return with_loser(comparisons).where("winner <> loser").select("winner", "loser").distinct()
@@ -44,25 +38,10 @@ def extremes(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return j.select("node", F.col("_l").isNull().alias("is_top"), F.col("_w").isNull().alias("is_bottom"))
 
 
-def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component): component is the smallest node reachable, edges taken both ways.
-
-    Each round takes the least label around, then follows labels to their own label; the number of rounds
-    grows with the logarithm of a component's diameter in practice.
-    """
-    both = links.select(F.col("winner").alias("a"), F.col("loser").alias("b")).union(links.select("loser", "winner")).distinct()
-    both = _cut(both)
-    labels = _cut(nodes.select("node", F.col("node").alias("component")).distinct())
-    for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
-        new = labels.join(near, "node", "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"), F.col("component").alias("old"))
-        up = new.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        new = _cut(new.join(up, "component", "left").select("node", F.least("component", F.coalesce("root", "component")).alias("component"), "old"))
-        changed = new.where("component <> old").limit(1).count()
-        labels = new.select("node", "component")
-        if not changed:
-            return labels
-    raise RuntimeError("components did not converge")
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component): component is the smallest node reachable, edges taken both ways; nodes without links are their own."""
+    found = connected_components(links, "winner", "loser")
+    return scratch(nodes.distinct().join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels")
 
 
 def component_sizes(labels: DataFrame, ends: DataFrame) -> DataFrame:
@@ -83,20 +62,26 @@ def links_of(links: DataFrame, node: str) -> DataFrame:
     return beat.union(links.where(F.col("loser") == node).select("winner", F.lit("better"))).distinct()
 
 
-def levels(nodes: DataFrame, links: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """(node, level): length of the longest path from a top, for acyclic links; a topological order. Cyclic links raise."""
-    level = _cut(nodes.select("node", F.lit(0).alias("level")))
-    for _ in range(rounds):
-        push = links.join(level, links["winner"] == level["node"]).groupBy(F.col("loser").alias("node")).agg((F.max("level") + 1).alias("l"))
-        new = level.join(push, "node", "left").select("node", F.greatest("level", F.coalesce("l", "level")).alias("level"), F.col("level").alias("old"))
-        new = _cut(new)
-        level = new.select("node", "level")
-        top, changed = new.agg(F.max("level"), F.count_if(F.col("level") > F.col("old"))).first()
-        if not changed:
-            return level
-        if top >= new.count():
+def levels(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, level): length of the longest path from a top, for acyclic links; a topological order. Cyclic links raise.
+
+    Peeled from the tops: each round gives its number to the nodes that no remaining link leads to and drops their links, so
+    a link is read only until its winner is peeled. A round that peels nothing finds a cycle.
+    """
+    left, done = links.select("winner", "loser").distinct(), []
+    rest, level = nodes.distinct(), 0
+    while True:
+        blocked = left.select(F.col("loser").alias("node")).distinct()
+        top = scratch(rest.join(blocked, "node", "left_anti").select("node", F.lit(level).alias("level")), "level")
+        if top.isEmpty():
+            if not rest.isEmpty():
+                raise ValueError("the links have a cycle")
             break
-    raise ValueError("the links have a cycle")
+        done.append(top)
+        rest = scratch(rest.join(top, "node", "left_anti").select("node"), "rest")
+        left = scratch(left.join(top.select(F.col("node").alias("winner")), "winner", "left_anti").select("winner", "loser"), "rest-links")
+        level += 1
+    return reduce(DataFrame.union, done) if done else nodes.select("node", F.lit(0).alias("level"))
 
 
 def reachable(links: DataFrame, starts: DataFrame, depth: int = RANKING.transitive_depth) -> DataFrame:
@@ -105,7 +90,7 @@ def reachable(links: DataFrame, starts: DataFrame, depth: int = RANKING.transiti
     seen = front.withColumn("depth", F.lit(0))
     for d in range(1, depth + 1):
         step = front.join(links, front["node"] == links["winner"]).select("start", F.col("loser").alias("node")).distinct()
-        front = _cut(step.join(seen.select("start", "node"), ["start", "node"], "left_anti"))
+        front = scratch(step.join(seen.select("start", "node"), ["start", "node"], "left_anti"))
         seen = seen.union(front.withColumn("depth", F.lit(d)))
     return seen.where("depth > 0")
 
@@ -189,41 +174,57 @@ def condensation(scc: DataFrame, links: DataFrame) -> DataFrame:
     return links.join(w, "winner").join(lo, "loser").where("ws <> ls").select(F.col("ws").alias("winner"), F.col("ls").alias("loser")).distinct()
 
 
-def _longest(order: list[list[str]], step: dict[str, list[str]], part: dict[str, int], is_end) -> dict[str, tuple[str, ...]]:
-    """For each node the path along `step` that reaches an end, or else the longest one; strong parts come in the order given.
+def _longest(order: list[list[str]], step: dict[str, list[str]], part: dict[str, int], is_end) -> dict[str, tuple[str | None, int, bool]]:
+    """(next node, length, whether it reaches an end) of each node's path along `step` that reaches an end, or else the longest one.
 
-    Paths are linked by their next node. Inside a strong part a path may go on through members until it leaves;
+    Strong parts come in the order given. Inside a strong part a path may go on through members until it leaves;
     members are settled outwards from those that can leave, so no node is entered twice.
     """
-    path: dict[str, tuple[str, ...]] = {}
-
-    def better(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
-        return (is_end(a[-1]), len(a)) > (is_end(b[-1]), len(b))
-
+    path: dict[str, tuple[str | None, int, bool]] = {}
     for members in order:
         inside = defaultdict(list)
         for n in members:
-            best = (n,)
+            best = (None, 1, is_end(n))
             for m in step.get(n, ()):
                 if part[m] == part[n]:
                     inside[m].append(n)
-                elif better((n, *path[m]), best):
-                    best = (n, *path[m])
+                elif (path[m][2], path[m][1] + 1) > (best[2], best[1]):
+                    best = (m, path[m][1] + 1, path[m][2])
             path[n] = best
         if len(members) > 1:
-            front = sorted((n for n in members if len(path[n]) > 1), key=lambda n: (not is_end(path[n][-1]), -len(path[n]), n))
+            front = sorted((n for n in members if path[n][1] > 1), key=lambda n: (not path[n][2], -path[n][1], n))
             settled = set(front)
             for n in front:  # grows while it is read
                 for m in inside[n]:
                     if m not in settled:
                         settled.add(m)
-                        path[m] = (m, *path[n])
+                        path[m] = (n, path[n][1] + 1, path[n][2])
                         front.append(m)
     return path
 
 
-def chain_lists(nodes: list[str], down: dict[str, list[str]], up: dict[str, list[str]]) -> dict[str, tuple[str, ...]]:
-    """Each node's main chain: the best way up from it, turned round, then the best way down; no node twice."""
+_PRIME, _STEP = (1 << 61) - 1, 1_000_003
+
+
+def _hashes(path: dict[str, tuple[str | None, int, bool]], order: list[str], own: dict[str, int], downwards: bool) -> dict[str, int]:
+    """A hash of each node's path as a sequence from the top down; order has a node's next one before it."""
+    out: dict[str, int] = {}
+    for n in order:
+        m, length, _ = path[n]
+        if m is None:
+            out[n] = own[n]
+        elif downwards:
+            out[n] = (own[n] * pow(_STEP, length - 1, _PRIME) + out[m]) % _PRIME
+        else:
+            out[n] = (out[m] * _STEP + own[n]) % _PRIME
+    return out
+
+
+def main_chains(nodes: list[str], down: dict[str, list[str]], up: dict[str, list[str]]) -> list[tuple[tuple[str, ...], list[str]]]:
+    """[(chain, the nodes it is the main chain of)]: the best way up from a node, turned round, then the best way down; no node twice.
+
+    Paths are kept as next nodes; nodes with the same chain are found by hashes of their paths, and each chain is written out once.
+    """
     part = strong_parts(nodes, down)
     groups = defaultdict(list)
     for n in nodes:
@@ -231,28 +232,41 @@ def chain_lists(nodes: list[str], down: dict[str, list[str]], up: dict[str, list
     order = [groups[k] for k in sorted(groups)]  # losers' parts first
     fall = _longest(order, down, part, lambda n: not down.get(n))
     rise = _longest(order[::-1], up, part, lambda n: not up.get(n))
-    out = {}
-    for n in nodes:
-        head = rise[n][:0:-1]
-        seen = set(head)
-        out[n] = (*head, *(x for x in fall[n] if x not in seen))
-    return out
+    own = {n: int.from_bytes(blake2b(n.encode(), digest_size=7).digest(), "big") for n in nodes}
+    below = _hashes(fall, sorted(nodes, key=lambda n: fall[n][1]), own, True)
+    above = _hashes(rise, sorted(nodes, key=lambda n: rise[n][1]), own, False)
+    same = defaultdict(list)
+    for n in nodes:  # the node itself is in both paths
+        length = fall[n][1]
+        key = (above[n] * pow(_STEP, length - 1, _PRIME) + below[n] - own[n] * pow(_STEP, length - 1, _PRIME)) % _PRIME
+        same[rise[n][1] + length, key].append(n)
+    out = defaultdict(list)
+    for owners in same.values():
+        head, at = [], rise[owners[0]][0]
+        while at is not None:
+            head.append(at)
+            at = rise[at][0]
+        head.reverse()
+        seen, at = set(head), owners[0]
+        while at is not None:
+            if at not in seen:
+                head.append(at)
+            at = fall[at][0]
+        out[tuple(head)] += owners
+    return sorted((c, sorted(v)) for c, v in out.items())
 
 
 def chains(labels: DataFrame, links: DataFrame) -> DataFrame:
     """(component, chain_id, nodes, length, owners): the different main chains and the nodes they are main for.
 
-    One task handles one weak component; a component must fit a worker (about 1 KB a node), and chain ids are
+    One task handles one weak component, whose links and chains must fit a worker (some 300 bytes a link), and chain ids are
     the component and the chain's place among its chains, so they do not depend on partitioning.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes, down, up = _graph(pdf)
-        owners = defaultdict(list)
-        for n, c in chain_lists(nodes, down, up).items():
-            owners[c].append(n)
         comp = pdf["component"].iloc[0]
-        rows = [(comp, f"{comp}#{i}", list(c), len(c), owners[c]) for i, c in enumerate(sorted(owners))]
+        rows = [(comp, f"{comp}#{i}", list(c), len(c), owners) for i, (c, owners) in enumerate(main_chains(nodes, down, up))]
         return pd.DataFrame(rows, columns=["component", "chain_id", "nodes", "length", "owners"])
 
     return _grouped(labels, links).groupBy("component").applyInPandas(run, "component string, chain_id string, nodes array<string>, length long, owners array<string>")
@@ -297,9 +311,10 @@ def common_chain(pairs: DataFrame, chain: DataFrame) -> DataFrame:
 def same_path(pairs: DataFrame, links: DataFrame, labels: DataFrame, chain: DataFrame | None = None, depth: int = RANKING.transitive_depth) -> DataFrame:
     """pairs (a, b) with same_path: a shared main chain, or one reaches the other within depth wins."""
     both = pairs.select("a", "b").distinct()
-    starts = both.select(F.col("a").alias("node")).union(both.select("b")).distinct()
-    near = reachable(links, starts, depth).select(F.col("start").alias("a"), F.col("node").alias("b"))
-    hit = both.join(near, ["a", "b"], "left_semi").union(both.join(near.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_semi"))
+    starts = scratch(both.select(F.col("a").alias("node")).distinct(), "starts")  # searched both ways, so that the partners need no search of their own
+    back = links.select(F.col("loser").alias("winner"), F.col("winner").alias("loser"))
+    near = reachable(links, starts, depth).union(reachable(back, starts, depth)).select(F.col("start").alias("a"), F.col("node").alias("b")).distinct()
+    hit = both.join(near, ["a", "b"], "left_semi")
     hit = hit.union(both.where("a = b"))
     if chain is not None:
         hit = hit.union(common_chain(both, chain).select("a", "b"))

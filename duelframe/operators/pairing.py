@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import RANKING
 from ..functions.rating_math import conservative
+from ..scratch import scratch
 from . import graph
 from .tables import only_losers, only_winners
 
@@ -137,8 +138,8 @@ def chain_merge(cand: DataFrame, chain: DataFrame, edges: DataFrame, labels: Dat
     order = [F.asc("la"), F.asc("ca"), F.desc("lb"), F.desc("cb"), F.asc("a"), F.asc("b")]
     done, size = 0, block
     while True:
-        some = graph._cut(p.orderBy(*order).offset(done).limit(size))
-        found = graph._cut(_one(graph.same_path(some, edges, labels, chain).where("not same_path").orderBy(*order), "chain_merge"))
+        some = scratch(p.orderBy(*order).offset(done).limit(size))
+        found = scratch(_one(graph.same_path(some, edges, labels, chain).where("not same_path").orderBy(*order), "chain_merge"))
         if found.count() or some.count() < size:
             return found
         done, size = done + size, min(size * 4, 1 << 20)
@@ -161,19 +162,25 @@ def fallback(cand: DataFrame, links: DataFrame) -> DataFrame:
     """
     n = links.count()
     some = cand.orderBy("n", "filename").limit(int((2 * n) ** 0.5) + 3)
-    w = W.orderBy("n", "filename")
-    ranked = some.withColumn("r", F.row_number().over(w))
-    a, b = ranked.select(F.col("filename").alias("a"), F.col("r").alias("ra")), ranked.select(F.col("filename").alias("b"), F.col("r").alias("rb"))
-    return _one(unseen(a.join(b, F.col("ra") < F.col("rb")), links).orderBy("ra", "rb"), "fallback")
+    ranked = scratch(some.withColumn("r", F.row_number().over(W.orderBy("n", "filename"))).select("filename", "r"), "ranked")
+    a, b = (ranked.select(F.col("filename").alias(f"filename_{x}"), F.col("r").alias(f"r{x}")) for x in "ab")
+    joined = links.select("filename_a", "filename_b").distinct().join(a, "filename_a").join(b, "filename_b").where("ra <> rb")
+    met = scratch(joined.select(F.least("ra", "rb").alias("r"), F.greatest("ra", "rb").alias("other")), "met")
+    later = ranked.join(met.groupBy("r").agg(F.count("*").alias("k")), "r", "left").select("r", "filename", F.coalesce("k", F.lit(0)).alias("k"))
+    first = later.where(F.col("k") < F.lit(ranked.count()) - F.col("r")).orderBy("r").first()  # the first that has not met all later ones
+    if first is None:
+        return _none(cand)
+    others = ranked.where((F.col("r") > first.r) & (F.col("r") <= first.r + first.k + 1)).join(met.where(F.col("r") == first.r).select(F.col("other").alias("r")), "r", "left_anti")
+    return _one(others.orderBy("r").select(F.lit(first.filename).alias("a"), F.col("filename").alias("b")), "fallback")
 
 
 def next_pair(images: DataFrame, comparisons: DataFrame, exclude: DataFrame | None = None, start: str = PHASES[0]) -> DataFrame:
     """(a, b, phase): the pair of the first phase, from `start` on, that has one; no row if none has."""
     cand = candidates(images if exclude is None else images.join(exclude, "filename", "left_anti"))
-    cand = graph._cut(cand)
+    cand = scratch(cand)
     total = images.count()
-    edges = graph._cut(graph.edges(comparisons))
-    links = graph._cut(comparisons.select(F.least("filename_a", "filename_b").alias("filename_a"), F.greatest("filename_a", "filename_b").alias("filename_b")).distinct())
+    edges = scratch(graph.edges(comparisons))
+    links = scratch(comparisons.select(F.least("filename_a", "filename_b").alias("filename_a"), F.greatest("filename_a", "filename_b").alias("filename_b")).distinct())
     known: dict[str, DataFrame] = {}
 
     def labels() -> DataFrame:
@@ -183,7 +190,7 @@ def next_pair(images: DataFrame, comparisons: DataFrame, exclude: DataFrame | No
 
     def chain() -> DataFrame:
         if "chain" not in known:
-            known["chain"] = graph._cut(graph.chains(labels(), edges))
+            known["chain"] = scratch(graph.chains(labels(), edges))
         return known["chain"]
 
     steps = {
@@ -196,7 +203,7 @@ def next_pair(images: DataFrame, comparisons: DataFrame, exclude: DataFrame | No
         "fallback": lambda: fallback(cand, links),
     }
     for name in PHASES[PHASES.index(start) :]:
-        found = graph._cut(steps[name]())
+        found = scratch(steps[name]())
         if found.count():
             return found
     return _none(cand)

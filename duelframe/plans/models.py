@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import training
+from ..scratch import shared_folder
 from ..streaming import ingest
 from .base import Tables, query
 
@@ -68,6 +68,4 @@ def x11_windowed_counts(t: Tables):
 
 
 def _checkpoint(t: Tables) -> str:
-    known = t.spark.sparkContext._jsc.sc().getCheckpointDir()
-    base = known.get() if known.isDefined() else t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="duelframe-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rating_math
 from ..operators import graph, pairing, rating, tables
 from ..operators.history import wins_losses
+from ..scratch import scratch
 from .base import Tables, query
 
 _EDGES = "edges AS (SELECT DISTINCT winner, filename_b AS loser FROM dag), nodes AS (SELECT winner AS node FROM edges UNION SELECT loser FROM edges), ends AS (SELECT winner AS a, loser AS b FROM edges UNION SELECT loser, winner FROM edges)"
@@ -15,7 +16,7 @@ _REACH = _EDGES + ", reach(a, b) AS (SELECT node, node FROM nodes UNION SELECT r
 
 
 def _edges(t: Tables):
-    return t.once("edges", lambda: graph._cut(graph.edges(t.dag)))
+    return t.once("edges", lambda: scratch(graph.edges(t.dag)))
 
 
 def _labels(t: Tables):
@@ -24,7 +25,7 @@ def _labels(t: Tables):
 
 
 def _chains(t: Tables):
-    return t.once("chains", lambda: graph._cut(graph.chains(_labels(t), _edges(t))))
+    return t.once("chains", lambda: scratch(graph.chains(_labels(t), _edges(t))))
 
 
 @query("SELECT DISTINCT winner, CASE WHEN winner = filename_a THEN filename_b ELSE filename_a END AS loser FROM comparisons WHERE filename_a <> filename_b", "comparisons")

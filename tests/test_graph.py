@@ -18,7 +18,7 @@ def chains_of(pairs, extra=()):
         down.setdefault(a, []).append(b)
         up.setdefault(b, []).append(a)
         names |= {a, b}
-    return graph.chain_lists(sorted(names), down, up), down, up
+    return {n: c for c, owners in graph.main_chains(sorted(names), down, up) for n in owners}, down, up
 
 
 def test_transitive_link_gives_one_chain():
