@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from math import erf, exp, factorial, pi, sqrt
 
 from pyspark.sql import Column
@@ -9,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..config import RATING
 
-
 _PIECE, _PIECES, _DEGREE = 0.25, 25, 13
 
 
@@ -26,9 +26,12 @@ def _erf_table() -> list[list[float]]:
     return out
 
 
+_ERF_TABLE = json.dumps(_erf_table())
+
+
 def erf_column(x: Column) -> Column:
     """The error function to double precision from built-in expressions: a polynomial for each quarter unit up to 6.25, then 1."""
-    table = F.array(*[F.array(*[F.lit(c) for c in row]) for row in _erf_table()])
+    table = F.from_json(F.lit(_ERF_TABLE), "array<array<double>>")  # folded into one constant
 
     def value(v: Column) -> Column:
         at = F.least(F.floor(F.abs(v) / _PIECE), F.lit(_PIECES - 1)).cast("int")

@@ -174,7 +174,7 @@ def hashed_embedding(text: Column, size: int = 64) -> Column:
     Built-in expressions only: the words' signed places are summed place by place.
     """
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\W+"), lambda w: w != "")
-    places = F.transform(words, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(size)).cast("int").alias("i"), F.when(F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
+    places = F.transform(F.transform(words, F.md5), lambda h: F.struct(F.pmod(F.conv(F.substring(h, 1, 4), 16, 10).cast("int"), F.lit(size)).alias("i"), F.when(F.substring(h, 5, 1) < "8", 1.0).otherwise(-1.0).alias("s")))
     v = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.aggregate(F.filter(places, lambda p: p["i"] == k), F.lit(0.0), lambda a, p: a + p["s"]))
     norm = F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), F.lit(1e-12))
     return F.transform(v, lambda x: x / norm)

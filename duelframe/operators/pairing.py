@@ -209,6 +209,18 @@ def next_pair(images: DataFrame, comparisons: DataFrame, exclude: DataFrame | No
     return _none(cand)
 
 
+def choose(images: DataFrame, comparisons: DataFrame, skip: int = 0, exclude: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """(next_pair, the phase to start from next time): phases before the last successful one are skipped.
+
+    The memory is the caller's to keep; it is forgotten whenever the number of comparisons is a multiple of the reserve count.
+    """
+    if comparisons.count() % RANKING.reserve_count == 0:
+        skip = 0
+    found = next_pair(images, comparisons, exclude, PHASES[skip])
+    row = found.first()
+    return found, skip if row is None else PHASES.index(row.phase)
+
+
 def describe(images: DataFrame, wins: DataFrame, labels: DataFrame, height: DataFrame) -> DataFrame:
     """What is shown of an image: rating, wins and losses, component and height."""
     i = images.select("filename", F.round("score", 4).alias("score"), F.round("rating_mu", 4).alias("mu"), F.round("rating_sigma", 4).alias("sigma"), "comparison_count")

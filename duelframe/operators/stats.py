@@ -118,8 +118,11 @@ def usage_filtered(df: DataFrame, key: str, score: str, part: float = 0.1, limit
     return g.orderBy(F.desc("n"), key).limit(keep).orderBy(F.desc("mean"), key).limit(limit)
 
 
-def binned(df: DataFrame, x: str, y: str, bins: int = 10) -> DataFrame:
-    """(bin, x_low, mean, std, n) of y in at most `bins` equal ranges of x."""
+def binned(df: DataFrame, x: str, y: str, bins: int = 10, exact: bool = False) -> DataFrame:
+    """(bin, x_low, mean, std, n) of y in at most `bins` equal ranges of x; with exact, (x, mean, std, n) for each value, if there are at most `bins`."""
+    kept = df.where(finite(x) & finite(y))
+    if exact and len(kept.select(x).distinct().limit(bins + 1).collect()) <= bins:
+        return kept.groupBy(x).agg(F.avg(y).alias("mean"), F.stddev_pop(y).alias("std"), F.count("*").alias("n"))
     ends = df.where(finite(x) & finite(y)).agg(F.min(x).alias("mn"), F.max(x).alias("mx"))
     k = F.when(F.col("mx") == F.col("mn"), 0).otherwise(F.least(F.floor((F.col(x) - F.col("mn")) * bins / (F.col("mx") - F.col("mn"))), F.lit(bins - 1))).cast("int")
     g = df.where(finite(x) & finite(y)).crossJoin(F.broadcast(ends)).groupBy(k.alias("bin")).agg(F.min(x).alias("x_low"), F.avg(y).alias("mean"), F.stddev_pop(y).alias("std"), F.count("*").alias("n"))

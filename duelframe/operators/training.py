@@ -15,8 +15,8 @@ from .tables import valid_winner, with_loser
 
 
 def split(df: DataFrame, id_col: str = "id", test: float = 0.2, seed: int = TRAINING.random_state) -> DataFrame:
-    """df with is_test: by a hash of the id, so a row is on the same side in every run and on every partitioning."""
-    return df.withColumn("is_test", F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(10_000)) < int(test * 10_000))
+    """df with is_test: by the first 32 bits of a digest of id and seed, so a row is on the same side in every run, partitioning and engine."""
+    return df.withColumn("is_test", F.substring(F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}"))), 1, 8) < f"{int(test * (1 << 32)):08x}")
 
 
 def pairwise(comparisons: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -118,6 +118,25 @@ def calibrated(df: DataFrame, raw: str = "prediction", target: str = "score") ->
     return df.withColumn("calibrated", calibration.apply(F.col(raw), calibration.build(df, raw, target)))
 
 
+def end_to_end(entries: DataFrame, vectors: DataFrame, scores: DataFrame, threshold: float, least: int = 0, most: int | None = None, setting: Setting | None = None) -> DataFrame:
+    """(id, prediction, calibrated) of the entries worth taking: a model fitted on the scored vectors, applied to all, calibrated, selected.
+
+    A fifth of the scored rows, by the split's digest, stops the boosting early. Entries without a vector are left out.
+    """
+    from .vectors import with_scores
+
+    known = split(with_scores(vectors, scores))
+    model = fit(known, "regression", setting, validation="is_test")
+    table = calibration.build(predict(model, known), "prediction", "score")
+    found = predict(model, entries.select("id").distinct().join(vectors, "id"))
+    return select_scored(found.select("id", "prediction", calibration.apply(F.col("prediction"), table).alias("calibrated")), threshold, least, most, "calibrated")
+
+
+def curve(model) -> list[tuple[int, float]]:
+    """(trees, root mean squared error on the rows the model is evaluated on) is what evaluateEachIteration gives; finite values only."""
+    return [(i + 1, float(v)) for i, v in enumerate(model) if v == v and abs(v) != float("inf")]
+
+
 def select_scored(df: DataFrame, threshold: float, least: int = 0, most: int | None = None, score: str = "prediction", tie: str = "id") -> DataFrame:
     """The rows at or above the threshold, but at least the best `least` and at most the best `most`."""
     if not 0 <= least <= (most if most is not None else least):

@@ -73,13 +73,20 @@ def flat_structs(items: Column, fields: tuple[str, ...]) -> Column:
 
 def l2_normalised(v: Column, eps: float = 1e-12) -> Column:
     norm = F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x)), F.lit(eps))
-    return F.transform(v, lambda x: x.cast("double") / norm)
+    return _once(norm, lambda n: F.transform(v, lambda x: x.cast("double") / n))
+
+
+def _once(v: Column, f) -> Column:
+    """f(v), where f may use its argument often: v is evaluated once."""
+    return F.element_at(F.transform(F.array(v), f), 1)
 
 
 def softmax(v: Column) -> Column:
-    top = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+    def scaled(e: Column) -> Column:
+        total = F.aggregate(e, F.lit(0.0), lambda a, y: a + y)
+        return _once(total, lambda t: F.transform(e, lambda x: x / t))
+
+    return _once(_once(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top))), scaled)
 
 
 def gather(v: Column, kept: list[int]) -> Column:
@@ -176,14 +183,23 @@ def with_scores(vectors: DataFrame, scores: DataFrame, strict: bool = False) ->
 
 def expected_class(probabilities: Column) -> Column:
     """The mean class of a distribution over 0 .. k-1, scaled to 0 .. 1."""
-    mean = F.aggregate(F.zip_with(probabilities, F.sequence(F.lit(0), F.size(probabilities) - 1), lambda p, i: p * i), F.lit(0.0), lambda a, x: a + x)
-    return mean / F.greatest(F.size(probabilities) - 1, F.lit(1))
+
+    def mean(p: Column) -> Column:
+        total = F.aggregate(F.zip_with(p, F.sequence(F.lit(0), F.size(p) - 1), lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x)
+        return total / F.greatest(F.size(p) - 1, F.lit(1))
+
+    return _once(probabilities, mean)
 
 
 def kept_by_gain(gains: DataFrame, part: float = 0.99) -> DataFrame:
     """(feature, gain): features with a gain, largest first, until `part` of the total is reached; one at least."""
-    w = W.orderBy(F.desc("gain"), "feature")
+    from .stats import cumulative
+
     g = gains.where("gain > 0")
-    total = g.agg(F.sum("gain").alias("total"))
-    g = g.crossJoin(F.broadcast(total)).withColumn("upto", F.sum("gain").over(w.rowsBetween(W.unboundedPreceding, 0)) / F.col("total")).withColumn("n", F.row_number().over(w))
-    return g.where((F.col("upto") <= part) | (F.col("n") == 1)).select("feature", "gain")
+    sums = g.groupBy("gain").agg(F.sum("gain").alias("s"), F.count("*").alias("n")).withColumn("less", -F.col("gain"))
+    total = g.agg(F.sum("gain").alias("total"), F.max("gain").alias("top"))
+    before = cumulative(sums, "less", "s").withColumn("before", F.col("upto") - F.col("s")).select("gain", "before", "n")
+    w = W.partitionBy("gain").orderBy("feature")  # equal gains by feature
+    g = g.join(before, "gain").crossJoin(F.broadcast(total)).withColumn("place", F.row_number().over(w))
+    upto = (F.col("before") + F.col("place") * F.col("gain")) / F.col("total")
+    return g.where((upto <= part) | ((F.col("gain") == F.col("top")) & (F.col("place") == 1))).select("feature", "gain")

@@ -193,11 +193,10 @@ def a23_score_distribution(t: Tables):
     return t.records.groupBy(F.floor(F.col("score") * 10).cast("int").alias("tenth")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT i, CASE i WHEN 0 THEN min(score) WHEN 64 THEN quantile_cont(score, 0.25) WHEN 128 THEN quantile_cont(score, 0.5) WHEN 192 THEN quantile_cont(score, 0.75) ELSE max(score) END AS q
-FROM records, unnest([0, 64, 128, 192, 256]) t(i) GROUP BY i""", "records")
+@query("SELECT CAST(i AS INT) AS i, quantile_cont(score, [" + ", ".join(str(k / 256) for k in range(257)) + "])[i + 1] AS q FROM records, unnest(range(257)) t(i) GROUP BY i", "records")
 def a24_quantile_table(t: Tables):
     q = calibration.quantiles(t.records, "score")
-    return t.spark.createDataFrame([(i, float(q[i])) for i in (0, 64, 128, 192, 256)], "i int, q double")
+    return t.spark.createDataFrame([(i, float(x)) for i, x in enumerate(q)], "i int, q double")
 
 
 @query("SELECT avg(abs(score - cfg / 7)) AS mae, sqrt(avg((score - cfg / 7) * (score - cfg / 7))) AS rmse, 1 - avg((score - cfg / 7) * (score - cfg / 7)) / var_pop(score) AS r2 FROM records", "records")
@@ -245,10 +244,10 @@ def a35_min_max(t: Tables):
     return stats.min_max(t.records, "score").select("id", "scaled")
 
 
-@query("SELECT vec_id, (p[2] + 2 * p[3] + 3 * p[4]) / 3 AS expected FROM (SELECT vec_id, list_transform(embedding[1:4], lambda x: exp(CAST(x AS DOUBLE)) / (exp(CAST(embedding[1] AS DOUBLE)) + exp(CAST(embedding[2] AS DOUBLE)) + exp(CAST(embedding[3] AS DOUBLE)) + exp(CAST(embedding[4] AS DOUBLE)))) AS p FROM embeddings)")
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE))) AS p FROM embeddings)
+SELECT vec_id, list_sum(list_transform(range(1, len(p) + 1), lambda i: p[i] * (i - 1))) / list_sum(p) / (len(p) - 1) AS expected FROM e""")
 def a36_f23_expected_class(t: Tables):
-    v = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))
-    return t.embeddings.select("vec_id", vectors.expected_class(vectors.softmax(v)).alias("expected"))
+    return t.embeddings.select("vec_id", vectors.expected_class(vectors.softmax(F.transform("embedding", lambda x: x.cast("double")))).alias("expected"))
 
 
 @query("SELECT steps, cfg, count(*) AS n FROM records GROUP BY ALL", "records")
@@ -350,10 +349,6 @@ def f13_f15_rating_arithmetic(t: Tables):
     return t.images.select("filename", rating_math.conservative(mu, s).alias("skill"), rating_math.win_argument(mu, s, F.lit(25.0), F.lit(25.0 / 3)).alias("z"))
 
 
-@query("SELECT filename, rating_mu >= 25 AS above FROM images", "images")
-def f14_public_score(t: Tables):
-    return t.images.select("filename", (rating_math.public_score(F.col("rating_mu"), F.col("rating_sigma")) >= 0.5).alias("above"))
-
 
 @query("SELECT id, CASE WHEN score <= 0.25 THEN score * 2 WHEN score <= 0.75 THEN 0.5 + (score - 0.25) * 0.5 ELSE 0.75 + (score - 0.75) END AS y FROM records", "records")
 def f24_piecewise(t: Tables):

@@ -7,27 +7,42 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import training
-from ..scratch import shared_folder
+from ..scratch import scratch, shared_folder
 from ..streaming import ingest
 from .base import Tables, query
 
 
 def _rows(t: Tables):
-    x = F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double"))
+    x = F.transform("embedding", lambda v: v.cast("double"))
     score = F.expr("least(1.0, greatest(0.0, 0.5 + vector[0] + 0.5 * vector[1] * vector[2]))")
     return t.embeddings.select(F.col("vec_id").alias("id"), x.alias("vector"), "label").withColumn("score", score)
 
 
-@query("SELECT count(*) AS n FROM embeddings")
+@query("SELECT vec_id AS id, substr(md5(concat(CAST(vec_id AS VARCHAR), ':947')), 1, 8) < '33333333' AS is_test FROM embeddings")
 def m02_split(t: Tables):
-    return training.split(_rows(t)).groupBy().agg(F.count("*").alias("n"))
+    return training.split(_rows(t)).select("id", "is_test")
 
 
 @query()
 def m01_m03_m10_m11_regression(t: Tables):
+    """Boosting that stops early on the test rows; their predictions, calibrated."""
     df = training.split(_rows(t))
-    model = training.fit(df.where("not is_test"), "regression", training.Setting(max_iter=5, max_depth=3))
-    return training.calibrated(training.predict(model, df.where("is_test").select("id", "vector", "score"))).select("id", "score", "prediction", "calibrated")
+    model = training.fit(df, "regression", training.Setting(max_iter=5, max_depth=3), validation="is_test")
+    return training.calibrated(scratch(training.predict(model, df.where("is_test").select("id", "vector", "score")).select("id", "score", "prediction"), "predicted"))
+
+
+@query()
+def m01_binary(t: Tables):
+    df = _rows(t).withColumn("good", (F.col("score") > 0.5).cast("double"))
+    return training.predict(training.fit(df, "binary", training.Setting(max_iter=3, max_depth=3), "good"), df.select("id", "vector"), "binary").select("id", "prediction")
+
+
+@query()
+def m12_end_to_end(t: Tables):
+    """The vectors worth taking, by a model of those with an even id."""
+    rows = _rows(t)
+    found = training.end_to_end(rows.select("id"), rows.select("id", "vector"), rows.where("id % 2 = 0").select("id", "score"), 0.6, 5, 40, training.Setting(max_iter=4, max_depth=3))
+    return found.select("id", "calibrated")
 
 
 @query()
@@ -52,7 +67,7 @@ def m06_feature_gains(t: Tables):
     from ..operators.vectors import kept_by_gain
 
     model = training.fit(_rows(t), "regression", training.Setting(max_iter=5, max_depth=3))
-    return kept_by_gain(t.spark.createDataFrame(training.gains(model, 8), "feature int, gain double"))
+    return kept_by_gain(t.spark.createDataFrame(training.gains(model, 64), "feature int, gain double"))
 
 
 @query("SELECT event_id, event_type FROM events")

@@ -5,20 +5,28 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import records
-from ..operators import etl, graph, matrix, pairing, rating, stats, tables, vectors
+from ..operators import etl, graph, matrix, pairing, stats, tables, vectors
 from .base import Tables, query
 
+
+_LORA = """CASE steps % 4 WHEN 0 THEN concat('{"Fine Style:1": 0.', CAST(steps % 10 AS STRING), '}') WHEN 1 THEN '["Fine Style:1", ""]' WHEN 2 THEN '"Fine Style:1"' ELSE 'null' END"""
+_ENTRY = f"""concat('{{"steps": ', CAST(steps AS STRING), ', "sampler": "', sampler, '", "clip_skip": ', CAST(steps % 3 AS STRING), ', "lora": ', {_LORA}, ', "lora_weight": 0.', CAST(steps % 7 AS STRING),
+', "score": 0.4, "(Scale:2)": 1.', CAST(steps % 9 AS STRING), ', "tags": ["a", ["(b:2)", 0.5], "', scheduler, '"]}}')"""
+
+
 def _entries(t: Tables):
-    e = F.concat(F.lit('{"steps": '), F.col("steps").cast("string"), F.lit(', "sampler": "'), "sampler", F.lit('", "clip_skip": 2, "lora": {"Fine Style:1": 0.5}, "tags": ["a", ["b", 0.5]]}'))
-    return t.records.select("id", "score", e.alias("entry"))
+    """Records as JSON text whose fields vary with the row."""
+    return t.records.select("id", "score", F.expr(_ENTRY).alias("entry"))
 
 
-@query("""SELECT id, unnest(['clip_skip:-2.0', 'lora:fine style_0.5', concat('sampler:', sampler), concat('steps:', CAST(steps AS VARCHAR)), 'tags:a', 'tags:b_0.5']) AS p FROM records""", "records")
+@query("""SELECT id, unnest(list_filter([concat('clip_skip:', CASE WHEN steps % 3 = 0 THEN '-0.0' ELSE concat('-', CAST(steps % 3 AS VARCHAR), '.0') END),
+CASE steps % 4 WHEN 0 THEN concat('lora:fine style_0.', CAST(steps % 10 AS VARCHAR)) WHEN 2 THEN concat('lora:fine style_0.', CAST(steps % 7 AS VARCHAR)) END,
+concat('sampler:', sampler), concat('steps:', CAST(steps AS VARCHAR)), 'score:0.4', concat('scale:', CAST(CAST(2 + (steps % 9) * 0.2 AS DECIMAL(4, 1)) AS VARCHAR)), 'tags:a', 'tags:b_1.0', concat('tags:', scheduler)], lambda x: x IS NOT NULL)) AS p FROM records""", "records")
 def f09_parameter_strings(t: Tables):
     return _entries(t).select("id", F.explode(records.parameter_strings("entry")).alias("p"))
 
 
-@query("SELECT id, 0.5 AS w FROM records", "records")
+@query("SELECT id, CASE steps % 4 WHEN 0 THEN CAST(concat('0.', CAST(steps % 10 AS VARCHAR)) AS DOUBLE) WHEN 1 THEN 1.0 WHEN 2 THEN CAST(concat('0.', CAST(steps % 7 AS VARCHAR)) AS DOUBLE) END AS w FROM records", "records")
 def p13_lora_weights(t: Tables):
     return _entries(t).select("id", F.try_element_at(records.lora_map("entry"), F.lit("Fine Style:1")).alias("w"))
 
@@ -29,17 +37,22 @@ def s21_s23_nested_json(t: Tables):
     return wrapped.select("id", F.get_json_object(records.unfold_json("entry"), "$.inner.steps").cast("int").alias("steps"))
 
 
-@query("SELECT id, 'sampler' AS kept, '0.5' AS score FROM records", "records")
+@query("""SELECT id, sampler, '0.5' AS score, '25.0' AS mu, CASE WHEN steps % 2 = 0 THEN CAST(steps AS VARCHAR) END AS even, CAST(CASE WHEN steps % 2 = 0 THEN 7 ELSE 6 END AS INT) AS n FROM records""", "records")
 def p10_clean_sidecar(t: Tables):
-    m = _entries(t).select("id", F.create_map(F.lit("sampler"), F.lit("x"), F.lit("score"), F.lit("0.9"), F.lit("comparison_history"), F.lit("[]")).alias("m"))
-    c = m.select("id", etl.clean_sidecar(F.col("m")).alias("c"))
-    return c.select("id", F.array_join(F.filter(F.map_keys("c"), lambda k: k == "sampler"), ",").alias("kept"), F.try_element_at("c", F.lit("score")).alias("score"))
+    """Fields of an earlier rating go, whatever they hold; others stay; fresh ones come."""
+    m = F.map_filter(F.create_map(*[x for k, v in (("sampler", F.col("sampler")), ("score", F.col("cfg").cast("string")), ("comparison_history", F.lit("[]")), ("comparisons", F.col("steps").cast("string")), ("seed", F.lit("1")), ("even", F.when(F.col("steps") % 2 == 0, F.col("steps").cast("string")))) for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
+    c = t.records.select("id", etl.clean_sidecar(m).alias("c"))
+    at = lambda k: F.try_element_at("c", F.lit(k))
+    return c.select("id", at("sampler").alias("sampler"), at("score").alias("score"), at("rating_mu").alias("mu"), at("even").alias("even"), F.size("c").alias("n"))
 
 
-@query("SELECT id, prompt AS found, true AS complete FROM prompts", "prompts")
+@query("""SELECT id, CASE WHEN id % 3 < 2 THEN prompt END AS found, id % 3 < 2 AND id % 5 > 0 AS complete FROM prompts""", "prompts")
 def p11_p12_sidecar_fields(t: Tables):
-    e = t.prompts.select("id", F.to_json(F.struct(F.struct(F.col("prompt").alias("positive_prompt")).alias("custom_text"))).alias("e"))
-    return e.select("id", records.prompt_of("e").alias("found"), etl.has_fields(F.col("e"), ["positive_prompt"]).alias("complete"))
+    """The prompt at the top, in custom_text, or nowhere; a second required field that some lack."""
+    other = F.when(F.col("id") % 5 > 0, F.lit("x"))
+    top = F.struct(F.when(F.col("id") % 3 == 0, F.col("prompt")).alias("positive_prompt"), other.alias("model"), F.struct(F.when(F.col("id") % 3 == 1, F.col("prompt")).alias("positive_prompt")).alias("custom_text"))
+    e = t.prompts.select("id", F.to_json(top).alias("e"))
+    return e.select("id", records.prompt_of("e").alias("found"), etl.has_fields(F.col("e"), ["positive_prompt", "model"]).alias("complete"))
 
 
 @query("SELECT event_id, event_type AS k, 1.0 AS w FROM events WHERE event_type <> ''")
@@ -47,11 +60,16 @@ def f22_as_map(t: Tables):
     return t.events.select("event_id", F.explode(vectors.as_map(F.col("event_type"), "string")).alias("k", "w"))
 
 
-@query("SELECT p_partkey AS id, true AS ok FROM part")
+_PLACE = "((strpos('0123456789abcdef', h[1]) - 1) * 4096 + (strpos('0123456789abcdef', h[2]) - 1) * 256 + (strpos('0123456789abcdef', h[3]) - 1) * 16 + strpos('0123456789abcdef', h[4]) - 1) % 32"
+
+
+@query(f"""WITH w AS (SELECT id, md5(unnest(list_filter(regexp_split_to_array(lower(name), '\\W+'), lambda x: x <> ''))) AS h FROM (SELECT p_partkey AS id, p_name AS name FROM part)),
+p AS (SELECT id, {_PLACE} AS i, sum(CASE WHEN h[5] < '8' THEN 1.0 ELSE -1.0 END) AS s FROM w GROUP BY ALL), n AS (SELECT id, greatest(sqrt(sum(s * s)), 1e-12) AS norm FROM p GROUP BY id)
+SELECT id, CAST(i AS INT) AS i, round(s / norm, 9) AS v FROM p JOIN n USING (id) WHERE s <> 0""")
 def v07_text_embedding(t: Tables):
-    v = t.part.select(F.col("p_partkey").alias("id"), records.hashed_embedding(F.col("p_name"), 32).alias("v"))
-    norm2 = F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 9)
-    return v.select("id", norm2.isin(0.0, 1.0).alias("ok"))  # 0: words that cancel out
+    """Every place of the stand-in embedding that isn't 0."""
+    v = t.part.select(F.col("p_partkey").alias("id"), F.posexplode(records.hashed_embedding(F.col("p_name"), 32)).alias("i", "v"))
+    return v.where("v <> 0").select("id", "i", F.round("v", 9).alias("v"))
 
 
 @query("SELECT id, max(CASE WHEN vector_name = 'size' THEN v END) AS size, max(CASE WHEN vector_name = 'price' THEN v END) AS price FROM slots GROUP BY id", "slots")
@@ -64,9 +82,13 @@ def p18_rounding(t: Tables):
     return t.records.groupBy(F.round("score", 3).alias("three")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(*) AS n FROM records WHERE score IS NOT NULL AND cfg IS NOT NULL", "records")
+_ODD = "CASE WHEN steps % 7 = 0 THEN CAST('NaN' AS DOUBLE) WHEN steps % 11 = 0 THEN CAST('Infinity' AS DOUBLE) WHEN steps % 13 = 0 THEN CAST('-Infinity' AS DOUBLE) WHEN steps % 17 = 0 THEN NULL ELSE cfg END"
+
+
+@query("SELECT id FROM records WHERE steps % 7 <> 0 AND steps % 11 <> 0 AND steps % 13 <> 0 AND steps % 17 <> 0", "records")
 def p15_finite(t: Tables):
-    return t.records.where(stats.finite("score") & stats.finite("cfg")).agg(F.count("*").alias("n"))
+    odd = t.records.withColumn("x", F.expr(_ODD))
+    return odd.where(stats.finite("score") & stats.finite("x")).select("id")
 
 
 @query("SELECT scheduler, avg(score) AS mean, stddev_pop(score) AS std, count(*) AS n FROM records GROUP BY scheduler", "records")
@@ -84,10 +106,10 @@ def o06_first_files(t: Tables):
     return t.images.select("filename").orderBy("filename").limit(25)
 
 
-@query("SELECT count(*) AS n FROM (SELECT filename FROM images LIMIT 40)", "images")
+@query("SELECT filename FROM images ORDER BY md5(concat(filename, ':947')), filename LIMIT 40", "images")
 def o12_sample(t: Tables):
-    """A sample without replacement, the same in every run: the least hashes of a seed."""
-    return t.images.orderBy(F.xxhash64("filename", F.lit(947)), "filename").limit(40).agg(F.count("*").alias("n"))
+    """A sample without replacement, the same in every run: the least digests of a seed."""
+    return t.images.orderBy(F.md5(F.concat("filename", F.lit(":947"))), "filename").limit(40).select("filename")
 
 
 @query("SELECT DISTINCT id FROM slots", "slots")
@@ -124,21 +146,11 @@ def j10_nodes_with_counts(t: Tables):
     return t.images.select("filename").join(n, "filename", "left").select("filename", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-@query("SELECT count(*) AS bad FROM comparisons WHERE winner <> filename_a AND winner <> filename_b", "comparisons")
+@query("SELECT id FROM comparisons WHERE id % 13 = 0", "comparisons")
 def p02_invalid_winners(t: Tables):
-    bad = t.comparisons.join(tables.valid_winner(t.comparisons).select("id"), "id", "left_anti")
-    return bad.agg(F.count("*").alias("bad"))
-
-
-@query()
-def r04_record(t: Tables):
-    """A recorded comparison: ratings updated, counts raised."""
-    new = t.comparisons.orderBy(F.desc("id")).limit(1)
-    w = tables.with_loser(new).first()
-    state = {r.filename: [r.rating_mu, r.rating_sigma, r.comparison_count] for r in t.images.where(F.col("filename").isin(w.winner, w.loser)).collect()}
-    after = rating.fold(iter([(w.winner, w.loser)]), state)
-    u = t.spark.createDataFrame([(k, 0.5, v[0], v[1]) for k, v in after.items()], "filename string, score double, rating_mu double, rating_sigma double").withColumn("compared_at", F.current_timestamp())
-    return tables.update_ratings(t.images, u, "keep").join(u.select("filename"), "filename", "left_semi")
+    """A thirteenth of the comparisons gets a winner that took no part."""
+    c = t.comparisons.withColumn("winner", F.when(F.col("id") % 13 == 0, F.lit("img_none")).otherwise(F.col("winner")))
+    return c.select("id").join(tables.valid_winner(c).select("id"), "id", "left_anti")
 
 
 @query()

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rating_math
-from ..operators import graph, pairing, rating, tables
+from ..operators import graph, live, pairing, rating, tables
 from ..operators.history import wins_losses
 from ..scratch import scratch
 from .base import Tables, query
@@ -51,15 +51,35 @@ def a27_a28_component_metrics(t: Tables):
     return graph.component_sizes(_labels(t), graph.extremes(graph.universe(e), e))
 
 
-@query(f"WITH {_EDGES} SELECT node, node AS scc, CAST(1 AS BIGINT) AS size FROM nodes", "dag")
+_CYCLIC = """cedges AS (SELECT DISTINCT winner, filename_b AS loser FROM cyclic), cnodes AS (SELECT winner AS node FROM cedges UNION SELECT loser FROM cedges),
+below(a, b) AS (SELECT node, node FROM cnodes UNION SELECT r.a, e.loser FROM below r JOIN cedges e ON e.winner = r.b),
+parts AS (SELECT x.a AS node, min(x.b) AS scc, count(*) AS size FROM below x JOIN below y ON x.a = y.b AND x.b = y.a GROUP BY x.a)"""
+
+
+def _strong(t: Tables):
+    e = scratch(graph.edges(t.cyclic), "edges")
+    return graph.strong_components(graph.components(graph.universe(e), e), e), e
+
+
+@query(f"WITH {_CYCLIC} SELECT * FROM parts", "cyclic", recursive=True)
 def g04_strong_components(t: Tables):
-    return graph.strong_components(_labels(t), _edges(t)).select("node", "scc", "size")
+    return _strong(t)[0].select("node", "scc", "size")
 
 
-@query(f"WITH {_EDGES} SELECT winner, loser FROM edges", "dag")
+@query(f"WITH {_CYCLIC} SELECT DISTINCT w.scc AS winner, l.scc AS loser FROM cedges e JOIN parts w ON w.node = e.winner JOIN parts l ON l.node = e.loser WHERE w.scc <> l.scc", "cyclic", recursive=True)
 def g05_condensation(t: Tables):
-    e = _edges(t)
-    return graph.condensation(graph.strong_components(_labels(t), e), e)
+    return graph.condensation(*_strong(t))
+
+
+@query(f"WITH {_CYCLIC} SELECT min(size) AS least, max(size) AS most, count(DISTINCT scc) AS parts FROM parts", "cyclic", recursive=True)
+def g04_cycles_are_there(t: Tables):
+    return _strong(t)[0].agg(F.min("size").alias("least"), F.max("size").alias("most"), F.count_distinct("scc").alias("parts"))
+
+
+@query(f"""WITH {_CYCLIC} SELECT n.node, n.node NOT IN (SELECT loser FROM cedges) AS is_top, n.node NOT IN (SELECT winner FROM cedges) AS is_bottom FROM cnodes n""", "cyclic", recursive=True)
+def g02_extremes_with_cycles(t: Tables):
+    e = graph.edges(t.cyclic)
+    return graph.extremes(graph.universe(e), e)
 
 
 @query(f"WITH {_EDGES}, walk(node, level) AS (SELECT node, 0 FROM nodes UNION SELECT e.loser, w.level + 1 FROM walk w JOIN edges e ON e.winner = w.node) SELECT node, CAST(max(level) AS INT) AS level FROM walk GROUP BY node", "dag", recursive=True)
@@ -160,8 +180,9 @@ def j12_surviving_edges(t: Tables):
     return graph.surviving_edges(e, t.images.where("score between 0.1 and 0.9").select(F.col("filename").alias("node")))
 
 
-@query()
-def g13_collapsible_pairs(t: Tables):
+@query(f"""WITH {_REACH}, tops AS (SELECT node, component, lead(node) OVER (PARTITION BY component ORDER BY node) AS other FROM labels WHERE node NOT IN (SELECT loser FROM edges))
+SELECT node AS a, other AS b FROM tops WHERE other IS NOT NULL""", "dag", recursive=True)
+def g13_collapsible_pairs(t: Tables):  # two tops are never on a common path
     e, labels = _edges(t), _labels(t)
     ends = graph.extremes(graph.universe(e), e)
     tops = ends.where("is_top").join(labels, "node")
@@ -195,10 +216,58 @@ def r06_scores(t: Tables):
     return rating.scores(rating.replay(t.dag))
 
 
-@query()
+def cdf_sql(x: str) -> str:
+    """The normal distribution function in SQL, by its power series (for arguments within some 6)."""
+    return f"(0.5 + exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 90), lambda n: pow({x}, 2 * n + 1) * sqrt(pi()) / (pow(2.0, n + 1) * gamma(n + 1.5)))))"
+
+
+_ONE = f"""WITH a AS (SELECT filename, rating_mu AS m, greatest(rating_sigma, 1e-9) ** 2 + (25.0 / 300) ** 2 AS vw, (25.0 / 3) ** 2 + (25.0 / 300) ** 2 AS vl FROM images),
+b AS (SELECT *, 2 * (25.0 / 6) ** 2 + vw + vl AS c2 FROM a), c AS (SELECT *, sqrt(c2) AS c, (m - 25) / sqrt(c2) AS x FROM b),
+d AS (SELECT *, exp(-x * x / 2) / sqrt(2 * pi()) / {cdf_sql("x")} AS v FROM c)
+SELECT filename, round(m + vw / c * v, 6) AS new_mu_w, round(sqrt(vw * greatest(1 - vw / c2 * v * (v + x), 1e-9)), 6) AS new_sigma_w,
+round(25 - vl / c * v, 6) AS new_mu_l, round(sqrt(vl * greatest(1 - vl / c2 * v * (v + x), 1e-9)), 6) AS new_sigma_l FROM d"""
+
+
+@query(_ONE, "images")
 def r01_single_update(t: Tables):
     i = t.images.select("filename", "rating_mu", "rating_sigma")
-    return i.select("filename", *[c.alias(n) for n, c in rating_math.update_columns(F.col("rating_mu"), F.col("rating_sigma"), F.lit(25.0), F.lit(25.0 / 3)).items()])
+    return i.select("filename", *[F.round(c, 6).alias(n) for n, c in rating_math.update_columns(F.col("rating_mu"), F.col("rating_sigma"), F.lit(25.0), F.lit(25.0 / 3)).items()])
+
+
+@query(f"SELECT filename, round({cdf_sql('x')}, 8) AS p, round(exp(-x * x / 2) / sqrt(2 * pi()), 8) AS density, round(sqrt(s * s + (25.0 / 300) ** 2), 8) AS noisy FROM (SELECT filename, (rating_mu - 25) / 2 AS x, rating_sigma AS s FROM images)", "images")
+def f11_f12_f16_normal(t: Tables):
+    x = (F.col("rating_mu") - 25) / 2
+    return t.images.select("filename", F.round(rating_math.normal_cdf(x), 8).alias("p"), F.round(rating_math.normal_pdf(x), 8).alias("density"), F.round(rating_math.with_noise(F.col("rating_sigma")), 8).alias("noisy"))
+
+
+@query(f"SELECT filename, round({cdf_sql('1.5 * (rating_mu - 25) / sqrt(2 * (25.0 / 6) ** 2 + rating_sigma ** 2 + (25.0 / 3) ** 2)')}, 8) AS score FROM images", "images")
+def f14_public_score(t: Tables):
+    return t.images.select("filename", F.round(rating_math.public_score(F.col("rating_mu"), F.col("rating_sigma")), 8).alias("score"))
+
+
+_RECORD = f"""WITH new AS (SELECT 'img_00000010' AS w, 'img_00000007' AS l),
+a AS (SELECT w.filename AS wf, l.filename AS lf, w.comparison_count AS wn, l.comparison_count AS ln, w.rating_mu AS mw, l.rating_mu AS ml, greatest(w.rating_sigma, 1e-9) ** 2 + (25.0 / 300) ** 2 AS vw, greatest(l.rating_sigma, 1e-9) ** 2 + (25.0 / 300) ** 2 AS vl
+FROM new JOIN images w ON w.filename = new.w JOIN images l ON l.filename = new.l), b AS (SELECT *, 2 * (25.0 / 6) ** 2 + vw + vl AS c2 FROM a), c AS (SELECT *, sqrt(c2) AS c, (mw - ml) / sqrt(c2) AS x FROM b),
+d AS (SELECT *, exp(-x * x / 2) / sqrt(2 * pi()) / {cdf_sql("x")} AS v FROM c),
+e AS (SELECT wf AS filename, wn + 1 AS n, mw + vw / c * v AS mu, sqrt(vw * greatest(1 - vw / c2 * v * (v + x), 1e-9)) AS sigma FROM d UNION ALL SELECT lf, ln + 1, ml - vl / c * v, sqrt(vl * greatest(1 - vl / c2 * v * (v + x), 1e-9)) FROM d)
+SELECT filename, CAST(n AS INT) AS comparison_count, round(mu, 6) AS rating_mu, round(sigma, 6) AS rating_sigma, round({cdf_sql('1.5 * (mu - 25) / sqrt(2 * (25.0 / 6) ** 2 + sigma ** 2 + (25.0 / 3) ** 2)')}, 6) AS score FROM e"""
+
+
+def _recorded(t: Tables):
+    new = t.spark.range(1).select(F.lit("img_00000010").alias("filename_a"), F.lit("img_00000007").alias("filename_b"), F.lit("img_00000010").alias("winner"), F.lit(1.0).alias("weight"), F.lit(0).alias("transitive_depth"), F.lit("2030-01-01").cast(t.comparisons.schema["timestamp"].dataType).alias("timestamp"))
+    return live.record(t.images, t.comparisons, new)
+
+
+@query(_RECORD, "images")
+def r04_record(t: Tables):
+    """What a recorded comparison makes of the two images."""
+    s = _recorded(t).sync
+    return s.select("filename", "comparison_count", *[F.round(c, 6).alias(c) for c in ("rating_mu", "rating_sigma", "score")])
+
+
+@query("SELECT id, filename_a, filename_b, winner FROM comparisons UNION ALL SELECT max(id) + 1, 'img_00000007', 'img_00000010', 'img_00000010' FROM comparisons", "comparisons")
+def r04_appended(t: Tables):
+    return _recorded(t).comparisons.select("id", "filename_a", "filename_b", "winner")
 
 
 @query("SELECT filename, score FROM images ORDER BY comparison_count DESC, filename LIMIT (SELECT greatest(1, count(*) * 5 // 100) FROM images)", "images")
@@ -207,15 +276,20 @@ def w08_seed_pool(t: Tables):
 
 
 @query("""WITH known AS (SELECT DISTINCT filename_a, filename_b FROM comparisons), c AS (SELECT filename, row_number() OVER (ORDER BY comparison_count, filename) AS r FROM images)
-SELECT a.filename AS a, b.filename AS b, 'fallback' AS phase FROM c a JOIN c b ON a.r < b.r WHERE a.r < 40 AND NOT EXISTS (SELECT 1 FROM known WHERE filename_a = least(a.filename, b.filename) AND filename_b = greatest(a.filename, b.filename))
+SELECT a.filename AS a, b.filename AS b, 'fallback' AS phase FROM c a JOIN c b ON a.r < b.r WHERE NOT EXISTS (SELECT 1 FROM known WHERE filename_a = least(a.filename, b.filename) AND filename_b = greatest(a.filename, b.filename))
 ORDER BY a.r, b.r LIMIT 1""", "images")
 def q08_fallback(t: Tables):
     return pairing.fallback(pairing.candidates(t.images), tables.link_set(t.comparisons))
 
 
-@query()
+@query("""WITH c AS (SELECT filename, rating_mu - 3 * rating_sigma AS skill, rating_sigma AS sigma, CAST(comparison_count % 9 AS INT) AS n FROM images), links AS (SELECT DISTINCT filename_a, filename_b FROM comparisons),
+size AS (SELECT count(*) * 5 // 100 AS k FROM c), ready AS (SELECT count(*) AS m FROM (SELECT * FROM c ORDER BY n DESC, filename LIMIT (SELECT greatest(1, k) FROM size)) WHERE n >= 10),
+under AS (SELECT *, row_number() OVER (ORDER BY n DESC, filename) AS r FROM c WHERE n < 10), one AS (SELECT * FROM under WHERE r = 1),
+p AS (SELECT one.filename AS a, u.filename AS b, abs(one.skill - u.skill) AS gap, one.sigma FROM one, under u, size, ready WHERE m < k AND u.r > 1 AND u.r <= 1 + k - m AND u.n <= one.n + 2
+AND NOT EXISTS (SELECT 1 FROM links WHERE filename_a = least(one.filename, u.filename) AND filename_b = greatest(one.filename, u.filename)))
+SELECT a, b, 'seed_coverage' AS phase FROM p ORDER BY gap <= sigma DESC, CASE WHEN gap <= sigma THEN -gap ELSE gap END, a, b LIMIT 1""", "images")
 def q01_seed_coverage(t: Tables):
-    i = t.images.withColumn("comparison_count", (F.col("comparison_count") % 12).cast("int"))
+    i = t.images.withColumn("comparison_count", (F.col("comparison_count") % 9).cast("int"))
     return pairing.seed_coverage(pairing.candidates(i), tables.link_set(t.comparisons), i.count())
 
 
@@ -230,7 +304,10 @@ def q04_collapsible(t: Tables):
     return pairing.collapsible(pairing.candidates(t.images), _chains(t), t.dag)
 
 
-@query()
+@query("""WITH e AS (SELECT DISTINCT winner, filename_b AS loser FROM dag), ones AS (SELECT winner AS f, count(*) AS k FROM e GROUP BY 1 HAVING count(*) = 1),
+few AS (SELECT filename, rating_mu - 3 * rating_sigma AS skill, rating_sigma AS sigma, comparison_count AS n FROM images WHERE comparison_count > 1 AND filename IN (SELECT f FROM ones) ORDER BY filename LIMIT 101),
+p AS (SELECT filename AS a, lead(filename) OVER w AS b, abs(skill - lead(skill) OVER w) AS gap, sigma FROM few WINDOW w AS (ORDER BY n, filename))
+SELECT a, b, 'single_win_loss' AS phase FROM p WHERE b IS NOT NULL ORDER BY gap <= sigma DESC, CASE WHEN gap <= sigma THEN -gap ELSE gap END, a, b LIMIT 1""", "dag", "images")
 def q05_single_win_loss(t: Tables):
     return pairing.single_win_loss(pairing.candidates(t.images), _edges(t))
 
@@ -240,7 +317,13 @@ def q06_chain_merge(t: Tables):
     return pairing.chain_merge(pairing.candidates(t.images), _chains(t), _edges(t), _labels(t))
 
 
-@query()
+@query(f"""WITH {_EDGES}, ranked AS (SELECT *, row_number() OVER (ORDER BY comparison_count DESC, filename) AS r, count(*) OVER () AS total FROM images),
+seeds AS (SELECT * FROM ranked WHERE r <= greatest(1, total * 5 // 100)),
+one AS (SELECT * FROM ranked WHERE comparison_count > 1 AND rating_sigma >= 3.0 AND filename NOT IN (SELECT filename FROM seeds) ORDER BY rating_sigma DESC, filename LIMIT 1),
+near AS (SELECT one.filename AS a, s.filename AS b, abs(one.rating_mu - s.rating_mu) AS g FROM one, seeds s WHERE s.comparison_count > 1 AND NOT EXISTS (SELECT 1 FROM edges e WHERE least(e.winner, e.loser) = least(one.filename, s.filename) AND greatest(e.winner, e.loser) = greatest(one.filename, s.filename))),
+hop(a, b, d) AS (SELECT filename, filename, 0 FROM one UNION SELECT h.a, e.loser, h.d + 1 FROM hop h JOIN edges e ON e.winner = h.b WHERE h.d < 5),
+rise(a, b, d) AS (SELECT filename, filename, 0 FROM one UNION SELECT h.a, e.winner, h.d + 1 FROM rise h JOIN edges e ON e.loser = h.b WHERE h.d < 5)
+SELECT a, b, 'uncertainty' AS phase FROM near WHERE b NOT IN (SELECT b FROM hop) AND b NOT IN (SELECT b FROM rise) ORDER BY g, b LIMIT 1""", "dag", "images", recursive=True)
 def q07_uncertainty(t: Tables):
     return pairing.uncertainty(pairing.candidates(t.images), tables.link_set(t.dag), t.images.count(), _edges(t), _labels(t))
 

@@ -59,9 +59,10 @@ def s06_s14_counts(t: Tables):
     return tables.counts(t.images, t.comparisons)
 
 
-@query("SELECT * FROM images WHERE false", "images")
+@query("SELECT (SELECT count(*) FROM images) AS images, (SELECT count(*) FROM comparisons) AS comparisons, CAST(0 AS BIGINT) AS images_after, CAST(0 AS BIGINT) AS comparisons_after", "images")
 def s07_s13_truncate(t: Tables):
-    return tables.truncated(t.images)
+    n = [x.agg(F.count("*").alias(k)) for k, x in (("images", t.images), ("comparisons", t.comparisons), ("images_after", tables.truncated(t.images)), ("comparisons_after", tables.truncated(t.comparisons)))]
+    return n[0].crossJoin(n[1]).crossJoin(n[2]).crossJoin(n[3])  # one row each
 
 
 @query("""SELECT filename, CAST(0.5 AS DOUBLE) AS score, CAST(25.0 AS DOUBLE) AS rating_mu, CAST(25.0 AS DOUBLE) / 3 AS rating_sigma, CAST(0 AS INT) AS comparison_count,
@@ -203,12 +204,12 @@ def j03_image_history(t: Tables):
     return history.of_image(t.comparisons, t.images, "img_00000100").select("comparison_id", "other", "opponent_score", "won")
 
 
-@query("""SELECT filename, len(h) AS n, h[1] AS first_id, h[len(h)] AS last_id FROM (
-  SELECT filename, list(id ORDER BY timestamp, id) AS h FROM (
-    SELECT filename_a AS filename, id, timestamp FROM comparisons UNION ALL SELECT filename_b, id, timestamp FROM comparisons) GROUP BY filename)""", "comparisons")
+@query("""SELECT filename, string_agg(CAST(id AS VARCHAR) || ' ' || other || ' ' || CAST(won AS VARCHAR), ',' ORDER BY timestamp, id) AS history FROM (
+    SELECT filename_a AS filename, filename_b AS other, id, timestamp, winner = filename_a AS won FROM comparisons UNION ALL SELECT filename_b, filename_a, id, timestamp, winner = filename_b FROM comparisons) GROUP BY filename""", "comparisons")
 def w02_history_arrays(t: Tables):
-    h = history.arrays(t.comparisons, t.images)
-    return h.select("filename", F.size("history").cast("long").alias("n"), F.element_at("history", 1)["comparison_id"].alias("first_id"), F.element_at("history", -1)["comparison_id"].alias("last_id"))
+    h = history.arrays(t.comparisons.where("filename_a <> filename_b").union(t.comparisons.where("filename_a = filename_b")), t.images)
+    one = F.transform("history", lambda x: F.concat_ws(" ", x["comparison_id"].cast("string"), x["other"], x["winner"].cast("string")))
+    return h.select("filename", F.array_join(one, ",").alias("history"))
 
 
 @query("""SELECT filename, comparison_id, source FROM (
@@ -280,13 +281,18 @@ def e06_orphan_plan(t: Tables):
     return etl.orphan_plan(_files(t), "/data")
 
 
-@query("""WITH f AS (SELECT concat('/d/', CAST(doc_id % 50 AS VARCHAR), '/s', CAST(doc_id AS VARCHAR), '.png') AS path, md5(coalesce(text, '')) AS hash, doc_id AS modified FROM documents)
-SELECT path, CASE WHEN n = 1 THEN 'keep' ELSE 'merge' END AS action, keeper FROM (
-  SELECT *, row_number() OVER w AS n, first_value(path) OVER w AS keeper FROM f WINDOW w AS (PARTITION BY hash ORDER BY modified DESC, path))""")
+@query("""WITH f AS (SELECT concat('/d/', CAST(doc_id % 50 AS VARCHAR), '/s', CAST(doc_id % 70 AS VARCHAR), '.', CAST(doc_id AS VARCHAR), '.png') AS path, concat('s', CAST(doc_id % 70 AS VARCHAR), '.', CAST(doc_id AS VARCHAR)) AS own, md5(coalesce(text, '')) AS hash, doc_id AS modified FROM documents
+  UNION ALL SELECT concat('/e/s', CAST(doc_id % 70 AS VARCHAR), '.', CAST(doc_id AS VARCHAR), '.png'), concat('s', CAST(doc_id % 70 AS VARCHAR), '.', CAST(doc_id AS VARCHAR)), md5(concat('other', coalesce(text, ''))), doc_id + 5 FROM documents WHERE doc_id % 3 = 0),
+k AS (SELECT *, row_number() OVER w AS n, first_value(path) OVER w AS keeper FROM f WINDOW w AS (PARTITION BY hash ORDER BY modified DESC, path)),
+s AS (SELECT path, row_number() OVER (PARTITION BY own ORDER BY modified DESC, path) AS c FROM k WHERE n = 1)
+SELECT k.path, CASE WHEN n > 1 THEN 'merge' WHEN c > 1 THEN 'rename' ELSE 'keep' END AS action, keeper, CASE WHEN c > 1 THEN concat(own, '_', CAST(c AS VARCHAR)) ELSE own END AS stem FROM k LEFT JOIN s ON s.path = k.path""")
 def e05_j17_duplicate_plan(t: Tables):
-    path = F.concat(F.lit("/d/"), (F.col("doc_id") % 50).cast("string"), F.lit("/s"), F.col("doc_id").cast("string"), F.lit(".png"))
-    f = t.documents.select(path.alias("path"), F.md5(F.coalesce("text", F.lit(""))).alias("hash"), F.col("doc_id").alias("modified"))
-    return etl.duplicate_plan(f).select("path", "action", "keeper")
+    """Copies of a content, and different contents of one stem in two folders."""
+    own = F.concat(F.lit("s"), (F.col("doc_id") % 70).cast("string"), F.lit("."), F.col("doc_id").cast("string"), F.lit(".png"))
+    text = F.coalesce("text", F.lit(""))
+    f = t.documents.select(F.concat(F.lit("/d/"), (F.col("doc_id") % 50).cast("string"), F.lit("/"), own).alias("path"), F.md5(text).alias("hash"), F.col("doc_id").alias("modified"))
+    f = f.union(t.documents.where("doc_id % 3 = 0").select(F.concat(F.lit("/e/"), own), F.md5(F.concat(F.lit("other"), text)), F.col("doc_id") + 5))
+    return etl.duplicate_plan(f).select("path", "action", "keeper", "stem")
 
 
 @query("SELECT filename, score, comparison_count FROM images WHERE NOT (comparison_count >= 40 AND score < 0.7)", "images")

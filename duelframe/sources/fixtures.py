@@ -34,6 +34,17 @@ FROM (
   ) near WHERE m IS NOT NULL AND p <> q
 ) e
 """
+#: The same with ways back: of every fourth order of a customer, in time, to the one three before.
+CYCLIC = f"""
+SELECT DISTINCT w * 100000000 + l AS id, {_NAME.format("w")} AS filename_a, {_NAME.format("l")} AS filename_b, {_NAME.format("w")} AS winner, CAST(1.0 AS DOUBLE) AS weight
+FROM (
+  SELECT o_orderkey AS w, lead(o_orderkey) OVER v AS l FROM orders WINDOW v AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)
+  UNION ALL
+  SELECT CASE WHEN n % 4 = 0 THEN o_orderkey END, back FROM (
+    SELECT o_orderkey, row_number() OVER v AS n, lag(o_orderkey, 3) OVER v AS back FROM orders WINDOW v AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)
+  ) r
+) e WHERE w IS NOT NULL AND l IS NOT NULL
+"""
 IMAGES = f"""
 SELECT {_NAME.format("p_partkey")} AS filename, CAST(p_partkey % 1000 AS DOUBLE) / 1000 AS score,
        20 + CAST(p_partkey % 101 AS DOUBLE) / 10 AS rating_mu, 1 + CAST(p_partkey % 71 AS DOUBLE) / 10 AS rating_sigma,
@@ -59,7 +70,7 @@ SELECT 'size' AS vector_name, p_partkey AS id, CAST(p_size AS DOUBLE) AS v FROM
 UNION ALL SELECT 'price', p_partkey, p_retailprice FROM part WHERE p_size > 5
 UNION ALL SELECT 'mean_quantity', l_partkey, avg(l_quantity) FROM lineitem GROUP BY l_partkey
 """
-VIEWS = {"comparisons": COMPARISONS, "dag": DAG, "images": IMAGES, "prompts": PROMPTS, "records": RECORDS, "slots": SLOTS}
+VIEWS = {"comparisons": COMPARISONS, "dag": DAG, "cyclic": CYCLIC, "images": IMAGES, "prompts": PROMPTS, "records": RECORDS, "slots": SLOTS}
 _NEEDS = {"images": ("comparisons",)}
 _TABLES = ("lineitem", "part", "orders")
 
