@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, MapType, StringType
 
+from .arrays import l2_normalised, once
+
 
 def unfolded(value: Any) -> Any:
     """value with every string that is itself a JSON object or array replaced by what it holds, at any depth.
@@ -175,6 +177,8 @@ def hashed_embedding(text: Column, size: int = 64) -> Column:
     """
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\W+"), lambda w: w != "")
     places = F.transform(F.transform(words, F.md5), lambda h: F.struct(F.pmod(F.conv(F.substring(h, 1, 4), 16, 10).cast("int"), F.lit(size)).alias("i"), F.when(F.substring(h, 5, 1) < "8", 1.0).otherwise(-1.0).alias("s")))
-    v = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.aggregate(F.filter(places, lambda p: p["i"] == k), F.lit(0.0), lambda a, p: a + p["s"]))
-    norm = F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), F.lit(1e-12))
-    return F.transform(v, lambda x: x / norm)
+
+    def summed(p: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.aggregate(F.filter(p, lambda x: x["i"] == k), F.lit(0.0), lambda a, x: a + x["s"]))
+
+    return l2_normalised(once(once(places, summed), lambda v: v))

@@ -80,10 +80,15 @@ def truncated(df: DataFrame) -> DataFrame:
     return df.limit(0)
 
 
+def scan_order() -> list[Column]:
+    """By time and id; unknown times first."""
+    return [F.asc_nulls_first("timestamp"), F.asc("id")]
+
+
 def scan_comparisons(comparisons: DataFrame, weight: float | None = None) -> DataFrame:
     """By time and id; null times first."""
     rows = comparisons if weight is None else comparisons.where(F.col("weight") == weight)
-    return rows.orderBy(F.asc_nulls_first("timestamp"), "id")
+    return rows.orderBy(*scan_order())
 
 
 def append_comparisons(comparisons: DataFrame, new: DataFrame) -> DataFrame:

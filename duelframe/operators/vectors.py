@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.arrays import l2_normalised, once, softmax
+
 _EMPTY = "array<double>"
 
 
@@ -71,32 +73,17 @@ def flat_structs(items: Column, fields: tuple[str, ...]) -> Column:
     return F.flatten(F.transform(items, lambda s: F.array(*[F.coalesce(s[f].cast("double"), F.lit(0.0)) for f in fields])))
 
 
-def l2_normalised(v: Column, eps: float = 1e-12) -> Column:
-    norm = F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x)), F.lit(eps))
-    return _once(norm, lambda n: F.transform(v, lambda x: x.cast("double") / n))
-
-
-def _once(v: Column, f) -> Column:
-    """f(v), where f may use its argument often: v is evaluated once."""
-    return F.element_at(F.transform(F.array(v), f), 1)
-
-
-def softmax(v: Column) -> Column:
-    def scaled(e: Column) -> Column:
-        total = F.aggregate(e, F.lit(0.0), lambda a, y: a + y)
-        return _once(total, lambda t: F.transform(e, lambda x: x / t))
-
-    return _once(_once(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top))), scaled)
-
-
 def gather(v: Column, kept: list[int]) -> Column:
     return F.transform(F.array(*[F.lit(i) for i in kept]), lambda i: F.get(v, i))
 
 
-def interactions(v: Column, size: int) -> Column:
+def interactions(v: Column) -> Column:
     """Products of elements i < j, in order."""
-    ij = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(size) for j in range(i + 1, size)])
-    return F.transform(ij, lambda p: F.get(v, p["i"]) * F.get(v, p["j"]))
+    def products(x: Column) -> Column:
+        rows = F.transform(F.sequence(F.lit(0), F.greatest(F.size(x) - 2, F.lit(0))), lambda i: F.transform(F.slice(x, i + 2, F.greatest(F.size(x) - i - 1, F.lit(0))), lambda y: F.get(x, i) * y))
+        return F.flatten(rows)
+
+    return once(v, products)
 
 
 def slot_vector(entry: DataFrame, slot: Slot) -> Column:
@@ -188,7 +175,7 @@ def expected_class(probabilities: Column) -> Column:
         total = F.aggregate(F.zip_with(p, F.sequence(F.lit(0), F.size(p) - 1), lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x)
         return total / F.greatest(F.size(p) - 1, F.lit(1))
 
-    return _once(probabilities, mean)
+    return once(probabilities, mean)
 
 
 def kept_by_gain(gains: DataFrame, part: float = 0.99) -> DataFrame:

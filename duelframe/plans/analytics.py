@@ -133,10 +133,12 @@ def o04_term_extremes(t: Tables):
     return matrix.extremes(s.select("term", "mean"), "mean", 50, "term")
 
 
-@query("""SELECT id, trim(replace(replace(p, '(', ''), ')', '')) AS content FROM (SELECT id, regexp_extract(prompt, '^\\(([^:]*):', 1) AS p FROM prompts)""", "prompts")
+@query("""SELECT id, CASE WHEN p[1] = '(' THEN regexp_extract(p, '^\\(([^:]*):', 1) ELSE trim(p) END AS content, CASE WHEN p[1] = '(' THEN CAST(regexp_extract(p, ':([0-9.]+)\\)', 1) AS DOUBLE) ELSE 1.0 END AS weight
+FROM (SELECT id, unnest(string_split(prompt, ',')) AS p FROM prompts)""", "prompts")
 def f01_f08_paren_weight(t: Tables):
-    first = F.split("prompt", ",")[0]
-    return t.prompts.select("id", terms.weight_columns(first)[0].alias("content"))
+    parts = t.prompts.select("id", F.explode(F.split("prompt", ",")).alias("p"))
+    content, weight = terms.weight_columns(F.col("p"))
+    return parts.select("id", content.alias("content"), weight.alias("weight"))
 
 
 @query("""SELECT id, lower(trim(regexp_replace(regexp_replace(prompt, '\\s+', ' ', 'g'), ':\\s*[0-9]+\\.?[0-9]*$', ''), ' \t\n\r"''`,;:.!?#<>[]{}()')) AS term FROM prompts""", "prompts")
@@ -277,10 +279,9 @@ def v04_v06_struct_slots(t: Tables):
     return v.select("id", *[F.get("vector", F.lit(i)).alias(n) for i, n in enumerate("abcdef")])
 
 
-@query("SELECT vec_id, CAST(embedding[1] AS DOUBLE) * embedding[2] AS p01, CAST(embedding[1] AS DOUBLE) * embedding[3] AS p02, CAST(embedding[2] AS DOUBLE) * embedding[3] AS p12 FROM embeddings")
+@query("SELECT vec_id, flatten(list_transform(range(1, len(embedding)), lambda i: list_transform(embedding[i + 1:], lambda x: CAST(x AS DOUBLE) * CAST(embedding[i] AS DOUBLE)))) AS p FROM embeddings")
 def f25_interactions(t: Tables):
-    v = t.embeddings.select("vec_id", vectors.interactions(F.transform("embedding", lambda x: x.cast("double")), 3).alias("p"))
-    return v.select("vec_id", *[F.get("p", F.lit(i)).alias(n) for i, n in enumerate(("p01", "p02", "p12"))])
+    return t.embeddings.select("vec_id", vectors.interactions(F.transform("embedding", lambda x: x.cast("double"))).alias("p"))
 
 
 @query("SELECT vec_id, embedding[6] AS a, embedding[61] AS b FROM embeddings")

@@ -28,16 +28,14 @@ def s19_jsonl_round_trip(t: Tables):
     return files.read_jsonl(t.spark, path, "id long, score double, steps int, sampler string")
 
 
-@query("SELECT CAST(regexp_extract(name, '[0-9]+', 0) AS BIGINT) AS id, score FROM (SELECT concat('r', CAST(id AS VARCHAR), '.json') AS name, id % 2 = 0 AS has, score FROM records WHERE id < 400) WHERE has", "records")
+@query("SELECT id, score FROM records WHERE id % 2 = 0", "records")
 def s22_sidecar_scan(t: Tables):
-    """Sidecar files, every second with a score, half of these wrapped under a time; the scored ones are read."""
-    root = _place(t, "sidecars")
+    """Sidecars as lines, every second with a score, half of these wrapped under a time; the scored ones are read."""
+    path = _place(t, "sidecars")
     plain = F.when(F.col("id") % 2 == 0, F.to_json(F.struct("score", "id"))).otherwise(F.to_json(F.struct("id")))
-    entry = F.when(F.col("id") % 4 == 0, F.concat(F.lit('{"2024": '), plain, F.lit("}"))).otherwise(plain)
-    few = t.records.where("id < 400").select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("name"), entry.alias("value"))
-    few.repartition("name").write.partitionBy("name").text(root)  # a folder for each
-    found = t.spark.read.text(root).select(etl.unwrap(F.col("value")).alias("entry"))
-    return found.where(F.get_json_object("entry", "$.score").isNotNull()).select(F.get_json_object("entry", "$.id").cast("long").alias("id"), F.get_json_object("entry", "$.score").cast("double").alias("score"))
+    t.records.select(F.when(F.col("id") % 4 == 0, F.concat(F.lit('{"2024": '), plain, F.lit("}"))).otherwise(plain).alias("value")).write.text(path)
+    found = t.spark.read.text(path).select(etl.unwrap(F.col("value")).alias("entry")).where(F.get_json_object("entry", "$.score").isNotNull())
+    return found.select(F.get_json_object("entry", "$.id").cast("long").alias("id"), F.get_json_object("entry", "$.score").cast("double").alias("score"))
 
 
 @query("SELECT sampler, mean, threshold FROM (SELECT sampler, avg(score) AS mean, 3 AS threshold FROM records GROUP BY 1 UNION ALL SELECT sampler, max(score), 5 FROM records GROUP BY 1)", "records")
@@ -139,12 +137,10 @@ def w06_w07_calibration_table(t: Tables):
 _TIMES = "CASE WHEN id % 5 = 0 THEN NULL ELSE timestamp END"
 
 
-@query(f"SELECT id, CAST(row_number() OVER (ORDER BY {_TIMES} ASC NULLS FIRST, id) AS BIGINT) AS place FROM comparisons WHERE id % 50 < 10", "comparisons")
+@query(f"SELECT id, CAST(row_number() OVER (PARTITION BY filename_a ORDER BY {_TIMES} ASC NULLS FIRST, id) AS INT) AS place FROM comparisons", "comparisons")
 def f10_null_times_first(t: Tables):
-    """Places in the scan by time and id, where a fifth of the times is unknown."""
-    c = t.comparisons.where("id % 50 < 10").withColumn("timestamp", F.expr(_TIMES))
-    ordered = tables.scan_comparisons(c).select("id").toArrow().column(0).to_pylist()  # the scan's order is what is asked for
-    return t.spark.createDataFrame([(i, k + 1) for k, i in enumerate(ordered)], "id long, place long")
+    """Each comparison's place among those of its first image in the scan's order, where a fifth of the times is unknown."""
+    return tables.rank_within(t.comparisons.withColumn("timestamp", F.expr(_TIMES)), "filename_a", tables.scan_order(), "place").select("id", "place")
 
 
 @query("SELECT filename, score FROM images WHERE comparison_count <= 1 OR rating_sigma >= 3.0", "images")
@@ -186,15 +182,13 @@ def q12_describe_counts(t: Tables):
     return d.select("filename", "wins", "losses", "score")
 
 
-@query("SELECT page_id AS id, 160.0 AS width, 130.0 AS height, 160.0 / 130.0 AS aspect, round(least(stddev_pop(g) / 0.5, 1), 6) AS contrast FROM (SELECT page_id, CAST((page_id * 7 + i * 13 + (i * i) % 97) % 256 AS DOUBLE) / 255 AS g FROM pages, range(20800) t(i) WHERE page_id < 60) GROUP BY page_id")
+@query("SELECT page_id AS id, 160.0 AS width, 130.0 AS height, 160.0 / 130.0 AS aspect, round(least(stddev_pop(g) / 0.5, 1), 6) AS contrast FROM (SELECT page_id, CAST((page_id * 7 + i * 13 + (i * i) % 97) % 256 AS DOUBLE) / 255 AS g FROM pages, range(20800) t(i)) GROUP BY page_id")
 def i01_i02_i09_measures(t: Tables):
     """Grey pixels made from the page's number."""
     i = F.sequence(F.lit(0), F.lit(160 * 130 - 1))
     grey = F.transform(i, lambda k: ((F.col("page_id") * 7 + k * 13 + (k * k) % 97) % 256).cast("int"))
-    hexed = F.concat_ws("", F.transform(grey, lambda g: F.lpad(F.hex(g), 2, "0")))
     rgb = F.concat_ws("", F.transform(F.transform(grey, lambda g: F.lpad(F.hex(g), 2, "0")), lambda h: F.concat(h, h, h)))
-    del hexed
-    m = t.pages.where("page_id < 60").select(F.col("page_id").alias("id"), images.measure(F.unhex(rgb), F.lit(130), F.lit(160)).alias("m"))
+    m = t.pages.select(F.col("page_id").alias("id"), images.measure(F.unhex(rgb), F.lit(130), F.lit(160)).alias("m"))
     return m.select("id", *[F.col("m")[k].alias(k) for k in ("width", "height", "aspect")], F.round(F.col("m")["contrast"], 6).alias("contrast"))
 
 
@@ -227,10 +221,10 @@ def x03_recent(t: Tables):
 
 
 def _live(t: Tables):
-    return t.dag.select(F.lit("all").alias("pool"), "id", "winner", F.col("filename_b").alias("loser")).where("id % 5 = 0")
+    return t.dag.select(F.lit("all").alias("pool"), "id", "winner", F.col("filename_b").alias("loser"))
 
 
-@query("SELECT count(*) AS names, CAST(0 AS BIGINT) AS different FROM (SELECT winner FROM dag WHERE id % 5 = 0 UNION SELECT filename_b FROM dag WHERE id % 5 = 0)", "dag")
+@query("SELECT count(*) AS names, CAST(0 AS BIGINT) AS different FROM (SELECT winner FROM dag UNION SELECT filename_b FROM dag)", "dag")
 def x05_live_ratings(t: Tables):
     """Ratings kept by the stream, against the fold of the same comparisons: the names on which they differ (none)."""
     path = _place(t, "live")

@@ -164,7 +164,7 @@ def m07_m08_interaction_selection(t: Tables):
     """The interaction features with the best F scores, applied."""
     x = F.transform(F.slice("embedding", 1, 6), lambda v: v.cast("double"))
     df = t.embeddings.select("vec_id", x.alias("v"), (F.col("label") / 10).alias("y"))
-    p = df.select("vec_id", "y", vectors.interactions(F.col("v"), 6).alias("p"), "v")
+    p = df.select("vec_id", "y", vectors.interactions(F.col("v")).alias("p"), "v")
     names = [f"p{i}" for i in range(15)]
     wide = p.select("vec_id", "y", "v", *[F.get("p", F.lit(i)).alias(n) for i, n in enumerate(names)])
     best = [r.idx for r in stats.correlation_scores(wide, names, "y", 5).collect()]
