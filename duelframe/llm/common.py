@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -14,45 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
+from ..operators.connected import connected_components
+from ..scratch import scratch, shared_folder, sweep
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
-    sc = spark.sparkContext
-    known = sc._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get()
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="duelframe-")
-    sc.setCheckpointDir(where)
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def scratch(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """df written as Parquet to the shared folder and read back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-_WRITTEN: list[str] = []
+__all__ = ["connected_components", "scratch", "shared_folder", "sweep"]  # of the engine, for the modules here
 
 
-def sweep(spark: SparkSession) -> int:
-    """Deletes the scratch tables that this process has written; for when no result that reads them is needed any more."""
-    n = 0
-    while _WRITTEN:
-        place = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        n += bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True))
-    return n
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    shared_folder(df.sparkSession)
+    """df checkpointed in the shared folder, with the partitions and the order that it has."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -167,44 +141,6 @@ class WordHash:
             return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """(node, component) for every endpoint; component is the smallest node reachable.
-
-    Alternating large-star and small-star steps on DataFrames, each cut by a checkpoint. Nulls and
-    self-links add nothing but the node. No node's neighbours are collected: each step is a groupBy-min
-    and a join, which adaptive execution splits when a hub is hot.
-    """
-    nodes = edges.select(F.col(a).alias("node")).union(edges.select(F.col(b))).where("node is not null").distinct()
-    e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    e = checkpoint(e.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        out = both.join(least, "u")
-        if large:
-            out = out.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        else:
-            out = out.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-
-    def signature(e: DataFrame):
-        return e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-
-    before = signature(e)
-    for _ in range(rounds):
-        e = checkpoint(star(star(e, True), False))
-        after = signature(e)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError("components did not converge")
-    return nodes.join(e.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select(
-        "node", F.coalesce("component", "node").alias("component")
-    )
-
-
 def forest(pairs: np.ndarray) -> np.ndarray:
     """Star edges (root, member), root the smallest, with the same components as pairs (k x 2 of int64)."""
     if not len(pairs):
