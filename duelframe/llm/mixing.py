@@ -1,8 +1,8 @@
 """Language-model scores by logistic context mixing (operator 10).
 
 A text is its bytes and an end, each coded as the bits of its path in a Huffman tree. Six predictors, for
-contexts of 0 to 5 symbols, look up how often each bit was 0 and 1 at (context, node) in hashed tables of
-fixed size. Their stretched probabilities are combined by a weight vector that a gate picks (how many
+contexts of 0 to 5 symbols, look up how often each bit was 0 and 1 at (context, node) in hashed tables that
+grow with the corpus up to a bound and tell contexts apart by a check byte. Their stretched probabilities are combined by a weight vector that a gate picks (how many
 contexts are known, and how well the longest one is); weights are learned online, batch by batch, on
 leave-one-out counts, and an adaptive map of (gate, mixed probability) refines the result. The model's
 probability of a text is the product over its bits; its base-10 logarithm is the score.
@@ -28,9 +28,8 @@ from pyspark.sql import functions as F
 from .common import mix64, read, scratch, slices, text_bytes
 
 END, SYMBOL_BITS, ORDERS = 256, 9, 6
-#: Base-2 logarithms of the tables' sizes, for contexts of 0, 1, ... symbols.
-TABLE_BITS = (9, 16, 19, 21, 21, 22)
-_OFFSET = np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])])
+#: The most that the base-2 logarithm of a table's size may be; smaller corpora get smaller tables.
+MOST_BITS = 23
 _MASK = (1 << (SYMBOL_BITS * ORDERS)) - 1
 
 
@@ -82,16 +81,22 @@ class Code:
                 self.node[d, s], self.bit[d, s] = node, bit
 
 
-def slots(order: int, windows: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """Places in the joined tables for the order's context (the symbols before the last) and the code node."""
-    context = (windows >> np.uint64(SYMBOL_BITS)) & np.uint64((1 << (SYMBOL_BITS * order)) - 1)
-    h = mix64((context * np.uint64(0x9E3779B97F4A7C15)) ^ (node + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
-    return _OFFSET[order] + (h >> np.uint64(64 - TABLE_BITS[order])).astype(np.int64)
+class Layout:
+    """Where the tables of the orders begin, one after the other, for sizes of 2^bits."""
+
+    def __init__(self, bits: tuple[int, ...]):
+        self.bits, self.offset = bits, np.concatenate([[0], np.cumsum([1 << b for b in bits])])
+
+    def places(self, order: int, windows: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, check bytes) for the order's context (the symbols before the last) and the code node."""
+        context = (windows >> np.uint64(SYMBOL_BITS)) & np.uint64((1 << (SYMBOL_BITS * order)) - 1)
+        h = mix64((context * np.uint64(0x9E3779B97F4A7C15)) ^ (node + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+        return self.offset[order] + (h >> np.uint64(64 - self.bits[order])).astype(np.int64), (h & np.uint64(255)).astype(np.uint8)
 
 
 class Model:
-    def __init__(self, code: Code, zeros: np.ndarray, ones: np.ndarray):
-        self.code, self.zeros, self.ones = code, zeros, ones
+    def __init__(self, code: Code, layout: Layout, zeros: np.ndarray, ones: np.ndarray, check: np.ndarray):
+        self.code, self.layout, self.zeros, self.ones, self.check = code, layout, zeros, ones, check
         self.weights = np.full((GATES, ORDERS), 0.3)
         self.map = None
 
@@ -101,8 +106,9 @@ class Model:
         known = np.zeros(len(w), np.int64)
         last = np.zeros(len(w))
         for k in range(ORDERS):
-            s = slots(k, w, node)
-            n0, n1 = self.zeros[s].astype(np.float64), self.ones[s].astype(np.float64)
+            s, check = self.layout.places(k, w, node)
+            own = self.check[s] == check  # else the place is another context's
+            n0, n1 = self.zeros[s] * own.astype(np.float64), self.ones[s] * own.astype(np.float64)
             if bit is not None:
                 n0 = np.maximum(n0 - ~bit, 0)
                 n1 = np.maximum(n1 - bit, 0)
@@ -188,8 +194,12 @@ def gather_windows(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
-def fit(texts: DataFrame) -> Model:
-    """The model of a one-column table of texts."""
+def fit(texts: DataFrame, most_bits: int = MOST_BITS) -> Model:
+    """The model of a one-column table of texts.
+
+    A table has two to four places for each different window, at most 2^most_bits: then the contexts seen most often keep
+    their places, told apart by a check byte, and the others count as unknown.
+    """
     spark = texts.sparkSession
     sc = spark.sparkContext
     grams = scratch(gather_windows(texts), "windows")
@@ -197,6 +207,8 @@ def fit(texts: DataFrame) -> Model:
     for s, n in grams.groupBy(F.col("w").bitwiseAND(F.lit((1 << SYMBOL_BITS) - 1)).alias("s")).agg(F.sum("n")).collect():
         counts[s] = n
     code = Code(counts)
+    different = grams.agg(*[F.approx_count_distinct(F.expr(f"w & (shiftleft(cast(1 as bigint), {SYMBOL_BITS} * {k + 1}) - 1)"), 0.02) for k in range(ORDERS)]).first()
+    layout = Layout(tuple(min(most_bits, max(9, int(2 * (n or 1)).bit_length())) for n in different))
 
     order = F.explode(F.array(*[F.lit(k) for k in range(ORDERS)]))
     cut = F.expr(f"w & (shiftleft(cast(1 as bigint), {SYMBOL_BITS} * (k + 1)) - 1)")
@@ -204,7 +216,7 @@ def fit(texts: DataFrame) -> Model:
     each = each.repartition("k", F.shiftright("w", SYMBOL_BITS))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blank = Model(code, None, None)
+        blank = Model(code, layout, None, None, None)
         for b in batches:
             ks, ws, ns = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.uint64), b.column(2).to_numpy()
             place, weight = [], []
@@ -213,7 +225,8 @@ def fit(texts: DataFrame) -> Model:
                 if m.any():
                     w, n = ws[m], ns[m]
                     for rows, node, bit in blank.bits(w):
-                        place.append(slots(k, w[rows], node) * 2 + bit)
+                        at, check = layout.places(k, w[rows], node)
+                        place.append((at * 256 + check) * 2 + bit)
                         weight.append(n[rows])
             u, inverse = np.unique(np.concatenate(place), return_inverse=True)
             n = np.bincount(inverse, np.concatenate(weight)).astype(np.int64)
@@ -221,19 +234,22 @@ def fit(texts: DataFrame) -> Model:
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = np.stack([b.column(1).to_numpy(), b.column(2).to_numpy()])
+            n = np.stack([b.column(2).to_numpy(), b.column(3).to_numpy()])
             scale = np.maximum(n.max(axis=0) / 65535, 1)
             n = np.where(n > 0, np.maximum(np.rint(n / scale), 1), 0).astype(np.uint16)
-            yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_numpy().astype(np.int32).tobytes()]), pa.array([n.tobytes()])], names=["slots", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([c]) for c in (b.column(0).to_numpy().astype(np.int32).tobytes(), b.column(1).to_numpy().astype(np.uint8).tobytes(), n.tobytes())], names=["places", "checks", "counts"])
 
     bit = F.col("slot").bitwiseAND(F.lit(1))
     table = each.mapInArrow(tally, "slot long, n long").groupBy(F.shiftright("slot", 1).alias("s"))
     table = table.agg(F.sum(F.when(bit == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(bit == 1, F.col("n")).otherwise(0)).alias("n1"))
-    zeros, ones = np.zeros(_OFFSET[-1], np.uint16), np.zeros(_OFFSET[-1], np.uint16)
-    for row in table.mapInArrow(squeeze, "slots binary, counts binary").toLocalIterator(prefetchPartitions=True):
-        s = np.frombuffer(row[0], np.int32)
-        zeros[s], ones[s] = np.frombuffer(row[1], np.uint16).reshape(2, -1)
-    model = Model(code, zeros, ones)
+    best = F.max(F.struct((F.col("n0") + F.col("n1")).alias("n"), F.col("s").bitwiseAND(F.lit(255)).alias("c"), "n0", "n1")).alias("b")  # of contexts that share a place
+    table = table.groupBy(F.shiftright("s", 8).alias("place")).agg(best).select("place", "b.c", "b.n0", "b.n1")
+    zeros, ones, checks = (np.zeros(layout.offset[-1], kind) for kind in (np.uint16, np.uint16, np.uint8))
+    for row in table.mapInArrow(squeeze, "places binary, checks binary, counts binary").toLocalIterator(prefetchPartitions=True):
+        at = np.frombuffer(row[0], np.int32)
+        checks[at] = np.frombuffer(row[1], np.uint8)
+        zeros[at], ones[at] = np.frombuffer(row[2], np.uint16).reshape(2, -1)
+    model = Model(code, layout, zeros, ones, checks)
 
     shared = _share(sc, model)
 
