@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from duelframe.functions import images, records, terms
-from duelframe.operators import calibration, etl, gallery, pairing, training, vectors
+from duelframe.functions import arrays, images, rating_math, records, terms
+from duelframe.operators import calibration, etl, gallery, live, pairing, training, vectors
 from duelframe.sources import files
 
 
@@ -174,6 +174,49 @@ def test_records(spark):
     assert sum(x * x for x in v[0].v) == pytest.approx(1) and v[1].v == v[2].v == [0.0] * 16
 
 
+def test_odd_records_do_not_fail():
+    assert records.labelled("size:big") == ("size", 1.0) and records.labelled("(Size:1.5)") == ("size", 1.5) and records.labelled("a:b:2") == ("a", 2.0)
+    assert records.unfolded({"p": "{red|blue} sky}", "q": "{red|blue}", "r": '{"a": "[1]"}'}) == {"p": "{red|blue} sky}", "q": "{red|blue}", "r": {"a": [1]}}
+
+
+def test_array_expressions(spark):
+    rows = [([1.0, 2.0, -1.0],), ([0.5],), ([700.0, 701.0],)]
+    df = spark.createDataFrame(rows, "v array<double>")
+    for r in df.select("v", arrays.softmax(F.col("v")).alias("s"), arrays.l2_normalised(F.col("v")).alias("n"), vectors.interactions(F.col("v")).alias("p")).collect():
+        e = np.exp(np.array(r.v) - max(r.v))
+        assert r.s == pytest.approx(e / e.sum()) and r.n == pytest.approx(np.array(r.v) / np.linalg.norm(r.v))
+        assert r.p == [x * y for i, x in enumerate(r.v) for y in r.v[i + 1 :]]
+
+
+def test_record(spark):
+    i = spark.createDataFrame([("a", 0.5, 25.0, 8.0, 3, None), ("b", 0.5, 20.0, 5.0, 0, None), ("c", 0.5, 25.0, 8.0, 1, None)], "filename string, score double, rating_mu double, rating_sigma double, comparison_count int, last_compared_at string")
+    c = spark.createDataFrame([(7, "a", "c", "a", "t", 1.0, 0)], "id long, filename_a string, filename_b string, winner string, timestamp string, weight double, transitive_depth int")
+    labels = spark.createDataFrame([("a", "a"), ("c", "a")], "node string, component string")
+
+    def new(*row):
+        return spark.createDataFrame([row], "filename_a string, filename_b string, winner string, timestamp string, weight double, transitive_depth int")
+
+    done = live.record(i, c, new("b", "a", "b", "now", 1.0, 0), labels)
+    (mw, sw), (ml, sl) = rating_math.update((20.0, 5.0), (25.0, 8.0))
+    got = {r.filename: r for r in done.images.collect()}
+    assert (got["b"].rating_mu, got["b"].rating_sigma, got["a"].rating_mu, got["a"].rating_sigma) == pytest.approx((mw, sw, ml, sl))
+    assert (got["a"].comparison_count, got["b"].comparison_count, got["c"].comparison_count, got["b"].last_compared_at, got["c"].last_compared_at) == (4, 1, 1, "now", None)
+    assert sorted((r.id, r.filename_a, r.filename_b, r.winner) for r in done.comparisons.collect()) == [(7, "a", "c", "a"), (8, "a", "b", "b")]
+    assert {r.filename for r in done.sync.collect()} == {"a", "b"} and {r.node: r.component for r in done.labels.collect()} == {"a": "a", "b": "a", "c": "a"}
+    for bad in (("a", "b", "x", "now", 1.0, 0), ("a", "a", "a", "now", 1.0, 0), ("a", "nobody", "a", "now", 1.0, 0)):
+        same = live.record(i, c, new(*bad))
+        assert same.comparisons.count() == 1 and same.sync.count() == 0 and sorted(map(str, same.images.collect())) == sorted(map(str, i.collect()))
+
+
+def test_choice_remembers_its_phase(spark):
+    i = spark.createDataFrame([(f"i{k:03d}", 0.5, 25.0 + k / 10, 2.0, 20) for k in range(12)], "filename string, score double, rating_mu double, rating_sigma double, comparison_count int")
+    c = spark.createDataFrame([(n, "i000", f"i{n % 11 + 1:03d}", "i000") for n in range(31)], "id long, filename_a string, filename_b string, winner string")
+    found, skip = pairing.choose(i, c, skip=6)
+    assert found.first().phase == "fallback" and skip == 6
+    found, skip = pairing.choose(i, c.limit(30), skip=6)  # a multiple of the reserve count: from the start
+    assert pairing.PHASES[skip] == found.first().phase
+
+
 def test_cumulative(spark):
     from duelframe.operators import stats
 
