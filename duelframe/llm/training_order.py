@@ -89,7 +89,7 @@ def sequences(docs: DataFrame, ranks: str, id_col: str, text_col: str, length: i
     return docs.select(id_col, text_col).mapInArrow(run, f"part int, place long, `{id_col}` {kind}, piece int, n_tokens int, ids_crc32 long, ids binary")
 
 
-def write_training_order(docs: DataFrame, path: str, ranks: str, id_col: str = "doc_id", text_col: str = "text", length: int = 1024, stride: int = 4096, key: int = 20_240_607) -> int:
+def write_training_order(docs: DataFrame, path: str, ranks: str, id_col: str = "doc_id", text_col: str = "text", length: int = 1024, stride: int = 4096, key: int = 20_240_607, most_tasks: int = 20_000) -> int:
     """Writes all sequences of docs under path, in training order; returns their number.
 
     path/shard=K holds the slots K * stride up to the next shard's, sorted: (slot, id, piece, n_tokens,
@@ -115,7 +115,8 @@ def write_training_order(docs: DataFrame, path: str, ranks: str, id_col: str = "
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields[2:])
     placed = held.mapInArrow(run, f"shard int, slot long, {kept}")
     shards = max(1, -(-total // stride))
-    ordered = placed.repartitionById(shards, "shard").sortWithinPartitions("slot")
+    tasks = min(shards, most_tasks)  # each writes the shards of one range
+    ordered = placed.withColumn("_task", F.floor(F.col("shard").cast("long") * tasks / shards).cast("int")).repartitionById(tasks, "_task").sortWithinPartitions("slot").drop("_task")
     pad = np.full(length, PAD_ID, np.uint16).tobytes()
     padded = ordered.withColumn("ids", F.substring(F.concat("ids", F.lit(bytearray(pad))), 1, 2 * length))
     padded.write.partitionBy("shard").option("compression", "zstd").parquet(path)

@@ -119,6 +119,9 @@ def test_training_order_round_trip(spark, odd_docs, no_docs, tmp_path):
             pieces[r.doc_id] = tuple(np.concatenate([np.frombuffer(x.ids, "<u2")[: x.n_tokens] for x in own]).tolist())
     assert set(pieces.values()) <= set(want) and len(pieces) == 9
     assert training_order.read_training_order(spark, path, n - 3, 100).count() == 3
+    few = str(tmp_path / "few")
+    training_order.write_training_order(odd_docs, few, vocabulary("byte_bpe_50k.tiktoken"), length=64, stride=100, most_tasks=2)
+    assert sorted(map(tuple, training_order.read_training_order(spark, few, stride=100).collect())) == sorted(map(tuple, rows))
     assert training_order.write_training_order(no_docs, str(tmp_path / "none"), vocabulary("byte_bpe_50k.tiktoken")) == 0
 
 
