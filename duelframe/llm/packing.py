@@ -72,18 +72,33 @@ def knapsack(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.n
     return best, first
 
 
+def start_prices(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
+    """(prices with which no configuration is worth more than 1, their worth for all counts): the best of some known families.
+
+    Size over capacity; the same with sizes below some limit free and those that leave less than it at 1 (one for each limit); and
+    sizes rounded to p-ths of a capacity of p + 1 parts.
+    """
+    share = sizes / capacity
+    families = [np.where(sizes > capacity - limit, 1.0, np.where(sizes < limit, 0.0, share)) for limit in sizes[2 * sizes <= capacity]]
+    families += [np.where((p + 1) * sizes % capacity == 0, share, (p + 1) * sizes // capacity / p) for p in range(1, 33)]
+    best = max([share, *families], key=lambda y: float((y * counts).sum()))
+    return best, float((best * counts).sum())
+
+
 def linear_program(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 40, eta: float = 4.0) -> tuple[dict[tuple, float], float]:
     """({configuration (class, ...): sequences}, a lower bound for the number of sequences): fractional, at most counts of each class.
 
-    Multiplicative weights: each round covers 1/rounds of every class. A class's price is its size times a weight that
+    Multiplicative weights: each round covers 1/rounds of every class. A class's price is its price in a known dual solution (start_prices) times a weight that
     grows exponentially with how far it is behind; one knapsack program over these prices gives, for every class, the best
     configuration that holds it. No round uses more than two shares of a class. Prices scaled so that no configuration is worth more
     than 1 are a solution of the dual program, whose value is the bound.
     """
-    used, bound = np.zeros(len(sizes)), float((sizes * counts).sum()) / capacity
+    used = np.zeros(len(sizes))
+    start, bound = start_prices(sizes, counts, capacity)
+    start = 0.9 * start + 0.1 * sizes / capacity
     out: dict[tuple, float] = {}
     for t in range(rounds):
-        prices = sizes / capacity * np.exp(np.clip(eta * (t / rounds - used / counts), -20, 20))
+        prices = start * np.exp(np.clip(eta * (t / rounds - used / counts), -20, 20))
         best, first = knapsack(prices, sizes, capacity)
         bound = max(bound, float((prices * counts).sum() / best[capacity]))
         most = np.minimum(counts - used, 2 * counts / rounds)  # that may be used this round
