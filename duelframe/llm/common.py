@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
@@ -185,6 +185,19 @@ def ordinals(df: DataFrame, name: str = "ordinal") -> DataFrame:
     return out.withColumn(name, F.col("_start") + F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))).drop("_mid", "_p", "_start")
 
 
+def places(df: DataFrame, key: str, *order: str | Column, name: str = "place") -> DataFrame:
+    """df with a long: a row's place, from 0, among the rows of its key (not null) in the order given.
+
+    One range exchange by key and order; a hot key lies in many partitions. Of the keys only one count per partition goes to the driver;
+    the keys' first places are a written table that is joined back.
+    """
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = ordinals(df.repartitionByRange(parts, key, *order).sortWithinPartitions(key, *order), "_nth")
+    first = scratch(rows.groupBy(F.col(key).alias("_key_of")).agg(F.min("_nth").alias("_least")), "first-places")
+    out = rows.join(first, F.col(key) == F.col("_key_of"))
+    return out.withColumn(name, F.col("_nth") - F.col("_least")).drop("_nth", "_least", "_key_of")
+
+
 def numbered(df: DataFrame, id_col: str, text_col: str | None = None, name: str = "_row") -> tuple[DataFrame, Callable[..., DataFrame]]:
     """(df with a long that orders its rows by id, what turns columns of such longs back into ids).
 
