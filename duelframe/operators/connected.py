@@ -12,8 +12,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     """(node, component) for every endpoint; component is the smallest node reachable.
 
     Alternating large-star and small-star steps on DataFrames, each pair of steps written to the shared folder. Nulls and
-    self-links add nothing but the node. No node's neighbours are collected: each step is a groupBy-min
-    and a join, which adaptive execution splits when a hub is hot.
+    self-links add nothing but the node. No node's neighbours are collected: each step is a groupBy-min, which combines before its
+    exchange and is written, and a join of the links with what was written: a join of two plain exchanges, of which adaptive
+    execution splits the hub's side.
     """
     nodes = edges.select(F.col(a).alias("node")).union(edges.select(F.col(b))).where("node is not null").distinct()
     e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
@@ -21,7 +22,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = scratch(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         out = both.join(least, "u")
         if large:
             out = out.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

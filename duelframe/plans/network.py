@@ -9,6 +9,7 @@ from ..functions import rating_math
 from ..operators import graph, live, pairing, rating, tables
 from ..operators.history import wins_losses
 from ..scratch import scratch
+from ..sources.fixtures import ctes
 from .base import Tables, query
 
 _EDGES = "edges AS (SELECT DISTINCT winner, filename_b AS loser FROM dag), nodes AS (SELECT winner AS node FROM edges UNION SELECT loser FROM edges), ends AS (SELECT winner AS a, loser AS b FROM edges UNION SELECT loser, winner FROM edges)"
@@ -190,35 +191,86 @@ def g13_collapsible_pairs(t: Tables):  # two tops are never on a common path
     return graph.collapsible_pairs(p, ends, labels, e)
 
 
+def cdf_sql(x: str) -> str:
+    """The normal distribution function in SQL, by its power series (for arguments within some 6)."""
+    return f"(0.5 + exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 90), lambda n: pow({x}, 2 * n + 1) * sqrt(pi()) / (pow(2.0, n + 1) * gamma(n + 1.5)))))"
+
+
+def replay_sql(rows: str, last: str) -> str:
+    """Recursive SQL after the ratings of `rows` (id, winner, loser) in order of id; `last` reads from rated (filename, mu, sigma, n).
+
+    Each image waits with its rating at its next comparison; one at which both wait is carried out. So the recursion has as many steps as
+    comparisons depend on each other, and needs nothing but the rows of the step before.
+    """
+    return f"""r AS ({rows}), sides AS (SELECT id, winner AS f, true AS won FROM r UNION ALL SELECT id, loser, false FROM r),
+turns AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY id) AS k FROM sides),
+wait(f, k, id, won, mu, sigma) AS (
+  SELECT f, k, id, won, CAST(25 AS DOUBLE), CAST(25 AS DOUBLE) / 3 FROM turns WHERE k = 1
+  UNION ALL
+  SELECT s.f, CASE WHEN s.two = 2 THEN s.k + 1 ELSE s.k END, CASE WHEN s.two = 2 THEN t.id ELSE s.id END, CASE WHEN s.two = 2 THEN t.won ELSE s.won END,
+         CASE WHEN s.two < 2 THEN s.mu WHEN s.won THEN s.mu + s.vw / sqrt(s.c2) * s.v ELSE s.mu - s.vl / sqrt(s.c2) * s.v END,
+         CASE WHEN s.two < 2 THEN s.sigma WHEN s.won THEN sqrt(s.vw * greatest(1 - s.vw / s.c2 * s.v * (s.v + s.x), 1e-9)) ELSE sqrt(s.vl * greatest(1 - s.vl / s.c2 * s.v * (s.v + s.x), 1e-9)) END
+  FROM (SELECT *, exp(-x * x / 2) / sqrt(2 * pi()) / {cdf_sql("x")} AS v FROM (SELECT *, (mw - ml) / sqrt(c2) AS x FROM (SELECT *, 2 * (25.0 / 6) ** 2 + vw + vl AS c2 FROM (
+    SELECT *, count(*) OVER w AS two, max(CASE WHEN won THEN mu END) OVER w AS mw, max(CASE WHEN NOT won THEN mu END) OVER w AS ml,
+      greatest(max(CASE WHEN won THEN sigma END) OVER w, 1e-9) ** 2 + (25.0 / 300) ** 2 AS vw, greatest(max(CASE WHEN NOT won THEN sigma END) OVER w, 1e-9) ** 2 + (25.0 / 300) ** 2 AS vl
+    FROM wait WHERE id IS NOT NULL WINDOW w AS (PARTITION BY id))))) s
+  LEFT JOIN turns t ON t.f = s.f AND t.k = s.k + 1
+), rated AS (SELECT f AS filename, mu, sigma, k - 1 AS n FROM wait WHERE id IS NULL)
+{last}"""
+
+
+def _with(view: str, rows: str, last: str) -> str:
+    return f"WITH RECURSIVE {ctes(*view.split())}, {replay_sql(rows, last)}"
+
+
+_DAG_ROWS = "SELECT id, winner, filename_b AS loser FROM dag"
+_RATED = "round(mu, 6) AS mu, round(sigma, 6) AS sigma, n"
+_PUBLIC = "1.5 * (mu - 25) / sqrt(2 * (25.0 / 6) ** 2 + sigma ** 2 + (25.0 / 3) ** 2)"
+
+
+def _rounded(ratings):
+    return ratings.select("filename", F.round("mu", 6).alias("mu"), F.round("sigma", 6).alias("sigma"), "n")
+
+
 @query("SELECT filename, count(*) AS n FROM (SELECT filename_a AS filename FROM comparisons UNION ALL SELECT filename_b FROM comparisons) GROUP BY filename", "comparisons")
 def r02_replay_counts(t: Tables):
-    """The fold's numbers are tested against a re-derivation; its comparison counts have an SQL twin."""
+    """The comparison counts of the fold."""
     return rating.replay(t.comparisons).select("filename", "n")
 
 
-@query()
+@query(_with("dag", _DAG_ROWS, f"SELECT filename, {_RATED} FROM rated"))
 def r02_replay(t: Tables):
-    return rating.replay(t.dag)
+    """Many small components."""
+    return _rounded(rating.replay(t.dag))
 
 
-@query()
+@query(_with("comparisons", "SELECT id, winner, CASE WHEN winner = filename_a THEN filename_b ELSE filename_a END AS loser FROM comparisons WHERE filename_a <> filename_b", f"SELECT filename, {_RATED} FROM rated"))
+def r02_replay_giant(t: Tables):
+    """Nearly all comparisons are one component, which is cut into windows of the order."""
+    return _rounded(rating.replay(t.comparisons.where("filename_a <> filename_b"), limit=20_000))
+
+
+@query(_with("comparisons", "SELECT -id AS id, winner, CASE WHEN winner = filename_a THEN filename_b ELSE filename_a END AS loser FROM comparisons WHERE filename_a <> filename_b", f"SELECT filename, {_RATED} FROM rated"))
+def r02_replay_reversed(t: Tables):
+    return _rounded(rating.replay(t.comparisons.where("filename_a <> filename_b"), "reverse", limit=20_000))
+
+
+@query(_with("images dag", _DAG_ROWS, f"""SELECT i.filename, round(coalesce(mu, 25), 6) AS rating_mu, round(coalesce(sigma, CAST(25 AS DOUBLE) / 3), 6) AS rating_sigma, CAST(coalesce(n, 0) AS INT) AS comparison_count,
+round(CASE WHEN mu IS NULL THEN 0.5 ELSE {cdf_sql(_PUBLIC)} END, 6) AS score, i.last_compared_at FROM images i LEFT JOIN rated USING (filename)"""))
 def r03_recompute(t: Tables):
-    return rating.recompute(t.images, t.dag)
+    out = rating.recompute(t.images, t.dag)
+    return out.select("filename", *[F.round(c, 6).alias(c) for c in ("rating_mu", "rating_sigma", "score")], "comparison_count", "last_compared_at")
 
 
-@query()
+@query(_with("dag", """SELECT id, winner, filename_b AS loser FROM dag WHERE filename_a IN (SELECT f FROM often) AND filename_b IN (SELECT f FROM often)""", f"SELECT filename, {_RATED} FROM rated").replace(
+    ", r AS (", ", often AS (SELECT f FROM (SELECT filename_a AS f FROM dag UNION ALL SELECT filename_b FROM dag) GROUP BY f HAVING count(*) >= 3), r AS (", 1))
 def r05_subset_replay(t: Tables):
-    return rating.subset(t.dag.withColumns({"timestamp": F.lit(None).cast("timestamp"), "transitive_depth": F.lit(0)}), 3)
+    return _rounded(rating.subset(t.dag.withColumns({"timestamp": F.lit(None).cast("timestamp"), "transitive_depth": F.lit(0)}), 3))
 
 
-@query()
+@query(_with("dag", _DAG_ROWS, f"SELECT filename, round({cdf_sql(_PUBLIC)}, 6) AS score, round(mu - 3 * sigma, 6) AS conservative, n FROM rated"))
 def r06_scores(t: Tables):
-    return rating.scores(rating.replay(t.dag))
-
-
-def cdf_sql(x: str) -> str:
-    """The normal distribution function in SQL, by its power series (for arguments within some 6)."""
-    return f"(0.5 + exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 90), lambda n: pow({x}, 2 * n + 1) * sqrt(pi()) / (pow(2.0, n + 1) * gamma(n + 1.5)))))"
+    return rating.scores(rating.replay(t.dag)).select("filename", F.round("score", 6).alias("score"), F.round("conservative", 6).alias("conservative"), "n")
 
 
 _ONE = f"""WITH a AS (SELECT filename, rating_mu AS m, greatest(rating_sigma, 1e-9) ** 2 + (25.0 / 300) ** 2 AS vw, (25.0 / 3) ** 2 + (25.0 / 300) ** 2 AS vl FROM images),

@@ -58,6 +58,39 @@ def test_replay_is_the_sequential_fold(spark):
             assert math.isclose(got[k].mu, m) and math.isclose(got[k].sigma, s) and got[k].n == n
 
 
+@pytest.mark.parametrize("limit", [50, 1000])
+def test_windows_of_a_giant_component_are_the_fold(spark, limit):
+    """One component with a hub in a third of all comparisons, self-comparisons and equal ids; no group above the limit."""
+    rng = random.Random(limit)
+    rows = []
+    for i in range(240):
+        a, b = rng.sample([f"g{k:03d}" for k in range(90)], 2)
+        if i % 3 == 0:
+            a = "hub"
+        rows.append((i // 2 if i % 50 == 0 else i, a, a if i == 77 else b, a if rng.random() < 0.5 else b))
+    rows[77] = (77, rows[77][1], rows[77][1], rows[77][1])
+    rows += [(1000 + i, f"x{i % 9}", f"y{i % 4}", f"x{i % 9}") for i in range(30)] + [(2000, "lost", None, "lost"), (2001, None, "lost", "lost")]
+    df = spark.createDataFrame(rows, "id long, filename_a string, filename_b string, winner string")
+    for order in ("default", "reverse"):
+        seq = [(i, w, b if w == a else a) for i, a, b, w in rows if w in (a, b) and a and b]
+        seq.sort(key=lambda r: (r[0] if order == "default" else -r[0], r[1], r[2]))
+        want = rating.fold((w, lo) for _, w, lo in seq)
+        got = {r.filename: r for r in rating.replay(df, order, limit=limit).collect()}
+        assert set(got) == set(want)
+        for k, (m, s, n) in want.items():
+            assert math.isclose(got[k].mu, m, rel_tol=1e-9) and math.isclose(got[k].sigma, s, rel_tol=1e-9) and got[k].n == n
+
+
+def test_no_group_is_above_the_limit(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, "hub" if i % 3 == 0 else f"g{rng.randrange(80)}", f"h{rng.randrange(80)}") for i in range(240)]
+    df = spark.createDataFrame([(i, a, b, a) for i, a, b in rows], "id long, filename_a string, filename_b string, winner string")
+    sizes, plain = [], rating._folded
+    monkeypatch.setattr(rating, "_folded", lambda keyed, known: (sizes.append(keyed.groupBy("component").count().agg(F.max("count")).first()[0] or 0), plain(keyed, known))[1])
+    assert rating.replay(df, limit=60).count() == len({x for r in rows for x in r[1:]})
+    assert len(sizes) > 5 and max(sizes) <= 60
+
+
 def test_orders(spark):
     df, _ = history(spark, 60)
     one = {r.filename: r.mu for r in rating.replay(df, "random", 1).collect()}
