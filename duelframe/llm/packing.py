@@ -186,11 +186,11 @@ def configurations(counts: dict[int, int], capacity: int) -> tuple[list[tuple[di
     return alone + min(rounded, plain, key=lambda x: sum(n for _, n in x)), over + bound
 
 
-def pack(cut: DataFrame, id_col: str = "doc_id", limit: int = 4096, width: int = 4) -> DataFrame:
+def pack(cut: DataFrame, id_col: str = "doc_id", limit: int = 4096, width: int = 1) -> DataFrame:
     """The pieces with sequence_id and offset; a sequence holds at most limit tokens, without gaps.
 
-    cut has (id, piece, length, ...), 1 <= length <= limit. A class is the lengths of `width` neighbouring token counts that
-    round up to the same multiple. Which piece gets which place follows from its rank in its class, by id
+    cut has (id, piece, length, ...), 1 <= length <= limit. A class is a length; with a larger `width` (for limits of which the driver's
+    knapsack program, quadratic in limit / width, takes too long) lengths that round up to the same multiple of it, which loses room. Which piece gets which place follows from its rank in its class, by id
     and piece; ties (repeated rows) get different places. An empty table gives an empty result.
     """
     spark = cut.sparkSession

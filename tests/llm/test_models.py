@@ -326,6 +326,25 @@ def test_stages_take_odd_rows(spark, sf, odd_docs):
     assert vocabulary("word_bpe_49k.json").endswith("word_bpe_49k.json")
 
 
+def test_stages_part_texts_of_one_id(spark, sf, staged):
+    """Of two texts of one id (or of none) a stage takes the bad one alone."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept, gone = staged[0].orderBy("doc_id").first(), docs.join(staged[0].select("doc_id"), "doc_id", "left_anti").where("length(text) > 50").orderBy("doc_id").first()
+    for own in (kept.doc_id, None):
+        twins = docs.withColumn("doc_id", F.when(F.col("doc_id").isin(kept.doc_id, gone.doc_id), F.lit(own).cast("long")).otherwise(F.col("doc_id")))
+        texts = [r.text for r in corpus_pipeline.quality(spark, twins, sf).where(F.col("doc_id").eqNullSafe(F.lit(own))).collect()]
+        assert kept.text in texts and gone.text not in texts
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").where("size(split(text, ' ')) > 20").orderBy("item_id").first().text
+    clean = [f"{chr(97 + i)}{j} is a word of its own, number {i * 7 + j}." for i in range(3) for j in range(9)]
+    for own in (1, None):
+        rows = [(own, item, "en", "s", len(item)), (own, " ".join(clean), "en", "s", 9), (2, "quite another text that is long enough to have words", "en", "s", 9)]
+        df = spark.createDataFrame(rows, docs.schema)
+        assert {r.text for r in corpus_pipeline.benchmark_passages(spark, df, sf).collect()} == {r[1] for r in rows[1:]}
+        copies = spark.createDataFrame([*rows, (0, item, "en", "s", len(item))], docs.schema)
+        left = {(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, copies, sf).collect()}
+        assert {(own, rows[1][1]), (2, rows[2][1]), (0, item)} <= left and ((1, item) not in left)
+
+
 def test_sweep(spark):
     kept = scratch(spark.range(3), "test")
     assert kept.count() == 3 and sweep(spark) > 0 and sweep(spark) == 0

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 import zlib
 
 import corpus_pipeline
@@ -88,6 +89,46 @@ def test_configurations_use_every_piece_and_keep_to_the_bound():
     assert sum(n for _, n in fixed[0]) == 1000 and abs(fixed[1] - 1000) < 1
 
 
+def fewest(sizes, capacity):
+    """The fewest sequences for some pieces, by trying all ways."""
+    best = len(sizes)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(sizes):
+            best = len(rooms)
+            return
+        for room in {r for r in rooms if r >= sizes[i]}:
+            rest = list(rooms)
+            rest.remove(room)
+            place(i + 1, [*rest, room - sizes[i]])
+        place(i + 1, [*rooms, capacity - sizes[i]])
+
+    sizes = sorted(sizes, reverse=True)
+    place(0, [])
+    return best
+
+
+def test_packing_against_all_ways():
+    rng, worse = random.Random(4), 0
+    for _ in range(150):
+        capacity = rng.choice([20, 64, 100])
+        sizes = [rng.randint(1, capacity) if rng.random() < 0.4 else rng.randint(1, capacity // 2) for _ in range(rng.randint(3, 10))]
+        found, bound = packing.configurations(dict(Counter(sizes)), capacity)
+        least, number = fewest(sizes, capacity), sum(n for _, n in found)
+        assert bound - 1e-6 <= least <= number <= least + 1
+        worse += number > least
+    assert worse <= 3
+
+
+def test_packing_wastes_nothing_where_it_need_not(spark, sf):
+    cut = packing.pieces(spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet"), WORDS)
+    tokens = cut.agg(F.sum("length")).first()[0]
+    assert packing.pack(cut).agg(F.max("sequence_id")).first()[0] + 1 == -(-tokens // 4096)
+
+
 def test_packing_takes_any_limit(spark):
     rows = [(i, n) for i, n in enumerate([4095, 4094, 1, 2, 3, 4000, 95])]
     cut = spark.createDataFrame(rows, "doc_id long, length long").selectExpr("*", "0 AS piece", "0L AS start")
