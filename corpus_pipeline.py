@@ -17,10 +17,27 @@ from duelframe.llm.sentence_spans import drop_repeated_spans
 from duelframe.llm.tiling import decontaminate
 
 
+def by_row(docs: DataFrame, *others: DataFrame) -> tuple[DataFrame, ...]:
+    """(docs with a column _key, others with their doc_id turned into keys): equal rows share a key, other rows don't.
+
+    The key is doc_id where that tells rows apart. Where it doesn't, or is null, it is the id as text with two hashes of the row's
+    columns; a row of others then counts for each key of its id. So what is decided for a text is done to that text alone.
+    """
+    n = docs.agg(F.count("*").alias("rows"), F.count("doc_id").alias("ids"), F.count_distinct("doc_id").alias("different")).first()
+    if n.rows == n.different:
+        return docs.withColumn("_key", F.col("doc_id")), *others
+    own = F.concat_ws("#", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64(*docs.columns).cast("string"), F.xxhash64(F.lit(1), *docs.columns).cast("string"))
+    rows = docs.withColumn("_key", own)
+    keys = rows.where("doc_id is not null").select("doc_id", "_key").distinct()
+    return rows, *(t.join(keys, "doc_id").drop("doc_id").withColumnRenamed("_key", "doc_id") for t in others)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the quality classifier rejects; rows with a null id stay."""
-    rejected = classify(docs, read(spark, sf_dir, "labels")).where("not keep").select("doc_id")
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    """Without the documents that the quality classifier rejects."""
+    rows, labels = by_row(docs, read(spark, sf_dir, "labels"))
+    found = classify(rows.select(F.col("_key").alias("doc_id"), "text", "lang"), labels)
+    rejected = found.where("not keep").select(F.col("doc_id").alias("_key")).distinct()
+    return rows.join(rejected, "_key", "left_anti").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +53,10 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold at least half of a benchmark item; rows with a null id stay."""
-    found = decontaminate(docs, read(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Without the documents that hold at least half of a benchmark item."""
+    (rows,) = by_row(docs)
+    found = decontaminate(rows, read(spark, sf_dir, "benchmark"), id_col="_key")
+    return rows.join(found.where("contaminated").select("_key").distinct(), "_key", "left_anti").select(*docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
