@@ -2,7 +2,7 @@
 
 Edges are (winner, loser). Components, extremes and reachability are iterated joins over DataFrames, with
 results written to the shared folder. Strong components and chains are found per weak component by a
-grouped function, after acyclic parts are trimmed; see `chains` for what that means for a giant component.
+grouped function where a component has few links, and by rounds of joins (strong.py, paths.py) where it has many.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from ..config import RANKING
 from ..scratch import scratch
 from .connected import connected_components
+from .paths import giant_chains
+from .strong import coloured_parts
 from .tables import with_loser
 
 
@@ -154,8 +156,29 @@ def _grouped(labels: DataFrame, links: DataFrame) -> DataFrame:
     return own.union(lone)
 
 
-def strong_components(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """(component, node, scc, size): scc is the smallest node of the strong component."""
+def _parted(labels: DataFrame, links: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame | None]:
+    """labels and links of components with at most `limit` links, and those of the others, or None twice if there are none."""
+    own = links.join(labels, links["winner"] == labels["node"]).select("component", "winner", "loser")
+    giants = scratch(own.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("component"), "giants")
+    if giants.isEmpty():
+        return labels, links, None, None
+    few, many = (own.join(giants, "component", how).select("winner", "loser") for how in ("left_anti", "left_semi"))
+    return labels.join(giants, "component", "left_anti").select("node", "component"), few, scratch(labels.join(giants, "component", "left_semi").select("node", "component"), "giant-labels"), scratch(many, "giant-links")
+
+
+def _giant_parts(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(component, node, scc, size) by colouring."""
+    found = labels.join(coloured_parts(links), "node", "left").select("component", "node", F.coalesce("scc", "node").alias("scc"))
+    found = scratch(found, "strong")
+    return found.join(scratch(found.groupBy("scc").agg(F.count("*").alias("size")), "sizes"), "scc").select("component", "node", "scc", "size")
+
+
+def strong_components(labels: DataFrame, links: DataFrame, limit: int = 100_000) -> DataFrame:
+    """(component, node, scc, size): scc is the smallest node of the strong component.
+
+    Weak components of at most `limit` links are searched depth first, each in its group; larger ones are trimmed and coloured by rounds of joins.
+    """
+    labels, links, giant_labels, giant_links = _parted(labels, links, limit)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes, down, _ = _graph(pdf)
@@ -165,7 +188,8 @@ def strong_components(labels: DataFrame, links: DataFrame) -> DataFrame:
             members[part[n]].append(n)
         return pd.DataFrame([(pdf["component"].iloc[0], n, min(m), len(m)) for m in members.values() for n in m], columns=["component", "node", "scc", "size"])
 
-    return _grouped(labels, links).groupBy("component").applyInPandas(run, "component string, node string, scc string, size long")
+    out = _grouped(labels, links).groupBy("component").applyInPandas(run, "component string, node string, scc string, size long")
+    return out if giant_links is None else out.union(_giant_parts(giant_labels, giant_links))
 
 
 def condensation(scc: DataFrame, links: DataFrame) -> DataFrame:
@@ -256,12 +280,13 @@ def main_chains(nodes: list[str], down: dict[str, list[str]], up: dict[str, list
     return sorted((c, sorted(v)) for c, v in out.items())
 
 
-def chains(labels: DataFrame, links: DataFrame) -> DataFrame:
+def chains(labels: DataFrame, links: DataFrame, limit: int = 100_000) -> DataFrame:
     """(component, chain_id, nodes, length, owners): the different main chains and the nodes they are main for.
 
-    One task handles one weak component, whose links and chains must fit a worker (some 300 bytes a link), and chain ids are
-    the component and the chain's place among its chains, so they do not depend on partitioning.
+    A weak component of at most `limit` links (some 300 bytes each) is one group; larger ones are handled by rounds of joins (giant_chains), with
+    the same results. Chain ids are the component and the chain's place among its chains, so they do not depend on partitioning.
     """
+    labels, links, giant_labels, giant_links = _parted(labels, links, limit)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes, down, up = _graph(pdf)
@@ -269,7 +294,11 @@ def chains(labels: DataFrame, links: DataFrame) -> DataFrame:
         rows = [(comp, f"{comp}#{i}", list(c), len(c), owners) for i, (c, owners) in enumerate(main_chains(nodes, down, up))]
         return pd.DataFrame(rows, columns=["component", "chain_id", "nodes", "length", "owners"])
 
-    return _grouped(labels, links).groupBy("component").applyInPandas(run, "component string, chain_id string, nodes array<string>, length long, owners array<string>")
+    out = _grouped(labels, links).groupBy("component").applyInPandas(run, "component string, chain_id string, nodes array<string>, length long, owners array<string>")
+    if giant_links is None:
+        return out
+    parts = _giant_parts(giant_labels, giant_links).select("node", F.col("scc").alias("part"))
+    return out.union(giant_chains(giant_labels, giant_links, scratch(parts, "giant-parts")))
 
 
 def chain_members(chain: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ class Tables:
         return self.made[name]
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name in ("comparisons", "cyclic", "dag", "images", "prompts", "records", "slots"):
+        if name in ("comparisons", "cyclic", "dag", "images", "prompts", "records", "slots", "tiers"):
             return view(self.spark, self.dir, name)
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 

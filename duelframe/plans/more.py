@@ -153,12 +153,6 @@ def p02_invalid_winners(t: Tables):
     return c.select("id").join(tables.valid_winner(c).select("id"), "id", "left_anti")
 
 
-@query()
-def g18_g22_chain_accessors(t: Tables):
-    e = graph.edges(t.dag)
-    return graph.chain_members(graph.chains(graph.components(graph.universe(e), e), e))
-
-
 @query()
 def m07_m08_interaction_selection(t: Tables):
     """The interaction features with the best F scores, applied."""

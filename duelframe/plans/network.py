@@ -57,6 +57,23 @@ below(a, b) AS (SELECT node, node FROM cnodes UNION SELECT r.a, e.loser FROM bel
 parts AS (SELECT x.a AS node, min(x.b) AS scc, count(*) AS size FROM below x JOIN below y ON x.a = y.b AND x.b = y.a GROUP BY x.a)"""
 
 
+_ONE_LARGE = """cedges AS (SELECT DISTINCT winner, CASE WHEN winner = filename_a THEN filename_b ELSE filename_a END AS loser FROM comparisons WHERE filename_a <> filename_b),
+cnodes AS (SELECT winner AS node FROM cedges UNION SELECT loser FROM cedges),
+hub AS (SELECT winner AS node FROM cedges GROUP BY winner ORDER BY count(*) DESC, winner LIMIT 1),
+below(node) AS (SELECT node FROM hub UNION SELECT e.loser FROM below b JOIN cedges e ON e.winner = b.node), above(node) AS (SELECT node FROM hub UNION SELECT e.winner FROM above a JOIN cedges e ON e.loser = a.node),
+large AS (SELECT node FROM below INTERSECT SELECT node FROM above), others AS (SELECT node FROM cnodes EXCEPT SELECT node FROM large),
+oedges AS (SELECT winner, loser FROM cedges WHERE winner IN (SELECT node FROM others) AND loser IN (SELECT node FROM others)),
+far(a, b) AS (SELECT node, node FROM others UNION SELECT f.a, e.loser FROM far f JOIN oedges e ON e.winner = f.b),
+parts AS (SELECT x.a AS node, min(x.b) AS scc, count(*) AS size FROM far x JOIN far y ON x.a = y.b AND x.b = y.a GROUP BY x.a UNION ALL SELECT node, (SELECT min(node) FROM large), (SELECT count(*) FROM large) FROM large)"""
+
+
+@query(f"WITH {_ONE_LARGE} SELECT * FROM parts", "comparisons", recursive=True)
+def g04_giant_component(t: Tables):
+    """Nearly all images are one weak and one strong component: trimmed and coloured. The twin takes the part around one image out and closes over the rest."""
+    e = scratch(graph.edges(t.comparisons))
+    return graph.strong_components(graph.components(graph.universe(e), e), e, 1000).select("node", "scc", "size")
+
+
 def _strong(t: Tables):
     e = scratch(graph.edges(t.cyclic), "edges")
     return graph.strong_components(graph.components(graph.universe(e), e), e), e
@@ -106,37 +123,82 @@ def a31_longest_chain(t: Tables):
     return s.select("longest", "nodes")
 
 
-@query()
+def chains_sql(view: str) -> str:
+    """CTEs up to chains (component, nodes, length, owners, chain_id) of an acyclic view, from the definition: from each node the
+    longest way up, turned round, and the longest way down, of equal ones by the smallest next name; equal chains are one, numbered by their nodes."""
+    return f"""edges AS MATERIALIZED (SELECT DISTINCT winner, filename_b AS loser FROM {view}), nodes AS MATERIALIZED (SELECT winner AS node FROM edges UNION SELECT loser FROM edges),
+ends AS (SELECT winner AS a, loser AS b FROM edges UNION SELECT loser, winner FROM edges), low AS MATERIALIZED (SELECT node FROM nodes EXCEPT SELECT a FROM ends WHERE b < a),
+reach(a, b) AS (SELECT node, node FROM low UNION SELECT r.a, e.b FROM reach r JOIN ends e ON e.a = r.b), labels AS (SELECT b AS node, min(a) AS component FROM reach GROUP BY b),
+sink(node, n) AS (SELECT node, 1 FROM nodes UNION SELECT e.winner, s.n + 1 FROM sink s JOIN edges e ON e.loser = s.node), fall AS MATERIALIZED (SELECT node, max(n) AS n FROM sink GROUP BY node),
+climb(node, n) AS (SELECT node, 1 FROM nodes UNION SELECT e.loser, c.n + 1 FROM climb c JOIN edges e ON e.winner = c.node), rise AS MATERIALIZED (SELECT node, max(n) AS n FROM climb GROUP BY node),
+lower AS MATERIALIZED (SELECT winner AS node, min(loser) AS other FROM edges JOIN fall x ON x.node = winner JOIN fall y ON y.node = loser WHERE y.n = x.n - 1 GROUP BY winner),
+upper AS MATERIALIZED (SELECT loser AS node, min(winner) AS other FROM edges JOIN rise x ON x.node = loser JOIN rise y ON y.node = winner WHERE y.n = x.n - 1 GROUP BY loser),
+downs(node, tip, path) AS (SELECT node, node, [node] FROM nodes UNION ALL SELECT d.node, other, list_append(path, other) FROM downs d JOIN lower ON lower.node = d.tip),
+ups(node, tip, path) AS (SELECT node, node, [node] FROM nodes UNION ALL SELECT u.node, other, list_prepend(other, path) FROM ups u JOIN upper ON upper.node = u.tip),
+whole AS (SELECT node, list_concat(u.path, d.path[2:]) AS nodes FROM (SELECT node, arg_max(path, len(path)) AS path FROM downs GROUP BY node) d JOIN (SELECT node, arg_max(path, len(path)) AS path FROM ups GROUP BY node) u USING (node)),
+chains AS (SELECT *, component || '#' || (row_number() OVER (PARTITION BY component ORDER BY nodes) - 1) AS chain_id FROM (
+  SELECT component, nodes, CAST(len(nodes) AS BIGINT) AS length, list(node ORDER BY node) AS owners FROM whole JOIN labels USING (node) GROUP BY component, nodes)),
+heights AS (SELECT node, max(length) AS height FROM (SELECT unnest(nodes) AS node, length FROM chains) GROUP BY node)"""
+
+
+_DAG = f"WITH {chains_sql('dag')}"
+_GIANT = f"WITH {chains_sql('tiers')}"
+
+
+def _giant_chains(t: Tables):
+    """Chains of a graph that is nearly one component, by rounds of joins."""
+    e = scratch(graph.edges(t.tiers))
+    labels = graph.components(graph.universe(e), e)
+    return scratch(graph.chains(labels, e, 100))
+
+
+@query(f"{_DAG} SELECT length, count(*) AS n, CAST(sum(length) AS BIGINT) AS nodes FROM chains GROUP BY length", "dag", recursive=True)
 def g14_chain_map(t: Tables):
     return graph.chain_map(_chains(t))
 
 
-@query()
+@query(f"{_GIANT} SELECT chain_id, length, array_to_string(nodes, ' ') AS nodes, array_to_string(owners, ' ') AS owners FROM chains", "tiers", recursive=True)
+def g09_giant_chains(t: Tables):
+    return _giant_chains(t).select("chain_id", "length", F.array_join("nodes", " ").alias("nodes"), F.array_join("owners", " ").alias("owners"))
+
+
+@query(f"{_GIANT} SELECT node, height FROM heights", "tiers", recursive=True)
+def a29_giant_heights(t: Tables):
+    return graph.heights(_giant_chains(t))
+
+
+@query(f"{_DAG} SELECT chain_id, length, nodes[1] AS first, nodes[-1] AS last, nodes[length // 2 + 1] AS middle FROM chains", "dag", recursive=True)
 def g16_chain_extremes(t: Tables):
     return graph.chain_extremes(_chains(t))
 
 
-@query()
+@query(f"{_DAG} SELECT node, height FROM heights", "dag", recursive=True)
 def a29_heights(t: Tables):
     return graph.heights(_chains(t))
 
 
-@query()
+@query(f"{_DAG} SELECT chain_id, CAST(len(owners) AS INT) AS n FROM chains", "dag", recursive=True)
 def a30_main_counts(t: Tables):
     return graph.main_counts(_chains(t))
 
 
-@query()
+@query(f"{_DAG} SELECT chain_id, length FROM chains WHERE length >= 3 ORDER BY length DESC, chain_id", "dag", recursive=True)
 def o13_sorted_chains(t: Tables):
     return graph.sorted_chains(_chains(t), 3, False).select("chain_id", "length")
 
 
-@query()
+@query(f"""{_DAG} SELECT n.node, coalesce(score, 0.5) AS score, coalesce(rating_mu, 25.0) AS mu, coalesce(rating_sigma, CAST(25 AS DOUBLE) / 3) AS sigma, coalesce(comparison_count, 0) AS comparison_count, component, height
+FROM nodes n LEFT JOIN images i ON i.filename = n.node JOIN labels USING (node) JOIN heights USING (node)""", "dag", "images", recursive=True)
 def j11_g15_graph_data(t: Tables):
     e, c = _edges(t), _chains(t)
     return graph.graph_data(graph.universe(e), t.images, _labels(t), graph.heights(c))
 
 
+@query(f"{_DAG} SELECT chain_id, length, unnest(nodes) AS node, CAST(unnest(range(length)) AS INT) AS place, list_contains(owners, unnest(nodes)) AS is_main FROM chains", "dag", recursive=True)
+def g18_g22_chain_accessors(t: Tables):
+    return graph.chain_members(_chains(t))
+
+
 _NEAR = _EDGES + ", hop(a, b, d) AS (SELECT winner, winner, 0 FROM edges UNION SELECT h.a, e.loser, h.d + 1 FROM hop h JOIN edges e ON e.winner = h.b WHERE h.d < 5)"
 
 

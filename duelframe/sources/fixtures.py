@@ -45,6 +45,15 @@ FROM (
   ) r
 ) e WHERE w IS NOT NULL AND l IS NOT NULL
 """
+#: Parts of one order against each other, the one of the higher tier of seven by size wins: acyclic, nearly all one component.
+TIERS = f"""
+SELECT DISTINCT w * 100000000 + l AS id, {_NAME.format("w")} AS filename_a, {_NAME.format("l")} AS filename_b, {_NAME.format("w")} AS winner, CAST(1.0 AS DOUBLE) AS weight
+FROM (
+  SELECT CASE WHEN x.p_size % 7 > y.p_size % 7 THEN a ELSE b END AS w, CASE WHEN x.p_size % 7 > y.p_size % 7 THEN b ELSE a END AS l
+  FROM ({_PAIRS}) s JOIN (SELECT p_partkey, p_size FROM part) x ON x.p_partkey = a JOIN (SELECT p_partkey, p_size FROM part) y ON y.p_partkey = b
+  WHERE x.p_size % 7 <> y.p_size % 7
+) e
+"""
 IMAGES = f"""
 SELECT {_NAME.format("p_partkey")} AS filename, CAST(p_partkey % 1000 AS DOUBLE) / 1000 AS score,
        20 + CAST(p_partkey % 101 AS DOUBLE) / 10 AS rating_mu, 1 + CAST(p_partkey % 71 AS DOUBLE) / 10 AS rating_sigma,
@@ -70,7 +79,7 @@ SELECT 'size' AS vector_name, p_partkey AS id, CAST(p_size AS DOUBLE) AS v FROM
 UNION ALL SELECT 'price', p_partkey, p_retailprice FROM part WHERE p_size > 5
 UNION ALL SELECT 'mean_quantity', l_partkey, avg(l_quantity) FROM lineitem GROUP BY l_partkey
 """
-VIEWS = {"comparisons": COMPARISONS, "dag": DAG, "cyclic": CYCLIC, "images": IMAGES, "prompts": PROMPTS, "records": RECORDS, "slots": SLOTS}
+VIEWS = {"comparisons": COMPARISONS, "dag": DAG, "cyclic": CYCLIC, "tiers": TIERS, "images": IMAGES, "prompts": PROMPTS, "records": RECORDS, "slots": SLOTS}
 _NEEDS = {"images": ("comparisons",)}
 _TABLES = ("lineitem", "part", "orders")
 
