@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, MapType, StringType
 
 LEAST_SIDE = 128
-MEASURES = ("width", "height", "aspect", "contrast", "sharpness", "noise", "colorfulness", "artifacts", "edges", "texture")
+#: Names of the measures in a record.
+SIZES = ("original_width", "original_height", "final_width", "final_height", "final_aspect_ratio", "original_aspect_ratio")
+MEASURES = (*SIZES, "contrast", "sharpness", "noise_score", "colorfulness", "artifact_score", "edge_density", "texture_lbp")
+#: Luma weights; in whole numbers of 2^-16 for grey levels; the measures' scales.
+LUMA = (0.299, 0.587, 0.114)
+GREY = (19595, 38470, 7471)
+_DIAGONAL = 0.70711  # where a circle of radius 1 meets a diagonal
 
 
 def coerce(x: np.ndarray) -> np.ndarray:
@@ -25,45 +31,78 @@ def coerce(x: np.ndarray) -> np.ndarray:
     return x[:, :, :3]
 
 
-def luma(x: np.ndarray) -> np.ndarray:
-    return (x @ np.array([0.299, 0.587, 0.114])) / 255.0
+def grey_levels(x: np.ndarray) -> np.ndarray:
+    """Whole grey levels 0 .. 255, rounded."""
+    return ((x.astype(np.int64) @ np.array(GREY) + 32768) >> 16).astype(np.float64)
 
 
-def laplacian(g: np.ndarray) -> np.ndarray:
-    return g[:-2, 1:-1] + g[2:, 1:-1] + g[1:-1, :-2] + g[1:-1, 2:] - 4 * g[1:-1, 1:-1]
+def _ring(g: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The neighbours above, below, left and right; beyond an edge the picture goes on at the other side."""
+    return np.roll(g, 1, 0), np.roll(g, -1, 0), np.roll(g, 1, 1), np.roll(g, -1, 1)
 
 
-def measures(image: np.ndarray) -> dict[str, float]:
-    """All measures of one image; a side under LEAST_SIDE is an error."""
-    x = coerce(image)
+def colour_spread(red_green: tuple[float, float], yellow_blue: tuple[float, float]) -> float:
+    """From (deviation, mean) of two opponent channels."""
+    return float(np.hypot(red_green[0], yellow_blue[0]) + 0.3 * np.hypot(red_green[1], yellow_blue[1]))
+
+
+def _step_difference(g: np.ndarray, axis: int) -> float:
+    """The mean difference between lines of a grid of every 4th to 8th line, wider for larger pictures."""
+    n = g.shape[axis]
+    step = max(4, min(8, n // 256))
+    lines = np.take(g, np.arange(0, n, step), axis=axis)
+    return float(np.abs(np.diff(lines, axis=axis)).mean()) if lines.shape[axis] > 1 else 0.0
+
+
+def measures(image: np.ndarray, known: dict[str, float] | None = None) -> dict[str, float]:
+    """All measures of one image; a side under LEAST_SIDE is an error. What `known`, its record, has of them already stays.
+
+    A record's width, height and aspect_ratio are the original ones; else they are the image's own.
+    """
+    known, x = known or {}, coerce(image)
     h, w = x.shape[:2]
-    if min(h, w) < LEAST_SIDE:
-        raise ValueError(f"image too small: {w} x {h}")
-    g = luma(x)
-    sharp = float((laplacian(g) * 255).var())
-    blur = (g[:-2, :-2] + g[:-2, 1:-1] + g[:-2, 2:] + g[1:-1, :-2] + g[1:-1, 1:-1] + g[1:-1, 2:] + g[2:, :-2] + g[2:, 1:-1] + g[2:, 2:]) / 9
+    out: dict[str, float] = {}
+    if not all(k in known for k in SIZES):
+        if min(h, w) < LEAST_SIDE:
+            raise ValueError(f"image too small: {w} x {h}")
+        aspect = round(w / h, 4)
+        out = dict(zip(SIZES, (float(known.get("width", w)), float(known.get("height", h)), float(w), float(h), aspect, float(known.get("aspect_ratio", aspect))), strict=True))
+    g = grey_levels(x)
+    up, down, left, right = _ring(g)
+    around = up + down + left + right
+    sharp, noise = float((around - 4 * g).var()), float((g - (g + around) / 5).var())
     rg, yb = x[..., 0] - x[..., 1], (x[..., 0] + x[..., 1]) / 2 - x[..., 2]
-    color = float(np.hypot(rg.std(), yb.std()) + 0.3 * np.hypot(rg.mean(), yb.mean()))
-    pure = float(0.3 * np.hypot(255, 127.5))
-    gx, gy = np.abs(np.diff(g, axis=1))[:-1], np.abs(np.diff(g, axis=0))[:, :-1]
-    grid = [float(np.abs(np.diff(g, axis=1))[:, s - 1 :: s].mean()) / (float(gx.mean()) + 1e-9) for s in range(4, 9)]
-    return {
-        "width": float(w), "height": float(h), "aspect": w / h, "contrast": min(1.0, float(g.std()) / 0.5), "sharpness": sharp / (sharp + 500),
-        "noise": min(1.0, 4 * float(np.log1p((g[1:-1, 1:-1] - blur).var()))), "colorfulness": min(1.0, color / pure),
-        "artifacts": min(1.0, max(0.0, max(grid) - 1)), "edges": float((np.hypot(gx, gy) > 0.1).mean()), "texture": pattern_entropy(g),
+    most = colour_spread((255.0, 255.0), (127.5, 127.5))  # of pure red, as if it were both spread and mean
+    spread = float(g.max() - g.min()) or 1.0
+    out |= {
+        "contrast": float((x @ np.array(LUMA) / 255.0).std()) / 0.5, "sharpness": sharp / (sharp + 500), "noise_score": 4 * float(np.log1p(noise) / np.log1p(255.0**2)),
+        "colorfulness": colour_spread((rg.std(), rg.mean()), (yb.std(), yb.mean())) / most,
+        "artifact_score": min(1.0, 2.5 * (_step_difference(g, 1) + _step_difference(g, 0)) / spread),
+        "edge_density": float(np.hypot(right - left, down - up).mean()) / 255.0, "texture_lbp": pattern_entropy(g),
     }
+    return {k: float(known[k]) if k in known else out[k] for k in MEASURES}
 
 
 def pattern_entropy(g: np.ndarray) -> float:
-    """Entropy, 0 .. 1, of uniform local binary patterns: the brighter neighbours' number if they are one arc, else 9."""
-    c = g[1:-1, 1:-1]
-    ring = [g[:-2, :-2], g[:-2, 1:-1], g[:-2, 2:], g[1:-1, 2:], g[2:, 2:], g[2:, 1:-1], g[2:, :-2], g[1:-1, :-2]]
-    bits = np.stack([r >= c for r in ring])
+    """Entropy, in units of ln 10, of uniform local binary patterns on a circle of eight points: how many are as bright as the middle, if they are one arc, else 9.
+
+    The four diagonal points are interpolated; outside the picture all is 0.
+    """
+    p, h, w = np.pad(g, 1), *g.shape
+
+    def at(dy: int, dx: int) -> np.ndarray:
+        return p[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w]
+
+    def diagonal(dy: int, dx: int) -> np.ndarray:
+        near = (1 - _DIAGONAL) * g + _DIAGONAL * at(0, dx)
+        far = (1 - _DIAGONAL) * at(dy, 0) + _DIAGONAL * at(dy, dx)
+        return (1 - _DIAGONAL) * near + _DIAGONAL * far
+
+    circle = (at(0, 1), diagonal(-1, 1), at(-1, 0), diagonal(-1, -1), at(0, -1), diagonal(1, -1), at(1, 0), diagonal(1, 1))
+    bits = np.stack([c >= g for c in circle])
     changes = (bits != np.roll(bits, 1, axis=0)).sum(axis=0)
-    code = np.where(changes <= 2, bits.sum(axis=0), 9)
-    p = np.bincount(code.ravel(), minlength=10) / code.size
-    p = p[p > 0]
-    return float(-(p * np.log2(p)).sum() / np.log2(10))
+    share = np.bincount(np.where(changes <= 2, bits.sum(axis=0), 9).ravel(), minlength=10) / g.size
+    return float(-(share * np.log(share + 1e-9)).sum() / np.log(10.0))
 
 
 @F.pandas_udf(MapType(StringType(), DoubleType()))

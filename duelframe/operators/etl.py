@@ -7,9 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import RANKING, RATING
+from ..functions.records import prompt_tags
 
 # Fields that an imported sidecar loses.
-DROPPED = ("comparison_count", "comparison_history", "comparisons", "last_compared_at", "rating_mu", "rating_sigma", "ranking_generation", "score")
+DROPPED = ("score", "score_modifier", "volatility", "confidence", "image", "comparison_count", "rating_mu", "rating_sigma")
 IMAGE_TYPES = ("png", "jpg", "jpeg", "webp", "gif", "bmp")
 
 
@@ -47,27 +48,63 @@ def duplicate_plan(files: DataFrame) -> DataFrame:
     return kept.union(f.where("_n > 1").select("path", F.lit("merge"), "keeper", "stem"))
 
 
+def _unit(score: Column) -> Column:
+    return F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0))
+
+
 def tier(score: Column) -> Column:
-    """The folder's tenth: the score within 0 .. 1, rounded down; a tiny nudge undoes binary fractions."""
-    s = F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0))
-    return F.floor(s * 10 + 1e-9) / 10
+    """The folder's tenth: the score within 0 .. 1, rounded down."""
+    return F.floor(_unit(score) * 10) / 10
+
 
+def split_tiers(files: DataFrame, path: str = "path") -> DataFrame:
+    """(tier): the folders of a tenth that have folders of hundredths already."""
+    found = F.regexp_extract(path, r"(?:^|/)scored_([01]\.\d)/scored_[01]\.\d\d/", 1)
+    return files.select(found.alias("t")).where("t <> ''").select(F.col("t").cast("double").alias("tier")).distinct()
 
-def tier_plan(images: DataFrame, threshold: int = RANKING.subfolder_threshold) -> DataFrame:
-    """(filename, folder): by tenth; folders of at least threshold images by hundredth, but never that of 1.0."""
+
+def tier_plan(images: DataFrame, threshold: int = RANKING.subfolder_threshold, split: DataFrame | None = None) -> DataFrame:
+    """(filename, folder): by tenth; in folders of at least threshold images, and in those split already (`split`: tier), by hundredth, but never in that of 1.0."""
     t = images.withColumn("tier", tier(F.col("score")))
-    big = t.groupBy("tier").agg(F.count("*").alias("n"))
-    sub = F.floor(F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0)) * 100 + 1e-9) / 100
+    big = t.groupBy("tier").agg((F.count("*") >= threshold).alias("parted"))
+    if split is not None:
+        big = big.join(split.select("tier", F.lit(True).alias("_split")), "tier", "left").select("tier", (F.col("parted") | F.col("_split").isNotNull()).alias("parted"))
     one = F.concat(F.lit("scored_"), F.format_number("tier", 1))
-    folder = F.when((F.col("n") >= threshold) & (F.col("tier") < 1.0), F.concat(one, F.lit("/scored_"), F.format_number(sub, 2))).otherwise(one)
-    return t.join(F.broadcast(big), "tier").select("filename", folder.alias("folder"))
+    folder = F.when(F.col("parted") & (F.col("tier") < 1.0), F.concat(one, F.lit("/scored_"), F.format_number(F.floor(_unit(F.col("score")) * 100) / 100, 2))).otherwise(one)
+    return t.join(F.broadcast(big), "tier").select("filename", folder.alias("folder"))  # one row for each of eleven tiers
+
+
+_FIELDS = "map<string,variant>"
+
+
+def clean_sidecar(entry: Column, filename: Column | None = None, score: float = RANKING.default_score) -> Column:
+    """JSON text of a sidecar without what an earlier rating has left, and with a fresh rating, its file's name and its prompt.
+
+    A single inner object that has a prompt is unwrapped; if nothing is left, the first inner object is cleaned in its place. Values keep their types. Text
+    that is no JSON object, and null, give the fresh fields alone.
+    """
+    m = F.coalesce(F.from_json(entry, _FIELDS), F.from_json(F.lit("{}"), _FIELDS))
+
+    def inner(v: Column) -> Column:
+        return F.from_json(F.to_json(v), _FIELDS)
 
+    def kept(fields: Column) -> Column:
+        return F.map_filter(fields, lambda k, v: ~k.isin(*DROPPED))
 
-def clean_sidecar(entry: Column) -> Column:
-    """A sidecar's JSON map without the fields of an earlier rating, and with fresh ones."""
-    kept = F.map_filter(entry, lambda k, v: ~k.isin(*DROPPED))
-    fresh = F.create_map(*[F.lit(x) for x in ("score", str(RANKING.default_score), "rating_mu", str(RATING.mean), "rating_sigma", str(round(RATING.deviation, 4)), "comparison_count", "0")])
-    return F.map_concat(kept, fresh)
+    only = inner(F.get(F.map_values(m), F.lit(0)))
+    data = F.when((F.size(m) == 1) & F.coalesce(F.map_contains_key(only, F.lit("positive_prompt")), F.lit(False)), only).otherwise(m)
+    first = F.get(F.filter(F.map_values(data), lambda v: F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))), F.lit(0))
+    base = F.when(F.size(kept(data)) > 0, kept(data)).otherwise(F.coalesce(kept(inner(first)), F.from_json(F.lit("{}"), _FIELDS)))
+    tags = prompt_tags(F.to_json(data))
+    fresh = {
+        "score": F.parse_json(F.lit(str(round(score, 3)))), "rating_mu": F.parse_json(F.lit(str(RATING.mean))), "rating_sigma": F.parse_json(F.lit(repr(RATING.deviation))),
+        "comparison_count": F.parse_json(F.lit("0")), "comparison_history": F.parse_json(F.lit("[]")), "prompt_tags": F.coalesce(tags.cast("variant"), F.parse_json(F.lit("null"))),
+    }
+    out = F.map_concat(F.map_filter(base, lambda k, v: ~k.isin(*fresh)), F.create_map(*[x for k, v in fresh.items() for x in (F.lit(k), v)]))
+    if filename is not None:
+        named = F.map_concat(F.map_filter(out, lambda k, v: k != "filename"), F.create_map(F.lit("filename"), filename.cast("variant")))
+        out = F.when(F.coalesce(filename != "", F.lit(False)), named).otherwise(out)
+    return F.to_json(out)
 
 
 def unwrap(entry: Column) -> Column:

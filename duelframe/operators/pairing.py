@@ -41,14 +41,33 @@ def unseen(pairs: DataFrame, links: DataFrame) -> DataFrame:
 def widest_within(pairs: DataFrame) -> DataFrame:
     """Of pairs (a, b, gap, sigma): the widest gap within reach.
 
-    Pairs by gap; the choice moves to a wider one until a gap exceeds the deviation of the first node
-    chosen so far. The first nodes of all pairs being one node (or the pairs few), this is the widest gap not above its sigma, or
-    the narrowest if none is.
+    For pairs that share their first node: the widest gap not above its sigma, or the narrowest if none is; this is what closest_pair
+    gives for them, without a bound on their number.
     """
     fits = F.col("gap") <= F.col("sigma")
     return pairs.orderBy(F.desc(fits), F.when(fits, -F.col("gap")).otherwise(F.col("gap")), "a", "b")
 
 
+def closest_pair(pairs: DataFrame, most: int = 100) -> DataFrame:
+    """(a, b) of at most `most` pairs (place, a, b, gap, sigma), by gap and place: the widest gap before the first one that exceeds the deviation of the node chosen so far.
+
+    Each wider pair that comes before that is chosen in turn, so the deviation compared with is that of its first node. The pairs,
+    whose number is checked, are one array, folded in place.
+    """
+    kind = "struct<a: string, b: string, gap: double, sigma: double, open: boolean>"
+    rows = F.array_sort(F.collect_list(F.struct("gap", "place", "a", "b", "sigma")))
+    one = pairs.agg(F.when(F.count("*") > most, F.raise_error(F.lit(f"more than {most} pairs")).cast("array<struct<gap: double, place: int, a: string, b: string, sigma: double>>")).otherwise(rows).alias("rows")).where("size(rows) > 0")
+    first = F.get("rows", F.lit(0))
+
+    def step(at: Column, x: Column) -> Column:
+        still = at["open"] & (x["gap"] <= at["sigma"])
+        pick = still & (x["gap"] > at["gap"])
+        return F.struct(*[F.when(pick, x[c]).otherwise(at[c]).alias(c) for c in ("a", "b", "gap", "sigma")], still.alias("open")).cast(kind)
+
+    start = F.struct(*[first[c].alias(c) for c in ("a", "b", "gap", "sigma")], F.lit(True).alias("open")).cast(kind)
+    return one.select(F.aggregate("rows", start, step).alias("x")).select("x.a", "x.b")
+
+
 def _against(one: DataFrame, others: DataFrame) -> DataFrame:
     """The single row of `one` with every other row: (a, b, gap, sigma, mu_gap, ...)."""
     first = one.select(*[F.col(c).alias(f"{c}_a") for c in one.columns])
@@ -110,9 +129,9 @@ def single_win_loss(cand: DataFrame, edges: DataFrame) -> DataFrame:
         few = cand.where(F.col("n") > RANKING.insertion_target).join(ones, "filename", "left_semi").orderBy("filename").limit(101)
         w = W.orderBy("n", "filename")
         p = few.select(
-            F.col("filename").alias("a"), F.lead("filename").over(w).alias("b"), F.abs(F.col("skill") - F.lead("skill").over(w)).alias("gap"), "sigma",
+            F.row_number().over(w).alias("place"), F.col("filename").alias("a"), F.lead("filename").over(w).alias("b"), F.abs(F.col("skill") - F.lead("skill").over(w)).alias("gap"), "sigma",
         ).where("b is not null")
-        out = _one(widest_within(p), "single_win_loss")
+        out = _one(closest_pair(p), "single_win_loss")
         if out.count():
             return out
     return _none(cand)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import RANKING
+from ..functions.rating_math import normal_cdf
 from .history import sides
 from .tables import with_loser
 
@@ -158,8 +159,9 @@ def cumulative(df: DataFrame, x: str, n: str, name: str = "upto", cuts: int = 25
 
 
 def rank_sum(df: DataFrame, group: str, x: str) -> DataFrame:
-    """Mann-Whitney U of x between group = true and false, and its z by the tie-corrected normal approximation.
+    """Mann-Whitney U of x between group = true and false, its z by the tie-corrected normal approximation, and the two-sided p-value.
 
+    p comes from z moved half a rank towards 0; null where all values are equal or a group is empty.
     Ranks come from counts by value, cumulated over the values; ties get their mean rank.
     """
     v = df.where(finite(x) & F.col(group).isNotNull()).groupBy(F.col(x).cast("double").alias("x")).agg(F.count_if(F.col(group)).alias("a"), F.count("*").alias("t"))
@@ -167,7 +169,9 @@ def rank_sum(df: DataFrame, group: str, x: str) -> DataFrame:
     s = v.agg(F.sum(F.col("a") * F.col("rank")).alias("ra"), F.sum("a").alias("na"), F.sum("t").alias("n"), F.sum(F.col("t").cast("double") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
     s = s.withColumn("nb", F.col("n") - F.col("na")).withColumn("u", F.expr("ra - na * (na + 1) / 2.0"))
     sd = F.sqrt(F.expr("na * nb / 12.0 * ((n + 1) - ties / (n * (n - 1.0)))"))
-    return s.withColumn("z", (F.col("u") - F.expr("na * nb / 2.0")) / sd).select("na", "nb", "u", "z")
+    off = F.col("u") - F.expr("na * nb / 2.0")
+    sd = F.when(sd > 0, sd)
+    return s.select("na", "nb", "u", (off / sd).alias("z"), F.least(2 * normal_cdf((0.5 - F.abs(off)) / sd), F.lit(1.0)).alias("p"))
 
 
 def linear_fit(df: DataFrame, x: str, y: str) -> DataFrame:

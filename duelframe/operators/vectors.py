@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StructType
 
 from ..functions.arrays import l2_normalised, once, softmax
 
@@ -27,11 +28,17 @@ class Slot:
 
 
 def first_alias(entry: DataFrame, slot: Slot) -> Column:
-    """The value under the first alias that the entry has as a column, or under the slot's name."""
+    """The first value that an alias, or else the slot's name, has in the entry or in its custom_text (a struct or a map); the entry's own fields go first."""
+    inner = entry.schema["custom_text"].dataType if "custom_text" in entry.columns else None
+    found = []
     for a in (*slot.alias, slot.name):
         if a in entry.columns:
-            return F.col(a) if a == slot.name or slot.name not in entry.columns else F.coalesce(F.col(a), F.col(slot.name))
-    return F.lit(None)
+            found.append(F.col(f"`{a}`"))
+        if isinstance(inner, StructType) and a in inner.names:
+            found.append(F.col("custom_text").getField(a))
+        elif isinstance(inner, MapType):
+            found.append(F.try_element_at("custom_text", F.lit(a)))
+    return F.coalesce(*found) if found else F.lit(None)
 
 
 def clamped(c: Column, most: float | None) -> Column:
@@ -119,10 +126,11 @@ def layout(slots: list[Slot]) -> list[tuple[int, str, int]]:
 
 
 def vocabulary(entries: DataFrame, map_col: str, most: int = 100) -> DataFrame:
-    """(category, idx): the map's keys by frequency, then name; at most `most` of them (the slot's width)."""
-    c = entries.select(F.explode(F.map_keys(map_col)).alias("category")).where("category <> ''").groupBy("category").agg(F.count("*").alias("n"))
-    top = c.orderBy(F.desc("n"), "category").limit(most)
-    return top.select("category", (F.row_number().over(W.orderBy(F.desc("n"), "category")) - 1).alias("idx"))
+    """(category, idx): the map's keys, trimmed, by frequency, then name; blanks and "unknown" are none. More than `most` (the slot's width) are an error."""
+    c = entries.select(F.explode(F.map_keys(map_col)).alias("k")).select(F.trim("k").alias("category")).where("category not in ('', 'unknown')").groupBy("category").agg(F.count("*").alias("n"))
+    top = c.orderBy(F.desc("n"), "category").limit(most + 1).withColumn("idx", F.row_number().over(W.orderBy(F.desc("n"), "category")) - 1)
+    over = F.raise_error(F.lit(f"{map_col}: more than {most} categories"))
+    return top.select("category", F.when(F.col("idx") >= most, over.cast("int")).otherwise(F.col("idx")).alias("idx"))
 
 
 def slot_growth(entries: DataFrame, array_col: str, unit: int) -> DataFrame:
@@ -149,8 +157,8 @@ def valid_split(split: DataFrame) -> DataFrame:
 
 
 def join_slots(split: DataFrame, names: list[str]) -> DataFrame:
-    """(id, vector) of the ids that have every slot; the slots' arrays side by side. One shuffle by id."""
-    firsts = [F.first(F.when(F.col("vector_name") == n, F.col("vector")), ignorenulls=True).alias(f"_{i}") for i, n in enumerate(names)]
+    """(id, vector) of the ids that have every slot; the slots' arrays side by side; of repeated rows the largest array. One shuffle by id."""
+    firsts = [F.max(F.when(F.col("vector_name") == n, F.col("vector"))).alias(f"_{i}") for i, n in enumerate(names)]
     g = split.where(F.col("vector_name").isin(names)).groupBy("id").agg(*firsts)
     every = [F.col(f"_{i}") for i in range(len(names))]
     ok = every[0].isNotNull()

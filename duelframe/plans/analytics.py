@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import rating_math, terms
 from ..operators import calibration, matrix, stats, training, vectors
 from .base import Tables, query
+from .network import cdf_sql
 
 _SIDES = "SELECT filename_a AS filename FROM comparisons UNION ALL SELECT filename_b FROM comparisons"
 
@@ -64,8 +65,9 @@ def a09_status(t: Tables):
 
 _PARAMS = """WITH p AS (SELECT score, list_sort(['sampler:' || lower(sampler), 'scheduler:' || lower(scheduler), 'steps:' || CAST(steps AS VARCHAR)]) AS ps FROM records),
 c AS (SELECT ps[i] AS p1, ps[j] AS p2, score FROM p, unnest([1, 2, 3]) a(i), unnest([1, 2, 3]) b(j) WHERE j >= i),
-s AS (SELECT p1, p2, count(*) AS n, avg(score) AS mean, coalesce(stddev_samp(score), 0) AS std, min(score) AS min, max(score) AS max,
-quantile_cont(score, 0.25) AS q1, quantile_cont(score, 0.5) AS median, quantile_cont(score, 0.75) AS q3 FROM c GROUP BY p1, p2 HAVING count(*) >= 100) """
+modes AS (SELECT p1, p2, arg_max(score, (n, -score)) AS mode FROM (SELECT p1, p2, score, count(*) AS n FROM c GROUP BY ALL) GROUP BY p1, p2),
+s AS (SELECT p1, p2, any_value(mode) AS mode, count(*) AS n, avg(score) AS mean, coalesce(stddev_samp(score), 0) AS std, min(score) AS min, max(score) AS max,
+quantile_cont(score, 0.25) AS q1, quantile_cont(score, 0.5) AS median, quantile_cont(score, 0.75) AS q3 FROM c JOIN modes USING (p1, p2) GROUP BY p1, p2 HAVING count(*) >= 100) """
 _COLUMNS = ["sampler", "scheduler", "steps"]
 
 
@@ -75,7 +77,7 @@ def _cells(t: Tables):
 
 @query(_PARAMS + "SELECT *, q3 - q1 AS iqr, CASE WHEN mean <> 0 THEN std / mean ELSE 99.9 END AS cv, max - min AS range FROM s", "records")
 def a11_cell_statistics(t: Tables):
-    return matrix.cell_stats(_cells(t)).drop("mode")
+    return matrix.cell_stats(_cells(t))
 
 
 @query("SELECT sampler, mode AS m FROM (SELECT sampler, arg_max(steps, (n, -steps)) AS mode FROM (SELECT sampler, steps, count(*) AS n FROM records GROUP BY ALL) GROUP BY sampler)", "records")
@@ -184,8 +186,9 @@ def a20_binned(t: Tables):
 
 @query("""WITH v AS (SELECT *, (rank() OVER (ORDER BY cfg) + rank() OVER (ORDER BY cfg) + count(*) OVER (PARTITION BY cfg) - 1) / 2.0 AS r FROM records),
 s AS (SELECT count(*) FILTER (WHERE sampler = 'O') AS na, count(*) FILTER (WHERE sampler <> 'O') AS nb, sum(CASE WHEN sampler = 'O' THEN r END) AS ra, count(*) AS n FROM v),
-ties AS (SELECT sum(CAST(c AS DOUBLE) * c * c - c) AS tt FROM (SELECT count(*) AS c FROM records GROUP BY cfg))
-SELECT na, nb, ra - na * (na + 1) / 2.0 AS u, (ra - na * (na + 1) / 2.0 - na * nb / 2.0) / sqrt(na * nb / 12.0 * ((n + 1) - tt / (n * (n - 1.0)))) AS z FROM s, ties""", "records")
+ties AS (SELECT sum(CAST(c AS DOUBLE) * c * c - c) AS tt FROM (SELECT count(*) AS c FROM records GROUP BY cfg)),
+u AS (SELECT na, nb, ra - na * (na + 1) / 2.0 AS u, ra - na * (na + 1) / 2.0 - na * nb / 2.0 AS d, sqrt(na * nb / 12.0 * ((n + 1) - tt / (n * (n - 1.0)))) AS sd FROM s, ties)
+SELECT na, nb, u, d / sd AS z, least(1.0, 2 * """ + cdf_sql("((0.5 - abs(d)) / sd)") + """) AS p FROM u""", "records")
 def a22_rank_sum(t: Tables):
     return stats.rank_sum(t.records.withColumn("g", F.col("sampler") == "O"), "g", "cfg")
 

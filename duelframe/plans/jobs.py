@@ -51,14 +51,14 @@ def s27_rule_store(t: Tables):
 def s29_s30_split_store(t: Tables):
     path = _place(t, "split")
     split = t.slots.select("vector_name", "id", F.col("v").alias("raw"), F.array("v").alias("vector"))
-    files.write_split(split.union(split.where("id < 5").select(F.lit("broken"), "id", F.lit(None).cast("double"), "vector")), path)
+    files.write_split(split.union(split.where("id < 5").select(F.lit("broken"), "id", F.lit(None).cast("double"), "vector")), path, {"size": 1, "price": 1, "mean_quantity": 1})
     return vectors.valid_split(t.spark.read.parquet(path)).select("vector_name", "id", F.element_at("vector", 1).alias("v"))
 
 
-@query("SELECT c AS category, CAST(row_number() OVER (ORDER BY n DESC, c) - 1 AS INT) AS idx FROM (SELECT p_brand AS c, count(*) AS n FROM part GROUP BY 1) QUALIFY row_number() OVER (ORDER BY n DESC, c) <= 20")
+@query("SELECT c AS category, CAST(row_number() OVER (ORDER BY n DESC, c) - 1 AS INT) AS idx FROM (SELECT p_brand AS c, count(*) AS n FROM part GROUP BY 1)")
 def s31_vocabulary_store(t: Tables):
     path = _place(t, "vocabulary")
-    vectors.vocabulary(t.part.select(F.create_map("p_brand", F.lit(1.0)).alias("m")), "m", 20).write.parquet(path)
+    vectors.vocabulary(t.part.select(F.create_map("p_brand", F.lit(1.0)).alias("m")), "m").write.parquet(path)
     return t.spark.read.parquet(path)
 
 
@@ -96,12 +96,18 @@ def f21_v05_positions(t: Tables):
     return vectors.vectorise(e, "id", [vectors.Slot("boxes", "structs", 8, fields=("x", "y", "width"))]).withColumnRenamed("vector", "v")
 
 
-@query("""SELECT p_partkey AS id, least(CAST(p_size AS DOUBLE), 40.0) AS clamped, CASE WHEN p_size % 3 = 0 THEN p_retailprice ELSE CAST(p_size AS DOUBLE) END AS first_alias FROM part""")
+@query("""SELECT p_partkey AS id, least(CAST(p_size AS DOUBLE), 40.0) AS clamped, CASE WHEN p_size % 3 = 0 THEN p_retailprice WHEN p_size % 5 = 0 THEN CAST(p_partkey AS DOUBLE) WHEN p_size % 7 = 0 THEN 0.5 ELSE CAST(p_size AS DOUBLE) END AS first_alias,
+CASE WHEN p_size % 2 = 0 THEN 1.5 WHEN p_size % 7 = 0 THEN 0.5 ELSE 0 END AS inner_only FROM part""")
 def p08_p09_v02_aliases(t: Tables):
-    """The first alias that has a value, else the slot's own name; numbers cut at a most."""
-    e = t.part.select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("size"), F.when(F.col("p_size") % 3 == 0, F.col("p_retailprice").cast("double")).alias("dimension"))
-    v = vectors.vectorise(e, "id", [vectors.Slot("size", "number", 1, most=40.0), vectors.Slot("size", "number", 1, alias=("dimension",))])
-    return v.select("id", F.get("vector", F.lit(0)).alias("clamped"), F.get("vector", F.lit(1)).alias("first_alias"))
+    """The first alias that has a value, in the entry or in its custom_text, else the slot's own name; numbers cut at a most."""
+    size = F.col("p_size")
+    text = F.struct(F.when(size % 7 == 0, 0.5).alias("third"), F.when(size % 2 == 0, 1.5).alias("inner"), F.lit(9.0).alias("size"))
+    e = t.part.select(
+        F.col("p_partkey").alias("id"), size.cast("double").alias("size"), F.when(size % 3 == 0, F.col("p_retailprice").cast("double")).alias("dimension"),
+        F.when(size % 5 == 0, F.col("p_partkey").cast("double")).alias("second"), text.alias("custom_text"),
+    )
+    v = vectors.vectorise(e, "id", [vectors.Slot("size", "number", 1, most=40.0), vectors.Slot("size", "number", 1, alias=("dimension", "second", "third")), vectors.Slot("third", "number", 1, alias=("inner",))])
+    return v.select("id", *[F.get("vector", F.lit(i)).alias(n) for i, n in enumerate(("clamped", "first_alias", "inner_only"))])
 
 
 @query("SELECT CAST(i AS INT) AS feature, CASE WHEN i < 3 THEN 'a' ELSE 'b' END AS slot, CAST(CASE WHEN i < 3 THEN i ELSE i - 3 END AS INT) AS place FROM range(8) t(i)")
@@ -169,8 +175,8 @@ def a20_exact_values(t: Tables):
     return stats.binned(t.records.withColumn("x", F.col("steps") % 6), "x", "score", exact=True).select("x", "mean", "std", "n")
 
 
-@query("""SELECT filename, CASE WHEN n >= 12 AND tier < 1.0 THEN concat('scored_', printf('%.1f', tier), '/scored_', printf('%.2f', floor(score * 100 + 1e-9) / 100)) ELSE concat('scored_', printf('%.1f', tier)) END AS folder FROM (
-SELECT filename, score, floor(score * 10 + 1e-9) / 10 AS tier, count(*) OVER (PARTITION BY floor(score * 10 + 1e-9)) AS n FROM images)""", "images")
+@query("""SELECT filename, CASE WHEN n >= 12 AND tier < 1.0 THEN concat('scored_', printf('%.1f', tier), '/scored_', printf('%.2f', floor(score * 100) / 100)) ELSE concat('scored_', printf('%.1f', tier)) END AS folder FROM (
+SELECT filename, score, floor(score * 10) / 10 AS tier, count(*) OVER (PARTITION BY floor(score * 10)) AS n FROM images)""", "images")
 def e04_e07_tier_folders(t: Tables):
     return etl.tier_plan(t.images, 12)
 
@@ -182,22 +188,60 @@ def q12_describe_counts(t: Tables):
     return d.select("filename", "wins", "losses", "score")
 
 
-@query("SELECT page_id AS id, 160.0 AS width, 130.0 AS height, 160.0 / 130.0 AS aspect, round(least(stddev_pop(g) / 0.5, 1), 6) AS contrast FROM (SELECT page_id, CAST((page_id * 7 + i * 13 + (i * i) % 97) % 256 AS DOUBLE) / 255 AS g FROM pages, range(20800) t(i)) GROUP BY page_id")
+def _picture(t: Tables, width: int, height: int, *channels):
+    """(id, measures) of pictures made from pages' numbers; channels are functions of the column and the line."""
+    at = F.sequence(F.lit(0), F.lit(width * height - 1))
+    levels = F.transform(at, lambda i: F.concat(*[F.lpad(F.hex(c((i % width).cast("long"), F.floor(i / width)) % 256), 2, "0") for c in channels]))
+    return t.pages.select(F.col("page_id").alias("id"), images.measure(F.unhex(F.concat_ws("", levels)), F.lit(height), F.lit(width)).alias("m"))
+
+
+@query("""SELECT page_id AS id, 160.0 AS final_width, 130.0 AS final_height, round(160.0 / 130.0, 4) AS final_aspect_ratio, 160.0 AS original_width, round(stddev_pop(g) / 0.5, 6) AS contrast
+FROM (SELECT page_id, CAST((page_id * 7 + i * 13 + (i * i) % 97) % 256 AS DOUBLE) / 255 AS g FROM pages, range(20800) t(i)) GROUP BY page_id""")
 def i01_i02_i09_measures(t: Tables):
     """Grey pixels made from the page's number."""
-    i = F.sequence(F.lit(0), F.lit(160 * 130 - 1))
-    grey = F.transform(i, lambda k: ((F.col("page_id") * 7 + k * 13 + (k * k) % 97) % 256).cast("int"))
-    rgb = F.concat_ws("", F.transform(F.transform(grey, lambda g: F.lpad(F.hex(g), 2, "0")), lambda h: F.concat(h, h, h)))
-    m = t.pages.select(F.col("page_id").alias("id"), images.measure(F.unhex(rgb), F.lit(130), F.lit(160)).alias("m"))
-    return m.select("id", *[F.col("m")[k].alias(k) for k in ("width", "height", "aspect")], F.round(F.col("m")["contrast"], 6).alias("contrast"))
+    def grey(x, y):
+        i = x + y * 160
+        return F.col("page_id") * 7 + i * 13 + (i * i) % 97
 
+    m = _picture(t, 160, 130, grey, grey, grey)
+    return m.select("id", *[F.col("m")[k].alias(k) for k in ("final_width", "final_height", "final_aspect_ratio", "original_width")], F.round(F.col("m")["contrast"], 6).alias("contrast"))
 
-@query()
+
+def _grey_sql(x: str, y: str) -> str:
+    r, g, b = f"((k * 7 + ({x}) * 13 + (({x}) * ({y})) % 97) % 256)", f"((k * 3 + ({x}) * ({x}) + ({y}) * 5) % 256)", f"(((({x}) + k) * (({y}) + 1)) % 251)"
+    return f"CAST((19595 * {r} + 38470 * {g} + 7471 * {b} + 32768) >> 16 AS DOUBLE)"
+
+
+def _beside_sql(dx: int, dy: int) -> str:
+    """Grey beside a pixel; 0 outside the picture."""
+    return f"CASE WHEN x + {dx} BETWEEN 0 AND 139 AND y + {dy} BETWEEN 0 AND 129 THEN {_grey_sql(f'x + {dx}', f'y + {dy}')} ELSE 0.0 END"
+
+
+def _corner_sql(side: str, line: str, corner: str) -> str:
+    d = "0.70711"
+    return f"((1 - {d}) * ((1 - {d}) * c + {d} * {side}) + {d} * ((1 - {d}) * {line} + {d} * {corner}))"
+
+
+_MEASURES = f"""WITH p AS (SELECT page_id AS k, i % 140 AS x, i // 140 AS y FROM pages, range(18200) q(i)),
+v AS (SELECT *, CAST((k * 7 + x * 13 + (x * y) % 97) % 256 AS DOUBLE) AS r, CAST((k * 3 + x * x + y * 5) % 256 AS DOUBLE) AS g, CAST(((x + k) * (y + 1)) % 251 AS DOUBLE) AS b, {_grey_sql("x", "y")} AS c,
+  {_grey_sql("(x + 1) % 140", "y")} AS e, {_grey_sql("(x + 139) % 140", "y")} AS w, {_grey_sql("x", "(y + 129) % 130")} AS n, {_grey_sql("x", "(y + 1) % 130")} AS s,
+  CASE WHEN x % 4 = 0 AND x > 0 THEN abs({_grey_sql("x", "y")} - {_grey_sql("x - 4", "y")}) END AS dv, CASE WHEN y % 4 = 0 AND y > 0 THEN abs({_grey_sql("x", "y")} - {_grey_sql("x", "y - 4")}) END AS dh,
+  {", ".join(f"{_beside_sql(dx, dy)} AS {name}" for name, dx, dy in (("o_e", 1, 0), ("o_w", -1, 0), ("o_n", 0, -1), ("o_s", 0, 1), ("o_ne", 1, -1), ("o_nw", -1, -1), ("o_se", 1, 1), ("o_sw", -1, 1)))} FROM p),
+a AS (SELECT k, var_pop(e + w + n + s - 4 * c) AS lap, var_pop(c - (c + e + w + n + s) / 5) AS res, stddev_pop(r - g) AS s1, avg(r - g) AS m1, stddev_pop((r + g) / 2 - b) AS s2, avg((r + g) / 2 - b) AS m2,
+  avg(dv) AS dv, avg(dh) AS dh, max(c) - min(c) AS spread, avg(sqrt((e - w) ** 2 + (s - n) ** 2)) AS edge FROM v GROUP BY k),
+bits AS (SELECT k, list_transform([o_e, {_corner_sql("o_e", "o_n", "o_ne")}, o_n, {_corner_sql("o_w", "o_n", "o_nw")}, o_w, {_corner_sql("o_w", "o_s", "o_sw")}, o_s, {_corner_sql("o_e", "o_s", "o_se")}], lambda z: CAST(z >= c AS INT)) AS o FROM v),
+codes AS (SELECT k, CASE WHEN list_sum(list_transform(range(1, 9), lambda i: CAST(o[i] <> o[i % 8 + 1] AS INT))) <= 2 THEN list_sum(o) ELSE 9 END AS code FROM bits),
+shares AS (SELECT k, code, count(*) / 18200.0 AS h FROM codes GROUP BY k, code), texture AS (SELECT k, -sum(h * ln(h + 1e-9)) / ln(10) AS t FROM shares GROUP BY k)
+SELECT k AS id, round(lap / (lap + 500), 6) AS sharpness, round(4 * ln(1 + res) / ln(65026), 6) AS noise_score, round((sqrt(s1 ** 2 + s2 ** 2) + 0.3 * sqrt(m1 ** 2 + m2 ** 2)) / (1.3 * sqrt(255.0 ** 2 + 127.5 ** 2)), 6) AS colorfulness,
+  round(least(1, (dv + dh) / (2 * spread) * 5), 6) AS artifact_score, round(edge / 255, 6) AS edge_density, round(t, 6) AS texture_lbp FROM a JOIN texture USING (k)"""
+
+
+@query(_MEASURES)
 def i03_i08_measures(t: Tables):
-    """All measures of pixels made from the embeddings' digests; their definitions are tested one by one."""
-    pixels = F.unhex(F.repeat(F.concat(*[F.sha2(F.concat_ws(",", F.transform("embedding", lambda x: x.cast("string")), F.lit(str(k))), 512) for k in range(3)]), 130 * 130 // 64 + 1))
-    m = t.embeddings.where("embedding is not null").select(F.col("vec_id").alias("id"), images.measure(pixels.substr(1, 130 * 130 * 3), F.lit(130), F.lit(130)).alias("m"))
-    return m.select("id", *[F.col("m")[k].alias(k) for k in images.MEASURES])
+    """Coloured pictures of all pages' numbers; the twin sums the formulas over pixels and their neighbours."""
+    k = F.col("page_id")
+    m = _picture(t, 140, 130, lambda x, y: k * 7 + x * 13 + (x * y) % 97, lambda x, y: k * 3 + x * x + y * 5, lambda x, y: ((x + k) * (y + 1)) % 251)
+    return m.select("id", *[F.round(F.col("m")[c], 6).alias(c) for c in images.MEASURES[7:]])
 
 
 @query()

@@ -37,13 +37,26 @@ def s21_s23_nested_json(t: Tables):
     return wrapped.select("id", F.get_json_object(records.unfold_json("entry"), "$.inner.steps").cast("int").alias("steps"))
 
 
-@query("""SELECT id, sampler, '0.5' AS score, '25.0' AS mu, CASE WHEN steps % 2 = 0 THEN CAST(steps AS VARCHAR) END AS even, CAST(CASE WHEN steps % 2 = 0 THEN 7 ELSE 6 END AS INT) AS n FROM records""", "records")
+@query("""SELECT id, CASE WHEN k < 2 THEN sampler END AS sampler, CASE WHEN k < 2 THEN CAST(steps AS VARCHAR) WHEN k = 2 THEN '"kept"' END AS seed, '0.5' AS score, 25.0 / 3 AS rating_sigma, '[]' AS history, 0 AS dropped,
+CASE WHEN k = 0 THEN concat('p', CAST(id AS VARCHAR)) WHEN k = 1 THEN concat('q', CAST(id AS VARCHAR)) END AS prompt_tags, CASE WHEN id % 3 > 0 THEN concat(CAST(id AS VARCHAR), '.png') END AS filename, CAST(CASE k WHEN 0 THEN 9 WHEN 1 THEN 9 WHEN 2 THEN 7 ELSE 6 END + CASE WHEN id % 3 > 0 THEN 1 ELSE 0 END AS INT) AS n
+FROM (SELECT *, id % 4 AS k FROM records)""", "records")
 def p10_clean_sidecar(t: Tables):
-    """Fields of an earlier rating go, whatever they hold; others stay; fresh ones come."""
-    m = F.map_filter(F.create_map(*[x for k, v in (("sampler", F.col("sampler")), ("score", F.col("cfg").cast("string")), ("comparison_history", F.lit("[]")), ("comparisons", F.col("steps").cast("string")), ("seed", F.lit("1")), ("even", F.when(F.col("steps") % 2 == 0, F.col("steps").cast("string")))) for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
-    c = t.records.select("id", etl.clean_sidecar(m).alias("c"))
-    at = lambda k: F.try_element_at("c", F.lit(k))
-    return c.select("id", at("sampler").alias("sampler"), at("score").alias("score"), at("rating_mu").alias("mu"), at("even").alias("even"), F.size("c").alias("n"))
+    """Sidecars of four kinds: one inner object with a prompt; fields and a prompt below; nothing left but an inner object; no object at all."""
+    old = [F.lit(0.7).alias(k) for k in ("score", "score_modifier", "volatility", "confidence", "image", "comparison_count", "rating_mu", "rating_sigma")]
+    name, own = F.col("id").cast("string"), [F.col("sampler"), F.col("steps").alias("seed"), F.array(F.lit(1)).alias("comparison_history")]
+    kinds = [
+        F.to_json(F.struct(F.struct(F.concat(F.lit("p"), name).alias("positive_prompt"), *own, *old).alias("2024-01-01"))),
+        F.to_json(F.struct(*own, F.struct(F.struct(F.concat(F.lit("q"), name).alias("positive_prompt")).alias("deep")).alias("inner"), *old)),
+        F.to_json(F.struct(F.struct(F.lit("kept").alias("seed"), *old).alias("image"), *old[:4])),
+        F.lit("[1, 2]"),
+    ]
+    e = t.records.select("id", F.element_at(F.array(*kinds), (F.col("id") % 4 + 1).cast("int")).alias("e"), F.when(F.col("id") % 3 > 0, F.concat(name, F.lit(".png"))).alias("f"))
+    c = e.select("id", etl.clean_sidecar(F.col("e"), F.col("f")).alias("c"))
+    raw = F.from_json("c", "map<string,variant>")
+    text = F.when(F.get_json_object("c", "$.seed") == "kept", F.lit('"kept"')).otherwise(F.get_json_object("c", "$.seed"))
+    gone = F.size(F.array_intersect(F.json_object_keys("c"), F.array(*[F.lit(x) for x in ("score_modifier", "volatility", "confidence", "image")])))
+    got = {k: F.get_json_object("c", f"$.{k}") for k in ("sampler", "score", "prompt_tags", "filename")}
+    return c.select("id", got["sampler"].alias("sampler"), text.alias("seed"), got["score"].alias("score"), F.get_json_object("c", "$.rating_sigma").cast("double").alias("rating_sigma"), F.get_json_object("c", "$.comparison_history").alias("history"), gone.alias("dropped"), got["prompt_tags"].alias("prompt_tags"), got["filename"].alias("filename"), F.size(raw).alias("n"))
 
 
 @query("""SELECT id, CASE WHEN id % 3 < 2 THEN prompt END AS found, id % 3 < 2 AND id % 5 > 0 AS complete FROM prompts""", "prompts")

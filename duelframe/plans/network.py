@@ -420,8 +420,10 @@ def q04_collapsible(t: Tables):
 
 @query("""WITH e AS (SELECT DISTINCT winner, filename_b AS loser FROM dag), ones AS (SELECT winner AS f, count(*) AS k FROM e GROUP BY 1 HAVING count(*) = 1),
 few AS (SELECT filename, rating_mu - 3 * rating_sigma AS skill, rating_sigma AS sigma, comparison_count AS n FROM images WHERE comparison_count > 1 AND filename IN (SELECT f FROM ones) ORDER BY filename LIMIT 101),
-p AS (SELECT filename AS a, lead(filename) OVER w AS b, abs(skill - lead(skill) OVER w) AS gap, sigma FROM few WINDOW w AS (ORDER BY n, filename))
-SELECT a, b, 'single_win_loss' AS phase FROM p WHERE b IS NOT NULL ORDER BY gap <= sigma DESC, CASE WHEN gap <= sigma THEN -gap ELSE gap END, a, b LIMIT 1""", "dag", "images")
+p AS (SELECT *, row_number() OVER (ORDER BY gap, place) AS r FROM (SELECT row_number() OVER w AS place, filename AS a, lead(filename) OVER w AS b, abs(skill - lead(skill) OVER w) AS gap, sigma FROM few WINDOW w AS (ORDER BY n, filename)) WHERE b IS NOT NULL),
+walk(r, a, b, gap, sigma) AS (SELECT r, a, b, gap, sigma FROM p WHERE r = 1
+  UNION ALL SELECT p.r, CASE WHEN p.gap > w.gap THEN p.a ELSE w.a END, CASE WHEN p.gap > w.gap THEN p.b ELSE w.b END, greatest(p.gap, w.gap), CASE WHEN p.gap > w.gap THEN p.sigma ELSE w.sigma END FROM walk w JOIN p ON p.r = w.r + 1 WHERE p.gap <= w.sigma)
+SELECT a, b, 'single_win_loss' AS phase FROM walk ORDER BY r DESC LIMIT 1""", "dag", "images", recursive=True)
 def q05_single_win_loss(t: Tables):
     return pairing.single_win_loss(pairing.candidates(t.images), _edges(t))
 

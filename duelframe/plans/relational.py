@@ -138,11 +138,13 @@ def p07_exclude(t: Tables):
     return tables.exclude(t.images, lost).select("filename")
 
 
-@query("""SELECT filename, concat('scored_', CAST(CAST(floor(least(greatest(score, 0), 1) * 10 + 1e-9) / 10 AS DECIMAL(3, 1)) AS VARCHAR),
-CASE WHEN n >= 150 AND k < 10 THEN concat('/scored_', CAST(CAST(floor(least(greatest(score, 0), 1) * 100 + 1e-9) / 100 AS DECIMAL(4, 2)) AS VARCHAR)) ELSE '' END) AS folder
-FROM (SELECT *, floor(score * 10 + 1e-9) AS k, count(*) OVER (PARTITION BY floor(score * 10 + 1e-9)) AS n FROM images)""", "images")
+@query("""SELECT filename, concat('scored_', CAST(CAST(floor(least(greatest(score, 0), 1) * 10) / 10 AS DECIMAL(3, 1)) AS VARCHAR),
+CASE WHEN (n >= 150 OR k IN (3, 7)) AND k < 10 THEN concat('/scored_', CAST(CAST(floor(least(greatest(score, 0), 1) * 100) / 100 AS DECIMAL(4, 2)) AS VARCHAR)) ELSE '' END) AS folder
+FROM (SELECT *, floor(score * 10) AS k, count(*) OVER (PARTITION BY floor(score * 10)) AS n FROM images WHERE filename NOT LIKE '%7' OR score >= 0.5)""", "images")
 def p14_tier_path(t: Tables):
-    return etl.tier_plan(t.images, 150)
+    """Folders of hundredths where there are many images, or where there are such folders already."""
+    there = t.images.where("score >= 0.3 and score < 0.4 or score >= 0.7 and score < 0.8").select(F.concat(F.lit("/ranked/scored_"), F.format_number(F.floor(F.col("score") * 10) / 10, 1), F.lit("/scored_"), F.format_number(F.floor(F.col("score") * 100) / 100, 2), F.lit("/"), "filename").alias("path"))
+    return etl.tier_plan(t.images.where("filename not like '%7' or score >= 0.5"), 150, etl.split_tiers(there))
 
 
 @query("SELECT filename, last_compared_at FROM images ORDER BY coalesce(CAST(last_compared_at AS VARCHAR), '9999-99-99'), filename LIMIT 30 OFFSET 30", "images")

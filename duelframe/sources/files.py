@@ -50,6 +50,9 @@ def write_rules(df: DataFrame, path: str, threshold: int) -> None:
     df.withColumn("threshold", F.lit(threshold)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("threshold").parquet(path)
 
 
-def write_split(split: DataFrame, path: str) -> None:
-    """The tall table of vectors, by slot."""
+def write_split(split: DataFrame, path: str, widths: dict[str, int] | None = None) -> None:
+    """The tall table of vectors, by slot. With the slots' widths, a vector of another length is an error, and nothing is written."""
+    for name, width in (widths or {}).items():
+        wrong = (F.col("vector_name") == name) & (F.size("vector") != width)
+        split = split.withColumn("vector", F.when(wrong, F.raise_error(F.concat(F.lit(f"{name}: length "), F.size("vector").cast("string"), F.lit(f", not {width}"))).cast(split.schema["vector"].dataType)).otherwise(F.col("vector")))
     split.write.mode("overwrite").partitionBy("vector_name").parquet(path)

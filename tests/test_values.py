@@ -66,11 +66,21 @@ def test_image_measures(spark):
     rng = np.random.default_rng(1)
     flat, noise = np.full((130, 140, 3), 90, np.uint8), rng.integers(0, 256, (130, 140, 3)).astype(np.uint8)
     a, b = images.measures(flat), images.measures(noise)
-    assert set(a) == set(images.MEASURES) and a["contrast"] == a["sharpness"] == a["edges"] == 0 and a["aspect"] == 140 / 130
-    assert b["sharpness"] > 0.9 and b["contrast"] > a["contrast"] and b["texture"] > a["texture"] and all(0 <= b[k] <= 1 for k in images.MEASURES[3:])
+    assert set(a) == set(images.MEASURES) and a["contrast"] == pytest.approx(0) and a["sharpness"] == a["edge_density"] == a["noise_score"] == a["artifact_score"] == 0
+    assert a["final_aspect_ratio"] == a["original_aspect_ratio"] == round(140 / 130, 4) and (a["final_width"], a["original_height"]) == (140, 130)
+    assert b["sharpness"] > 0.9 and b["texture_lbp"] > a["texture_lbp"] and b["artifact_score"] == 1 and 2 < b["noise_score"] < 3.5
     red = np.zeros((130, 130, 3))
     red[..., 0] = 255
-    assert images.measures(red)["colorfulness"] == pytest.approx(1)
+    assert images.measures(red)["colorfulness"] == pytest.approx(0.3 / 1.3)  # no spread, the mean alone
+    assert images.grey_levels(np.array([[[255, 0, 0], [0, 255, 0], [0, 0, 255], [255, 255, 255]]])).tolist() == [[76, 150, 29, 255]]
+    known = images.measures(noise, {"width": 1000, "height": 500, "aspect_ratio": 2.0, "sharpness": 0.125})
+    assert (known["original_width"], known["original_height"], known["original_aspect_ratio"], known["sharpness"], known["final_width"]) == (1000, 500, 2.0, 0.125, 140)
+    assert images.measures(np.zeros((100, 200, 3)), dict.fromkeys(images.SIZES, 7.0))["final_width"] == 7
+    # one bright line in the dark: each pixel by hand
+    line = np.zeros((128, 128, 3))
+    line[:, 4] = 255
+    m, v = images.measures(line), 255**2 * 6 / 128
+    assert m["edge_density"] == pytest.approx(2 / 128) and m["artifact_score"] == pytest.approx(2.5 * 2 / 31) and m["sharpness"] == pytest.approx(v / (v + 500))
     assert images.coerce(np.zeros((3, 200, 201))).shape == (200, 201, 3) and images.coerce(np.zeros((200, 201))).shape == (200, 201, 3)
     with pytest.raises(ValueError, match="small"):
         images.measures(np.zeros((100, 200, 3)))
@@ -79,6 +89,38 @@ def test_image_measures(spark):
     assert got[0].m == pytest.approx(b) and got[1].m is None
 
 
+def test_closest_pair_follows_the_node_chosen_so_far(spark):
+    rows = [(1, "a", "b", 1.0, 2.0), (2, "c", "d", 3.0, 10.0)]
+    schema = "place int, a string, b string, gap double, sigma double"
+    assert pairing.closest_pair(spark.createDataFrame(rows, schema)).first().a == "a"  # 3 exceeds the deviation of a
+    rows = [(1, "a", "b", 1.0, 3.0), (2, "c", "d", 3.0, 10.0), (3, "e", "f", 9.0, 1.0), (4, "g", "h", 9.5, 99.0)]
+    assert pairing.closest_pair(spark.createDataFrame(rows, schema)).first().a == "e"  # e's own deviation ends the walk
+    assert pairing.closest_pair(spark.createDataFrame([], schema)).count() == 0
+    with pytest.raises(Exception, match="more than"):
+        pairing.closest_pair(spark.createDataFrame(rows, schema), 3).collect()
+
+
+def test_vocabulary_overflow_is_an_error(spark):
+    df = spark.createDataFrame([({"a": 1.0, " b ": 1.0},), ({"c": 1.0, "a": 1.0, "unknown": 1.0, " ": 1.0},)], "m map<string, double>")
+    assert [(r.category, r.idx) for r in vectors.vocabulary(df, "m", 3).collect()] == [("a", 0), ("b", 1), ("c", 2)]
+    with pytest.raises(Exception, match="more than 2"):
+        vectors.vocabulary(df, "m", 2).collect()
+
+
+def test_split_store_checks_its_widths(spark, tmp_path):
+    df = spark.createDataFrame([("s", 1, [1.0, 2.0]), ("s", 2, [1.0])], "vector_name string, id long, vector array<double>")
+    with pytest.raises(Exception, match="length 1, not 2"):
+        files.write_split(df, str(tmp_path / "x"), {"s": 2})
+    files.write_split(df.where("id = 1"), str(tmp_path / "y"), {"s": 2})
+    assert spark.read.parquet(str(tmp_path / "y")).count() == 1
+
+
+def test_second_alias_and_custom_text(spark):
+    e = spark.createDataFrame([(1, None, 7.0, {"a3": 1.0}), (2, 5.0, 7.0, {"a1": 1.0}), (3, None, None, {"a3": 2.0}), (4, None, None, None)], "id long, a1 double, a2 double, custom_text map<string, double>")
+    v = vectors.vectorise(e, "id", [vectors.Slot("x", "number", 1, alias=("a1", "a2", "a3"))])
+    assert {r.id: r.vector[0] for r in v.collect()} == {1: 7.0, 2: 5.0, 3: 2.0, 4: 0.0}
+
+
 def test_calibration(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=500)
