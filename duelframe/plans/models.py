@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import training
+from ..operators import ranking, training
 from ..scratch import scratch, shared_folder
 from ..streaming import ingest
 from .base import Tables, query
@@ -62,6 +62,40 @@ def m05_rank(t: Tables):
     return training.predict(training.fit(d, "rank", label="label"), rows.select("id", "vector"), "rank").select("id", "prediction")
 
 
+def _duels(t: Tables, rows):
+    """Every image against three others, by distance of id; the better one wins."""
+    c = rows.select(F.col("id").cast("long").alias("a"), F.explode(F.array(*[F.lit(k) for k in (1, 17, 113)])).alias("k"), F.col("worth").alias("wa"))
+    j = c.join(rows.select(F.col("id").cast("long").alias("b"), F.col("worth").alias("wb")), F.col("a") + F.col("k") == F.col("b"))
+    a, b = F.col("a").cast("string"), F.col("b").cast("string")
+    return j.select((F.col("a") * 1000 + F.col("k")).alias("id"), a.alias("filename_a"), b.alias("filename_b"), F.when(F.col("wa") >= F.col("wb"), a).otherwise(b).alias("winner"), F.lit(1.0).alias("weight"))
+
+
+def _worth(t: Tables):
+    """Vectors whose worth is an interaction, which no linear model ranks."""
+    return _rows(t).where("vector is not null").withColumn("worth", F.expr("vector[0] * vector[1]"))
+
+
+@query("""WITH v AS (SELECT vec_id AS a, CAST(embedding[1] AS DOUBLE) * CAST(embedding[2] AS DOUBLE) AS w, CAST(embedding[3] AS DOUBLE) AS raw FROM embeddings WHERE embedding IS NOT NULL),
+p AS (SELECT CASE WHEN x.w >= y.w THEN x.a ELSE y.a END AS winner, CASE WHEN x.w >= y.w THEN y.a ELSE x.a END AS loser, CASE WHEN x.w >= y.w THEN x.raw - y.raw ELSE y.raw - x.raw END AS m FROM v x, unnest([1, 17, 113]) q(k), v y WHERE y.a = x.a + k),
+u AS (SELECT *, 1 / (1 + exp(m)) AS u FROM p)
+SELECT CAST(id AS VARCHAR) AS id, round(sum(g), 8) AS gradient, round(sum(h), 8) AS curvature FROM (SELECT winner AS id, u AS g, u * (1 - u) AS h FROM u UNION ALL SELECT loser, -u, u * (1 - u) FROM u) GROUP BY id""")
+def m05_rank_gradients(t: Tables):
+    """What a round of boosting fits its tree to, at scores that are a component of the vectors."""
+    rows = scratch(_worth(t), "worth")
+    raw = rows.select(F.col("id").cast("string").alias("id"), F.get("vector", F.lit(2)).alias("raw"))
+    pairs = ranking.ranked_pairs(_duels(t, rows), rows.select(F.col("id").cast("string").alias("id"), "vector"))
+    return ranking.lambdas(pairs, raw).select("id", F.round("gradient", 8).alias("gradient"), F.round("curvature", 8).alias("curvature"))
+
+
+@query()
+def m05_m21_boosted_rank(t: Tables):
+    """All vectors ranked by boosted trees, and calibrated to their worth."""
+    rows = scratch(_worth(t), "worth")
+    v = rows.select(F.col("id").cast("string").alias("id"), "vector")
+    model = ranking.fit_rank(_duels(t, rows), v, training.Setting(max_iter=5, max_depth=4, step_size=0.5))
+    return ranking.calibrated_ranks(ranking.rank_scores(model, v), rows.select(F.col("id").cast("string").alias("id"), F.col("worth").alias("score")))
+
+
 @query()
 def m06_feature_gains(t: Tables):
     from ..operators.vectors import kept_by_gain
