@@ -337,16 +337,73 @@ def common_chain(pairs: DataFrame, chain: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where("ca = cb").select("a", "b", F.col("ca").alias("chain_id"))
 
 
-def same_path(pairs: DataFrame, links: DataFrame, labels: DataFrame, chain: DataFrame | None = None, depth: int = RANKING.transitive_depth) -> DataFrame:
-    """pairs (a, b) with same_path: a shared main chain, or one reaches the other within depth wins."""
-    both = pairs.select("a", "b").distinct()
-    starts = scratch(both.select(F.col("a").alias("node")).distinct(), "starts")  # searched both ways, so that the partners need no search of their own
+_ORDERS = 3  # random orders of a reach index
+
+
+def reach_index(links: DataFrame, depth: int = RANKING.transitive_depth) -> DataFrame:
+    """(node, low0, high0, low1, ...): for some random orders of the nodes, the first and the last place that occurs at most `depth` wins below a node, itself included.
+
+    Whom a node reaches has its own place within that range in every order; so one place outside tells that there is no path. A round for each
+    win widens the ranges by those of the nodes below, which combine before their exchange: its cost grows with the links, not with the paths.
+    """
+    places = [F.xxhash64("node", F.lit(k)) for k in range(_ORDERS)]
+    own = universe(links).select("node", *[x.alias(n) for k, x in enumerate(places) for n in (f"low{k}", f"high{k}")])
+    now = scratch(own, "ranges")
+    for _ in range(depth):
+        below = links.join(now.withColumnRenamed("node", "loser"), "loser").groupBy(F.col("winner").alias("node")).agg(*[x for k in range(_ORDERS) for x in (F.min(f"low{k}").alias(f"l{k}"), F.max(f"high{k}").alias(f"h{k}"))])
+        now = scratch(now.join(below, "node", "left").select("node", *[x for k in range(_ORDERS) for x in (F.least(f"low{k}", f"l{k}").alias(f"low{k}"), F.greatest(f"high{k}", f"h{k}").alias(f"high{k}"))]), "ranges")
+    return now
+
+
+def _may_reach(pairs: DataFrame, index: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose b lies within all ranges of a."""
+    inside = F.lit(True)
+    for k in range(_ORDERS):
+        inside = inside & F.xxhash64("b", F.lit(k)).between(F.col(f"low{k}"), F.col(f"high{k}"))
+    return pairs.join(index.withColumnRenamed("node", "a"), "a").where(inside).select("a", "b")
+
+
+def _hops(links: DataFrame, starts: DataFrame, hops: int, name: str) -> DataFrame:
+    """(name, node): all nodes at most `hops` links from each start (name), itself included."""
+    out = front = starts.select(F.col(name), F.col(name).alias("node")).distinct()
+    for _ in range(hops):
+        step = front.join(links, front["node"] == links["winner"]).select(name, F.col("loser").alias("node")).distinct()
+        front = scratch(step.join(out, [name, "node"], "left_anti"), "hops")
+        out = out.union(front)
+    return out
+
+
+def _met(pairs: DataFrame, links: DataFrame, depth: int) -> DataFrame:
+    """The pairs (a, b) with a path from a to b of at most `depth` wins."""
     back = links.select(F.col("loser").alias("winner"), F.col("winner").alias("loser"))
-    near = reachable(links, starts, depth).union(reachable(back, starts, depth)).select(F.col("start").alias("a"), F.col("node").alias("b")).distinct()
-    hit = both.join(near, ["a", "b"], "left_semi")
-    hit = hit.union(both.where("a = b"))
+    tops, ends = (pairs.select(c).distinct().limit(_FEW + 1).count() for c in "ab")
+    if min(tops, ends) <= _FEW:  # all that a few nodes reach: at most that many times the nodes
+        name, other, way = ("a", "b", links) if tops <= ends else ("b", "a", back)
+        return pairs.join(_hops(way, pairs, depth, name).withColumnRenamed("node", other), ["a", "b"], "left_semi")
+    down, up = _hops(links, pairs, (depth + 1) // 2, "a"), _hops(back, pairs, depth // 2, "b")
+    return pairs.join(down, "a").join(up, ["b", "node"], "left_semi").select("a", "b").distinct()
+
+
+_FEW = 100
+
+
+def same_path(pairs: DataFrame, links: DataFrame, labels: DataFrame, chain: DataFrame | None = None, depth: int = RANKING.transitive_depth, index: DataFrame | None = None) -> DataFrame:
+    """pairs (a, b) with same_path: a shared main chain, or one reaches the other within depth wins.
+
+    Only pairs of one component that no chain answers are searched, and of these, with an index (see reach_index), those that its ranges allow.
+    The search meets in the middle: half the wins down from the upper ends, the rest up from the lower ends, of the pairs that are left; where one side
+    has a few nodes only, all is searched from there.
+    """
+    both = scratch(pairs.select("a", "b").distinct(), "asked")
+    hit = both.where("a = b")
     if chain is not None:
         hit = hit.union(common_chain(both, chain).select("a", "b"))
+    hit = scratch(hit.distinct(), "answered")
+    a, b = labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    asked = both.join(hit, ["a", "b"], "left_anti").join(a, "a").join(b, "b").where("ca = cb").select("a", "b")
+    ways = asked.union(asked.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    found = _met(scratch(ways if index is None else _may_reach(ways, index), "searched"), links, depth)
+    hit = hit.union(found).union(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
     return pairs.join(hit.distinct().withColumn("_h", F.lit(True)), ["a", "b"], "left").withColumn("same_path", F.col("_h").isNotNull()).drop("_h")
 
 

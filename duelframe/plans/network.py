@@ -215,7 +215,19 @@ def g10_same_path(t: Tables):
     x = e.select(F.col("winner").alias("a"), F.col("loser").alias("m"))
     p = x.join(e.select(F.col("winner").alias("m"), F.col("loser").alias("b")), "m").select("a", "b")
     p = p.union(x.select("a", F.lit("img_00000000").alias("b"))).distinct()
-    return graph.same_path(p, e, _labels(t))
+    return graph.same_path(p, e, _labels(t), index=graph.reach_index(e))
+
+
+@query(f"""WITH RECURSIVE {ctes("tiers")}, edges AS MATERIALIZED (SELECT DISTINCT winner, filename_b AS loser FROM tiers), ids AS MATERIALIZED (SELECT DISTINCT winner AS node FROM edges),
+p AS MATERIALIZED (SELECT x.node AS a, y.node AS b FROM ids x JOIN ids y ON CAST(substr(y.node, 5) AS BIGINT) - CAST(substr(x.node, 5) AS BIGINT) IN (1, 3, 50)),
+hop(a, b, d) AS (SELECT node, node, 0 FROM ids UNION SELECT h.a, e.loser, h.d + 1 FROM hop h JOIN edges e ON e.winner = h.b WHERE h.d < 2)
+SELECT p.a, p.b, EXISTS (SELECT 1 FROM hop WHERE hop.a = p.a AND hop.b = p.b) OR EXISTS (SELECT 1 FROM hop WHERE hop.a = p.b AND hop.b = p.a) AS same_path FROM p""")
+def g10_same_path_giant(t: Tables):
+    """Paths of at most two wins in a giant component: the index and the search from both ends."""
+    e = scratch(graph.edges(t.tiers))
+    ids = e.select(F.col("winner").alias("a")).distinct().withColumn("i", F.substring("a", 5, 8).cast("long"))
+    p = ids.select("a", F.explode(F.array(*[F.col("i") + k for k in (1, 3, 50)])).alias("i")).join(ids.select("i", F.col("a").alias("b")), "i").select("a", "b")
+    return graph.same_path(p, e, graph.components(graph.universe(e), e), depth=2, index=graph.reach_index(e, 2))
 
 
 @query(f"WITH {_EDGES} SELECT other, side FROM (SELECT loser AS other, 'worse' AS side FROM edges WHERE winner = 'img_00000010' UNION SELECT winner, 'better' FROM edges WHERE loser = 'img_00000010')", "dag")

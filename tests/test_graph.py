@@ -144,3 +144,31 @@ def test_rounds_of_joins_give_what_one_task_gives(spark):
     assert parts[0] == parts[1]
     found = [sorted((r.component, r.chain_id, tuple(r.nodes), r.length, tuple(r.owners)) for r in graph.chains(labels, e, limit).collect()) for limit in (1000, 0)]
     assert found[0] == found[1]
+
+
+def test_paths_of_asked_pairs(spark, monkeypatch):
+    """With and without an index, few and many nodes on a side, against a search by hand; the index lets every path through."""
+    rng = random.Random(9)
+    edges = sorted({(f"n{rng.randrange(70):02}", f"n{rng.randrange(70):02}") for _ in range(110)} | {("z1", "z2")})
+    e = links(spark, [p for p in edges if p[0] != p[1]])
+    down = {}
+    for a, b in edges:
+        if a != b:
+            down.setdefault(a, set()).add(b)
+
+    def near(a, depth):
+        out = front = {a}
+        for _ in range(depth):
+            front = {m for n in front for m in down.get(n, ())} - out
+            out = out | front
+        return out
+
+    asked = sorted({(rng.choice(edges)[0], rng.choice(edges)[1]) for _ in range(250)} | {("n01", "n01"), ("z1", "n01"), ("nobody", "n01")})
+    want = {(a, b): a == b or b in near(a, 5) or a in near(b, 5) for a, b in asked}
+    p, labels, index = spark.createDataFrame(asked, "a string, b string"), graph.components(graph.universe(e), e), graph.reach_index(e)
+    for few in (0, 1000):
+        monkeypatch.setattr(graph, "_FEW", few)
+        for i in (None, index):
+            assert {(r.a, r.b): r.same_path for r in graph.same_path(p, e, labels, index=i).collect()} == want
+    allowed = {(r.a, r.b) for r in graph._may_reach(p, index).collect()}
+    assert {(a, b) for a, b in asked if a in down and b in near(a, 5)} <= allowed and len(allowed) < len(asked)
