@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from ..config import RANKING
 from ..functions import images, terms
-from ..operators import calibration, etl, graph, history, pairing, rating, stats, tables, training, vectors
+from ..operators import calibration, etl, graph, history, pairing, stats, tables, training, vectors
 from ..scratch import scratch, shared_folder
 from ..sources import files
-from ..streaming import ingest
+from ..streaming import ingest, keyed
 from .base import Tables, query
+from .network import replay_query
 
 
 def _place(t: Tables, name: str) -> str:
@@ -254,31 +255,25 @@ def m13_m18_search(t: Tables):
 
 @query("SELECT pool, list_reverse(list_distinct_last)[1:3] AS recent FROM (SELECT pool, list(name ORDER BY last) AS list_distinct_last FROM (SELECT event_type AS pool, CAST(user_id AS VARCHAR) AS name, max(event_id) AS last FROM events GROUP BY ALL) GROUP BY pool)")
 def x03_recent(t: Tables):
-    """The three last users of each type of event, last first, kept as bounded state over the stream."""
-    one = t.events.select("event_id", "event_type", F.col("user_id").cast("string").alias("user_id")).orderBy("event_id").coalesce(1)
+    """The three last users of each type of event, last first, kept as bounded state by type and share of the users."""
     path = _place(t, "events")
-    one.write.parquet(path)  # one file, so that the stream gives the events in their order
-    s = t.spark.readStream.schema(one.schema).parquet(path)
-    name = f"recent_{uuid.uuid4().hex}"
-    out = ingest.run_once(ingest.recent(s.select(F.col("event_type").alias("pool"), "user_id"), "pool", "user_id", 3), name, _place(t, "stream"), "update")
-    return out.select("pool", F.reverse("recent").alias("recent"))
+    t.events.select("event_id", "event_type", F.col("user_id").cast("string").alias("user_id")).repartition(4, "user_id").write.parquet(path)
+    s = ingest.file_stream(t.spark, path, "event_id long, event_type string, user_id string", 2)
+    table = keyed.stream_to_table(keyed.keyed_recent(s, "event_type", "user_id", "event_id", 3, 1.0), _place(t, "stream"))
+    return keyed.recent_names(table, 3)
 
 
-def _live(t: Tables):
-    return t.dag.select(F.lit("all").alias("pool"), "id", "winner", F.col("filename_b").alias("loser"))
-
-
-@query("SELECT count(*) AS names, CAST(0 AS BIGINT) AS different FROM (SELECT winner FROM dag UNION SELECT filename_b FROM dag)", "dag")
+@query(replay_query("dag", "SELECT id, winner, filename_b AS loser FROM dag", "SELECT filename, round(mu, 6) AS mu, round(sigma, 6) AS sigma, n FROM rated"))
 def x05_live_ratings(t: Tables):
-    """Ratings kept by the stream, against the fold of the same comparisons: the names on which they differ (none)."""
-    path = _place(t, "live")
-    _live(t).coalesce(1).write.parquet(path)
-    s = t.spark.readStream.schema("pool string, id long, winner string, loser string").parquet(path)
-    got = ingest.run_once(ingest.live_ratings(s), f"live_{uuid.uuid4().hex}", _place(t, "stream"), "update")
-    want = rating.replay(_live(t).select("id", F.col("winner").alias("filename_a"), F.col("loser").alias("filename_b"), "winner"))
-    j = got.alias("g").join(want.alias("w"), "filename", "full_outer")
-    differ = F.coalesce((F.abs(F.col("g.mu") - F.col("w.mu")) > 1e-9) | (F.abs(F.col("g.sigma") - F.col("w.sigma")) > 1e-9) | (F.col("g.n") != F.col("w.n")), F.lit(True))
-    return j.agg(F.count("*").alias("names"), F.count_if(differ).alias("different"))
+    """Ratings kept by a stream in two micro-batches of several files, by component; the twin folds all comparisons."""
+    rows = scratch(t.dag.select("id", "winner", F.col("filename_b").alias("loser")), "duels")
+    labels = graph.components(graph.universe(rows), rows)
+    path, middle = _place(t, "live"), rows.agg(F.percentile_approx("id", 0.5)).first()[0]
+    for half in (F.col("id") <= middle, F.col("id") > middle):
+        rows.where(half).repartition(3, "id").write.mode("append").parquet(path)
+    s = ingest.file_stream(t.spark, path, "id long, winner string, loser string", 3)
+    table = keyed.stream_to_table(keyed.keyed_ratings(s, labels), _place(t, "stream"))
+    return keyed.latest(table, "filename").select("filename", F.round("mu", 6).alias("mu"), F.round("sigma", 6).alias("sigma"), "n")
 
 
 @query("SELECT component, count(*) AS n FROM (WITH RECURSIVE e AS (SELECT DISTINCT winner AS a, filename_b AS b FROM dag), ends AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach(a, b) AS (SELECT a, a FROM ends UNION SELECT r.a, x.b FROM reach r JOIN ends x ON x.a = r.b) SELECT a AS node, min(b) AS component FROM reach GROUP BY a) GROUP BY component", "dag", recursive=True)

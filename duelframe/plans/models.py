@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ranking, training
 from ..scratch import scratch, shared_folder
-from ..streaming import ingest
+from ..streaming import ingest, keyed
 from .base import Tables, query
 
 
@@ -107,13 +107,13 @@ def m06_feature_gains(t: Tables):
 @query("SELECT event_id, event_type FROM events")
 def x01_x02_stream_ingest(t: Tables):
     s = ingest.new_names(ingest.file_stream(t.spark, f"{t.dir}/events.parquet", t.events.schema), "event_id")
-    return ingest.run_once(s.select("event_id", "event_type"), f"ingest_{uuid.uuid4().hex}", _checkpoint(t))
+    return keyed.stream_to_table(s.select("event_id", "event_type"), _checkpoint(t), mode="append").drop("batch")
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def x11_windowed_counts(t: Tables):
     s = ingest.windowed_counts(ingest.file_stream(t.spark, f"{t.dir}/events.parquet", t.events.schema))
-    return ingest.run_once(s, f"windows_{uuid.uuid4().hex}", _checkpoint(t), "complete")
+    return keyed.latest(keyed.stream_to_table(s, _checkpoint(t)), "start", "event_type")
 
 
 def _checkpoint(t: Tables) -> str:

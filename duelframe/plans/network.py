@@ -293,7 +293,7 @@ wait(f, k, id, won, mu, sigma) AS (
 {last}"""
 
 
-def _with(view: str, rows: str, last: str) -> str:
+def replay_query(view: str, rows: str, last: str) -> str:
     return f"WITH RECURSIVE {ctes(*view.split())}, {replay_sql(rows, last)}"
 
 
@@ -312,37 +312,37 @@ def r02_replay_counts(t: Tables):
     return rating.replay(t.comparisons).select("filename", "n")
 
 
-@query(_with("dag", _DAG_ROWS, f"SELECT filename, {_RATED} FROM rated"))
+@query(replay_query("dag", _DAG_ROWS, f"SELECT filename, {_RATED} FROM rated"))
 def r02_replay(t: Tables):
     """Many small components."""
     return _rounded(rating.replay(t.dag))
 
 
-@query(_with("comparisons", "SELECT id, winner, CASE WHEN winner = filename_a THEN filename_b ELSE filename_a END AS loser FROM comparisons WHERE filename_a <> filename_b", f"SELECT filename, {_RATED} FROM rated"))
+@query(replay_query("comparisons", "SELECT id, winner, CASE WHEN winner = filename_a THEN filename_b ELSE filename_a END AS loser FROM comparisons WHERE filename_a <> filename_b", f"SELECT filename, {_RATED} FROM rated"))
 def r02_replay_giant(t: Tables):
     """Nearly all comparisons are one component, which is cut into windows of the order."""
     return _rounded(rating.replay(t.comparisons.where("filename_a <> filename_b"), limit=20_000))
 
 
-@query(_with("comparisons", "SELECT -id AS id, winner, CASE WHEN winner = filename_a THEN filename_b ELSE filename_a END AS loser FROM comparisons WHERE filename_a <> filename_b", f"SELECT filename, {_RATED} FROM rated"))
+@query(replay_query("comparisons", "SELECT -id AS id, winner, CASE WHEN winner = filename_a THEN filename_b ELSE filename_a END AS loser FROM comparisons WHERE filename_a <> filename_b", f"SELECT filename, {_RATED} FROM rated"))
 def r02_replay_reversed(t: Tables):
     return _rounded(rating.replay(t.comparisons.where("filename_a <> filename_b"), "reverse", limit=20_000))
 
 
-@query(_with("images dag", _DAG_ROWS, f"""SELECT i.filename, round(coalesce(mu, 25), 6) AS rating_mu, round(coalesce(sigma, CAST(25 AS DOUBLE) / 3), 6) AS rating_sigma, CAST(coalesce(n, 0) AS INT) AS comparison_count,
+@query(replay_query("images dag", _DAG_ROWS, f"""SELECT i.filename, round(coalesce(mu, 25), 6) AS rating_mu, round(coalesce(sigma, CAST(25 AS DOUBLE) / 3), 6) AS rating_sigma, CAST(coalesce(n, 0) AS INT) AS comparison_count,
 round(CASE WHEN mu IS NULL THEN 0.5 ELSE {cdf_sql(_PUBLIC)} END, 6) AS score, i.last_compared_at FROM images i LEFT JOIN rated USING (filename)"""))
 def r03_recompute(t: Tables):
     out = rating.recompute(t.images, t.dag)
     return out.select("filename", *[F.round(c, 6).alias(c) for c in ("rating_mu", "rating_sigma", "score")], "comparison_count", "last_compared_at")
 
 
-@query(_with("dag", """SELECT id, winner, filename_b AS loser FROM dag WHERE filename_a IN (SELECT f FROM often) AND filename_b IN (SELECT f FROM often)""", f"SELECT filename, {_RATED} FROM rated").replace(
+@query(replay_query("dag", """SELECT id, winner, filename_b AS loser FROM dag WHERE filename_a IN (SELECT f FROM often) AND filename_b IN (SELECT f FROM often)""", f"SELECT filename, {_RATED} FROM rated").replace(
     ", r AS (", ", often AS (SELECT f FROM (SELECT filename_a AS f FROM dag UNION ALL SELECT filename_b FROM dag) GROUP BY f HAVING count(*) >= 3), r AS (", 1))
 def r05_subset_replay(t: Tables):
     return _rounded(rating.subset(t.dag.withColumns({"timestamp": F.lit(None).cast("timestamp"), "transitive_depth": F.lit(0)}), 3))
 
 
-@query(_with("dag", _DAG_ROWS, f"SELECT filename, round({cdf_sql(_PUBLIC)}, 6) AS score, round(mu - 3 * sigma, 6) AS conservative, n FROM rated"))
+@query(replay_query("dag", _DAG_ROWS, f"SELECT filename, round({cdf_sql(_PUBLIC)}, 6) AS score, round(mu - 3 * sigma, 6) AS conservative, n FROM rated"))
 def r06_scores(t: Tables):
     return rating.scores(rating.replay(t.dag)).select("filename", F.round("score", 6).alias("score"), F.round("conservative", 6).alias("conservative"), "n")
 
