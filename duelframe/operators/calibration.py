@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from math import ceil, floor
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,12 +12,66 @@ from pyspark.sql import functions as F
 from ..config import TRAINING
 
 
+_BINS = 64
+
+
+def order_values(df: DataFrame, c: str, ranks: list[int], bins: int = _BINS) -> dict[int, float]:
+    """{rank: value} of the finite values of c in order, ranks from 0, exactly, by counting.
+
+    Values are counted in bins between the least and the largest; a bin whose values are all equal answers its ranks, and only bins that hold
+    other wanted ranks are counted again, in finer ones. So a round is one pass that combines before its exchange, no task holds more than counts, and
+    at most `bins` rows for each bin still open (two for each wanted place) reach the driver, which sends the open bins back as a broadcast
+    table of that many rows. A range around 0 is parted by sign, one of more than a factor of 4 by logarithms, others evenly, so a dozen
+    rounds part any two doubles; values without many close neighbours need two or three.
+    """
+    x = F.col("_x")
+    rows = df.select(F.col(c).cast("double").alias("_x")).where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    total = rows.agg(F.count("*").alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi")).first()
+    left = sorted({r for r in ranks if 0 <= r < total.n})
+    found: dict[int, float] = {}
+    if not left:
+        return found
+    if total.lo == total.hi:
+        return dict.fromkeys(left, total.lo)
+    rows, spark = rows.withColumn("_in", F.lit(0).cast("long")), df.sparkSession
+    open_ = [(0, total.lo, total.hi, 0)]  # key of the bin, its least and largest value, how many values are before it
+    lo, hi, size = F.col("_lo"), F.col("_hi"), F.ln(F.abs("_x"))
+    logs = (size - F.ln(F.abs("_lo"))) / (F.ln(F.abs("_hi")) - F.ln(F.abs("_lo")))
+    even = (x / 2 - lo / 2) / (hi / 2 - lo / 2)  # halves, so that no range overflows
+    share = F.when((lo <= 0) & (hi >= 0), (F.signum(x) + 1) / 2).when((hi > lo * 4) | (lo < hi * 4), logs).otherwise(even)
+    while left:
+        table = F.broadcast(spark.createDataFrame([(key, i, a, b) for i, (key, a, b, _) in enumerate(open_)], "_in long, _number long, _lo double, _hi double"))
+        cell = F.greatest(F.least(F.floor(share * bins), F.lit(bins - 1)), F.lit(0))
+        rows = rows.join(table, "_in").select("_x", (F.col("_number") * bins + cell).alias("_in"))
+        counted = sorted(rows.groupBy("_in").agg(F.count("*").alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi")).collect())
+        after, at, before = [], -1, 0
+        for key, n, least, most in counted:
+            if key // bins != at:
+                at = key // bins
+                before = open_[at][3]
+            mine = left[bisect_left(left, before) : bisect_left(left, before + n)]
+            if mine and least == most:
+                found.update(dict.fromkeys(mine, least))
+            elif mine:
+                after.append((key, least, most, before))
+            before += n
+        left, open_ = [r for r in left if r not in found], after
+    return found
+
+
 def quantiles(df: DataFrame, c: str, points: int = TRAINING.calibration_points, accuracy: int | None = None) -> np.ndarray:
-    """`points` evenly spaced quantiles, linearly interpolated; with an accuracy, by a sketch of bounded size."""
-    at = F.array(*[F.lit(float(p)) for p in np.linspace(0, 1, points)])
-    q = F.percentile(c, at) if accuracy is None else F.percentile_approx(c, at, accuracy)
-    found = df.where(F.col(c).isNotNull() & ~F.isnan(c)).agg(q).first()[0]
-    return np.array(found or [], dtype=np.float64)
+    """`points` evenly spaced quantiles of the finite values, linearly interpolated, exactly; with an accuracy, by a sketch of bounded size."""
+    if accuracy is not None:
+        at = F.array(*[F.lit(float(p)) for p in np.linspace(0, 1, points)])
+        found = df.where(F.col(c).isNotNull() & ~F.isnan(c)).agg(F.percentile_approx(c, at, accuracy)).first()[0]
+        return np.array(found or [], dtype=np.float64)
+    x = F.col(c).cast("double")
+    n = df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).count()
+    if not n:
+        return np.array([], dtype=np.float64)
+    places = [float(p) * (n - 1) for p in np.linspace(0, 1, points)]
+    value = order_values(df, c, [r for p in places for r in (floor(p), ceil(p))])
+    return np.array([value[floor(p)] if floor(p) == p else (ceil(p) - p) * value[floor(p)] + (p - floor(p)) * value[ceil(p)] for p in places])
 
 
 def rising(x: np.ndarray) -> np.ndarray:
@@ -28,7 +85,7 @@ def rising(x: np.ndarray) -> np.ndarray:
 
 def build(df: DataFrame, raw: str, target: str, points: int = TRAINING.calibration_points) -> dict[str, np.ndarray] | None:
     """probabilities, raw_quantiles and target_quantiles; None without rows."""
-    r, t = quantiles(df, raw, points), quantiles(df, target, points)  # exact: all different values of a column in one task; give an accuracy beyond some 10^7
+    r, t = quantiles(df, raw, points), quantiles(df, target, points)
     if not len(r) or not len(t):
         return None
     return {"probabilities": np.linspace(0, 1, points), "raw_quantiles": rising(r).astype(np.float64), "target_quantiles": np.maximum.accumulate(t.astype(np.float32)).astype(np.float64)}

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import random
 import uuid
+from functools import reduce
 
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RANKING
 from ..functions import images, terms
-from ..operators import calibration, etl, graph, history, pairing, stats, tables, training, vectors
+from ..operators import calibration, derived, etl, graph, history, pairing, stats, tables, training, vectors
 from ..scratch import scratch, shared_folder
 from ..sources import files
 from ..streaming import ingest, keyed
@@ -290,3 +292,17 @@ def x06_growing_graph(t: Tables):
     s = t.spark.readStream.schema("winner string, loser string").option("maxFilesPerTrigger", 1).parquet(path)
     s.writeStream.foreachBatch(apply).option("checkpointLocation", _place(t, "stream")).trigger(availableNow=True).start().awaitTermination()
     return held["labels"].groupBy("component").agg(F.count("*").alias("n"))
+
+
+@query("""WITH q AS (SELECT l_partkey AS k, sum(l_quantity) AS s FROM lineitem GROUP BY 1), a AS (SELECT count(*) AS parts FROM q), b AS (SELECT count(*) AS n FROM q JOIN part ON p_partkey = k WHERE p_size > 25), c AS (SELECT count(*) AS n FROM q JOIN part ON p_partkey = k WHERE p_size > 40)
+SELECT * FROM (SELECT 1 AS run, 'quantities large joined' AS built, b.n AS joined FROM b UNION ALL SELECT 2, '', b.n FROM b UNION ALL SELECT 3, 'large joined', c.n FROM c UNION ALL SELECT 4, 'quantities', c.n FROM c) x""")
+def s25_s28_s37_derived_tables(t: Tables):
+    """Three derived tables in four runs: first, unchanged, with another parameter for one, and with a new column in an input that its sums don't see."""
+    folder, out = _place(t, "store"), []
+    for run, least, lines in ((1, 25, t.lineitem), (2, 25, t.lineitem.repartition(7)), (3, 40, t.lineitem), (4, 40, t.lineitem.withColumn("note", F.lit("x")))):
+        store = derived.Store(t.spark, folder)
+        store.table("quantities", {"lines": lines}, lambda lines: lines.groupBy(F.col("l_partkey").alias("k")).agg(F.sum("l_quantity").alias("s")))
+        store.table("large", {"parts": t.part}, lambda parts, least: parts.where(F.col("p_size") > least).select(F.col("p_partkey").alias("k"), "p_size"), {"least": least})
+        joined = store.table("joined", {"a": "quantities", "b": "large"}, lambda a, b: a.join(b, "k"))
+        out.append(joined.agg(F.lit(run).alias("run"), F.lit(" ".join(store.built)).alias("built"), F.count("*").alias("joined")))
+    return reduce(DataFrame.union, out)

@@ -270,3 +270,18 @@ def test_cumulative(spark):
         total += n
         assert got[x] == total
     assert stats.cumulative(spark.createDataFrame([], "x double, n long"), "x", "n").count() == 0
+
+
+def test_quantiles_by_counting(spark):
+    """Ties, wide ranges, few values, neighbouring doubles, nulls and what isn't finite, against numpy."""
+    rng = np.random.default_rng(7)
+    cases = [rng.normal(size=3000), np.exp(rng.normal(0, 40, 2000)), -np.exp(rng.normal(0, 9, 500)), np.array([3.5]), np.array([1.0, 1.0 + 2**-52, 1.0 + 2**-51, 9.0, -1.7e308, 1.7e308, 0.0, -0.5])]
+    cases.append(np.concatenate([np.full(5000, 0.25), rng.random(300) * 1e-9, [1e9]]))
+    for x in cases:
+        rows = [(float(v),) for v in x] + [(None,), (float("nan"),), (float("inf"),)]
+        df = spark.createDataFrame(rows, "x double").repartition(3)
+        ordered = sorted(x.tolist())
+        assert calibration.order_values(df, "x", [0, len(x) // 3, len(x) - 1, len(x), -1]) == {r: ordered[r] for r in {0, len(x) // 3, len(x) - 1}}
+    df = spark.createDataFrame([(float(v),) for v in cases[0]], "x double")
+    assert calibration.quantiles(df, "x", 257) == pytest.approx(np.quantile(cases[0], np.linspace(0, 1, 257)), rel=1e-12, abs=1e-12)
+    assert calibration.quantiles(df.where("false"), "x").size == 0
