@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import RANKING
 from ..functions import images, terms
-from ..operators import calibration, derived, etl, graph, history, pairing, stats, tables, training, vectors
+from ..operators import calibration, derived, etl, graph, growing, history, pairing, stats, tables, training, vectors
 from ..scratch import scratch, shared_folder
 from ..sources import files
 from ..streaming import ingest, keyed
@@ -280,18 +280,23 @@ def x05_live_ratings(t: Tables):
 
 @query("SELECT component, count(*) AS n FROM (WITH RECURSIVE e AS (SELECT DISTINCT winner AS a, filename_b AS b FROM dag), ends AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach(a, b) AS (SELECT a, a FROM ends UNION SELECT r.a, x.b FROM reach r JOIN ends x ON x.a = r.b) SELECT a AS node, min(b) AS component FROM reach GROUP BY a) GROUP BY component", "dag", recursive=True)
 def x06_growing_graph(t: Tables):
-    """Labels after two micro-batches of links, each merged into those before."""
-    e = scratch(graph.edges(t.dag), "edges")
-    held = {"labels": t.spark.createDataFrame([], "node string, component string")}
+    """Labels after two micro-batches of links, of which each adds its deltas."""
     path = _place(t, "links")
-    e.repartition(2).write.parquet(path)
+    graph.edges(t.dag).repartition(2, "winner").write.parquet(path)
+    grown = growing.GrowingGraph(t.spark, _place(t, "graph"))
+    s = t.spark.readStream.schema("winner string, loser string").option("maxFilesPerTrigger", 1).parquet(path)
+    s.writeStream.foreachBatch(grown.apply).option("checkpointLocation", _place(t, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return grown.labels().groupBy("component").agg(F.count("*").alias("n"))
 
-    def apply(batch, _):
-        held["labels"] = scratch(graph.merge_edges(held["labels"], batch), "labels")
 
-    s = t.spark.readStream.schema("winner string, loser string").option("maxFilesPerTrigger", 1).parquet(path)
-    s.writeStream.foreachBatch(apply).option("checkpointLocation", _place(t, "stream")).trigger(availableNow=True).start().awaitTermination()
-    return held["labels"].groupBy("component").agg(F.count("*").alias("n"))
+@query("WITH e AS (SELECT DISTINCT winner, filename_b AS loser FROM dag) SELECT node, node NOT IN (SELECT loser FROM e) AS is_top, node NOT IN (SELECT winner FROM e) AS is_bottom FROM (SELECT winner AS node FROM e UNION SELECT loser FROM e)", "dag")
+def g12_growing_extremes(t: Tables):
+    """Tops and bottoms from the counts that three batches of links have left."""
+    e = scratch(graph.edges(t.dag), "edges")
+    grown = growing.GrowingGraph(t.spark, _place(t, "graph"))
+    for k in range(3):
+        grown.apply(e.where(F.pmod(F.xxhash64("winner", "loser"), F.lit(3)) == k), k)
+    return grown.extremes()
 
 
 @query("""WITH q AS (SELECT l_partkey AS k, sum(l_quantity) AS s FROM lineitem GROUP BY 1), a AS (SELECT count(*) AS parts FROM q), b AS (SELECT count(*) AS n FROM q JOIN part ON p_partkey = k WHERE p_size > 25), c AS (SELECT count(*) AS n FROM q JOIN part ON p_partkey = k WHERE p_size > 40)

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from duelframe.operators import graph
+from duelframe.operators import graph, growing
 
 
 def links(spark, pairs):
@@ -172,3 +172,20 @@ def test_paths_of_asked_pairs(spark, monkeypatch):
             assert {(r.a, r.b): r.same_path for r in graph.same_path(p, e, labels, index=i).collect()} == want
     allowed = {(r.a, r.b) for r in graph._may_reach(p, index).collect()}
     assert {(a, b) for a, b in asked if a in down and b in near(a, 5)} <= allowed and len(allowed) < len(asked)
+
+
+def test_a_growing_graph_is_the_whole_one(spark, tmp_path):
+    """Labels and extremes after each of some batches, one of them applied twice; what a small batch writes is small."""
+    rng, folder = random.Random(11), f"{tmp_path}/graph"
+    batches = [[(f"n{k:04}", f"n{k + 1:04}") for k in range(1, 900, 2)], [(f"n{rng.randrange(900):04}", f"n{rng.randrange(900):04}") for _ in range(60)], [("n0700", "m1"), ("m1", "n0003"), ("x", "x")], [("a", "n0899"), ("q1", "q2")], []]
+    g, so_far, written = growing.GrowingGraph(spark, folder), [], []
+    for k, batch in enumerate(batches):
+        for _ in range(2 if k == 2 else 1):
+            g.apply(spark.createDataFrame(batch, "winner string, loser string"), k)
+        so_far += [p for p in batch if p[0] != p[1]]
+        written.append(sum(spark.read.parquet(f"{folder}/{name}/batch={k}").count() for name in ("nodes", "aliases", "counts")))
+        if k in (2, 4):
+            e = links(spark, so_far)
+            assert {tuple(r) for r in g.labels().collect()} == {tuple(r) for r in graph.components(graph.universe(e), e).collect()}
+            assert {tuple(r) for r in g.extremes().collect()} == {tuple(r) for r in graph.extremes(graph.universe(e), e).collect()}
+    assert written[0] == 1800 and written[2] <= 3 * len(batches[2]) + 2 and written[3] <= 12 and written[4] == 0
