@@ -21,14 +21,15 @@ def by_row(docs: DataFrame, *others: DataFrame) -> tuple[DataFrame, ...]:
     """(docs with a column _key, others with their doc_id turned into keys): equal rows share a key, other rows don't.
 
     The key is doc_id where that tells rows apart. Where it doesn't, or is null, it is the id as text with two hashes of the row's
-    columns; a row of others then counts for each key of its id. So what is decided for a text is done to that text alone.
+    columns; a row of others then counts only where its id has one text, as it doesn't say which of several it means. So what is decided
+    for a text is done to that text alone.
     """
     n = docs.agg(F.count("*").alias("rows"), F.count("doc_id").alias("ids"), F.count_distinct("doc_id").alias("different")).first()
     if n.rows == n.different:
         return docs.withColumn("_key", F.col("doc_id")), *others
     own = F.concat_ws("#", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64(*docs.columns).cast("string"), F.xxhash64(F.lit(1), *docs.columns).cast("string"))
     rows = docs.withColumn("_key", own)
-    keys = rows.where("doc_id is not null").select("doc_id", "_key").distinct()
+    keys = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("_key").alias("_key"), F.max("_key").alias("_last")).where("_key = _last").drop("_last")
     return rows, *(t.join(keys, "doc_id").drop("doc_id").withColumnRenamed("_key", "doc_id") for t in others)
 
 
