@@ -461,7 +461,9 @@ def q09_q10_next_pair(t: Tables):
     return pairing.next_pair(t.images, t.dag, t.images.where("score > 0.99").select("filename"))
 
 
-@query()
+@query(f"""{_DAG} SELECT filename, round(score, 4) AS score, round(rating_mu, 4) AS mu, round(rating_sigma, 4) AS sigma, comparison_count, coalesce(w.n, 0) AS wins, coalesce(l.n, 0) AS losses, component, coalesce(height, 1) AS height
+FROM images i LEFT JOIN (SELECT winner, count(*) AS n FROM edges GROUP BY 1) w ON w.winner = filename LEFT JOIN (SELECT loser, count(*) AS n FROM edges GROUP BY 1) l ON l.loser = filename
+LEFT JOIN labels ON labels.node = filename LEFT JOIN heights ON heights.node = filename""", "dag", "images", recursive=True)
 def q12_describe(t: Tables):
     return pairing.describe(t.images, wins_losses(t.dag.withColumns({"timestamp": F.lit(None), "transitive_depth": F.lit(0)})), _labels(t), graph.heights(_chains(t)))
 
