@@ -42,15 +42,22 @@ def tiles(p: np.ndarray, t: np.ndarray, least: int) -> list[tuple[int, int, int]
 
     Each pass hashes the unmarked windows of one search length, extends equal ones and marks the longest
     matches first, none overlapping in p or in t; the search length then falls until it is `least`.
-    Equal ids are equal words.
+    Equal ids are equal words. Places are grouped by their window and the word before it: two places after the same
+    word are inside a match that began earlier, so in runs of repeated words only the ends of the runs are compared.
     """
     free_p, free_t = np.ones(len(p), bool), np.ones(len(t), bool)
+    left = len(p)  # words of p that are not marked
     out: list[tuple[int, int, int]] = []
     size = min(len(p), len(t), max(least, 16))
-    while size >= least:
+    while size >= least and left >= least:
         longest = 0
         found: list[tuple[int, int, int]] = []
 
+        def words_before(x: np.ndarray, free: np.ndarray, at: np.ndarray) -> list[int | None]:
+            """The unmarked word before each place; None where a match cannot have begun earlier."""
+            inside = (at > 0) & free[at - 1]
+            return np.where(inside, x[at - 1].astype(object), None).tolist()
+
         def windows(x: np.ndarray, free: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
             full = np.concatenate([[0], np.cumsum(free)])
             at = np.flatnonzero(full[size:] - full[:-size] == size)
@@ -59,32 +66,35 @@ def tiles(p: np.ndarray, t: np.ndarray, least: int) -> list[tuple[int, int, int]
         if len(p) >= size and len(t) >= size:
             at_p, hp = windows(p, free_p, size)
             at_t, ht = windows(t, free_t, size)
-            where: dict[int, list[int]] = {}
-            for i, h in zip(at_p.tolist(), hp.tolist(), strict=True):
-                where.setdefault(h, []).append(i)
             hit = np.isin(ht, hp)
-            for j, h in zip(at_t[hit].tolist(), ht[hit].tolist(), strict=True):
-                for i in where[h]:
-                    if i and j and free_p[i - 1] and free_t[j - 1] and p[i - 1] == t[j - 1]:
-                        continue  # inside a match that began earlier
-                    n = min(len(p) - i, len(t) - j)
-                    same = (p[i : i + n] == t[j : j + n]) & free_p[i : i + n] & free_t[j : j + n]
-                    n = n if same.all() else int(same.argmin())
-                    if n >= size:
-                        found.append((n, i, j))
-                        longest = max(longest, n)
+            where: dict[int, dict[int | None, list[int]]] = {}
+            for i, h, before in zip(at_p.tolist(), hp.tolist(), words_before(p, free_p, at_p), strict=True):
+                where.setdefault(h, {}).setdefault(before, []).append(i)
+            places: dict[tuple[int, int | None], list[int]] = {}
+            for j, h, before in zip(at_t[hit].tolist(), ht[hit].tolist(), words_before(t, free_t, at_t[hit]), strict=True):
+                places.setdefault((h, before), []).append(j)
+            for (h, before), js in places.items():
+                for i in [i for other, found_at in where[h].items() if other is None or other != before for i in found_at]:
+                    for j in js:
+                        n = min(len(p) - i, len(t) - j)
+                        same = (p[i : i + n] == t[j : j + n]) & free_p[i : i + n] & free_t[j : j + n]
+                        n = n if same.all() else int(same.argmin())
+                        if n >= size:
+                            found.append((n, i, j))
+                            longest = max(longest, n)
         if longest > 2 * size:
             size = longest
             continue
         found = [(-n, i, j) for n, i, j in found]
         heapq.heapify(found)
-        while found:
+        while found and left >= size:
             n, i, j = heapq.heappop(found)
             n = -n
             ok = free_p[i : i + n] & free_t[j : j + n]
             if ok.all():
                 free_p[i : i + n] = False
                 free_t[j : j + n] = False
+                left -= n
                 out.append((i, j, n))
                 continue
             edges = np.flatnonzero(np.diff(np.concatenate([[0], ok.astype(np.int8), [0]])))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import Counter
 import zlib
 
@@ -363,3 +364,13 @@ def test_decontamination(spark, sf, bench, odd_docs, no_docs):
         assert sorted(got, key=repr) == want and any(r[3] for r in got)
     assert tiling.decontaminate(odd_docs, bench).count() == 11 and tiling.decontaminate(no_docs, bench).count() == 0
     assert tiling.decontaminate(odd_docs, bench.where("false")).where("contaminated").count() == 0
+
+
+def test_repeated_words_cost_their_ends_alone():
+    rng = np.random.default_rng(4)
+    for _ in range(60):  # few different words, in runs and in periods
+        p, t = (np.concatenate([np.resize(rng.integers(0, 3, rng.integers(1, 4)), rng.integers(1, 12)) for _ in range(4)]).astype(np.int64) for _ in range(2))
+        assert sum(x[2] for x in tiling.tiles(p, t, 3)) == plain_tiles(p.tolist(), t.tolist(), 3)
+    begin = time.perf_counter()
+    assert tiling.tiles(np.full(1000, 7), np.full(100_000, 7), 5) == [(0, 0, 1000)]
+    assert time.perf_counter() - begin < 30  # all pairs of places would be 10^8
