@@ -8,7 +8,9 @@ leave-one-out counts, and an adaptive map of (gate, mixed probability) refines t
 probability of a text is the product over its bits; its base-10 logarithm is the score.
 
 All training text is gathered: each task sends its different six-symbol windows once, with counts, and
-tables, weights and map are made from their totals. Scoring is a function of the window alone, so each
+tables, weights and map are made from their totals. Weights are learned in shards by a hash of the window, each in
+the order of another hash, and added up as whole numbers, so that they do not depend on how Spark splits the
+windows. Scoring is a function of the window alone, so each
 worker remembers windows it has scored.
 """
 
@@ -144,6 +146,8 @@ class Model:
 #: The online learning rate, and what is added to each count.
 RATE, PRIOR = 0.05, 0.1
 GATES, LIMIT, STEPS = ORDERS * 4, 11.0, 44
+#: Windows of one shard of learning, and the unit in which its weights are added up.
+SHARD, FIXED = 250_000, 1 << 32
 
 
 def _bucket(z: np.ndarray) -> np.ndarray:
@@ -253,34 +257,35 @@ def fit(texts: DataFrame, most_bits: int = MOST_BITS) -> Model:
 
     shared = _share(sc, model)
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def learn(table: pa.Table) -> pa.Table:
         m = _received(shared)
         weights, total, seen, steps = m.weights.copy(), np.zeros((GATES, ORDERS)), np.zeros(GATES), 0
-        for b in batches:
-            w, n = b.column(0).to_numpy().astype(np.uint64), b.column(1).to_numpy().astype(np.float64)
-            shuffled = np.argsort(mix64(w))
-            for at in range(0, len(w), 2000):
-                part = shuffled[at : at + 2000]
-                for rows, node, bit in m.bits(w[part]):
-                    own = part[rows]
-                    st, gate = m.inputs(w[own], node, bit)
-                    z = np.clip((st * weights[gate]).sum(axis=1), -LIMIT, LIMIT)
-                    error = (bit - 1 / (1 + np.exp(-z))) * n[own]
-                    mass = np.bincount(gate, n[own], minlength=GATES)
-                    rate = RATE / (1 + steps / 200)
-                    for k in range(ORDERS):
-                        step = np.bincount(gate, error * st[:, k], minlength=GATES)
-                        weights[:, k] += rate * step / np.maximum(mass, 1)
-                    seen += mass
-                    total += weights * mass[:, None]  # the mean of the path is steadier than its end
-                    steps += 1
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()]), pa.array([seen.tobytes()])], names=["weights", "seen"])
-
-    total, mass = np.zeros((GATES, ORDERS)), np.zeros(GATES)
-    for a, s in grams.mapInArrow(learn, "weights binary, seen binary").toLocalIterator():
-        total += np.frombuffer(a).reshape(GATES, ORDERS)
-        mass += np.frombuffer(s)
-    model.weights = np.where(mass[:, None] > 0, total / np.maximum(mass, 1)[:, None], model.weights)
+        w, n = table.column("w").to_numpy().astype(np.uint64), table.column("n").to_numpy().astype(np.float64)
+        shuffled = np.argsort(mix64(w))  # different windows have different hashes, so the order they come in does not matter
+        for at in range(0, len(w), 2000):
+            part = shuffled[at : at + 2000]
+            for rows, node, bit in m.bits(w[part]):
+                own = part[rows]
+                st, gate = m.inputs(w[own], node, bit)
+                z = np.clip((st * weights[gate]).sum(axis=1), -LIMIT, LIMIT)
+                error = (bit - 1 / (1 + np.exp(-z))) * n[own]
+                mass = np.bincount(gate, n[own], minlength=GATES)
+                rate = RATE / (1 + steps / 200)
+                for k in range(ORDERS):
+                    step = np.bincount(gate, error * st[:, k], minlength=GATES)
+                    weights[:, k] += rate * step / np.maximum(mass, 1)
+                seen += mass
+                total += weights * mass[:, None]  # the mean of the path is steadier than its end
+                steps += 1
+        mean = total / np.maximum(seen, 1)[:, None]
+        return pa.table({"place": pa.array(np.arange(GATES * ORDERS)), "weight": pa.array(np.rint(mean * FIXED).astype(np.int64).ravel()), "seen": pa.array(np.repeat(seen.astype(np.int64), ORDERS))})
+
+    # whole numbers add up to the same in any order
+    shards = max(1, grams.count() // SHARD)
+    parts = grams.groupBy(F.pmod(F.xxhash64("w"), F.lit(shards)).alias("shard")).applyInArrow(learn, "place long, weight long, seen long")
+    exact = F.col("weight").cast("decimal(19,0)") * F.col("seen").cast("decimal(18,0)")
+    for place, a, s in parts.where("seen > 0").groupBy("place").agg(F.sum(exact), F.sum("seen")).collect():
+        model.weights[divmod(place, ORDERS)] = int(a) / (FIXED * s)
 
     shared.destroy()
     mixed = _share(sc, model)
@@ -295,11 +300,12 @@ def fit(texts: DataFrame, most_bits: int = MOST_BITS) -> Model:
                 at = gate * STEPS + _bucket(np.clip((st * m.weights[gate]).sum(axis=1), -LIMIT, LIMIT))
                 sums[0] += np.bincount(at, n[rows], minlength=GATES * STEPS)
                 sums[1] += np.bincount(at, n[rows] * bit, minlength=GATES * STEPS)
-        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()])], names=["sums"])
+        some = np.flatnonzero(sums[0])
+        yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(x[some].astype(np.int64)) for x in sums]], names=["at", "n", "ones"])
 
     sums = np.zeros((2, GATES * STEPS))
-    for (a,) in grams.mapInArrow(refine, "sums binary").toLocalIterator():
-        sums += np.frombuffer(a).reshape(sums.shape)
+    for at, n, ones in grams.mapInArrow(refine, "at long, n long, ones long").groupBy("at").agg(F.sum("n"), F.sum("ones")).collect():
+        sums[:, at] = n, ones
     mixed.destroy()
     middle = 1 / (1 + np.exp(-(np.tile(np.arange(STEPS) + 0.5, GATES) * (2 * LIMIT / STEPS) - LIMIT)))
     p = (sums[1] + 8 * middle) / (sums[0] + 8)

@@ -351,3 +351,16 @@ def test_stages_part_texts_of_one_id(spark, sf, staged):
 def test_sweep(spark):
     kept = scratch(spark.range(3), "test")
     assert kept.count() == 3 and sweep(spark) > 0 and sweep(spark) == 0
+
+
+def test_scores_do_not_depend_on_how_spark_splits_the_windows(spark, sf, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD", 20_000)  # several shards
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (4, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            got.append({r.doc_id: r.score for r in mixing.score_documents(docs.repartition(n)).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1]
