@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import analytics, base, jobs, models, more, network, relational
+from .plans import analytics, base, jobs, layouts, models, more, network, relational
 
-__all__ = ["analytics", "base", "jobs", "models", "more", "network", "oracle_sql", "queries", "relational"]
+__all__ = ["analytics", "base", "jobs", "layouts", "models", "more", "network", "oracle_sql", "queries", "relational"]
 
 
 def queries() -> dict:
