@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from duelframe.operators import graph, growing
+from duelframe.operators import connected, graph, growing
 
 
 def links(spark, pairs):
@@ -189,3 +189,22 @@ def test_a_growing_graph_is_the_whole_one(spark, tmp_path):
             assert {tuple(r) for r in g.labels().collect()} == {tuple(r) for r in graph.components(graph.universe(e), e).collect()}
             assert {tuple(r) for r in g.extremes().collect()} == {tuple(r) for r in graph.extremes(graph.universe(e), e).collect()}
     assert written[0] == 1800 and written[2] <= 3 * len(batches[2]) + 2 and written[3] <= 12 and written[4] == 0
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_rounds_of_components_shrink(spark, monkeypatch, few):
+    """Many small components: what all rounds write is little more than the first round's links, and the labels are right."""
+    pairs = [(f"c{k:03d}n{(i * 7) % 12:02d}", f"c{k:03d}n{((i + 1) * 7) % 12:02d}") for k in range(60) for i in range(11)]
+    sizes, plain = [], connected.scratch
+    monkeypatch.setattr(connected, "_FEW", few, raising=False)
+    monkeypatch.setattr(connected, "scratch", lambda df, name="table", *a: (out := plain(df, name, *a), sizes.append(out.count() if name == "links" else 0))[0])
+    found = {r.node: r.component for r in connected.connected_components(links(spark, pairs), "winner", "loser").collect()}
+    assert found == {n: f"{n[:4]}n00" for p in pairs for n in p}
+    assert sum(sizes) < 2.5 * len(pairs)
+
+
+def test_small_components_are_streams(spark):
+    e = links(spark, [("a", "b"), ("b", "c"), ("x", "y")])
+    labels = graph.components(graph.universe(e), e)
+    for df in (graph.chains(labels, e), graph.strong_components(labels, e)):
+        assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().executedPlan().toString()
