@@ -81,6 +81,19 @@ def test_windows_of_a_giant_component_are_the_fold(spark, limit):
             assert math.isclose(got[k].mu, m, rel_tol=1e-9) and math.isclose(got[k].sigma, s, rel_tol=1e-9) and got[k].n == n
 
 
+def test_large_components_share_their_windows(spark, monkeypatch):
+    """Five large components are folded side by side, window by window: a call for each window of one of them, not of all comparisons."""
+    rng = random.Random(8)
+    rows = [(i, *rng.sample([f"{'abcde'[i % 5]}{k}" for k in range(12)], 2)) for i in range(500)]
+    df = spark.createDataFrame([(i, a, b, a) for i, a, b in rows], "id long, filename_a string, filename_b string, winner string")
+    calls, plain = [], rating._folded
+    monkeypatch.setattr(rating, "_folded", lambda keyed, known: (calls.append(1), plain(keyed, known))[1])
+    got = {r.filename: (r.mu, r.n) for r in rating.replay(df, limit=40).collect()}
+    want = rating.fold((a, b) for _, a, b in rows)
+    assert set(got) == set(want) and all(math.isclose(got[k][0], v[0]) and got[k][1] == v[2] for k, v in want.items())
+    assert len(calls) == 3
+
+
 def test_no_group_is_above_the_limit(spark, monkeypatch):
     rng = random.Random(5)
     rows = [(i, "hub" if i % 3 == 0 else f"g{rng.randrange(80)}", f"h{rng.randrange(80)}") for i in range(240)]
