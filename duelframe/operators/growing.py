@@ -53,7 +53,7 @@ class GrowingGraph:
         at = scratch(at, "touched")
         w, lo = at.select(F.col("node").alias("winner"), F.col("root").alias("w")), at.select(F.col("node").alias("loser"), F.col("root").alias("l"))
         bridges = scratch(links.join(w, "winner").join(lo, "loser").where("w <> l").select(F.col("w").alias("winner"), F.col("l").alias("loser")).distinct(), "bridges")
-        moved = scratch(components(universe(bridges), bridges).where("node <> component").select(F.col("node").alias("root"), "component"), "moved")
+        moved = scratch(components(None, bridges).where("node <> component").select(F.col("node").alias("root"), "component"), "moved")
         self._write("nodes", number, at.where("fresh").join(moved, "root", "left").select("node", F.coalesce("component", "root").alias("label")))
         self._write("aliases", number, moved.join(at.where("not fresh").select("root"), "root", "left_semi").select(F.col("root").alias("old"), F.col("component").alias("new")))
         sides = links.select(F.col("winner").alias("node"), F.lit(1).cast("long").alias("wins"), F.lit(0).cast("long").alias("losses")).union(links.select("loser", F.lit(0).cast("long"), F.lit(1).cast("long")))

@@ -93,7 +93,7 @@ def _none(cand: DataFrame) -> DataFrame:
     return cand.limit(0).select(F.col("filename").alias("a"), F.col("filename").alias("b"), F.lit("").alias("phase"))
 
 
-def anchor_insert(cand: DataFrame, links: DataFrame, total: int, edges: DataFrame, labels: DataFrame) -> DataFrame:
+def anchor_insert(cand: DataFrame, links: DataFrame, total: int, edges: DataFrame) -> DataFrame:
     """The least compared image outside the seed pool, and the unseen image nearest in mean that is on no common path."""
     outside = cand.join(seed_pool(cand, total).select("filename"), "filename", "left_anti")
     by_level = {r[0]: r[1] for r in outside.where(F.col("n") <= RANKING.insertion_target).groupBy("n").count().collect()}
@@ -107,7 +107,7 @@ def anchor_insert(cand: DataFrame, links: DataFrame, total: int, edges: DataFram
     nodes = outside.where(F.col("n") <= threshold)
     source = nodes.orderBy("n", "skill", "filename").limit(1)
     near = unseen(_against(source, nodes), links).orderBy("mu_gap", "b")
-    return _one(graph.same_path(near, edges, labels).where("not same_path").orderBy("mu_gap", "b"), "anchor_insert")
+    return _one(graph.same_path(near, edges, None).where("not same_path").orderBy("mu_gap", "b"), "anchor_insert")
 
 
 def collapsible(cand: DataFrame, chain: DataFrame, comparisons: DataFrame) -> DataFrame:
@@ -164,13 +164,13 @@ def chain_merge(cand: DataFrame, chain: DataFrame, edges: DataFrame, labels: Dat
         done, size = done + size, min(size * 4, 1 << 20)
 
 
-def uncertainty(cand: DataFrame, links: DataFrame, total: int, edges: DataFrame, labels: DataFrame) -> DataFrame:
+def uncertainty(cand: DataFrame, links: DataFrame, total: int, edges: DataFrame) -> DataFrame:
     """The most uncertain image outside the seed pool, and the unseen seed nearest in mean on no common path."""
     seeds = seed_pool(cand, total)
     usable = cand.where(F.col("n") > RANKING.insertion_target)
     one = usable.where(F.col("sigma") >= RANKING.sigma_threshold).join(seeds.select("filename"), "filename", "left_anti").orderBy(F.desc("sigma"), "filename").limit(1)
     near = unseen(_against(one, usable.join(seeds.select("filename"), "filename", "left_semi")), links)
-    return _one(graph.same_path(near, edges, labels).where("not same_path").orderBy("mu_gap", "b"), "uncertainty")
+    return _one(graph.same_path(near, edges, None).where("not same_path").orderBy("mu_gap", "b"), "uncertainty")
 
 
 def fallback(cand: DataFrame, links: DataFrame) -> DataFrame:
@@ -214,11 +214,11 @@ def next_pair(images: DataFrame, comparisons: DataFrame, exclude: DataFrame | No
 
     steps = {
         "seed_coverage": lambda: seed_coverage(cand, links, total),
-        "anchor_insert": lambda: anchor_insert(cand, links, total, edges, labels()),
+        "anchor_insert": lambda: anchor_insert(cand, links, total, edges),
         "collapsible": lambda: collapsible(cand, chain(), comparisons),
         "single_win_loss": lambda: single_win_loss(cand, edges),
         "chain_merge": lambda: chain_merge(cand, chain(), edges, labels()),
-        "uncertainty": lambda: uncertainty(cand, links, total, edges, labels()),
+        "uncertainty": lambda: uncertainty(cand, links, total, edges),
         "fallback": lambda: fallback(cand, links),
     }
     for name in PHASES[PHASES.index(start) :]:

@@ -208,3 +208,70 @@ def test_small_components_are_streams(spark):
     labels = graph.components(graph.universe(e), e)
     for df in (graph.chains(labels, e), graph.strong_components(labels, e)):
         assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_acyclic_chains_are_main_chains():
+    """The walk over places gives what paths with hashes give, chain for chain; cyclic graphs are left to the latter."""
+    rng, cyclic = random.Random(4), 0
+    for k in range(2000):
+        n = rng.randrange(2, 14)
+        pairs = {(f"n{a * 5 % 17:02}", f"n{b * 5 % 17:02}") for a, b in (sorted(rng.sample(range(14), 2), reverse=k % 5 == 0 and rng.random() < 0.3) for _ in range(2 * n))}
+        ws, ls = [p[0] for p in pairs], [p[1] for p in pairs]
+        nodes, down, up = graph._graph(ws, ls)
+        found = graph.acyclic_chains(nodes, ws, ls)
+        cyclic += found is None
+        assert found is None or found == [(list(c), o) for c, o in graph.main_chains(nodes, down, up)]
+    assert 0 < cyclic < 1000
+
+
+def test_chains_need_no_labels(spark):
+    """Chains and strong components by the links alone are those by labels; chains give the labels too."""
+    rng = random.Random(8)
+    pairs = {(f"g{g:02}n{rng.randrange(6)}", f"g{g:02}n{6 + rng.randrange(6)}") for g in range(9) for _ in range(2 + g)} | {("x1", "x2"), ("x2", "x3"), ("x3", "x1"), ("x3", "x4")}
+    e = links(spark, sorted(pairs))
+    labels = graph.components(graph.universe(e), e)
+    found = graph.chains(None, e).collect()
+    assert sorted(map(repr, found)) == sorted(map(repr, graph.chains(labels, e).collect()))
+    assert {(n, r.component) for r in found for n in r.owners} == {tuple(r) for r in labels.collect()} == {tuple(r) for r in graph.components(None, e).collect()}
+    parts = [sorted(map(tuple, graph.strong_components(x, e, limit).collect())) for x, limit in ((labels, 1000), (None, 1000), (None, 12))]
+    assert parts[0] == parts[1] == parts[2]
+
+
+def test_parts_that_share_a_number_are_told_apart(spark):
+    rows = spark.createDataFrame([(7, "a", "b"), (7, "x", "y"), (7, "b", "c"), (7, "solo", None), (7, "y", "z")], "part long, winner string, loser string")
+    got = graph._by_component(rows, lambda ws, ls: [(min(ws), len(ws))], "least string, n long").collect()
+    assert sorted(map(tuple, got)) == [("a", 2), ("solo", 1), ("x", 2)]
+
+
+def test_components_whose_nodes_share_a_hash(spark, monkeypatch):
+    """Hashes of a few values only: nodes are numbered instead; nulls and links of a node to itself add the node."""
+    plain = connected.F.xxhash64
+    monkeypatch.setattr(connected.F, "xxhash64", lambda *c: connected.F.pmod(plain(*c), connected.F.lit(3)))
+    e = links(spark, [("a", "b"), ("b", "c"), ("x", "y"), ("s", "s"), ("n", None), (None, None)])
+    got = {r.node: r.component for r in connected.connected_components(e, "winner", "loser").collect()}
+    assert got == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x", "s": "s", "n": "n"}
+
+
+def test_extremes_of_the_ends(spark):
+    e = links(spark, [("a", "b"), ("b", "c"), ("x", "c")])
+    assert sorted(map(tuple, graph.extremes(None, e).collect())) == sorted(map(tuple, graph.extremes(graph.universe(e), e).collect()))
+
+
+def test_two_of_a_kind_are_not_searched(spark, monkeypatch):
+    """Tops with tops and bottoms with bottoms are on no common path, so nothing is searched for them."""
+    monkeypatch.setattr(graph, "_met", lambda *a: 1 / 0)
+    e = links(spark, [("a", "m"), ("b", "m"), ("m", "y"), ("m", "z"), ("p", "q")])
+    ends, labels = graph.extremes(None, e), graph.components(None, e)
+    p = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "a"), ("y", "z"), ("a", "z"), ("a", "m"), ("a", "p"), (None, "a")], "a string, b string")
+    assert sorted(map(tuple, graph.collapsible_pairs(p, ends, labels).collect())) == [("a", "b"), ("b", "a"), ("y", "z")]
+
+
+def test_one_node_against_many_is_searched_from_it(spark, monkeypatch):
+    """Without labels, and each way from the one node: no search starts at the many."""
+    starts, plain = [], graph._hops
+    monkeypatch.setattr(graph, "_FEW", 2)
+    monkeypatch.setattr(graph, "_hops", lambda links, pairs, hops, name: (starts.append(pairs.select(name).distinct().count()), plain(links, pairs, hops, name))[1])
+    e = links(spark, [(f"n{k:02}", f"n{k + 1:02}") for k in range(30)] + [("u", "v")])
+    p = spark.createDataFrame([("n15", f"n{k:02}") for k in range(31)] + [("n15", "u"), ("n15", "nobody")], "a string, b string")
+    got = {r.b: r.same_path for r in graph.same_path(p, e, None).collect()}
+    assert got == {**{f"n{k:02}": abs(k - 15) <= 5 for k in range(31)}, "u": False, "nobody": False} and starts == [1, 1]
