@@ -38,6 +38,13 @@ def unseen(pairs: DataFrame, links: DataFrame) -> DataFrame:
     return pairs.join(links, (low == F.col("filename_a")) & (high == F.col("filename_b")), "left_anti")
 
 
+def _unseen_by(one: DataFrame, pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """unseen, written, for pairs that all have the single row of `one` as their first node: only its own links are dealt."""
+    name = F.broadcast(one.select("filename"))
+    own = links.join(name, (F.col("filename_a") == F.col("filename")) | (F.col("filename_b") == F.col("filename")), "left_semi")
+    return scratch(unseen(pairs, own), "near")
+
+
 def widest_within(pairs: DataFrame) -> DataFrame:
     """Of pairs (a, b, gap, sigma): the widest gap within reach.
 
@@ -105,8 +112,8 @@ def anchor_insert(cand: DataFrame, links: DataFrame, total: int, edges: DataFram
     if pool < RANKING.reserve_count:
         return _none(cand)
     nodes = outside.where(F.col("n") <= threshold)
-    source = nodes.orderBy("n", "skill", "filename").limit(1)
-    near = unseen(_against(source, nodes), links).orderBy("mu_gap", "b")
+    source = scratch(nodes.orderBy("n", "skill", "filename").limit(1), "source")
+    near = _unseen_by(source, _against(source, nodes), links)
     return _one(graph.same_path(near, edges, None).where("not same_path").orderBy("mu_gap", "b"), "anchor_insert")
 
 
@@ -169,7 +176,8 @@ def uncertainty(cand: DataFrame, links: DataFrame, total: int, edges: DataFrame)
     seeds = seed_pool(cand, total)
     usable = cand.where(F.col("n") > RANKING.insertion_target)
     one = usable.where(F.col("sigma") >= RANKING.sigma_threshold).join(seeds.select("filename"), "filename", "left_anti").orderBy(F.desc("sigma"), "filename").limit(1)
-    near = unseen(_against(one, usable.join(seeds.select("filename"), "filename", "left_semi")), links)
+    one = scratch(one, "source")
+    near = _unseen_by(one, _against(one, usable.join(seeds.select("filename"), "filename", "left_semi")), links)
     return _one(graph.same_path(near, edges, None).where("not same_path").orderBy("mu_gap", "b"), "uncertainty")
 
 

@@ -296,3 +296,11 @@ def test_quantiles_by_counting(spark):
     df = spark.createDataFrame([(float(v),) for v in cases[0]], "x double")
     assert calibration.quantiles(df, "x", 257) == pytest.approx(np.quantile(cases[0], np.linspace(0, 1, 257)), rel=1e-12, abs=1e-12)
     assert calibration.quantiles(df.where("false"), "x").size == 0
+
+
+def test_links_of_one_image_leave_the_unseen(spark):
+    """unseen for pairs of one image, whichever end of a link it is."""
+    links = spark.createDataFrame([("a", "m"), ("m", "x"), ("b", "c")], "filename_a string, filename_b string")
+    pairs = spark.createDataFrame([("m", x, 1.0) for x in "abcx"], "a string, b string, gap double")
+    one = spark.createDataFrame([("m", 0)], "filename string, n int")
+    assert sorted(r.b for r in pairing._unseen_by(one, pairs, links).collect()) == sorted(r.b for r in pairing.unseen(pairs, links).collect()) == ["b", "c"]
