@@ -51,3 +51,10 @@ def wins_losses(comparisons: DataFrame) -> DataFrame:
     """(filename, wins, losses): different opponents beaten, and lost to."""
     s = sides(comparisons).where("filename <> other")
     return s.groupBy("filename").agg(F.count_distinct(F.when(F.col("won"), F.col("other"))).alias("wins"), F.count_distinct(F.when(~F.col("won"), F.col("other"))).alias("losses"))
+
+
+def tallies(links: DataFrame) -> DataFrame:
+    """wins_losses of links (winner, loser) that are different and join two images: a sum, which combines before its exchange."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    side = F.array(F.struct(F.col("winner").alias("filename"), one.alias("w"), none.alias("l")), F.struct(F.col("loser").alias("filename"), none.alias("w"), one.alias("l")))
+    return links.select(F.inline(side)).groupBy("filename").agg(F.sum("w").alias("wins"), F.sum("l").alias("losses"))

@@ -248,10 +248,11 @@ def choose(images: DataFrame, comparisons: DataFrame, skip: int = 0, exclude: Da
     return found, skip if row is None else PHASES.index(row.phase)
 
 
-def describe(images: DataFrame, wins: DataFrame, labels: DataFrame, height: DataFrame) -> DataFrame:
-    """What is shown of an image: rating, wins and losses, component and height."""
+def describe(images: DataFrame, wins: DataFrame, labels: DataFrame | None, height: DataFrame) -> DataFrame:
+    """What is shown of an image: rating, wins and losses, component and height. Without labels, height has the components (see graph.placed)."""
     i = images.select("filename", F.round("score", 4).alias("score"), F.round("rating_mu", 4).alias("mu"), F.round("rating_sigma", 4).alias("sigma"), "comparison_count")
-    c, h = labels.withColumnRenamed("node", "filename"), height.withColumnRenamed("node", "filename")
     zero: Column = F.lit(0)
-    j = i.join(wins, "filename", "left").join(c, "filename", "left").join(h, "filename", "left")
+    j = i.join(wins, "filename", "left").join(height.withColumnRenamed("node", "filename"), "filename", "left")
+    if labels is not None:
+        j = j.join(labels.withColumnRenamed("node", "filename"), "filename", "left")
     return j.select(*i.columns, F.coalesce("wins", zero).alias("wins"), F.coalesce("losses", zero).alias("losses"), "component", F.coalesce("height", F.lit(1)).alias("height"))
