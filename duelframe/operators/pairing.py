@@ -154,7 +154,8 @@ def chain_merge(cand: DataFrame, chain: DataFrame, edges: DataFrame, labels: Dat
     if chain.count() < RANKING.min_chains:
         return _none(cand)
     top = graph.sorted_chains(chain.where(~F.col("chain_id").isin(list(recent))) if recent else chain).limit(RANKING.min_chains * 10)
-    main = graph.chain_members(chain.where(~F.col("chain_id").isin(list(recent))) if recent else chain).where("is_main").join(cand.withColumnRenamed("filename", "node"), "node")
+    owned = (chain.where(~F.col("chain_id").isin(list(recent))) if recent else chain).select("chain_id", "length", F.explode("owners").alias("node"))  # owners are among the chain's nodes
+    main = scratch(owned.join(cand.withColumnRenamed("filename", "node"), "node"), "main")  # written, as each block reads it
     bucket = F.floor(F.col("score") / RANKING.chain_gap)
     left = main.join(top.select("chain_id"), "chain_id", "left_semi").where(F.col("n") > RANKING.insertion_target)
     left = left.select(F.col("node").alias("a"), F.col("chain_id").alias("ca"), F.col("length").alias("la"), F.col("score").alias("sa"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("k"))
