@@ -8,10 +8,11 @@ old files answer with, and a compacted partition is written anew beside the old
 from __future__ import annotations
 
 import uuid
+from itertools import accumulate
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..config import RANKING, RATING
 
@@ -80,27 +81,45 @@ def file_sizes(table: DataFrame, by: list[str]) -> DataFrame:
     return each.groupBy(*by).agg(F.count("*").alias("files"), F.sum("_size").alias("bytes"))
 
 
+def files_needed(target: int) -> Column:
+    """How many files of `target` bytes a row of file_sizes needs."""
+    return F.greatest(F.ceil(F.col("bytes") / target), F.lit(1)).cast("int")
+
+
 def compact(spark: SparkSession, name: str, path: str, by: str, target: int = 256 << 20) -> int:
     """Rewrites the partitions of `name` that hold more files than their bytes need at `target` each; gives how many.
 
-    The new files go under path, a folder of their own for each call; then each partition is pointed to its new folder. Untouched partitions
+    Rows that are dealt anew take more or fewer bytes than before, so what was written is measured, and a partition that needs another number of files is
+    written again, until it has as many as its own bytes need; where two numbers each ask for the other, it takes the larger one.
+    The new files go under path, a folder of their own for each writing; then each partition is pointed to its new folder. Untouched partitions
     keep their files. The old files stay for readers that have begun. The list of crowded partitions is what a catalog holds of them.
     """
     table = spark.table(name)
-    needed = F.greatest(F.ceil(F.col("bytes") / target), F.lit(1))
-    crowded = file_sizes(table, [by]).where(F.col("files") > needed).select(by, needed.cast("int").alias("_parts"))
-    wanted = crowded.collect()
-    if not wanted:
-        return 0
-    folder = f"{path}/compact-{uuid.uuid4().hex}"
-    # a partition's rows go to as many files as its bytes need, by a hash of the row
-    keyed = spark.createDataFrame(wanted, crowded.schema).withColumnRenamed(by, "_by")
-    sized = table.join(F.broadcast(keyed), F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
-    sized = sized.withColumn("_part", F.pmod(F.xxhash64(*table.columns), F.col("_parts")))
-    sized.repartition(sum(r._parts for r in wanted), by, "_part").drop("_part", "_parts").write.partitionBy(by).parquet(folder)
-    for r in wanted:
-        value = "__HIVE_DEFAULT_PARTITION__" if r[0] is None else str(r[0])
-        spec = "null" if r[0] is None else f"'{value}'"
-        spark.sql(f"ALTER TABLE {name} PARTITION ({_quoted(by)} = {spec}) SET LOCATION '{folder}/{by}={value}'")
-    spark.catalog.refreshTable(name)
-    return len(wanted)
+    sizes = file_sizes(table, [by]).select(by, "files", files_needed(target).alias("_parts")).where("files > _parts").select(by, "_parts")
+    wanted, written = {r[0]: r[1] for r in sizes.collect()}, {}
+    while wanted:
+        folder = f"{path}/compact-{uuid.uuid4().hex}"
+        # a partition's rows go to as many files as its bytes need, by a hash of the row; each file is a task of its own, as two in one task would be one file
+        starts = accumulate(wanted.values(), initial=0)
+        keyed = spark.createDataFrame([(v, n, k) for (v, n), k in zip(wanted.items(), starts)], StructType([*sizes.schema, StructField("_start", IntegerType())])).withColumnRenamed(by, "_by")
+        sized = table.join(F.broadcast(keyed), F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
+        part = (F.col("_start") + F.pmod(F.xxhash64(*table.columns), F.col("_parts"))).cast("int")
+        sized.repartitionById(sum(wanted.values()), part).drop("_parts", "_start").write.partitionBy(by).parquet(folder)
+        found = file_sizes(spark.read.schema(table.schema).parquet(folder), [by]).select(by, files_needed(target))
+        again = {}
+        for value, needs in found.collect():
+            tried = written.setdefault(value, {})
+            tried[wanted[value]] = folder
+            if needs not in tried:
+                again[value] = needs
+            else:
+                written[value] = {max(needs, wanted[value]): tried[max(needs, wanted[value])]}
+        wanted = again
+    for value, folders in written.items():
+        (folder,) = folders.values()
+        place = "__HIVE_DEFAULT_PARTITION__" if value is None else str(value)
+        spec = "null" if value is None else f"'{place}'"
+        spark.sql(f"ALTER TABLE {name} PARTITION ({_quoted(by)} = {spec}) SET LOCATION '{folder}/{by}={place}'")
+    if written:
+        spark.catalog.refreshTable(name)
+    return len(written)

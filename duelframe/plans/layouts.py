@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import layout, tables
-from ..scratch import shared_folder
+from ..scratch import scratch, shared_folder
 from .base import Tables, query
 
 BUCKETS = 16
@@ -59,13 +59,12 @@ def s02_bucketed_lookup(t: Tables):
 def s17_compaction(t: Tables):
     """Comparisons partitioned by weight and stored in several appends, then compacted to one file of at most 256 MB for each such size."""
     name, path = _new(t, "comparisons")
-    rows = t.comparisons
+    rows = scratch(t.comparisons, "comparisons")
     layout.partitioned(rows.where("id % 3 = 0"), name, path, ["weight"])
     for k in (1, 2):
         layout.append(rows.where(f"id % 3 = {k}").repartition(3), name)
     layout.compact(t.spark, name, f"{path}_compacted", "weight")
     stored = t.spark.table(name)
     sizes = layout.file_sizes(stored, ["weight"])
-    needed = F.greatest(F.ceil(F.col("bytes") / (256 << 20)), F.lit(1))
     sums = stored.groupBy("weight").agg(F.count("*").alias("rows"), F.sum("id").cast("decimal(38,0)").alias("ids"))
-    return sums.join(sizes, "weight").select("weight", "rows", "ids", (F.col("files") - needed + 1).cast("long").alias("files"))
+    return sums.join(sizes, "weight").select("weight", "rows", "ids", (F.col("files") - layout.files_needed(256 << 20) + 1).cast("long").alias("files"))

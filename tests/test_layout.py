@@ -67,3 +67,18 @@ def test_compaction_rewrites_crowded_partitions_alone(spark, tmp_path):
     assert 2 <= layout.file_sizes(spark.table("crowd").where("k = 'b'"), ["k"]).first().files <= 4
     assert spark.table("crowd").count() == 5000
     assert tables.counts(spark.table("crowd"), spark.createDataFrame([], "weight double")).first().images == 5000
+
+
+def test_compaction_writes_as_many_files_as_the_bytes_need(spark, tmp_path):
+    """Two files' rows dealt to one task would be one file above the target."""
+    rows = [spark.range(k, 60_000, 6).select("id", F.sha2(F.col("id").cast("string"), 256).alias("v"), F.lit(0.5).alias("k")).coalesce(1) for k in range(6)]
+    layout.partitioned(rows[0], "long", f"file://{tmp_path}/t", ["k"])
+    for more in rows[1:]:
+        layout.append(more, "long")
+    target = layout.file_sizes(spark.table("long"), ["k"]).first().bytes // 4
+    assert layout.compact(spark, "long", f"file://{tmp_path}/new", "k", target) == 1
+    after = layout.file_sizes(spark.table("long"), ["k"]).first()
+    assert after.files == -(-after.bytes // target) > 3
+    assert max(p.stat().st_size for p in tmp_path.glob("new/*/*/*.parquet")) < 1.05 * target
+    assert layout.compact(spark, "long", f"file://{tmp_path}/new", "k", target) == 0
+    assert spark.table("long").count() == 60_000
