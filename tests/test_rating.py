@@ -144,3 +144,31 @@ def test_recent_names_are_bounded(spark, tmp_path):
     spark.createDataFrame([("g", f"f{k}") for k in range(30)], "pool string, name string").coalesce(1).write.parquet(src)
     s = ingest.recent(ingest.file_stream(spark, src, "pool string, name string"), "pool", "name", 5)
     assert len(ingest.run_once(s, "recent_test", str(tmp_path / "cp"), "update").collect()[0].recent) == 5
+
+
+def test_whole_ids_are_not_sorted_before(spark, monkeypatch):
+    """Ids that are whole numbers order the comparisons themselves; others are numbered by a sort, with the same ratings."""
+    rng = random.Random(9)
+    rows = [(None if i == 5 else i // 2 - 20, *rng.sample([f"g{k}" for k in range(30)], 2)) for i in range(200)]
+    df = spark.createDataFrame([(i, a, b, a) for i, a, b in rows], "id long, filename_a string, filename_b string, winner string")
+    sorts, plain = [], rating.dense_order
+    monkeypatch.setattr(rating, "dense_order", lambda *a, **k: (sorts.append(k.get("name", "nth")), plain(*a, **k))[1])
+    for order in ("default", "reverse"):
+        for limit in (1000, 40):
+            sorts.clear()
+            got, text = ({r.filename: (r.mu, r.sigma, r.n) for r in rating.replay(x, order, limit=limit).collect()} for x in (df, df.withColumn("id", F.lpad((F.col("id") + 100).cast("string"), 5, "0"))))
+            assert got == text and len(got) == 30
+            assert sorts == (["nth"] if limit == 1000 else ["at", "nth", "at"])
+
+
+def test_images_of_whole_components_are_not_looked_up(spark, monkeypatch):
+    """Where components are cut by time alone, each image's rating stays with its component: no exchange but the one by component."""
+    rng = random.Random(4)
+    rows = [(i, *rng.sample([f"{'ab'[i % 2]}{k}" for k in range(12)], 2)) for i in range(200)]
+    df = spark.createDataFrame([(i, a, b, a) for i, a, b in rows], "id long, filename_a string, filename_b string, winner string")
+    joins, plain = [], rating._folded
+    monkeypatch.setattr(rating, "_folded", lambda keyed, known: (joins.append(known is not None and "Join" in known._jdf.queryExecution().toString()), plain(keyed, known))[1])
+    got = {r.filename: r.mu for r in rating.replay(df, limit=40).collect()}
+    want = rating.fold((a, b) for _, a, b in rows)
+    assert set(got) == set(want) and all(math.isclose(got[k], v[0]) for k, v in want.items())
+    assert joins == [False, False, False]
